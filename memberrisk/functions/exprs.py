@@ -40,8 +40,14 @@ def flag(cond: Column) -> Column:
 
 
 def rnd(c: str | Column, scale: int = 4) -> Column:
-    """Half-even rounding (NumPy/Python ``round``)."""
-    return F.bround(col(c), scale)
+    """Half-even rounding of the binary value: ``rint(x * 10^s) / 10^s``
+    (NumPy ``round``; DuckDB ``round_even``). ``bround`` would round the
+    decimal string instead and differ on values such as 1.015."""
+    x = col(c).cast("double")
+    if scale == 0:
+        return F.rint(x)
+    factor = float(10 ** scale)
+    return F.rint(x * F.lit(factor)) / F.lit(factor)
 
 
 def clip(c: str | Column, lo: str | Column | float | None = None,

@@ -57,7 +57,7 @@ def impute_egress(df: DataFrame) -> DataFrame:
 
 def derived_age(decimals: int = 0):
     """Age from birth and process date: round-half-even(days / 365.25)."""
-    return F.bround(X.floor_days("fecha_proceso", "v_fecha_nac") / F.lit(365.25), decimals)
+    return X.rnd(X.floor_days("fecha_proceso", "v_fecha_nac") / F.lit(365.25), decimals)
 
 
 def impute_age(df: DataFrame) -> DataFrame:

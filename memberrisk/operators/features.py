@@ -73,7 +73,7 @@ def trend_table(df: DataFrame) -> DataFrame:
         F.regr_slope(y, x).alias("_slope"))
     flat = (F.col("_n") < 2) | (F.col("_lo") == F.col("_hi"))
     slope = slope.select(S.CLIENT, F.when(flat, F.lit(0.0))
-                         .otherwise(F.coalesce(F.bround(F.col("_slope"), TREND_DECIMALS), F.lit(0.0)))
+                         .otherwise(F.coalesce(X.rnd(F.col("_slope"), TREND_DECIMALS), F.lit(0.0)))
                          .alias("tendencia_saldo"))
     return delta.join(slope, S.CLIENT, "inner")
 

@@ -4,12 +4,12 @@ with the analyzers built lazily on top of the featured hub.
 Materialisation points (everything else stays lazy and is fused by
 Catalyst):
 
-* ``enriched`` (typed snapshot + alerts) is persisted: every cleaning
-  quantile branch re-reads it.
-* ``featured`` is checkpointed to the shared checkpoint folder named by the
-  session (``spark.checkpoint.dir``): it is the hub that all nine analyzers
-  read, and the checkpoint cuts the lineage so a lost executor does not
-  replay the whole load/clean/feature chain.
+* ``enriched`` (typed snapshot + alerts), ``cleaned`` and ``featured`` are
+  written as reliable checkpoints to the shared folder named by the session
+  (``spark.checkpoint.dir``). Each is re-read by several branches (quantile
+  statistics, the nine analyzers); the checkpoint makes it a plan leaf, so
+  plans stay small and a lost executor does not replay the whole
+  load/clean/feature chain.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from memberrisk import session as sess
+from memberrisk.functions import exprs as X
 from memberrisk.functions import ranking
 from memberrisk.operators import clean as C
 from memberrisk.operators import features as FE
@@ -61,8 +62,7 @@ class Hub:
         return self._get("typed", lambda: L.type_snapshot(self.snapshot_raw()))
 
     def enriched(self) -> DataFrame:
-        return self._get("enriched", lambda: L.enrich_alerts(self.typed(), self.alerts())
-                         .persist(StorageLevel.MEMORY_AND_DISK))
+        return self._get("enriched", lambda: materialize(L.enrich_alerts(self.typed(), self.alerts())))
 
     # --- clean / features ----------------------------------------------------
     def clean_stage(self, name: str) -> DataFrame:
@@ -76,13 +76,11 @@ class Hub:
         return self._get(f"clean:{name}", build)
 
     def cleaned(self) -> DataFrame:
-        return self._get("cleaned", lambda: self.clean_stage("dedup").persist(StorageLevel.MEMORY_AND_DISK))
+        return self._get("cleaned", lambda: materialize(self.clean_stage("dedup")))
 
     def featured(self) -> DataFrame:
         def build():
-            sess.ensure_checkpoint_dir(self.spark)
-            with ranking.scope():
-                return FE.feature_pipeline(self.cleaned()).checkpoint(eager=True)
+            return materialize(FE.feature_pipeline(self.cleaned()))
         return self._get("featured", build)
 
     def last_period(self) -> DataFrame:
@@ -93,10 +91,47 @@ class Hub:
             return f.join(F.broadcast(latest), F.col("periodo") == F.col("_last"), "inner").drop("_last")
         return self._get("last_period", build)
 
+    def requests(self) -> DataFrame:
+        """Scoring requests: one row per latest-period member with k % 10 == 0
+        (the member's smallest account) plus five unknown members (ids -1..-5)
+        derived from customers 1..5 that carry only age, income, egress and
+        idle days."""
+        def build():
+            from memberrisk import schemas as S
+            from memberrisk.operators import analyzers as A
+            cols = [f.name for f in S.REQUEST_SCHEMA.fields if f.name != "v_ah_cliente"]
+            last = self.last_period().where(F.col("v_ah_cliente") % 10 == 0)
+            known = A.latest_per_client(last, cols)
+            c = self.tables.customer.where(F.col("c_custkey").between(1, 5))
+            k = F.col("c_custkey")
+            unknown = c.select(
+                (-k).alias("v_ah_cliente"),
+                (F.lit(15) + (k * 13) % 60).cast("double").alias("edad"),
+                X.rnd(F.abs(F.col("c_acctbal")) * 0.1, 2).alias("ingresos"),
+                X.rnd(F.abs(F.col("c_acctbal")) * 0.05, 2).alias("egresos"),
+                ((k * 37) % 150).cast("double").alias("dias_sin_movimiento"))
+            typed = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in unknown.columns
+                     else F.lit(None).cast(f.dataType).alias(f.name) for f in S.REQUEST_SCHEMA.fields]
+            return known.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.REQUEST_SCHEMA.fields]) \
+                .unionByName(unknown.select(*typed))
+        return self._get("requests", build)
+
     def memo(self, name: str, build) -> DataFrame:
         return self._get(name, build)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist, write a reliable checkpoint to the session's checkpoint folder
+    and drop the cache: the result is a plan leaf (small plans downstream, no
+    lineage replay after an executor loss)."""
+    sess.ensure_checkpoint_dir(df.sparkSession)
+    with ranking.scope():
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+    return out
+
+
 def hub(spark: SparkSession, root: str) -> Hub:
     key = (id(spark), root.rstrip("/"))
     with _LOCK:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memberrisk.functions import exprs as X
 from memberrisk.plans import oracle_sql as O
 from memberrisk.plans.pipeline import Hub, hub
 
@@ -47,7 +48,7 @@ def normalize(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.bround(c.cast("double"), FLOAT_DECIMALS) + F.lit(0.0)
+            c = X.rnd(c, FLOAT_DECIMALS) + F.lit(0.0)
         elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             c = c.cast("long")
         elif isinstance(t, T.DateType):
