@@ -11,10 +11,8 @@ from memberrisk import session as sess
 from memberrisk.plans import q_prepare  # noqa: F401  (registers queries)
 from memberrisk.plans import registry as reg
 
-try:  # analyzer query modules are added incrementally
-    from memberrisk.plans import q_analyzers  # noqa: F401
-except ImportError:  # pragma: no cover
-    q_analyzers = None
+from memberrisk.plans import q_analyzers  # noqa: F401,E402
+from memberrisk.plans import q_ml  # noqa: F401,E402
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
