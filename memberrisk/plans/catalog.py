@@ -14,6 +14,7 @@ from memberrisk.plans import registry as reg
 from memberrisk.plans import q_analyzers  # noqa: F401,E402
 from memberrisk.plans import q_ml  # noqa: F401,E402
 from memberrisk.plans import q_decide  # noqa: F401,E402
+from memberrisk.plans import q_sinks  # noqa: F401,E402
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

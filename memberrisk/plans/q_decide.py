@@ -19,8 +19,10 @@ def _latest_last(df, cols):
     return A.latest_per_client(df.withColumn("periodo", F.lit("last")), cols)
 
 
-def decision_parts(h, credit=None, segments=None) -> dict:
-    req = h.requests()
+def decision_parts(h, credit=None, segments=None, req=None) -> dict:
+    """Analyzer outputs keyed by client for a request table (default: the
+    hub's request table; a streaming micro-batch passes its own)."""
+    req = h.requests() if req is None else req
     ew = A.early_warning_lookup(req, QA.early_warning(h))
     cur = req.select("v_ah_cliente").join(
         A.latest_per_client(QA.states(h), ["estado_riesgo"]), "v_ah_cliente", "left")
