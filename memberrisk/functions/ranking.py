@@ -16,11 +16,13 @@ Everything here instead works on a range-partitioned copy of the data:
    each slice its offset.
 4. Offsets are joined back on (group, partition id): unique keys, no skew.
 
-Quantiles aggregate to distinct ``(group, value, count)`` first (partial
-aggregation, so a hot value costs one row per map task), run the prefix sum
-over those, and pick the rows covering ``floor(q*(n-1))`` and
-``ceil(q*(n-1))``: linear interpolation, the same definition as pandas'
-``quantile`` and DuckDB's ``quantile_cont``.
+Quantiles and percent ranks aggregate to distinct ``(group, value, count)``
+first (partial aggregation, so a hot value costs one row per map task). The
+histogram's size is then checked: up to ``SMALL_HISTOGRAM_ROWS`` rows it is
+ranked with an ordinary per-group window (bounded by that size), beyond it
+with the range-partitioned prefix sum. Quantiles pick the rows covering
+``floor(q*(n-1))`` and ``ceil(q*(n-1))``: linear interpolation, the same
+definition as pandas' ``quantile`` and DuckDB's ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -110,6 +112,29 @@ def row_number(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] =
     return ranked.withColumn(out, F.col("_mr_before") + 1).drop("_mr_before", "_mr_total")
 
 
+# Histograms with at most this many (group, value) rows are ranked with a
+# plain per-group window: each group's window then holds at most this many
+# rows. Larger histograms take the range-partitioned path above.
+SMALL_HISTOGRAM_ROWS = 2_000_000
+
+
+def _ranked_histogram(counts: DataFrame, value: str, keys: list[str], weight: str,
+                      num_partitions: int | None) -> DataFrame:
+    """Adds ``_mr_before`` (weight of smaller values in the group) and
+    ``_mr_total`` to a (keys, value, weight) histogram. The histogram size is
+    checked first (one count job); small histograms use a window, large ones
+    the skew-safe prefix sum."""
+    if counts.count() <= SMALL_HISTOGRAM_ROWS:
+        grp = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        return counts.select(
+            "*",
+            F.coalesce(F.sum(weight).over(grp.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)),
+                       F.lit(0)).cast("long").alias("_mr_before"),
+            F.sum(weight).over(grp).cast("long").alias("_mr_total"))
+    return prefix_sum(counts, [value], keys, weight=weight, before="_mr_before", total="_mr_total",
+                      num_partitions=num_partitions)
+
+
 def percent_rank_avg(df: DataFrame, value: str, out: str, by: Sequence[str] = (),
                      num_partitions: int | None = None) -> DataFrame:
     """pandas ``rank(pct=True)`` (average ties): (less + (ties+1)/2) / n.
@@ -118,8 +143,7 @@ def percent_rank_avg(df: DataFrame, value: str, out: str, by: Sequence[str] = ()
     by = list(by)
     valid = df.where(F.col(value).isNotNull())
     counts = valid.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_mr_c"))
-    ranked = prefix_sum(counts, [value], by, weight="_mr_c", before="_mr_before",
-                        total="_mr_total", num_partitions=num_partitions)
+    ranked = _ranked_histogram(counts, value, by, "_mr_c", num_partitions)
     ranks = ranked.select(
         *by, value,
         ((F.col("_mr_before") + (F.col("_mr_c") + F.lit(1)) / F.lit(2.0))
@@ -141,8 +165,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
               .where(F.col("v").isNotNull() & ~F.isnan("v")))
     counts = long.groupBy(*by, "name", "v").agg(F.count(F.lit(1)).alias("_mr_c"))
     keys = [*by, "name"]
-    ranked = prefix_sum(counts, ["v"], keys, weight="_mr_c", before="_mr_before",
-                        total="_mr_total", num_partitions=num_partitions)
+    ranked = _ranked_histogram(counts, "v", keys, "_mr_c", num_partitions)
     targets = F.array(*[F.lit(float(q)) for q in qs])
     pos = F.col("q") * (F.col("_mr_total") - 1)
     lo, hi = F.floor(pos), F.ceil(pos)
@@ -198,7 +221,8 @@ def quantile_values(df: DataFrame, spec: dict[str, Sequence[float]],
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
-    """Checkpoint a small statistics table (per-group quantiles, counts) to
-    the session's checkpoint folder, cutting its lineage."""
+    """Write a small statistics table (per-group quantiles, counts) to the
+    session's shared checkpoint folder and read it back, cutting its lineage."""
+    from memberrisk.session import write_table
     with scope():
-        return df.checkpoint(eager=True)
+        return write_table(df, "stats")

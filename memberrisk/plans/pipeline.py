@@ -5,7 +5,7 @@ Materialisation points (everything else stays lazy and is fused by
 Catalyst):
 
 * ``enriched`` (typed snapshot + alerts), ``cleaned`` and ``featured`` are
-  written as reliable checkpoints to the shared folder named by the session
+  written as parquet tables into the shared folder named by the session
   (``spark.checkpoint.dir``). Each is re-read by several branches (quantile
   statistics, the nine analyzers); the checkpoint makes it a plan leaf, so
   plans stay small and a lost executor does not replay the whole
@@ -62,7 +62,7 @@ class Hub:
         return self._get("typed", lambda: L.type_snapshot(self.snapshot_raw()))
 
     def enriched(self) -> DataFrame:
-        return self._get("enriched", lambda: materialize(L.enrich_alerts(self.typed(), self.alerts())))
+        return self._get("enriched", lambda: materialize(L.enrich_alerts(self.typed(), self.alerts()), "enriched"))
 
     # --- clean / features ----------------------------------------------------
     def clean_stage(self, name: str) -> DataFrame:
@@ -76,11 +76,11 @@ class Hub:
         return self._get(f"clean:{name}", build)
 
     def cleaned(self) -> DataFrame:
-        return self._get("cleaned", lambda: materialize(self.clean_stage("dedup")))
+        return self._get("cleaned", lambda: materialize(self.clean_stage("dedup"), "cleaned"))
 
     def featured(self) -> DataFrame:
         def build():
-            return materialize(FE.feature_pipeline(self.cleaned()))
+            return materialize(FE.feature_pipeline(self.cleaned()), "featured")
         return self._get("featured", build)
 
     def last_period(self) -> DataFrame:
@@ -120,16 +120,12 @@ class Hub:
         return self._get(name, build)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Persist, write a reliable checkpoint to the session's checkpoint folder
-    and drop the cache: the result is a plan leaf (small plans downstream, no
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write the stage as a table in the shared checkpoint folder and read it
+    back: a plan leaf (small plans downstream, real size statistics, no
     lineage replay after an executor loss)."""
-    sess.ensure_checkpoint_dir(df.sparkSession)
     with ranking.scope():
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = cached.checkpoint(eager=True)
-        cached.unpersist()
-    return out
+        return sess.write_table(df, name)
 
 
 def hub(spark: SparkSession, root: str) -> Hub:

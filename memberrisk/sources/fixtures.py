@@ -54,8 +54,10 @@ def _d(day: dt.date) -> Column:
 
 
 def _amount() -> Column:
-    # exact decimal sums: order-independent in every engine
-    return F.col("l_extendedprice").cast("decimal(15,2)")
+    # whole cents as BIGINT: sums are exact and order-independent, and long
+    # arithmetic stays in generated code (a DECIMAL(25,2) sum buffer does not).
+    # cents / 100.0 is the correctly rounded double of the exact decimal sum.
+    return F.rint(F.col("l_extendedprice") * 100).cast("long")
 
 
 def movements(t: Tables) -> DataFrame:
@@ -77,7 +79,7 @@ def _period_aggs(i: int, d: dt.date) -> list[Column]:
         return before & (ship >= _d(d - dt.timedelta(days=days)))
 
     def dsum(cond: Column, name: str) -> Column:
-        return F.sum(F.when(cond, amt)).cast("double").alias(f"{name}_{i}")
+        return (F.sum(F.when(cond, amt)).cast("double") / F.lit(100.0)).alias(f"{name}_{i}")
 
     aggs = [
         F.min(F.when(before, ship)).alias(f"aper_{i}"),

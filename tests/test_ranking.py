@@ -3,9 +3,19 @@ including with one group holding most rows."""
 import numpy as np
 import pandas as pd
 
+import pytest
+
 from memberrisk.functions import ranking as R
 
 
+@pytest.fixture(params=["window", "range"], autouse=True)
+def histogram_path(request, monkeypatch):
+    """Run every test on both histogram paths (small window / range cut)."""
+    if request.param == "range":
+        monkeypatch.setattr(R, "SMALL_HISTOGRAM_ROWS", 0)
+    return request.param
+
+
 def _data(n=6000, seed=3):
     rng = np.random.default_rng(seed)
     pdf = pd.DataFrame({"g": rng.integers(0, 4, n), "v": np.round(rng.normal(0, 5, n), 1), "id": np.arange(n)})
