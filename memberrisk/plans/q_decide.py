@@ -326,3 +326,52 @@ def q_run_summary(h):
             F.lit(name).alias("analyzer"), "m.metric", "m.value")
         out = long if out is None else out.unionByName(long)
     return out
+
+
+# --- remaining inventory items ------------------------------------------------------
+
+_REQ_NUMERIC = ("edad", "ingresos", "egresos", "saldo_disponible", "monto_bloq", "credito", "dias_sin_movimiento",
+                "tendencia_saldo", "desviacion_maxima")
+
+
+@reg("request_defaults", "SELECT v_ah_cliente, " + ", ".join(f"coalesce({c}, 0.0) AS {c}" for c in _REQ_NUMERIC)
+     + ", coalesce(estado_civil, 'S') AS estado_civil FROM req")
+def q_request_defaults(h):
+    """Request fields with their defaults (numeric 0, civil status S)."""
+    req = h.requests()
+    return req.select("v_ah_cliente", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _REQ_NUMERIC],
+                      F.coalesce(F.col("estado_civil"), F.lit("S")).alias("estado_civil"))
+
+
+@reg("global_stats", """SELECT quantile_cont(dias_sin_movimiento, 0.99) AS idle_p99,
+    quantile_cont(tendencia_saldo, 0.01) AS trend_p01, quantile_cont(tendencia_saldo, 0.99) AS trend_p99,
+    quantile_cont(desviacion_maxima, 0.99) AS deviation_p99, quantile_cont(saldo_efectivo, 0.5) AS balance_p50
+    FROM adults""")
+def q_global_stats(h):
+    """Every global percentile of the adult rows in one quantile pass."""
+    from memberrisk.functions import ranking as R
+    row = R.quantile_row(QA.adults(h), {"dias_sin_movimiento": [0.99], "tendencia_saldo": [0.01, 0.99],
+                                       "desviacion_maxima": [0.99], "saldo_efectivo": [0.5]})
+    return row.select(F.col("dias_sin_movimiento_q99").alias("idle_p99"), F.col("tendencia_saldo_q1").alias("trend_p01"),
+                      F.col("tendencia_saldo_q99").alias("trend_p99"),
+                      F.col("desviacion_maxima_q99").alias("deviation_p99"),
+                      F.col("saldo_efectivo_q50").alias("balance_p50"))
+
+
+@reg("quality_counts", """SELECT (SELECT count(*) FROM featured) AS n_rows,
+    (SELECT sum(riesgo_alto) FROM featured) AS n_riesgo_alto,
+    (SELECT sum(riesgo_alto) * 100.0 / count(*) FROM featured) AS pct_riesgo_alto,
+    (SELECT count_if(fuente_alerta <> 'sin_alerta') FROM enriched) AS n_rows_with_alert,
+    (SELECT count(*) FROM enriched) AS n_enriched_rows""")
+def q_quality_counts(h):
+    """Label count and rate, alert-match count (one aggregate per table)."""
+    f = h.featured().agg(F.count(F.lit(1)).alias("n_rows"), F.sum("riesgo_alto").alias("n_riesgo_alto"),
+                         (F.sum("riesgo_alto") * 100.0 / F.count(F.lit(1))).alias("pct_riesgo_alto"))
+    e = h.enriched().agg(F.count_if(F.col("fuente_alerta") != "sin_alerta").alias("n_rows_with_alert"),
+                         F.count(F.lit(1)).alias("n_enriched_rows"))
+    return f.crossJoin(e)
+
+
+REGISTRY["member_fan_in"].sql = "SELECT * FROM d_all"
+REGISTRY["member_fan_in"].ctes = dict(CTES)
+REGISTRY["member_fan_in"].kind = "E"
