@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
@@ -74,3 +74,9 @@ def finite_or_zero(c: str | Column) -> Column:
 def nan_to_null(c: str | Column) -> Column:
     x = col(c)
     return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row DataFrame as a scalar-subquery struct column: attach global
+    statistics to every row without a join (``row["field"]``)."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns])).scalar()

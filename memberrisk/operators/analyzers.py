@@ -109,7 +109,7 @@ def age_metrics(validation: DataFrame) -> DataFrame:
         F.count_if("is_inconsistent").alias("inconsistencias_detectadas"),
         F.avg("edad_real").alias("_avg"))
     n = F.col("total_socios")
-    return base.crossJoin(F.broadcast(med)).select(
+    return base.withColumn("edad_real_q50", X.one_row(med)["edad_real_q50"]).select(
         "total_socios", "menores_bloqueados",
         F.when(n > 0, X.rnd(F.col("menores_bloqueados") / n * 100, 2)).otherwise(0.0).alias("pct_menores"),
         "inconsistencias_detectadas",
@@ -180,7 +180,7 @@ def alert_metrics(ew: DataFrame) -> DataFrame:
                   *[F.count_if(F.col("alert_level") == lv).alias(f"n_{lv}") for lv in EW_LEVEL_ORDER],
                   F.avg(s).alias("mean_alert_score"), F.count_if(s >= 0.75).alias("high_risk_count"),
                   (F.avg((s >= 0.75).cast("double")) * 100).alias("high_risk_pct"))
-    return base.crossJoin(F.broadcast(med)).withColumnRenamed("alert_score_raw_q50", "median_alert_score")
+    return base.withColumn("median_alert_score", X.one_row(med)["alert_score_raw_q50"])
 
 
 def alert_percentiles(ew: DataFrame) -> DataFrame:
@@ -271,20 +271,27 @@ def period_pairs(states: DataFrame) -> DataFrame:
 
 
 def transitions(states: DataFrame) -> DataFrame:
-    """For every consecutive period pair, inner join of the two periods'
-    rows on client (multi-account members multiply, Q27) - all pairs in one
-    job, not a loop."""
-    pairs = F.broadcast(period_pairs(states))
-    src = states.select("v_ah_cliente", F.col("periodo").alias("period_from"),
-                        F.col("estado_riesgo").alias("state_from"))
-    dst = states.select("v_ah_cliente", F.col("periodo").alias("period_to"),
-                        F.col("estado_riesgo").alias("state_to"))
-    return src.join(pairs, "period_from").join(dst, ["v_ah_cliente", "period_to"])
+    """Transitions between consecutive observed periods, joined on client
+    (multi-account members multiply, Q27), for all pairs in one job.
+
+    Rows are pre-aggregated to per-(client, period, state) counts before the
+    join, so the result holds one row per (pair, client, from, to) with the
+    multiplicity ``n = n_from x n_to`` instead of every account pair: a
+    client with many accounts no longer produces a quadratic number of rows."""
+    pairs = F.broadcast(period_pairs(states))  # one row per observed period (months of history)
+    hist = states.groupBy("v_ah_cliente", "periodo", "estado_riesgo").agg(F.count(F.lit(1)).alias("_n"))
+    src = hist.select("v_ah_cliente", F.col("periodo").alias("period_from"),
+                      F.col("estado_riesgo").alias("state_from"), F.col("_n").alias("_n_from"))
+    dst = hist.select("v_ah_cliente", F.col("periodo").alias("period_to"),
+                      F.col("estado_riesgo").alias("state_to"), F.col("_n").alias("_n_to"))
+    return (src.join(pairs, "period_from").join(dst, ["v_ah_cliente", "period_to"])
+               .select("period_from", "period_to", "v_ah_cliente", "state_from", "state_to",
+                       (F.col("_n_from") * F.col("_n_to")).alias("n")))
 
 
 def transition_matrix(trans: DataFrame) -> DataFrame:
     """Row-normalised matrix per pair with all 5x5 cells (p rounded to 4)."""
-    counts = trans.groupBy("period_from", "period_to", "state_from", "state_to").agg(F.count(F.lit(1)).alias("n"))
+    counts = trans.groupBy("period_from", "period_to", "state_from", "state_to").agg(F.sum("n").alias("n"))
     grid_states = F.array(*[_lit(s) for s in STATES])
     pairs = trans.select("period_from", "period_to").distinct()
     grid = (pairs.withColumn("state_from", F.explode(grid_states))
@@ -311,28 +318,35 @@ def state_projection(states: DataFrame, matrix: DataFrame) -> DataFrame:
     """Latest distribution (as shares) x last matrix, back to counts."""
     dist = state_distribution(states)
     total = dist.agg(F.sum("n_socios").alias("_tot"))
-    share = (dist.crossJoin(F.broadcast(total))
-                 .select(F.col("estado_riesgo").alias("state_from"), (F.col("n_socios") / F.col("_tot")).alias("share")))
+    tot = X.one_row(total)["_tot"]
+    share = dist.select(F.col("estado_riesgo").alias("state_from"), (F.col("n_socios") / tot).alias("share"))
     proj = (last_matrix(matrix).join(F.broadcast(share), "state_from", "left")
             .groupBy("state_to").agg(F.sum(F.coalesce(F.col("share"), _lit(0.0)) * F.col("p")).alias("_x")))
-    return proj.crossJoin(F.broadcast(total)).select(
-        F.col("state_to").alias("estado_riesgo"), X.rnd(F.col("_x") * F.col("_tot"), 0).cast("long").alias("n_projected"))
+    return proj.select(
+        F.col("state_to").alias("estado_riesgo"), X.rnd(F.col("_x") * tot, 0).cast("long").alias("n_projected"))
 
 
 def deterioration(trans: DataFrame) -> DataFrame:
     """A10: number of (joined) rows moving to a worse state, per pair."""
     worse = state_rank(F.col("state_to")) > state_rank(F.col("state_from"))
-    return trans.groupBy("period_from", "period_to").agg(F.count_if(worse).alias("n_deteriorated"))
+    return trans.groupBy("period_from", "period_to").agg(
+        F.coalesce(F.sum(F.when(worse, F.col("n"))), F.lit(0)).cast("long").alias("n_deteriorated"))
 
 
 def top_deteriorated(trans: DataFrame, n: int = 20) -> DataFrame:
-    """First 20 deteriorated rows per pair (client order). ``row_number
-    <= n`` is planned with a partial WindowGroupLimit before the shuffle."""
+    """First 20 deteriorated rows per pair (client order). Each
+    (client, from, to) row stands for ``n`` joined rows, so the first 20
+    output rows come from at most the first 20 of them: ``row_number <= 20``
+    (planned with a partial WindowGroupLimit before the shuffle), expand by
+    multiplicity, rank again."""
     worse = trans.where(state_rank(F.col("state_to")) > state_rank(F.col("state_from")))
-    w = Window.partitionBy("period_from", "period_to").orderBy(
-        "v_ah_cliente", state_rank(F.col("state_from")), state_rank(F.col("state_to")))
-    return (worse.withColumn("rank_in_pair", F.row_number().over(w)).where(F.col("rank_in_pair") <= n)
-                 .select("period_from", "period_to", "rank_in_pair", "v_ah_cliente", "state_from", "state_to"))
+    order = ["v_ah_cliente", state_rank(F.col("state_from")), state_rank(F.col("state_to"))]
+    w = Window.partitionBy("period_from", "period_to").orderBy(*order)
+    head = worse.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    expanded = head.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(n)).cast("int"))))
+    w2 = Window.partitionBy("period_from", "period_to").orderBy("_r", "_copy")
+    return (expanded.withColumn("rank_in_pair", F.row_number().over(w2)).where(F.col("rank_in_pair") <= n)
+                    .select("period_from", "period_to", "rank_in_pair", "v_ah_cliente", "state_from", "state_to"))
 
 
 def transition_lookup(current: DataFrame, matrix: DataFrame, state_col: str = "estado_riesgo") -> DataFrame:
@@ -398,7 +412,7 @@ def overdebt_metrics(od: DataFrame) -> DataFrame:
                   F.avg(s).alias("mean_score"), F.count_if(F.col("flujo_neto") < 0).alias("socios_flujo_negativo"),
                   *bands)
     n = F.col("total_socios")
-    return (base.crossJoin(F.broadcast(med)).withColumnRenamed("score_raw_q50", "median_score")
+    return (base.withColumn("median_score", X.one_row(med)["score_raw_q50"])
                 .withColumn("pct_sobreendeudados",
                             F.when(n > 0, X.rnd(F.col("socios_sobreendeudados") / n * 100, 2)).otherwise(0.0)))
 
@@ -457,7 +471,8 @@ def group_risk(last: DataFrame) -> DataFrame:
     else:
         bal_term = (_lit(1.0) - F.least(F.col("avg_saldo") / _lit(float(p75)), _lit(1.0))) * 30
     risk = F.col("rate") * 40 + F.least(F.col("avg_inact") / 90, _lit(1.0)) * 30 + bal_term
-    out = (agg.where(seg.isNotNull() & (F.col("n") >= GROUP_MIN_ROWS)).crossJoin(F.broadcast(total))
+    out = (agg.where(seg.isNotNull() & (F.col("n") >= GROUP_MIN_ROWS))
+              .withColumn("_tot", X.one_row(total)["_tot"])
               .select(dim.alias("dimension"), seg.alias("segment"), F.col("n").alias("n_socios"),
                       X.rnd(F.col("n") / F.col("_tot") * 100, 2).alias("concentracion_pct"),
                       X.rnd(F.col("rate") * 100, 2).alias("tasa_riesgo"),
@@ -502,7 +517,8 @@ def group_profile_lookup(req: DataFrame, groups: DataFrame) -> DataFrame:
     for dim, col, prefix in (("producto", "prod_bancario", "product"), ("oficina", "oficina_cta", "office"),
                              ("tipo_cuenta", "tipo_cuenta", "type")):
         g, cond = side(dim, col, prefix)
-        out = out.join(F.broadcast(g), cond, "left").drop(f"_{prefix}_seg")
+        # one row per kept segment; AQE broadcasts it when its runtime size is small
+        out = out.join(g, cond, "left").drop(f"_{prefix}_seg")
     fills = {c: 0.0 for c in out.columns if c.endswith("_risk_score") or c.endswith("_tasa_riesgo")}
     return out.fillna(fills)
 
@@ -562,7 +578,9 @@ def alignment_metrics(dates: DataFrame) -> DataFrame:
                      F.count_if(a < 0.5).alias("socios_desalineados"),
                      F.mode(F.col("fecha_sugerida_cobro"), True).alias("dia_cobro_mas_comun"))
     n = F.col("total_socios")
-    return (base.crossJoin(F.broadcast(qs))
+    q = X.one_row(qs)
+    return (base.withColumns({"alignment_score_q25": q["alignment_score_q25"], "alignment_score_q50": q["alignment_score_q50"],
+                              "alignment_score_q75": q["alignment_score_q75"]})
                 .withColumn("pct_desalineados",
                             F.when(n > 0, X.rnd(F.col("socios_desalineados") / n * 100, 2)).otherwise(0.0))
                 .withColumnsRenamed({"alignment_score_q25": "p25", "alignment_score_q50": "p50",

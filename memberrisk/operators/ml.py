@@ -60,7 +60,7 @@ def stratified_split(df: DataFrame, label: str = "riesgo_alto", test_size: float
     keyed = df.withColumn("_k", split_key())
     ranked = R.row_number(keyed, ["_k", "v_ah_cuenta", "periodo"], by=[label], out="_rk")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
-    out = ranked.join(F.broadcast(sizes), label)
+    out = ranked.join(F.broadcast(sizes), label)  # one row per class (2)
     n_test = X.rnd(F.col("_n") * test_size, 0)
     return out.withColumn("split", F.when(F.col("_rk") <= n_test, "test").otherwise("train")).drop("_k", "_rk", "_n")
 
@@ -123,7 +123,9 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5
     precision = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     recall = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
     f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
-    return conf.crossJoin(auc).select(
+    a = X.one_row(auc)
+    conf = conf.withColumns({k: a[k] for k in ("_sp", "_np", "_nn", "_nt")})
+    return conf.select(
         "n", "tp", "fp", "fn", "tn", ((tp + F.col("tn")) / F.col("n")).alias("accuracy"),
         precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), auc_v.alias("auc_roc"))
 
@@ -178,10 +180,10 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     the 1-row statistics broadcast."""
     stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
                    *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(stats))
-    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.coalesce(F.when(F.col(f"_s_{c}") != 0, F.col(f"_s_{c}")), F.lit(1.0))
+    st = X.one_row(stats)
+    scaled = {c: (F.col(c) - st[f"_m_{c}"]) / F.coalesce(F.when(st[f"_s_{c}"] != 0, st[f"_s_{c}"]), F.lit(1.0))
               for c in columns}
-    return out.withColumns(scaled).drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
+    return df.withColumns(scaled)
 
 
 def cluster_naming(scaled: DataFrame, cluster: str = "cluster_id") -> DataFrame:

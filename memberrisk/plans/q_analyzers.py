@@ -338,7 +338,7 @@ def q_risk_state(h):
 
 @reg("period_pairs", """SELECT period_from, period_to, count(*) AS n_joined_rows FROM trans GROUP BY ALL""")
 def q_period_pairs(h):
-    return transitions(h).groupBy("period_from", "period_to").agg(F.count(F.lit(1)).alias("n_joined_rows"))
+    return transitions(h).groupBy("period_from", "period_to").agg(F.sum("n").alias("n_joined_rows"))
 
 
 @reg("transition_matrix", "SELECT * FROM matrix")

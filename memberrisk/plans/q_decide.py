@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memberrisk.functions import exprs as X
 from memberrisk.operators import analyzers as A
 from memberrisk.operators import decide as D
 from memberrisk.operators import ml as M
@@ -41,7 +42,7 @@ def decision_parts(h, credit=None, segments=None, req=None) -> dict:
     if segments is None:  # deterministic clusters: product codes named by M17
         names = M.cluster_naming(QM.scaled_last(h).withColumnRenamed("prod_bancario", "cluster_id"))
         segments = req.select("v_ah_cliente", "prod_bancario").join(
-            F.broadcast(names.select(F.col("cluster_id").alias("prod_bancario"), "cluster_name")),
+            names.select(F.col("cluster_id").alias("prod_bancario"), "cluster_name"),
             "prod_bancario", "left").drop("prod_bancario")
     segments = segments.withColumn("strategy", F.when(F.col("cluster_name").isNull(), F.lit(""))
                                    .otherwise(M.strategy(F.col("cluster_name"))))
@@ -303,7 +304,8 @@ def q_kpi_row(h):
             .select(F.to_json(F.struct("whatsapp", "llamada", "legal")).alias("distribucion_canal")))
     out = core
     for part in (buckets, alerts, minors, over, grade, chan):
-        out = out.crossJoin(part)
+        row = X.one_row(part)
+        out = out.withColumns({c: row[c] for c in part.columns})
     return out.withColumn("clusters_count", F.lit(model.summary.k if model else 0)) \
               .withColumn("id", F.lit("latest")).withColumn("pipeline_status", F.lit("ready"))
 
@@ -369,7 +371,7 @@ def q_quality_counts(h):
                          (F.sum("riesgo_alto") * 100.0 / F.count(F.lit(1))).alias("pct_riesgo_alto"))
     e = h.enriched().agg(F.count_if(F.col("fuente_alerta") != "sin_alerta").alias("n_rows_with_alert"),
                          F.count(F.lit(1)).alias("n_enriched_rows"))
-    return f.crossJoin(e)
+    return f.withColumns({k: X.one_row(e)[k] for k in ("n_rows_with_alert", "n_enriched_rows")})
 
 
 REGISTRY["member_fan_in"].sql = "SELECT * FROM d_all"

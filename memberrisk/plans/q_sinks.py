@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from memberrisk.functions import exprs as X
 from memberrisk.operators import analyzers as A
 from memberrisk.plans import q_analyzers as QA
 from memberrisk.plans import q_decide as QD
@@ -46,7 +47,8 @@ def q_upsert_latest(h):
 def q_sink_kpis(h):
     last = h.last_period()
     from memberrisk.operators import decide as D
-    k = D.kpi_core(last).crossJoin(D.idle_buckets(last).select(F.struct("*").alias("distribucion_riesgo")))
+    buckets = D.idle_buckets(last).select(F.struct("*").alias("distribucion_riesgo"))
+    k = D.kpi_core(last).withColumn("distribucion_riesgo", X.one_row(buckets)["distribucion_riesgo"])
     return SK.kpi_record(k).drop("updated_at")
 
 
