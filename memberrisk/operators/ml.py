@@ -13,7 +13,7 @@ independent of partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberrisk.functions import exprs as X
@@ -283,3 +283,100 @@ def kmeans_search(features: DataFrame, columns: list[str], k_range=K_RANGE, rest
     data.unpersist()
     summary = features.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
     return (best[0] if best else None), summary
+
+
+# --- M2: SMOTE with an exact, pruned neighbour search -----------------------------------
+
+SMOTE_K = 5
+SMOTE_BAND_BUCKETS = 32
+
+
+def _sq_dist(a: str, b: str, columns: list[str]) -> Column:
+    out = None
+    for c in columns:
+        term = (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}"))
+        out = term if out is None else out + term
+    return out
+
+
+def minority_knn(points: DataFrame, columns: list[str], k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Exact k nearest neighbours (squared Euclidean, ties by id) of the query
+    ids among ``points`` (columns ``_id`` + features), without enumerating all
+    pairs:
+
+    1. r(x) = distance to a pivot (the point with the smallest id).
+    2. Each query's k-th distance among its 2k rank-neighbours in r order is
+       an upper bound ub(x) of its true k-th neighbour distance.
+    3. By the triangle inequality every true neighbour y has
+       |r(x) - r(y)| <= ub(x): a band join, evaluated as an equi-join on
+       r-buckets of a data-derived width.
+    4. Exact distances of the band candidates, ``row_number <= k`` per query
+       (planned with a partial WindowGroupLimit)."""
+    prow = points.orderBy("_id").limit(1).select(*columns).first()  # the pivot: one row
+    r = None
+    for c in columns:
+        t = (F.col(c) - F.lit(float(prow[c]))) * (F.col(c) - F.lit(float(prow[c])))
+        r = t if r is None else r + t
+    pts = points.withColumn("_r", F.sqrt(r))
+    ranked = R.row_number(pts, ["_r", "_id"], out="_ri")
+    q = ranked if queries is None else ranked.join(queries.select("_id"), "_id", "left_semi")
+    offsets = F.array(*[F.lit(j) for j in range(-k, k + 1) if j != 0])
+    near = q.select("_id", "_ri", F.explode(offsets).alias("_o")).select(
+        F.col("_id").alias("_qid"), (F.col("_ri") + F.col("_o")).alias("_ri"))
+    cand = near.join(ranked.select("_ri", F.col("_id").alias("_cid")), "_ri")
+    qa = q.select(F.col("_id").alias("_qid"), F.struct(*columns, "_r").alias("qa"))
+    ca = ranked.select(F.col("_id").alias("_cid"), F.struct(*columns, "_r").alias("ca"))
+    d0 = cand.join(qa, "_qid").join(ca, "_cid").withColumn("_d2", _sq_dist("qa", "ca", columns))
+    w0 = Window.partitionBy("_qid").orderBy("_d2", "_cid")
+    ub = (d0.withColumn("_k", F.row_number().over(w0)).where(F.col("_k") == k)
+            .select("_qid", (F.sqrt("_d2") * F.lit(1 + 1e-9) + F.lit(1e-9)).alias("_ub")))
+    # bucket width = max(ub) / SMOTE_BAND_BUCKETS: each query emits at most
+    # 2 * SMOTE_BAND_BUCKETS + 1 buckets whatever the spread of the bounds
+    width = X.one_row(ub.agg(F.greatest(F.max("_ub") / SMOTE_BAND_BUCKETS, F.lit(1e-9)).alias("w")))["w"]
+    qb = (q.select(F.col("_id").alias("_qid"), "_r", F.struct(*columns, "_r").alias("qa")).join(ub, "_qid")
+            .withColumn("_b", F.explode(F.sequence(F.floor((F.col("_r") - F.col("_ub")) / width),
+                                                   F.floor((F.col("_r") + F.col("_ub")) / width))))
+            .drop("_r"))
+    pb = pts.select(F.col("_id").alias("_cid"), F.floor(F.col("_r") / width).alias("_b"),
+                    F.struct(*columns, "_r").alias("ca"))
+    band = (qb.join(pb, "_b")
+              .where((F.col("_cid") != F.col("_qid")) & (F.abs(F.col("qa._r") - F.col("ca._r")) <= F.col("_ub")))
+              .withColumn("_d2", _sq_dist("qa", "ca", columns)))
+    w = Window.partitionBy("_qid").orderBy("_d2", "_cid")
+    return (band.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+                .select(F.col("_qid").alias("_id"), "nn_rank", F.col("_cid").alias("nn_id"), "_d2"))
+
+
+def smote(train: DataFrame, columns: list[str], label: str = "riesgo_alto", k: int = SMOTE_K) -> DataFrame:
+    """M2: synthetic minority rows until both classes are equal. Synthetic i
+    takes base row floor(draw('base', i) * m) of the minority class (in
+    account, period order), its neighbour of rank 1 + floor(draw('nn', i) * k)
+    and gap u = draw('u', i): x + u * (nn - x) on every feature. k is reduced
+    to m - 1 when the minority class is small; fewer than 2 minority rows
+    fall back to random over-sampling (M3). Returns the synthetic rows only
+    (synthetic index, base and neighbour ids, feature columns, label)."""
+    spark = train.sparkSession
+    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    empty = "synthetic_id long, base_id long, nn_id long, " + ", ".join(f"`{c}` double" for c in columns)
+    if len(counts) < 2:
+        return spark.createDataFrame([], empty + f", `{label}` int")
+    minority = min(counts, key=lambda c: (counts[c], -c))
+    majority = max(counts, key=lambda c: (counts[c], -c))
+    m, need = counts[minority], counts[majority] - counts[minority]
+    if need <= 0 or m < 2:
+        return spark.createDataFrame([], empty + f", `{label}` int")
+    k = min(k, m - 1)
+    mins = R.row_number(train.where(F.col(label) == minority), ["v_ah_cuenta", "periodo"], out="_rn")
+    pts = mins.select((F.col("_rn") - 1).alias("_id"), *[F.col(c).cast("double").alias(c) for c in columns])
+    i = F.col("id")
+    picks = spark.range(need).select(
+        i.alias("_syn"), F.floor(draw("base", i) * m).cast("long").alias("_id"),
+        (F.floor(draw("nn", i) * k) + 1).cast("int").alias("nn_rank"), draw("u", i).alias("_u"))
+    nn = minority_knn(pts, columns, k, queries=picks.select("_id").distinct())
+    base = pts.select("_id", *[F.col(c).alias(f"_x_{c}") for c in columns])
+    other = pts.select(F.col("_id").alias("nn_id"), *[F.col(c).alias(f"_n_{c}") for c in columns])
+    j = picks.join(nn.select("_id", "nn_rank", "nn_id"), ["_id", "nn_rank"]).join(base, "_id").join(other, "nn_id")
+    return j.select(F.col("_syn").alias("synthetic_id"), F.col("_id").alias("base_id"), "nn_id",
+                    *[(F.col(f"_x_{c}") + F.col("_u") * (F.col(f"_n_{c}") - F.col(f"_x_{c}"))).alias(c)
+                      for c in columns],
+                    F.lit(minority).cast(train.schema[label].dataType).alias(label))

@@ -27,13 +27,20 @@ def model_columns(h):
     return FE.feature_columns(h.featured())
 
 
-def credit_models(h):
+def smote_train(h):
+    """Training split + SMOTE synthetic minority rows on every model column
+    (the balanced training set of the source system)."""
     def build():
-        b = balanced(h)
         cols = model_columns(h)
-        train = FE.scrub_features(b.where(F.col("split") == "train"), cols)
-        return M.fit_credit_model(train, cols)
-    return h.memo("credit_models", build)
+        train = FE.scrub_features(split(h).where(F.col("split") == "train"), cols)
+        syn = M.smote(train, cols)
+        return (train.select(*cols, "riesgo_alto").withColumn("is_synthetic", F.lit(False))
+                .unionByName(syn.select(*cols, "riesgo_alto").withColumn("is_synthetic", F.lit(True))))
+    return h.memo("smote_train", build)
+
+
+def credit_models(h):
+    return h.memo("credit_models", lambda: M.fit_credit_model(smote_train(h), model_columns(h)))
 
 
 def credit_scores(h):
@@ -274,3 +281,53 @@ def q_cluster_distribution(h):
 def q_channel_distribution(h):
     return (clusters(h).withColumn("channel", M.channel(F.col("cluster_name")))
             .groupBy("channel").agg(F.count(F.lit(1)).alias("n_socios")))
+
+
+SMOTE_FIXTURE_COLUMNS = ["saldo_disponible", "dias_sin_movimiento"]
+_DRAW = "CAST(('0x' || substr(md5('42|{tag}|' || CAST({i} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
+
+SMOTE_CTES = {
+    "sm_tr": """SELECT s.v_ah_cuenta, s.periodo, s.riesgo_alto, f.saldo_disponible, f.dias_sin_movimiento
+                FROM split s JOIN featured f USING (v_ah_cliente, v_ah_cuenta, periodo) WHERE s.split = 'train'""",
+    "sm_cls": "SELECT riesgo_alto, count(*) AS n FROM sm_tr GROUP BY riesgo_alto",
+    "sm_min": "SELECT riesgo_alto AS c, n FROM sm_cls ORDER BY n, riesgo_alto DESC LIMIT 1",
+    "sm_maj": "SELECT riesgo_alto AS c, n FROM sm_cls ORDER BY n DESC, riesgo_alto LIMIT 1",
+    "sm_pts": """SELECT row_number() OVER (ORDER BY v_ah_cuenta, periodo) - 1 AS id,
+                CAST(saldo_disponible AS DOUBLE) AS x0, CAST(dias_sin_movimiento AS DOUBLE) AS x1
+                FROM sm_tr WHERE riesgo_alto = (SELECT c FROM sm_min)""",
+    "sm_nn": """SELECT a.id, b.id AS nn_id, row_number() OVER (PARTITION BY a.id
+                  ORDER BY (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1), b.id) AS nn_rank
+                FROM sm_pts a JOIN sm_pts b ON a.id <> b.id""",
+    "sm_picks": f"""SELECT i AS synthetic_id,
+                CAST(floor({_DRAW.format(tag='base', i='i')} * (SELECT n FROM sm_min)) AS BIGINT) AS id,
+                CAST(floor({_DRAW.format(tag='nn', i='i')} * least(5, (SELECT n FROM sm_min) - 1)) + 1 AS BIGINT) AS nn_rank,
+                {_DRAW.format(tag='u', i='i')} AS u
+                FROM (SELECT unnest(range(CAST(greatest((SELECT sm_maj.n - sm_min.n FROM sm_maj, sm_min), 0) AS BIGINT)))
+                      AS i) WHERE (SELECT count(*) FROM sm_cls) > 1 AND (SELECT n FROM sm_min) >= 2""",
+}
+
+
+@register("smote", """SELECT p.synthetic_id, p.id AS base_id, n.nn_id,
+    x.x0 + p.u * (y.x0 - x.x0) AS saldo_disponible, x.x1 + p.u * (y.x1 - x.x1) AS dias_sin_movimiento,
+    (SELECT c FROM sm_min) AS riesgo_alto
+    FROM sm_picks p JOIN sm_nn n ON n.id = p.id AND n.nn_rank = p.nn_rank
+    JOIN sm_pts x ON x.id = p.id JOIN sm_pts y ON y.id = n.nn_id""", {**CTES, **SMOTE_CTES})
+def q_smote(h):
+    """M2 on a two-feature fixture (balance, idle days) of the training split:
+    exact against a brute-force neighbour search."""
+    train = split(h).where(F.col("split") == "train").select(*KEYS, "riesgo_alto", *SMOTE_FIXTURE_COLUMNS)
+    return M.smote(train, SMOTE_FIXTURE_COLUMNS)
+
+
+@register("smote_full", kind="R")
+def q_smote_full(h):
+    """M2 on every model feature column of the training split (rows-only)."""
+    cols = model_columns(h)
+    train = FE.scrub_features(split(h).where(F.col("split") == "train"), cols)
+    return M.smote(train, cols)
+
+
+@register("balanced_dataset_smote", kind="R")
+def q_balanced_dataset_smote(h):
+    """M4 with SMOTE: class counts of the training set the credit model uses."""
+    return smote_train(h).groupBy("riesgo_alto", "is_synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
