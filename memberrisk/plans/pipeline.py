@@ -84,11 +84,12 @@ class Hub:
         return self._get("featured", build)
 
     def last_period(self) -> DataFrame:
-        """Rows of the latest period (max over the data, broadcast 1-row)."""
+        """Rows of the latest period. The max period is a scalar subquery,
+        so the filter is a plain predicate on ``periodo``."""
         def build():
             f = self.featured()
-            latest = f.agg(F.max("periodo").alias("_last"))
-            return f.join(F.broadcast(latest), F.col("periodo") == F.col("_last"), "inner").drop("_last")
+            latest = X.one_row(f.agg(F.max("periodo").alias("_last")))["_last"]
+            return f.where(F.col("periodo") == latest)
         return self._get("last_period", build)
 
     def requests(self) -> DataFrame:

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memberrisk.operators import analyzers as A
+from memberrisk.plans.pipeline import materialize
 from memberrisk.plans.registry import register
 
 # --- shared analyzer stages (memoised per hub) ----------------------------------
 
 
+def _table(h, name, build):
+    """Analyzer output written once as a table (first use), then re-read by
+    every query that needs it."""
+    return h.memo(name, lambda: materialize(build(), name))
+
+
 def validation(h):
-    return h.memo("age_validation", lambda: A.age_validation(h.last_period()))
+    return _table(h, "age_validation", lambda: A.age_validation(h.last_period()))
 
 
 def adults(h):
-    return h.memo("adults", lambda: A.exclude_minors(h.featured(), A.minor_ids(validation(h))))
+    return _table(h, "adults", lambda: A.exclude_minors(h.featured(), A.minor_ids(validation(h))))
 
 
 def ew_stats(h):
@@ -23,35 +30,35 @@ def ew_stats(h):
 
 
 def early_warning(h):
-    return h.memo("early_warning", lambda: A.early_warning(adults(h), ew_stats(h)))
+    return _table(h, "early_warning", lambda: A.early_warning(adults(h), ew_stats(h)))
 
 
 def states(h):
-    return h.memo("states", lambda: A.risk_states(adults(h), ew_stats(h)["dias_sin_movimiento_q99"]))
+    return _table(h, "states", lambda: A.risk_states(adults(h), ew_stats(h)["dias_sin_movimiento_q99"]))
 
 
 def transitions(h):
-    return h.memo("transitions", lambda: A.transitions(states(h)))
+    return _table(h, "transitions", lambda: A.transitions(states(h)))
 
 
 def matrix(h):
-    return h.memo("matrix", lambda: A.transition_matrix(transitions(h)))
+    return _table(h, "matrix", lambda: A.transition_matrix(transitions(h)))
 
 
 def overdebt(h):
-    return h.memo("overdebt", lambda: A.over_indebtedness(h.last_period()))
+    return _table(h, "overdebt", lambda: A.over_indebtedness(h.last_period()))
 
 
 def groups(h):
-    return h.memo("groups", lambda: A.group_risk(h.last_period()))
+    return _table(h, "groups", lambda: A.group_risk(h.last_period()))
 
 
 def dates(h):
-    return h.memo("dates", lambda: A.collection_dates(h.featured()))
+    return _table(h, "dates", lambda: A.collection_dates(h.featured()))
 
 
 def family(h):
-    return h.memo("family", lambda: A.family_impact(h.last_period()))
+    return _table(h, "family", lambda: A.family_impact(h.last_period()))
 
 
 # --- oracle CTEs -------------------------------------------------------------------
