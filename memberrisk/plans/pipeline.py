@@ -80,7 +80,8 @@ class Hub:
 
     def featured(self) -> DataFrame:
         def build():
-            return materialize(FE.feature_pipeline(self.cleaned()), "featured")
+            # partitioned by period: latest-period reads prune to one folder
+            return materialize(FE.feature_pipeline(self.cleaned()), "featured", ("periodo",))
         return self._get("featured", build)
 
     def last_period(self) -> DataFrame:
@@ -121,12 +122,12 @@ class Hub:
         return self._get(name, build)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write the stage as a table in the shared checkpoint folder and read it
     back: a plan leaf (small plans downstream, real size statistics, no
     lineage replay after an executor loss)."""
     with ranking.scope():
-        return sess.write_table(df, name)
+        return sess.write_table(df, name, partition_by)
 
 
 def hub(spark: SparkSession, root: str) -> Hub:

@@ -66,7 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def write_table(df: DataFrame, name: str = "stage") -> DataFrame:
+def write_table(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and
     return the table: one job, a plan leaf with real size statistics (AQE
     and broadcast decisions see the true size), and a lost executor never
@@ -74,5 +74,8 @@ def write_table(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
     return spark.read.parquet(path)
