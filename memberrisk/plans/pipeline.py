@@ -134,5 +134,6 @@ def hub(spark: SparkSession, root: str) -> Hub:
     key = (id(spark), root.rstrip("/"))
     with _LOCK:
         if key not in _HUBS:
+            sess.configure(spark)  # UTC day arithmetic, checkpoint folder
             _HUBS[key] = Hub(spark, root)
         return _HUBS[key]

@@ -17,3 +17,9 @@ def test_lineitem_filter_pushed(spark):
     from memberrisk.sources import fixtures as FX
     plan = FX.movements(FX.Tables(spark, SMOKE))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate" in plan
+
+
+def test_latest_period_prunes_partitions(spark):
+    from memberrisk.plans.pipeline import hub
+    plan = hub(spark, SMOKE).last_period().select("v_ah_cliente")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(periodo" in plan and "ReadSchema: struct<v_ah_cliente:bigint>" in plan
