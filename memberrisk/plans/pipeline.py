@@ -94,20 +94,19 @@ class Hub:
         return self._get("last_period", build)
 
     def requests(self) -> DataFrame:
-        """Scoring requests: one row per latest-period member with k % 10 == 0
-        (the member's smallest account) plus five unknown members (ids -1..-5)
-        derived from customers 1..5 that carry only age, income, egress and
-        idle days."""
+        """Scoring requests over whole tables: one row per latest-period member
+        (the member's smallest account), plus every customer once more as an
+        unknown member (id -(k + 1), no history) carrying only age, income,
+        egress and idle days."""
         def build():
             from memberrisk import schemas as S
             from memberrisk.operators import analyzers as A
             cols = [f.name for f in S.REQUEST_SCHEMA.fields if f.name != "v_ah_cliente"]
-            last = self.last_period().where(F.col("v_ah_cliente") % 10 == 0)
-            known = A.latest_per_client(last, cols)
-            c = self.tables.customer.where(F.col("c_custkey").between(1, 5))
+            known = A.latest_per_client(self.last_period(), cols)
+            c = self.tables.customer
             k = F.col("c_custkey")
             unknown = c.select(
-                (-k).alias("v_ah_cliente"),
+                (-(k + 1)).alias("v_ah_cliente"),
                 (F.lit(15) + (k * 13) % 60).cast("double").alias("edad"),
                 X.rnd(F.abs(F.col("c_acctbal")) * 0.1, 2).alias("ingresos"),
                 X.rnd(F.abs(F.col("c_acctbal")) * 0.05, 2).alias("egresos"),
