@@ -319,6 +319,11 @@ def q_run_summary(h):
         ("age_validation", A.age_metrics(QA.validation(h))),
         ("date_optimization", A.alignment_metrics(QA.dates(h))),
         ("family_impact", A.family_metrics(QA.family(h))),
+        ("roll_rate", A.deterioration(QA.transitions(h)).agg(
+            F.count(F.lit(1)).alias("n_transiciones"), F.sum("n_deteriorated").alias("n_socios_deteriorados"))),
+        ("product_risk", A.group_counts(QA.groups(h)).groupBy().pivot("dimension", ["producto", "oficina", "tipo_cuenta"])
+            .agg(F.first("n_groups")).withColumnsRenamed({"producto": "n_productos", "oficina": "n_oficinas",
+                                                          "tipo_cuenta": "n_tipos_cuenta"})),
     ]
     out = None
     for name, df in parts:
