@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,10 +50,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+    """Write ``df`` to the shared folder and read it back.
+
+    The driver's garbage is collected after the job, so that Spark's cleaner
+    drops the shuffle files of jobs that nothing refers to any more.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,9 +76,50 @@ def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+class IdFilter:
+    """A map of 2**24 bits (2 MB, whatever the input's size) that holds all ids of a
+    table and few others. It spares most rows a shuffle; an exact join follows.
+    On an input whose ids fill it, it spares less and nothing else changes."""
+
+    BITS = 24
+
+    def __init__(self, spark: SparkSession, bitmap: np.ndarray) -> None:
+        self.shared = spark.sparkContext.broadcast(bitmap)
+
+    @classmethod
+    def _bit(cls, column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << cls.BITS)).cast("int")
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> IdFilter:
+        words = (df.select(cls._bit(column).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, bit & 31)")).alias("bits")).toPandas())  # at most 2**19 rows
+        bitmap = np.zeros(1 << (cls.BITS - 5), dtype=np.uint32)
+        bitmap[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+        return cls(df.sparkSession, bitmap)
+
+    def _take(self, df: DataFrame, column: str, held: bool) -> DataFrame:
+        shared, n = self.shared, len(df.columns)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bit = batch.column(n).to_numpy()
+            held_ = (shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+            return batch.select(list(range(n))).filter(pa.array(held_ == held))
+
+        return map_batches(df.withColumn("__bit", self._bit(column)), run, df.schema)
+
+    def keep(self, df: DataFrame, column: str) -> DataFrame:
+        return self._take(df, column, True)
+
+    def drop(self, df: DataFrame, column: str) -> DataFrame:
+        return self._take(df, column, False)
+
+
 # -------------------------------------------------------------------- words
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII other than letters and digits separates terms.
+_NOT_TERM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,9 +181,10 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
-def words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def words(column: pa.Array, lower: bool = False, terms: bool = False) -> Iterator[Words]:
+    """Words of each text; with ``terms``, ASCII punctuation separates them too."""
     for row, edge, data in slices(column):
-        space = _IS_SPACE[data]
+        space = (_NOT_TERM if terms else _IS_SPACE)[data]
         before = np.empty(len(data), dtype=bool)
         after = np.empty(len(data), dtype=bool)
         if len(data):
