@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memberrisk.llm import ngram_join
+from memberrisk.llm import ngram_join, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": ngram_join.ORACLE,
+        "op8_substring_dedup": substring_dedup.ORACLE,
     }
