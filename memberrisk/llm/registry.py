@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memberrisk.llm import ngram_join, substring_dedup, toxicity
+from memberrisk.llm import (
+    decontaminate, embedding_dedup, ngram_join, packing, pii, substring_dedup, token_count, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +16,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+        "op5_token_counts": token_count.op5_token_counts,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
@@ -22,5 +29,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": ngram_join.ORACLE,
+        "op3_embedding_dedup": embedding_dedup.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
     }
