@@ -63,6 +63,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete the table of a ``stage`` whose consumers have all run."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` of a function of one batch."""
 
@@ -76,6 +84,11 @@ def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def row_key():
+    """Hash of a row's id and text: tells apart rows with null or repeated ids."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 class IdFilter:
     """A map of 2**24 bits (2 MB, whatever the input's size) that holds all ids of a
     table and few others. It spares most rows a shuffle; an exact join follows.
@@ -98,21 +111,26 @@ class IdFilter:
         bitmap[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
         return cls(df.sparkSession, bitmap)
 
-    def _take(self, df: DataFrame, column: str, held: bool) -> DataFrame:
+    def run(self, df: DataFrame, column: str, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+            schema, held: bool) -> DataFrame:
+        """``mapInArrow`` of ``func`` over the rows whose id the map holds, or over the others."""
         shared, n = self.shared, len(df.columns)
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bit = batch.column(n).to_numpy()
-            held_ = (shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
-            return batch.select(list(range(n))).filter(pa.array(held_ == held))
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = batch.column(n).to_numpy()
+                has = (shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+                rows = batch.select(list(range(n))).filter(pa.array(has == held))
+                if rows.num_rows:
+                    yield rows
 
-        return map_batches(df.withColumn("__bit", self._bit(column)), run, df.schema)
+        return df.withColumn("__bit", self._bit(column)).mapInArrow(lambda batches: func(chosen(batches)), schema)
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
-        return self._take(df, column, True)
+        return self.run(df, column, lambda rows: rows, df.schema, True)
 
     def drop(self, df: DataFrame, column: str) -> DataFrame:
-        return self._take(df, column, False)
+        return self.run(df, column, lambda rows: rows, df.schema, False)
 
 
 # -------------------------------------------------------------------- words
@@ -231,6 +249,19 @@ def span_hash(total: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return mix((total[start + length] - total[start]) * down[start] + GOLDEN * np.uint64(length))
 
 
+def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` neighbours, in linear time."""
+    n = len(g) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    full = np.full(-(-len(g) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    full[:len(g)] = g
+    blocks = full.reshape(-1, width)
+    up = np.minimum.accumulate(blocks, axis=1).ravel()
+    down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(down[:n], up[width - 1:width - 1 + n])
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
