@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memberrisk.llm import (
-    decontaminate, embedding_dedup, ngram_join, packing, pii, substring_dedup, token_count, toxicity,
+    decontaminate, embedding_dedup, ngram_join, packing, pii, substring_dedup, suffix_dedup, token_count,
+    token_files, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +19,10 @@ def queries() -> dict[str, Query]:
         "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+        "op4_token_files": token_files.op4_token_files,
         "op5_token_counts": token_count.op5_token_counts,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
