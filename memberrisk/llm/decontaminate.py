@@ -131,7 +131,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
             name: str = "decontaminate") -> DataFrame:
     """``row_key, doc_id, item_id, n_windows, share, consistent`` of each contaminated document and item.
 
-    ``row_key`` is ``row_key(doc_id, text)``, which tells apart rows with null or repeated ids.
+    ``row_key`` (``common.row_key``) tells apart rows with null or repeated ids.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.xxhash64(F.col("item_id").cast("long"), "text").alias("key"),
@@ -143,7 +143,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     held[bits["bit"].to_numpy(dtype=np.int64)] = True
     # Lengths of the items that are one window: at most window - LEAST more.
     short = _lengths(items, window)
-    found = _rows(docs.select(row_key().alias("key"), "text"), [window, *short], False, spark.sparkContext.broadcast(held))
+    found = _rows(docs.select(C.row_key().alias("key"), "text"), [window, *short], False, spark.sparkContext.broadcast(held))
     found = C.stage(found, f"{name}-found")
     other = item_rows.select(F.col("key").alias("item"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     total = item_rows.groupBy(F.col("key").alias("item")).agg(F.countDistinct("pos").alias("total"))
@@ -158,7 +158,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
             .withColumn("share", F.col("n_windows") / F.col("total")).where(F.col("share") >= coverage))
     pair = C.stage(pair.select("key", "item", "n_windows", "share", "consistent"), f"{name}-pairs")
     keys = pair.select("key").distinct()
-    ids = C.IdFilter.of(keys, "key").keep(docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key")
+    ids = C.IdFilter.of(keys, "key").keep(docs.select(C.row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key")
     return (pair.join(ids, "key").join(named.withColumnRenamed("key", "item"), "item")
             .select(F.col("key").alias("row_key"), "doc_id", "item_id", "n_windows", "share", "consistent"))
 
@@ -173,15 +173,11 @@ def _lengths(items: DataFrame, window: int) -> list[int]:
     return sorted(r["n"] for r in C.map_batches(items.select("text"), run, "n int").distinct().collect())
 
 
-def row_key():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, name: str = "decontaminate") -> DataFrame:
     """``docs`` (all columns) without the documents that hold an item."""
     keys = matches(docs, benchmark, name=name).select(F.col("row_key").alias("__key")).distinct()
     keys = C.stage(keys, f"{name}-keys")
-    marked = docs.withColumn("__key", row_key())
+    marked = docs.withColumn("__key", C.row_key())
     held = C.IdFilter.of(keys, "__key")
     return held.drop(marked, "__key").unionByName(held.keep(marked, "__key").join(keys, "__key", "left_anti")).select(docs.columns)
 

@@ -12,7 +12,7 @@ Plan
     shingle that a good share of the texts hold comes last. Any total order
     gives whole results; the sketch's fixed size bounds what is broadcast.
  2. *Prefixes.* Each text gives ``n - ceil(t n) + 1`` first shingles of that
-    order and a 16-part histogram of its set. Equal sets (by 64-bit
+    order and a histogram of its set, about 4 to 8 shingles a part. Equal sets (by 64-bit
     fingerprint) become one class before anything is joined.
  3. *Hub round.* Each prefix shingle held by two or more classes links its
     members to its smallest member (a linear number of pairs). Length and
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from memberrisk.llm import common as C
 
 CELL_BITS = 22
-PARTS = 16
+PART_BITS = 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,6 +63,21 @@ def fingerprint(s: np.ndarray) -> int:
     return int(C.signed(C.mix(C.mix(s).sum(keepdims=True, dtype=np.uint64) + np.array([len(s)], np.uint64) * C.GOLDEN))[0])
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Counts (uint8) of a set's shingles in 2**b equal parts of the hashes, about 4 to 8 a part."""
+    b = min(PART_BITS, max(4, len(s).bit_length() - 3))
+    part = ((s >> np.uint64(20)) & np.uint64((1 << PART_BITS) - 1)) >> np.uint64(PART_BITS - b)
+    return np.minimum(np.bincount(part.astype(np.int64), minlength=1 << b), 255).astype(np.uint8)
+
+
+def common_at_most(p: np.ndarray, q: np.ndarray) -> int:
+    """Bound of the intersection from two histograms (the suffix filter); the finer one is folded."""
+    if len(p) < len(q):
+        p, q = q, p
+    p = p.reshape(len(q), -1).sum(axis=1, dtype=np.int64)
+    return int(np.minimum(p, q).sum(dtype=np.int64))
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
@@ -90,28 +105,28 @@ def count_classes(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray, name: str) -> DataFrame:
-    """Per row: doc_id, n, fp (fingerprint of the set), prefix (ordered shingles), parts (histogram)."""
+    """Per row: row_key, doc_id, n, fp (fingerprint of the set), prefix (ordered shingles), parts (histogram)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         size, fp = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        parts = np.zeros((n, PARTS), np.int32)
+        parts: list[bytes | None] = [None] * n
         found: list[np.ndarray] = [np.zeros(0, np.uint64)] * n
         rank = shared.value
         for row, s in shingle_sets(batch.column(1), k):
             m = size[row] = len(s)
             fp[row] = fingerprint(s)
-            parts[row] = np.bincount(((s >> np.uint64(20)) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+            parts[row] = histogram(s).tobytes()
             found[row] = s[np.argsort(rank[_cell(s)], kind="stable")[:m - -(-percent * m // 100) + 1]]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
         return C.batch_of({
-            "doc_id": batch.column(0), "n": pa.array(size), "fp": pa.array(fp),
+            "row_key": batch.column(2), "doc_id": batch.column(0), "n": pa.array(size), "fp": pa.array(fp),
             "prefix": C.lists(C.signed(np.concatenate(found)), ends, pa.int64()),
-            "parts": C.lists(parts.ravel(), np.arange(n + 1) * PARTS, pa.int32())})
+            "parts": pa.array(parts, pa.binary())})
 
-    return C.stage(C.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                                 "doc_id long, n long, fp long, prefix array<long>, parts array<int>"), f"{name}-prefix")
+    return C.stage(C.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", C.row_key().alias("row_key")), run,
+                                 "row_key long, doc_id long, n long, fp long, prefix array<long>, parts binary"), f"{name}-prefix")
 
 
 def _passes(percent: int) -> str:
@@ -122,38 +137,35 @@ def _passes(percent: int) -> str:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """The distinct pairs (a, b) of class fingerprints with ``link``: whether they pass."""
-    spark = docs.sparkSession
+    """The distinct pairs (a, b) of class fingerprints with ``link``: whether they pass.
+
+    Pairs that the suffix filter takes out are not among them.
+    """
     side = classes.select("fp", "n", "parts", "low")
     for c, at in (("a", ""), ("b", "2")):
         pairs = pairs.join(side.toDF(c, f"n{at}", f"parts{at}", f"low{at}"), c)
-    need = f"{percent} * (n + n2) / {100 + percent}.0 - 1e-9"
-    likely = C.stage(pairs.where(  # suffix filter: what the parts have in common bounds the intersection
-        f"aggregate(zip_with(parts, parts2, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) >= {need}")
-        .select("a", "b", "low", "low2"), f"{name}-likely")
-    ends = likely.select(F.col("a").alias("fp"), "low").unionByName(
-        likely.select(F.col("b").alias("fp"), F.col("low2").alias("low"))).distinct()
-    # A fixed 2**22-bit map of the ids spares most texts; the exact join follows.
-    bits = (ends.select(F.pmod(F.xxhash64("low"), F.lit(1 << 22)).alias("bit"))
-            .groupBy(F.shiftright("bit", 5).cast("int").alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS int))")).alias("bits")).toPandas())
-    bitmap = np.zeros(1 << 17, dtype=np.int64)
-    bitmap[bits["word"].to_numpy(dtype=np.int64)] = bits["bits"].to_numpy(dtype=np.int64)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        bit = batch.column(1).to_numpy(zero_copy_only=False)
-        rows = batch.filter(pa.array((shared.value[bit >> 5] >> (bit & 31)) & 1 == 1))
-        fp, blob = [], []
-        for _, s in shingle_sets(rows.column(0), k):
-            fp.append(fingerprint(s))
-            blob.append(s.tobytes())
-        return C.batch_of({"fp": pa.array(fp, pa.int64()), "items": pa.array(blob, pa.binary())})
-
-    whole = C.map_batches(docs.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 22)).alias("bit")),
-                          sets, "fp long, items binary")
-    whole = C.stage(whole.join(ends.select("fp").distinct(), "fp", "left_semi")
-                    .groupBy("fp").agg(F.first("items").alias("items")), f"{name}-sets")
+
+    def suffix_filter(batch: pa.RecordBatch) -> pa.RecordBatch:
+        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        keep = [(100 + percent) * common_at_most(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                >= percent * int(t) for x, y, t in zip(batch.column(6), batch.column(7), total)]
+        return batch.select([0, 1, 4, 5]).filter(pa.array(keep, pa.bool_()))
+
+    likely = C.stage(C.map_batches(pairs.select("a", "b", "n", "n2", "low", "low2", "parts", "parts2"), suffix_filter,
+                                   "a long, b long, low long, low2 long"), f"{name}-likely")
+    ends = likely.select("a", "b", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("a").alias("fp"), F.col("low").alias("id")),
+        F.struct(F.lit(1).alias("side"), F.col("b").alias("fp"), F.col("low2").alias("id")))).alias("e")).select("a", "b", "e.*")
+    if likely.limit(1).count() == 0:
+        return likely.select("a", "b", F.lit(True).alias("link"))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [s for _, s in shingle_sets(batch.column(0), k)]
+        return C.batch_of({"fp": pa.array([fingerprint(s) for s in found], pa.int64()),
+                           "items": pa.array([s.tobytes() for s in found], pa.binary())})
+
+    texts = C.IdFilter.of(ends, "id").keep(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id")
+    whole = C.map_batches(texts.select("text"), sets, "fp long, items binary")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         passed = []
@@ -163,13 +175,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
             passed.append(100 * both >= percent * (len(p) + len(q) - both))
         return C.batch_of({"a": batch.column(0), "b": batch.column(1), "link": pa.array(passed, pa.bool_())})
 
-    joined = (likely.join(whole.toDF("a", "items"), "a").join(whole.toDF("b", "items2"), "b")
-              .select("a", "b", "items", "items2"))
-    return C.stage(C.map_batches(joined, verify, "a long, b long, link boolean"), f"{name}-links")
+    # Both sets meet at their pair; copies of a class bring equal sets.
+    met = ends.join(whole, "fp").groupBy("a", "b").agg(
+        F.max(F.when(F.col("side") == 0, F.col("items"))).alias("items"),
+        F.max(F.when(F.col("side") == 1, F.col("items"))).alias("items2"))
+    return C.stage(C.map_batches(met, verify, "a long, b long, link boolean"), f"{name}-links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str = "ngram") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id`` (smallest linked id)."""
+    """One row per document: ``row_key, doc_id, n_shingles, component_id`` (smallest linked id).
+
+    ``row_key`` hashes id and text; it tells apart rows with null or repeated ids.
+    """
     if not 0 < percent <= 100:
         raise ValueError("percent is in (0, 100]")
     docs = docs.select("doc_id", "text")
@@ -177,12 +194,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
     classes = C.stage(rows.where("n > 0").groupBy("fp").agg(
         F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
         F.first("parts").alias("parts")), f"{name}-classes")
-    postings = classes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = C.stage(postings.groupBy("key").agg(
-        F.min(F.struct("fp", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("held"))
-        .where("held > 1").select("key", "hub"), f"{name}-keys")
-    members = C.stage(postings.join(shared.select("key"), "key"), f"{name}-members")
-    hubs = shared.selectExpr("key", "hub.fp AS a", "hub.n AS n2", "hub.pos AS pos2")
+    postings = classes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))  # a class has each shingle once
+    shared = C.stage(postings.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("high"))
+                     .where("hub != high").select("key", "hub"), f"{name}-keys")
+    members = C.stage(postings.join(shared, "key"), f"{name}-members")
+    hubs = members.where("fp = hub").selectExpr("key", "fp AS a", "n AS n2", "pos AS pos2")
+    members = members.drop("hub")
     near = (members.withColumnRenamed("fp", "b").join(hubs, "key")
             .where("a != b").where(_passes(percent)).select("a", "b").distinct())
     first = _verified(near, classes, docs, k, percent, f"{name}-hub")
@@ -207,31 +224,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
            .select("fp", "low", F.coalesce("root", "fp").alias("root")))
     smallest = C.stage(low.groupBy("root").agg(F.min("low").alias("component_id")), f"{name}-smallest")
     label = C.stage(low.join(smallest, "root").select("fp", "component_id"), f"{name}-of")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(
+    return rows.select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(
         label, "fp", "left").select(
-        "doc_id", "n_shingles",
+        "row_key", "doc_id", "n_shingles",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents (all columns) that are the smallest id of their group.
+    """The documents (all columns) that stay: of each group the smallest id, once.
 
-    Rows without an id or without words stay; of repeated ids one row stays.
+    Texts without words stay. In a group without any id all rows stay.
     """
-    group = jaccard_components(docs, k, percent, "ngram-keep")
-    kept = group.where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    empty = group.where("n_shingles = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    ids = kept.unionByName(empty).distinct()
-    # One row of an id: the smallest text, so that repeated rows do not both stay.
-    known = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("_kept"), "left_semi")
-    copies = known.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    single = known.join(copies, F.col("doc_id") == F.col("_again"), "left_anti")
-    again = known.join(copies, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    rows = C.stage(jaccard_components(docs, k, percent, "ngram-keep").where("n_shingles > 0"), "ngram-groups")
+    first = (rows.where("doc_id = component_id").groupBy("component_id")
+             .agg(F.min("row_key").alias("kept"), F.count(F.lit(1)).alias("n")))
+    gone = C.stage(rows.join(first, "component_id").where("row_key != kept").select(F.col("row_key").alias("__key")).distinct(), "ngram-gone")
+    again = C.stage(first.where("n > 1").select(F.col("kept").alias("__key")), "ngram-again")  # one row of equal ones stays
+    keyed = docs.withColumn("__key", C.row_key())
+    held = C.IdFilter.of(gone.unionByName(again), "__key")
+    maybe = held.keep(keyed, "__key").join(gone, "__key", "left_anti")
+    return (held.drop(keyed, "__key")
+            .unionByName(maybe.join(again, "__key", "left_anti"))
+            .unionByName(maybe.join(again, "__key", "left_semi").dropDuplicates(["__key"]))).select(docs.columns)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(C.documents(spark, sf_dir), 4, 85, "op1")
+    return jaccard_components(C.documents(spark, sf_dir), 4, 85, "op1").drop("row_key")
 
 
 ORACLE = r"""
