@@ -1,27 +1,50 @@
-"""Token ids of whole texts by the ``tokenizers`` library, a piece at a time.
+"""Token ids of whole texts by the ``tokenizers`` library, a word at a time.
 
 Both vocabularies used here split a text at white space before they merge
-anything, so a text's ids are the ids of its pieces in order. A piece that was
-met before is taken from a bounded cache; new ones go to the library in a batch.
-Texts with white space beyond ASCII (or control characters that some
-libraries count as white space) go to the library whole.
+anything, so a text's ids are the ids of its words (and, for the byte-level
+vocabulary, of the white space between them) in order. The words of a slice of
+texts are found as arrays of hashes; each distinct word that the task has not
+met goes to the library once, many in one call, and its ids are kept. A text's
+ids are then gathered from there. The store is bounded and starts anew when full.
+
+Texts with white space beyond ASCII, control characters or combining marks, on
+which libraries' ideas of white space differ, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces kept in a task's memory; beyond that the cache starts anew.
-CACHE = 400_000
-_RANGES = ((0x00, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0xA0), (0x300, 0x36F), (0x1680, 0x1680), (0x180E, 0x180E),
-           (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
-_ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _RANGES) + "]")
-#: A run of white space but for a last space, white space before a word, or a word with its space.
-_SPACED = re.compile(r"[ \t\n\r]+(?=[ \t\n\r]\S)|[ \t\n\r]+\Z| ?[^ \t\n\r]+|[\t\n\r]")
+from memberrisk.llm import common as C
+
+#: Distinct words kept in a task's memory.
+WORDS = 1_200_000
+#: Words of one call of the library.
+CALL = 20_000
+_EMPTY, _END = 0, 1
+
+# First bytes of characters that need a closer look, and control characters.
+_LOOK = np.zeros(256, bool)
+_LOOK[[*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F, 0xC2, 0xCC, 0xCD, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
+
+def _odd(data: np.ndarray) -> np.ndarray:
+    """Positions of characters that send a text to the library whole."""
+    at = np.flatnonzero(_LOOK[data])
+    if not len(at):
+        return at
+    padded = np.concatenate([data, np.zeros(2, np.uint8)])
+    a, b, c = data[at], padded[at + 1], padded[at + 2]
+    two = (b.astype(np.int32) << 8) | c
+    odd = (a < 0x80) | (a == 0xC2) & (b <= 0xA0) | (a == 0xCC) | (a == 0xCD) & (b <= 0xAF)
+    odd |= (a == 0xE1) & ((two == 0x9A80) | (two == 0xA08E))
+    odd |= (a == 0xE2) & ((two >= 0x8080) & (two <= 0x808F) | (two >= 0x80A8) & (two <= 0x80AF) | (two >= 0x819F) & (two <= 0x81AF))
+    odd |= (a == 0xE3) & (two == 0x8080) | (a == 0xEF) & (two == 0xBBBF)
+    return at[odd]
 
 
 class Encoder:
@@ -36,7 +59,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
-        self.cache: dict[str, np.ndarray] = {}
+        if spaced:  # a word's first token starts with its space, and no other does
+            self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        self.mark = self._ids("\n" if spaced else "\x01")  # stands between words given in one call
+        self._start()
 
     @classmethod
     def of(cls, path: str, spaced: bool) -> Encoder:
@@ -45,28 +72,129 @@ class Encoder:
             cls._made[path, spaced] = cls(path, spaced)
         return cls._made[path, spaced]
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    # -- the store: pieces by number, words by hash
+    def _start(self) -> None:
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.at, self.size, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.gaps: dict[bytes, int] = {}
+        self._add([np.zeros(0, np.uint32), np.zeros(1, np.uint32)])
+
+    def _add(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """Numbers of new pieces."""
+        size = np.array([len(p) for p in pieces], np.int64)
+        return self._add_flat(np.concatenate(pieces) if pieces else np.zeros(0, np.uint32), size)
+
+    def _add_flat(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(size) > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        new = slice(self.count, self.count + len(size))
+        self.at[new], self.size[new] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.count += len(size)
+        return np.arange(new.start, new.stop)
+
+    def _gap(self, gap: bytes) -> int:
+        """Number of white space before a word (what the word itself does not take) or after the last one."""
+        if gap not in self.gaps:
+            text = gap.decode()
+            tail = text.endswith("\0")  # after the last word: one piece
+            text = text.rstrip("\0")
+            parts = [text] if tail else [text[:-1], text[-1:] if text[-1:] != " " else ""]
+            self.gaps[gap] = int(self._add([np.concatenate([np.zeros(0, np.uint32), *(self._ids(p) for p in parts if p)])])[0])
+        return self.gaps[gap]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes], spaced: np.ndarray) -> None:
+        """Store new words; ``spaced``: those that take a space before them."""
+        numbers = np.zeros(len(keys), np.int64)
+        for flag in (False, True):
+            own = np.flatnonzero(spaced == flag)
+            for i in range(0, len(own), CALL):
+                part = own[i:i + CALL]
+                numbers[part] = self._encode_words([words[j] for j in part], flag)
+        at = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.number = np.insert(self.keys, at, keys), np.insert(self.number, at, numbers)
+
+    def _encode_words(self, words: list[bytes], spaced: bool) -> np.ndarray:
+        between = b" " if spaced else b"\n" if self.spaced else b" \x01 "
+        ids = self._ids((between + between.join(words)).decode())
+        first = np.flatnonzero(self.opens[ids] if spaced else ids == self.mark[0])
+        if len(first) == len(words) and (spaced or len(self.mark) == 1):
+            size = np.diff(np.concatenate([first, [len(ids)]]))
+            if not spaced:  # without the marks
+                keep = np.ones(len(ids), bool)
+                keep[first] = False
+                return self._add_flat(ids[keep], size - 1)
+            return self._add_flat(ids, size)
+        return self._add([self._ids((" " * spaced) + w.decode()) for w in words])
+
+    # -- texts
+    def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text with the end id 0 appended, one after the other."""
+        for w in C.words(column):
+            if len(self.keys) > WORDS:
+                self._start()
+            ids, ends = self._slice(w)
+            odd = set((np.searchsorted(w.edge, _odd(w.data), side="right") - 1).tolist())
+            for d in range(len(w.first) - 1):
+                if d in odd:
+                    text = w.data[w.edge[d]:w.edge[d + 1]].tobytes().decode()
+                    yield np.concatenate([self._ids(text), np.zeros(1, np.uint32)])
+                else:
+                    yield ids[ends[d]:ends[d + 1]]
 
     def encode(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
-            return self._whole([text])[0]
-        pieces = _SPACED.findall(text) if self.spaced else text.split()
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        cache = self.cache
-        new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(dict.fromkeys(pieces))
-            cache.update(zip(new, self._whole(new)))
-        return np.concatenate([cache[p] for p in pieces])
-
-
-def encode_column(column: pa.Array, path: str, spaced: bool):
+        """Ids of one text."""
+        return next(self.encode_column(pa.array([text])))[:-1]
+
+    def _slice(self, w: C.Words) -> tuple[np.ndarray, np.ndarray]:
+        n, docs = len(w.hash), len(w.first) - 1
+        doc = np.repeat(np.arange(docs), np.diff(w.first))
+        gap, tail = np.full(n, _EMPTY), np.full(docs, _EMPTY)
+        spaced = np.zeros(n, bool)
+        if self.spaced:
+            before = np.concatenate([[0], w.end[:-1]])
+            opens = np.concatenate([[True], doc[1:] != doc[:-1]])[:n]
+            before = np.where(opens, w.edge[doc], before[:n]) if n else before[:0]
+            length = w.start - before
+            spaced = (length > 0) & (w.data[np.maximum(w.start - 1, 0)] == 0x20)
+            for i in np.flatnonzero((length > 1) | (length == 1) & ~spaced).tolist():
+                gap[i] = self._gap(w.data[before[i]:w.start[i]].tobytes())
+            last = w.edge[:-1].copy()
+            has = w.first[1:] > w.first[:-1]
+            last[has] = w.end[w.first[1:][has] - 1]
+            for d in np.flatnonzero(last < w.edge[1:]).tolist():
+                tail[d] = self._gap(w.data[last[d]:w.edge[d + 1]].tobytes() + b"\0")
+        key = C.mix(w.hash + spaced * C.GOLDEN) if self.spaced else w.hash
+        keys, one, which = np.unique(key, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            data = w.data.tobytes()
+            self._learn(keys[new], [data[s:e] for s, e in zip(w.start[one[new]].tolist(), w.end[one[new]].tolist())], spaced[one[new]])
+            at = np.searchsorted(self.keys, keys)
+        # Pieces in order: before each word its gap; after a text its last gap and the end id.
+        pieces = np.empty(2 * n + 2 * docs, np.int64)
+        place = 2 * np.arange(n) + 2 * doc
+        pieces[place], pieces[place + 1] = gap, self.number[at][which]
+        place = 2 * w.first[1:] + 2 * np.arange(docs)
+        pieces[place], pieces[place + 1] = tail, _END
+        size = self.size[pieces]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[pieces] - ends + size, size)]
+        return ids, np.concatenate([[0], ends[place + 1]])
+
+
+def encode_column(column: pa.Array, path: str, spaced: bool) -> Iterator[np.ndarray]:
     """Ids of each text with the end id 0 appended, one after the other."""
-    encoder = Encoder.of(path, spaced)
-    end = np.zeros(1, np.uint32)
-    for text in column:
-        yield np.concatenate([encoder.encode(text.as_py() or ""), end])
+    return Encoder.of(path, spaced).encode_column(column)
