@@ -23,15 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memberrisk.session import ship_package
+
+#: Rows handled at once.
+ROWS = 1024
 #: Bytes of text turned into arrays at once; one longer text makes its own slice.
 SLICE_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """What tasks in Python need: this package, and small batches, for texts are long."""
+    ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -56,6 +68,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     drops the shuffle files of jobs that nothing refers to any more.
     """
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gc.collect()
@@ -71,19 +84,23 @@ def unstage(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function of one batch."""
+def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+    """``mapInArrow`` of a function of some rows (``ROWS`` at most, to bound memory)."""
+
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = func(batch)
-                if out is not None:
-                    yield out
+        return map(func, pieces(batches))
 
     return df.mapInArrow(run, schema)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def row_key():
     """Hash of a row's id and text: tells apart rows with null or repeated ids."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))

@@ -87,7 +87,7 @@ def count_classes(docs: DataFrame, k: int) -> np.ndarray:
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, dtype=np.uint32)
-        for batch in batches:
+        for batch in C.pieces(batches):
             part = [s for _, s in shingle_sets(batch.column(0), k)]
             if part:
                 np.add.at(counts, _cell(np.concatenate(part)), 1)
