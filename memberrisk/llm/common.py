@@ -159,6 +159,11 @@ _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
+# Lower case of the two-byte characters (Latin, Greek, Cyrillic, ...), where it is such a character too.
+_TWO_BYTES = np.arange(0x800)
+for _c in range(0x80, 0x800):
+    if len(chr(_c).lower()) == 1 and 0x80 <= ord(chr(_c).lower()) < 0x800:
+        _TWO_BYTES[_c] = ord(chr(_c).lower())
 _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -184,6 +189,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with two-byte characters in lower case (A-Z stay)."""
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xDF))
+    lead = lead[lead + 1 < len(data)]
+    if not len(lead):
+        return data
+    low = _TWO_BYTES[((data[lead] & 0x1F).astype(np.int64) << 6) | (data[lead + 1] & 0x3F)]
+    out = data.copy()
+    out[lead], out[lead + 1] = 0xC0 | (low >> 6), 0x80 | (low & 0x3F)
+    return out
+
+
 class Words(NamedTuple):
     """Words of a slice of texts. ``first[d]:first[d + 1]`` are the words of text ``d``."""
 
@@ -217,7 +234,8 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def words(column: pa.Array, lower: bool = False, terms: bool = False) -> Iterator[Words]:
-    """Words of each text; with ``terms``, ASCII punctuation separates them too."""
+    """Words of each text. ``lower`` folds A-Z. With ``terms``, ASCII punctuation separates
+    them too, and ``lower`` folds two-byte characters as well."""
     for row, edge, data in slices(column):
         space = (_NOT_TERM if terms else _IS_SPACE)[data]
         before = np.empty(len(data), dtype=bool)
@@ -231,7 +249,8 @@ def words(column: pa.Array, lower: bool = False, terms: bool = False) -> Iterato
         end = np.flatnonzero(~space & after) + 1
         up, down = _powers(len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:len(data)], out=total[1:])
+        text = fold(data) if lower and terms else data
+        np.cumsum((_BYTE_LOWER if lower else _BYTE)[text] * up[:len(data)], out=total[1:])
         h = mix((total[end] - total[start]) * down[start] + GOLDEN * (end - start).astype(np.uint64))
         yield Words(row, h, start, end, np.searchsorted(start, edge), data, edge)
 

@@ -58,6 +58,18 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
+def _capital(w: C.Words) -> np.ndarray:
+    """Terms whose first letter is upper case and whose second is not."""
+    data = np.concatenate([w.data, np.zeros(4, np.uint8)])
+    upper = C.fold(data) != data
+    upper = upper | np.concatenate([upper[1:], [False]])  # a two-byte character, by its first byte
+    upper |= (data >= 65) & (data <= 90)
+    head = data[w.start]
+    second = w.start + np.where(head < 0x80, 1, np.where(head < 0xE0, 2, np.where(head < 0xF0, 3, 4)))
+    letter = (data[second] >= 97) & (data[second] <= 122) | (data[second] >= 0xC2)
+    return upper[w.start] & (second < w.end) & letter & ~upper[second]
+
+
 def templates(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, template hashes, kinds, value hashes) of each text."""
     for w in C.words(column, lower=True, terms=True):
@@ -69,8 +81,7 @@ def templates(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         doc = np.searchsorted(w.first, np.arange(n), side="right") - 1
         opens = np.concatenate([[True], doc[1:] != doc[:-1]])  # first term of its text
         sentence = opens | (stops[w.start] > stops[np.concatenate([[0], w.end[:-1]])])
-        head, second = w.data[w.start], w.data[np.minimum(w.start + 1, len(w.data) - 1)]
-        capital = (head >= 65) & (head <= 90) & (w.end - w.start > 1) & ((second >= 97) & (second <= 122) | (second >= 128))
+        capital = _capital(w)
         number = digits[w.end] > digits[w.start]
         kind = np.where(number, NUMBER, np.where(capital & ~sentence, NAME, LITERAL))
         at = np.minimum(np.searchsorted(_UNIT_HASHES, w.hash), len(_UNIT_HASHES) - 1)

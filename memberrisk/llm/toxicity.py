@@ -1,12 +1,13 @@
 """Toxicity severity by cumulative-link ordinal regression (operator 10).
 
 ``P(grade <= g) = sigmoid(cut[g] - x.w)``: one weight vector is shared by all
-ordered cuts. ``x`` holds ``log(1 + count)`` of the terms of a small vocabulary
+ordered cuts. ``x`` holds ``1 + log(count)`` of the terms of a small vocabulary
 (lower-cased runs of letters, digits and bytes beyond ASCII), matched by their
 whole 64-bit hash. The output is the expected severity ``sum_g P(grade > g)``.
 
 Fitting uses a bounded sample: ``sample`` labelled rows (the smallest
-hashes of ``doc_id``), and the ``vocabulary`` terms that separate them best.
+hashes of ``doc_id``), and the ``vocabulary`` terms that separate them best, of
+those that separate them beyond chance, so that long texts do not add up noise.
 Scoring reads every document once, whole, without a shuffle.
 
 The labels are binary. A toxic row's grade (1 to ``grades``) is its place among
@@ -16,7 +17,8 @@ severity is ordered by how much of such language a text has.
 Edge cases: null or empty text scores as a text without known terms. Null or
 repeated ``doc_id`` keeps its rows; each is scored by its own text. Labels that
 are null or contradict each other count as not toxic unless one is 1. Without
-labelled rows of both classes there is no model: severity 0, nothing is toxic.
+labelled rows of both classes, or without a term that separates them, there is
+no model: severity 0, nothing is toxic.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memberrisk.llm import common as C
@@ -33,6 +35,7 @@ from memberrisk.llm import common as C
 SAMPLE = 6000
 VOCABULARY = 512
 GRADES = 3
+LEAST_ROOT = 5.0   # chance alone gives a term this with a probability of 6e-7
 TABLE_BITS = 18
 
 
@@ -51,6 +54,11 @@ class Model:
 NO_MODEL = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 2.0)
 
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """Feature of a term that occurs ``counts`` times: 0, then 1 + log(count)."""
+    return np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0)
+
+
 def _term_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
     terms, counts = [], []
     size = np.zeros(batch.num_rows, np.int64)
@@ -68,7 +76,7 @@ def _term_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         "counts": C.lists(np.concatenate([empty, *counts]), ends, pa.int64())})
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 1500, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing cuts that maximise the penalised likelihood (Adam on the whole batch)."""
     n, m = x.shape
     share = np.array([np.clip((y > g).mean(), 1e-4, 1 - 1e-4) for g in range(grades)])
@@ -111,15 +119,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     if not total["bad"] or total["bad"] == total["n"]:
         return NO_MODEL
     bad, good = int(total["bad"]), int(total["n"] - total["bad"])
-    # Terms by the z-score of their log odds in the two classes.
+    # Terms that the two classes hold unlike each other, by the signed root of the likelihood ratio.
     term = (rows.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-            .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).where("n >= 3"))
-    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-    odds = F.log(a / (bad + 1 - a)) - F.log(F.greatest(b / F.greatest(good + 1 - b, F.lit(0.5)), F.lit(1e-9)))
-    best = (term.select("term", "a", "n", (odds / F.sqrt(1 / a + 1 / b)).alias("z"), odds.alias("odds"))
-            .orderBy(F.abs("z").desc(), "term").limit(vocabulary).toPandas())
+            .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")))
+    share = F.col("n") / F.lit(float(bad + good))
+
+    def part(seen: Column, size: int, rate: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (size * rate))).otherwise(0.0)
+
+    a, b = F.col("a"), F.col("n") - F.col("a")
+    ratio = 2 * (part(a, bad, share) + part(b, good, share) + part(bad - a, bad, 1 - share) + part(good - b, good, 1 - share))
+    best = (term.where(F.col("n") < bad + good).select("term", (a / bad > b / good).alias("marks"), F.sqrt(F.greatest(ratio, F.lit(0.0))).alias("root"))
+            .where(F.col("root") >= LEAST_ROOT).orderBy(F.desc("root"), "term").limit(vocabulary).toPandas())
+    if not len(best):
+        return NO_MODEL
     terms = np.sort(best["term"].to_numpy(dtype=np.int64).view(np.uint64))
-    marks = best.loc[(best["z"] > 4) & (best["odds"] > 2), "term"].to_numpy(dtype=np.int64)
+    marks = best.loc[best["marks"], "term"].to_numpy(dtype=np.int64)
     marked = np.isin(terms, marks.view(np.uint64))
 
     known = docs.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(C.signed(terms))], "term long, at int")
@@ -136,9 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
         y = np.where(y == 1, 1 + np.searchsorted(inner, severity, side="left"), 0)
     order = np.unique(np.concatenate([[0], y]))
     y = np.searchsorted(order, y)  # grades that no row has are left out
-    weights, cuts = fit_ordinal(np.log1p(x), y, len(order) - 1)
+    x = level(x)
+    weights, cuts = fit_ordinal(x, y, len(order) - 1)
     model = Model(terms, weights, cuts, 0.5)
-    p = model.above(np.log1p(x) @ weights)[:, 0]
+    p = model.above(x @ weights)[:, 0]
     # The probability that separates the sample best; ties take the middle.
     tries = np.linspace(0.2, 0.9, 71)
     right = np.array([((p >= t) == (y > 0)).sum() for t in tries])
@@ -160,7 +176,7 @@ def probabilities(column: pa.Array, model: Model) -> np.ndarray:
         real = model.terms[at] == w.hash[maybe]
         at, doc = at[real], np.searchsorted(w.first, maybe[real], side="right") - 1
         key, count = np.unique(doc * len(model.terms) + at, return_counts=True)
-        np.add.at(eta, w.row + key // len(model.terms), model.weights[key % len(model.terms)] * np.log1p(count))
+        np.add.at(eta, w.row + key // len(model.terms), model.weights[key % len(model.terms)] * level(count))
     return model.above(eta) if len(model.cuts) else np.zeros((len(column), 1))
 
 

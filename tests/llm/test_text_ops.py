@@ -218,13 +218,14 @@ def test_decontamination(spark, empty):
     again = item.replace("Boston", "Denver").replace("Maria Lopez", "Omar Khan").replace("Maria", "Omar").replace("120 miles", "75.5 km").replace("9", "11")
     broken = item.replace("Maria Lopez", "Omar Khan").replace("waits for 30", "waits for 9")  # Maria stands for two names
     other = prose(rng, 40)
+    accented = "La. Éai éonleeau pour an éonqueê aivi ai, éenaitreoiaux éoiré anvitre èenreré élé dcièépaè ñandú ñoño ülber le"
     rows = [(1, f"{prose(rng, 30)}. {item}. {prose(rng, 30)}"), (2, f"{prose(rng, 30)}. {again}."), (3, prose(rng, 200)), (4, None), (5, ""),
-            (6, other.upper().replace(" ", ",!! ")), (7, " ".join(item.split()[:6])), (None, item), (8, item), (8, prose(rng, 50)), (9, "7 9 8 1 2 3 4 5 6 7")]
+            (6, other.upper().replace(" ", ",!! ")), (16, "AND " + accented.upper() + ".!! THE"), (7, " ".join(item.split()[:6])), (None, item), (8, item), (8, prose(rng, 50)), (9, "7 9 8 1 2 3 4 5 6 7")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, hash string")
-    bench = spark.createDataFrame([(10, item), (11, other), (12, None), (13, "too short"), (14, "alpha beta gamma delta epsilon zeta"),
+    bench = spark.createDataFrame([(10, item), (11, other), (12, None), (13, "too short"), (14, "alpha beta gamma delta epsilon zeta"), (17, accented),
                                    (15, "1 2 3 4 5 6 7 8 9 10")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(docs, bench).collect()}
-    assert set(got) == {(1, 10), (2, 10), (6, 11), (None, 10), (8, 10)}
+    assert set(got) == {(1, 10), (2, 10), (6, 11), (None, 10), (8, 10), (16, 17)}
     assert got[2, 10]["consistent"] and got[2, 10]["share"] == 1.0
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
