@@ -76,6 +76,16 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(F.isnan(x), F.lit(None)).otherwise(x)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Join on equal keys where null equals null; the right keys are dropped."""
+    named = right.withColumnsRenamed({k: f"_jn_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_jn_{k}"))
+        cond = one if cond is None else cond & one
+    return left.join(named, cond, how).drop(*[f"_jn_{k}" for k in keys])
+
+
 def one_row(df: DataFrame) -> Column:
     """A one-row DataFrame as a scalar-subquery struct column: attach global
     statistics to every row without a join (``row["field"]``)."""

@@ -1,4 +1,4 @@
-"""Skew-safe exact order statistics: prefix sums, ranks and quantiles.
+"""Skew-safe exact order statistics: ordinals, ranks and quantiles.
 
 A ``Window.partitionBy(key).orderBy(...)`` sends every row of one key to one
 task, and a window without ``partitionBy`` sends the whole table to one task.
@@ -6,54 +6,34 @@ Exact percentiles through ``percentile``/``median`` keep one value->count map
 per group inside a single task as well. With one key holding a third of the
 rows, each of these is a single-task straggler.
 
-Everything here instead works on a range-partitioned copy of the data:
-
-1. ``repartitionByRange(P, *by, *order)`` splits even a hot group over many
-   partitions (partitions hold contiguous key ranges).
-2. Inside each (partition, group) slice a local running sum is taken.
-3. Per-(group, partition) totals form a table with at most
-   ``#groups + P`` rows; an exclusive running sum over partition ids gives
-   each slice its offset.
-4. Offsets are joined back on (group, partition id): unique keys, no skew.
-
-Quantiles and percent ranks aggregate to distinct ``(group, value, count)``
-first (partial aggregation, so a hot value costs one row per map task). The
-histogram's size is then checked: up to ``SMALL_HISTOGRAM_ROWS`` rows it is
-ranked with an ordinary per-group window (bounded by that size), beyond it
-with the range-partitioned prefix sum. Quantiles pick the rows covering
-``floor(q*(n-1))`` and ``ceil(q*(n-1))``: linear interpolation, the same
-definition as pandas' ``quantile`` and DuckDB's ``quantile_cont``.
+*Quantiles and percent ranks* narrow down. Values are counted into bins (an
+order-preserving function of the value, ``BINS_PER_OCTAVE`` for each doubling
+of 1 + |x|) with partial aggregation, so a group leaves at most some ten
+thousand rows whatever its size. Running sums over the bins tell which bins hold
+the wanted ranks; only the values of those bins are counted and ranked, each bin
+on its own. Quantiles interpolate linearly between ``floor(q*(n-1))`` and
+``ceil(q*(n-1))``, as pandas' ``quantile`` and DuckDB's ``quantile_cont``.
+
+*Ordinals* (``row_number``) range-partition the rows once, number them inside
+their slice, and write the result as a table. The first and the last row of
+each slice (two rows a partition) say how far a group that runs over slices has
+come; that offset is added back. Nothing is cached, and the slices are data
+once written, so a lost executor or a second reader sees the same cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql import types as T
 
-_PID = "_mr_pid"
-_CACHED: list[DataFrame] = []
-
-
-def release_cached(keep: int = 0) -> None:
-    """Unpersist the range-cut frames created after the first ``keep``."""
-    while len(_CACHED) > keep:
-        _CACHED.pop().unpersist()
-
-
-class scope:
-    """Release the range-cut frames created inside the block once the block's
-    actions are done (only safe when no lazy plan built inside outlives it)."""
-
-    def __enter__(self):
-        self._mark = len(_CACHED)
-        return self
-
-    def __exit__(self, *exc):
-        release_cached(self._mark)
-        return False
+BINS_PER_OCTAVE = 256
 
 
 def _n_partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -66,73 +46,98 @@ def _as_cols(cols: Iterable[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def prefix_sum(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
-               weight: str | Column | None = None, before: str = "_before",
-               total: str = "_total", num_partitions: int | None = None) -> DataFrame:
-    """Add the exclusive running sum of ``weight`` (default 1) within ``by``
-    in ``order`` (keys must be unique within ``by``), and the group total."""
-    by = list(by)
-    order_cols = _as_cols(order)
-    w = (F.col(weight) if isinstance(weight, str) else weight) if weight is not None else F.lit(1)
-    parts = _n_partitions(df, num_partitions)
-    ranged = (df.withColumn("_mr_w", w.cast("long"))
-                .repartitionByRange(parts, *[F.col(b) for b in by], *order_cols)
-                .withColumn(_PID, F.spark_partition_id()))
-    slice_w = Window.partitionBy(_PID, *by).orderBy(*order_cols)
-    local = ranged.withColumn(
-        "_mr_local",
-        F.coalesce(F.sum("_mr_w").over(slice_w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # Both branches below must see the *same* range cut. Spark's range
-    # sampler seeds on the RDD id, so two independently planned exchanges can
-    # cut differently; persisting gives both branches one RDD (a lost block is
-    # recomputed through the same shuffle dependency, hence the same bounds).
-    local = local.persist(StorageLevel.MEMORY_AND_DISK)
-    _CACHED.append(local)
-    slices = local.groupBy(*by, _PID).agg(F.sum("_mr_w").alias("_mr_n"))
-    group_w = Window.partitionBy(*by) if by else Window.partitionBy()
-    offsets = slices.select(
-        *by, _PID,
-        F.coalesce(F.sum("_mr_n").over(group_w.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_mr_off"),
-        F.sum("_mr_n").over(group_w).alias(total))
-    if not by:
-        offsets = F.broadcast(offsets)  # at most P rows
-    out = local.join(offsets, [*by, _PID], "inner")
-    return (out.withColumn(before, (F.col("_mr_local") + F.col("_mr_off")).cast("long"))
-               .drop("_mr_w", "_mr_local", "_mr_off", _PID))
-
-
-def row_number(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
-               out: str = "rn", num_partitions: int | None = None) -> DataFrame:
+# ----------------------------------------------------------------- ordinals
+_PID, _GROUP, _RUN, _EDGE, _LAG = "_mr_pid", "_mr_group", "_mr_run", "_mr_edge", "_mr_lag"
+
+
+def _number_slices(lag_at: int | None):
+    """mapInArrow function: adds slice id, running number in the group, edge marks
+    (1 first row, 2 last row, 3 both) and the row before's value of a column.
+    The group key is the input's last column; rows arrive in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, held, first = TaskContext.get().partitionId(), None, True
+        group, count, value = None, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(batch.num_columns - 1).to_numpy()
+            new = np.concatenate([[group is None or keys[0] != group], keys[1:] != keys[:-1]])
+            index = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, index, -1))
+            runs = np.where(start >= 0, index - start, index + count) + 1
+            columns = [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(runs.astype(np.int64))]
+            if lag_at is not None:
+                own = batch.column(lag_at)
+                before = pa.concat_arrays([pa.array([value], own.type), own.slice(0, n - 1)])
+                columns.append(pc.if_else(pa.array(new), pa.scalar(None, own.type), before))
+                value = own[n - 1].as_py()
+            group, count = keys[-1], int(runs[-1])
+            edge = np.zeros(n, np.int8)
+            edge[0] += first
+            first = False
+            if held is not None:
+                yield _with_edge(*held)
+            held = (columns, batch.schema.names, edge, lag_at is not None)
+        if held is not None:
+            held[2][-1] += 2
+            yield _with_edge(*held)
+
+    return run
+
+
+def _with_edge(columns: list[pa.Array], names: list[str], edge: np.ndarray, lagged: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*columns, pa.array(edge)], names=[*names, _PID, _RUN, *([_LAG] if lagged else []), _EDGE])
+
+
+def row_number(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "rn",
+               num_partitions: int | None = None, lag: tuple[str, str] | None = None) -> DataFrame:
     """Exact 1-based ``row_number`` within ``by`` without a per-key window.
 
-    ``order`` must be unique within ``by`` (add a tie-break key)."""
-    ranked = prefix_sum(df, order, by, before="_mr_before", total="_mr_total",
-                        num_partitions=num_partitions)
-    return ranked.withColumn(out, F.col("_mr_before") + 1).drop("_mr_before", "_mr_total")
-
-
-# Histograms with at most this many (group, value) rows are ranked with a
-# plain per-group window: each group's window then holds at most this many
-# rows. Larger histograms take the range-partitioned path above.
-SMALL_HISTOGRAM_ROWS = 2_000_000
-
-
-def _ranked_histogram(counts: DataFrame, value: str, keys: list[str], weight: str,
-                      num_partitions: int | None) -> DataFrame:
-    """Adds ``_mr_before`` (weight of smaller values in the group) and
-    ``_mr_total`` to a (keys, value, weight) histogram. The histogram size is
-    checked first (one count job); small histograms use a window, large ones
-    the skew-safe prefix sum."""
-    if counts.count() <= SMALL_HISTOGRAM_ROWS:
-        grp = Window.partitionBy(*keys) if keys else Window.partitionBy()
-        return counts.select(
-            "*",
-            F.coalesce(F.sum(weight).over(grp.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)),
-                       F.lit(0)).cast("long").alias("_mr_before"),
-            F.sum(weight).over(grp).cast("long").alias("_mr_total"))
-    return prefix_sum(counts, [value], keys, weight=weight, before="_mr_before", total="_mr_total",
-                      num_partitions=num_partitions)
+    ``order`` must be unique within ``by`` (add a tie-break key); null keys form
+    a group. ``lag=(column, name)`` adds the column's value in the row before of
+    the same group. One wide shuffle; the result is a written table.
+    """
+    from memberrisk.session import write_table
+    order_cols, keys = _as_cols(order), [F.col(b) for b in by]
+    grouped = df.withColumn(_GROUP, F.xxhash64(*keys) if keys else F.lit(0).cast("long"))
+    ranged = grouped.repartitionByRange(_n_partitions(df, num_partitions), _GROUP, *order_cols).sortWithinPartitions(_GROUP, *order_cols)
+    schema = T.StructType([*grouped.schema.fields, T.StructField(_PID, T.IntegerType()), T.StructField(_RUN, T.LongType()),
+                           *([T.StructField(_LAG, df.schema[lag[0]].dataType)] if lag else []), T.StructField(_EDGE, T.ByteType())])
+    numbered = write_table(ranged.mapInArrow(_number_slices(df.columns.index(lag[0]) if lag else None), schema), "ordinal")
+
+    # Where a slice starts inside a group: rows of that group before it, and the row before's value.
+    carried = []
+    group, total, value = None, 0, None
+    edges = numbered.where(F.col(_EDGE) > 0).select(_PID, _GROUP, _RUN, _EDGE, *([F.col(lag[0]).alias("_mr_value")] if lag else []))
+    slices: dict[int, dict[int, tuple]] = {}
+    for r in edges.collect():  # at most two rows a partition
+        for mark in (1, 2):
+            if r[_EDGE] & mark:
+                slices.setdefault(r[_PID], {})[mark] = r
+    for pid in sorted(slices):
+        first, last = slices[pid][1], slices[pid][2]
+        if group is not None and first[_GROUP] == group:
+            carried.append((pid, group, total, value))
+        else:
+            total = 0
+        total = last[_RUN] + (total if last[_GROUP] == first[_GROUP] else 0)
+        group, value = last[_GROUP], last["_mr_value"] if lag else None
+    shape = T.StructType([T.StructField(_PID, T.IntegerType()), T.StructField(_GROUP, T.LongType()), T.StructField("_mr_off", T.LongType()),
+                          T.StructField("_mr_carry", df.schema[lag[0]].dataType if lag else T.ByteType())])
+    offsets = df.sparkSession.createDataFrame(carried, shape)
+    done = numbered.join(F.broadcast(offsets), [_PID, _GROUP], "left")  # at most one row a partition
+    ordinal = F.col(_RUN) + F.coalesce(F.col("_mr_off"), F.lit(0).cast("long"))
+    extra = [F.when(F.col(_RUN) > 1, F.col(_LAG)).otherwise(F.col("_mr_carry")).alias(lag[1])] if lag else []
+    return done.select(*df.columns, ordinal.alias(out), *extra)
+
+
+# ------------------------------------------------------- ranks and quantiles
+def value_bin(v: Column) -> Column:
+    """Order-preserving bin of a double: equal or larger for a larger value."""
+    size = F.least(F.floor(F.log2(F.lit(1.0) + F.least(F.abs(v), F.lit(1e300))) * BINS_PER_OCTAVE), F.lit(1 << 30))
+    return F.when(v < 0, -size).otherwise(size).cast("long")
 
 
 def percent_rank_avg(df: DataFrame, value: str, out: str, by: Sequence[str] = (),
@@ -141,9 +146,8 @@ def percent_rank_avg(df: DataFrame, value: str, out: str, by: Sequence[str] = ()
 
     Null values get a null rank; n counts non-null values."""
     by = list(by)
-    valid = df.where(F.col(value).isNotNull())
-    counts = valid.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_mr_c"))
-    ranked = _ranked_histogram(counts, value, by, "_mr_c", num_partitions)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_mr_c"))
+    ranked = rank_counts(counts, value, by, "_mr_c")
     ranks = ranked.select(
         *by, value,
         ((F.col("_mr_before") + (F.col("_mr_c") + F.lit(1)) / F.lit(2.0))
@@ -151,9 +155,31 @@ def percent_rank_avg(df: DataFrame, value: str, out: str, by: Sequence[str] = ()
     return df.join(ranks, [*by, value], "left")
 
 
+def rank_counts(counts: DataFrame, value: str, by: Sequence[str], weight: str) -> DataFrame:
+    """``counts`` (a row a value of a group) with ``_mr_before``, the weight of the
+    group's smaller values, and ``_mr_total``. Ranked bin by bin; the running sum
+    over bins sees a row a bin."""
+    by = list(by)
+    counts = materialize_small(counts.withColumn("_mr_b", value_bin(F.col(value).cast("double"))))
+    bins = counts.groupBy(*by, "_mr_b").agg(F.sum(weight).alias("_mr_n"))
+    # A group's bins: bounded by the range of doubles, not by the rows.
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    bins = bins.select(
+        *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("_mr_b").alias("_kb"),
+        F.coalesce(F.sum("_mr_n").over(group.orderBy("_mr_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mr_off"),
+        F.sum("_mr_n").over(group).cast("long").alias("_mr_total"))
+    inside = Window.partitionBy(*by, "_mr_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_mr_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    same = F.col("_mr_b") == F.col("_kb")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    return ranked.join(bins, same).select(
+        *[c for c in counts.columns if c != "_mr_b"], (F.col("_mr_in") + F.col("_mr_off")).cast("long").alias("_mr_before"), "_mr_total")
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
               by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles of several columns in one pass.
+    """Exact linear-interpolated quantiles of several columns in two narrow passes.
 
     Returns a long table ``(*by, name, q, value)``; nulls and NaN are skipped
     (pandas semantics). Groups without values produce no row."""
@@ -162,23 +188,39 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
                       for c in columns])
     long = (df.select(*by, F.explode(items).alias("_mr_s"))
               .select(*by, F.col("_mr_s.name").alias("name"), F.col("_mr_s.v").alias("v"))
-              .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    counts = long.groupBy(*by, "name", "v").agg(F.count(F.lit(1)).alias("_mr_c"))
+              .where(F.col("v").isNotNull() & ~F.isnan("v"))
+              .withColumn("_mr_b", value_bin(F.col("v"))))
     keys = [*by, "name"]
-    ranked = _ranked_histogram(counts, "v", keys, "_mr_c", num_partitions)
-    targets = F.array(*[F.lit(float(q)) for q in qs])
+    group = Window.partitionBy(*keys)
+    bins = long.groupBy(*keys, "_mr_b").agg(F.count(F.lit(1)).alias("_mr_n"))
+    bins = bins.select(
+        *keys, "_mr_b", "_mr_n",
+        F.coalesce(F.sum("_mr_n").over(group.orderBy("_mr_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mr_off"),
+        F.sum("_mr_n").over(group).alias("_mr_total"))
     pos = F.col("q") * (F.col("_mr_total") - 1)
     lo, hi = F.floor(pos), F.ceil(pos)
-    start, stop = F.col("_mr_before"), F.col("_mr_before") + F.col("_mr_c")
-    covers_lo = (start <= lo) & (lo < stop)
-    covers_hi = (start <= hi) & (hi < stop)
-    picked = (ranked.select(*keys, "v", "_mr_before", "_mr_c", "_mr_total",
-                            F.explode(targets).alias("q"))
-                    .where(covers_lo | covers_hi)
-                    .groupBy(*keys, "q")
-                    .agg(F.max(F.when(covers_lo, F.col("v"))).alias("_mr_lo"),
-                         F.max(F.when(covers_hi, F.col("v"))).alias("_mr_hi"),
-                         F.max(pos - lo).alias("_mr_frac")))
+
+    def covers(rank: Column, start: str, n: str) -> Column:
+        return (F.col(start) <= rank) & (rank < F.col(start) + F.col(n))
+
+    targets = F.array(*[F.lit(float(q)) for q in qs])
+    wanted = materialize_small(bins.withColumn("q", F.explode(targets))
+                               .where(covers(lo, "_mr_off", "_mr_n") | covers(hi, "_mr_off", "_mr_n"))
+                               .select(*keys, "_mr_b", "_mr_off", "_mr_total", "q"))
+    # Only the wanted bins' values are counted and ranked, each bin on its own.
+    chosen = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_mr_b").alias("_kb")).distinct()
+    same = F.col("_mr_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    values = long.join(chosen, same, "left_semi").groupBy(*keys, "_mr_b", "v").agg(F.count(F.lit(1)).alias("_mr_c"))
+    inside = Window.partitionBy(*keys, "_mr_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_mr_in", F.coalesce(F.sum("_mr_c").over(inside), F.lit(0)))
+    values = values.toDF(*[f"_k{i}" for i in range(len(keys))], "_kb", "v", "_mr_c", "_mr_in")
+    picked = wanted.join(values, same).withColumn("_mr_start", F.col("_mr_off") + F.col("_mr_in"))
+    at_lo, at_hi = covers(lo, "_mr_start", "_mr_c"), covers(hi, "_mr_start", "_mr_c")
+    picked = (picked.where(at_lo | at_hi).groupBy(*keys, "q")
+              .agg(F.max(F.when(at_lo, F.col("v"))).alias("_mr_lo"), F.max(F.when(at_hi, F.col("v"))).alias("_mr_hi"),
+                   F.max(pos - lo).alias("_mr_frac")))
     value = F.col("_mr_lo") + F.col("_mr_frac") * (F.col("_mr_hi") - F.col("_mr_lo"))
     return picked.select(*keys, "q", value.alias("value"))
 
@@ -215,14 +257,12 @@ def quantile_values(df: DataFrame, spec: dict[str, Sequence[float]],
 
     Used to inject statistics as literals, so the consuming plan does not
     embed (and replay) the statistics' own plan."""
-    with scope():
-        row = quantile_row(df, spec, num_partitions=num_partitions).first()
+    row = quantile_row(df, spec, num_partitions=num_partitions).first()
     return row.asDict() if row is not None else {}
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
-    """Write a small statistics table (per-group quantiles, counts) to the
-    session's shared checkpoint folder and read it back, cutting its lineage."""
+    """Write a statistics table (per-group quantiles, counts) to the session's
+    shared checkpoint folder and read it back, cutting its lineage."""
     from memberrisk.session import write_table
-    with scope():
-        return write_table(df, "stats")
+    return write_table(df, "stats")

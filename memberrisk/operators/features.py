@@ -2,9 +2,9 @@
 trend, demographic features and the proxy risk label.
 
 The trend features need each client's rows in (period, account) order. They
-use the skew-safe exact row number (no per-client window), a self-join on the
-unique key (client, ordinal - 1) for the month-over-month delta, and a
-grouped ``regr_slope`` (partially aggregated) for the least-squares slope.
+use the skew-safe exact row number (no per-client window) with the previous
+row's balance for the month-over-month delta, and a grouped ``regr_slope``
+(partially aggregated) for the least-squares slope.
 """
 
 from __future__ import annotations
@@ -60,13 +60,11 @@ def transaction_features(df: DataFrame) -> DataFrame:
 def trend_table(df: DataFrame) -> DataFrame:
     """W1 + W2 per (client, account, period): balance delta to the client's
     previous row (first row -> 0) and the least-squares slope of the
-    client's balances over the row ordinal (n < 2 or constant -> 0)."""
+    client's balances over the row ordinal (n < 2 or constant -> 0). One
+    range shuffle numbers the rows and brings the previous balance; the slope
+    is pre-aggregated per client."""
     base = df.select(*S.KEYS, "saldo_disponible")
-    num = R.row_number(base, ["periodo", "v_ah_cuenta"], by=[S.CLIENT], out="_ord")
-    prev = num.select(S.CLIENT, (F.col("_ord") + 1).alias("_ord"), F.col("saldo_disponible").alias("_prev"))
-    delta = (num.join(prev, [S.CLIENT, "_ord"], "left")
-                .select(*S.KEYS, F.coalesce(F.col("saldo_disponible") - F.col("_prev"), F.lit(0.0))
-                        .alias("delta_saldo_mensual")))
+    num = R.row_number(base, ["periodo", "v_ah_cuenta"], by=[S.CLIENT], out="_ord", lag=("saldo_disponible", "_prev"))
     y, x = F.col("saldo_disponible"), (F.col("_ord") - 1).cast("double")
     slope = num.groupBy(S.CLIENT).agg(
         F.count(F.lit(1)).alias("_n"), F.min(y).alias("_lo"), F.max(y).alias("_hi"),
@@ -75,12 +73,13 @@ def trend_table(df: DataFrame) -> DataFrame:
     slope = slope.select(S.CLIENT, F.when(flat, F.lit(0.0))
                          .otherwise(F.coalesce(X.rnd(F.col("_slope"), TREND_DECIMALS), F.lit(0.0)))
                          .alias("tendencia_saldo"))
-    return delta.join(slope, S.CLIENT, "inner")
+    delta = num.select(*S.KEYS, F.coalesce(y - F.col("_prev"), F.lit(0.0)).alias("delta_saldo_mensual"))
+    return X.join_null_safe(delta, slope, [S.CLIENT])
 
 
 def trend_features(df: DataFrame) -> DataFrame:
     cols = df.columns
-    out = df.join(trend_table(df), list(S.KEYS), "left")
+    out = X.join_null_safe(df, trend_table(df), S.KEYS)
     return out.select(*cols, "delta_saldo_mensual", "tendencia_saldo")
 
 
@@ -127,6 +126,7 @@ def feature_pipeline(df: DataFrame) -> DataFrame:
 
 # --- model-input helpers ------------------------------------------------------
 
+# Fixed values of the source system: substrings of columns that are no features.
 FEATURE_DENY_PATTERNS = (
     "v_ah_cliente", "v_ah_cuenta", "v_ah_nombre", "cliente",
     "fecha_", "v_fecha_", "periodo", "tipo_cuenta", "nacionalidad",
@@ -143,6 +143,15 @@ def feature_columns(df: DataFrame) -> list[str]:
             and not any(p in f.name for p in FEATURE_DENY_PATTERNS)]
 
 
+#: Inputs of the proxy label (P24); a model that sees them learns the rule itself (Q16).
+LABEL_INPUTS = ("saldo_disponible", "dias_sin_movimiento", "credito")
+
+
+def drop_label_inputs(columns: list[str]) -> list[str]:
+    """P26 variant (Q16): the feature columns without the label's own inputs."""
+    return [c for c in columns if c not in LABEL_INPUTS]
+
+
 def scrub_features(df: DataFrame, columns: list[str]) -> DataFrame:
     """+-inf / NaN / null -> 0.0 on the model columns."""
     return df.withColumns({c: X.finite_or_zero(c) for c in columns})

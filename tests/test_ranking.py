@@ -3,19 +3,11 @@ including with one group holding most rows."""
 import numpy as np
 import pandas as pd
 
-import pytest
+from pyspark.sql import functions as F
 
 from memberrisk.functions import ranking as R
 
 
-@pytest.fixture(params=["window", "range"], autouse=True)
-def histogram_path(request, monkeypatch):
-    """Run every test on both histogram paths (small window / range cut)."""
-    if request.param == "range":
-        monkeypatch.setattr(R, "SMALL_HISTOGRAM_ROWS", 0)
-    return request.param
-
-
 def _data(n=6000, seed=3):
     rng = np.random.default_rng(seed)
     pdf = pd.DataFrame({"g": rng.integers(0, 4, n), "v": np.round(rng.normal(0, 5, n), 1), "id": np.arange(n)})
@@ -55,8 +47,42 @@ def test_quantile_values_empty_is_none(spark):
     assert R.quantile_values(df, {"v": [0.5]}).get("v_q50") is None
 
 
+def test_null_keys_and_previous_rows(spark):
+    pdf = _data(900)
+    pdf["g"] = pdf["g"].astype("Int64")
+    pdf.loc[pdf.index % 5 == 0, "g"] = None
+    rows = [(None if pd.isna(g) else int(g), float(v), int(i)) for g, v, i in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "g long, v double, id long").repartition(9)
+    got = R.row_number(df, ["v", "id"], by=["g"], num_partitions=7, lag=("id", "prev")).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for g in {r[0] for r in rows}:
+        last = None
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+            want[r[2]] = (n, last)
+            last = r[2]
+    assert {r["id"]: (r["rn"], r["prev"]) for r in got} == want
+    alone = R.row_number(df, ["id"], num_partitions=5).collect()
+    assert sorted(r["rn"] for r in alone) == list(range(1, len(rows) + 1)) and all(r["rn"] == r["id"] + 1 for r in alone)
+
+
+def test_value_bins_keep_the_order(spark):
+    values = sorted([0.0, -0.0, 1e-12, -1e-12, 0.5, -0.5, 1.0, 3.7, -3.7, 1e9, -1e9, 1e300, -1e300, float("inf"), float("-inf")])
+    df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "v double, i int")
+    bins = [r["b"] for r in df.select("i", R.value_bin(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert bins == sorted(bins)
+
+
+def test_nothing_stays_cached(spark):
+    df = spark.createDataFrame(_data(500))
+    R.row_number(df, ["v", "id"], by=["g"]).count()
+    R.percent_rank_avg(df, "v", "pr").count()
+    R.quantile_row(df, {"v": [0.5]}).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_no_single_task_window(spark):
     """The ranking plan never uses a window without partition keys on rows."""
     df = spark.createDataFrame(_data())
-    plan = R.row_number(df, ["v", "id"], by=["g"])._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    for out in (R.row_number(df, ["v", "id"], by=["g"]), R.percent_rank_avg(df, "v", "pr", by=["g"]), R.quantiles(df, ["v"], [0.5])):
+        assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
