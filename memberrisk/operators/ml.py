@@ -13,6 +13,11 @@ independent of partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,7 @@ from memberrisk.functions import exprs as X
 from memberrisk.functions import ranking as R
 
 SEED = 42
+# Fixed values of the source system: split, model and segment settings and the segments' texts.
 TEST_SIZE = 0.25
 GRADE_CUTS = ((800, "A"), (650, "B"), (500, "C"), (350, "D"))
 RF_PARAMS = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, "seed": SEED}
@@ -28,6 +34,8 @@ LR_MAX_ITER = 1000
 K_RANGE = (3, 8)
 KMEANS_RESTARTS = 10
 KMEANS_MAX_ITER = 300
+DEFAULT_K = 4
+KMEANS_AT_ONCE = 6
 CLUSTER_NAMES = ("Recuperable fácil", "Negociación", "Pre-jurídico", "Castigo potencial")
 COLLECTION_STRATEGIES = {
     "Recuperable fácil": "Recordatorio SMS/email + llamada amable. Alta probabilidad de pago voluntario.",
@@ -41,6 +49,9 @@ CHANNELS = {"Recuperable fácil": "whatsapp", "Negociación": "llamada", "Pre-ju
 DEFAULT_CHANNEL = "llamada"
 
 
+SPLIT_DIGITS = 4  # of the md5 key, counted to find a class's cut-off
+
+
 def draw(tag: str, i: Column) -> Column:
     """Uniform [0, 1) draw from md5('42|tag|i')."""
     h = F.md5(F.concat_ws("|", F.lit(str(SEED)), F.lit(tag), i.cast("string")))
@@ -55,14 +66,29 @@ def split_key() -> Column:
 
 def stratified_split(df: DataFrame, label: str = "riesgo_alto", test_size: float = TEST_SIZE) -> DataFrame:
     """M1: in each class the round-half-even(test_size x n_class) rows with
-    the smallest md5 key form the test set (exact strata). The per-class
-    rank uses the skew-safe exact row number (a class may hold most rows)."""
+    the smallest (md5 key, account, period) form the test set (exact strata).
+
+    The rows do not move: the class's cut-off key is found by counting the
+    first four digits of the keys and ranking only the rows of the digits that
+    hold it, and each row is compared with that key."""
+    order = ("_k", "v_ah_cuenta", "periodo")
     keyed = df.withColumn("_k", split_key())
-    ranked = R.row_number(keyed, ["_k", "v_ah_cuenta", "periodo"], by=[label], out="_rk")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
-    out = ranked.join(F.broadcast(sizes), label)  # one row per class (2)
-    n_test = X.rnd(F.col("_n") * test_size, 0)
-    return out.withColumn("split", F.when(F.col("_rk") <= n_test, "test").otherwise("train")).drop("_k", "_rk", "_n")
+    narrow = keyed.select(label, *order).withColumn("_p", F.substring("_k", 1, SPLIT_DIGITS))
+    digits = narrow.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n"))  # at most 16**4 rows a class
+    one = Window.partitionBy(label)
+    digits = digits.select(
+        label, "_p", "_n", F.sum("_n").over(one).alias("_total"),
+        F.coalesce(F.sum("_n").over(one.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    n_test = X.rnd(F.col("_total") * test_size, 0)
+    holds = R.materialize_small(digits.where((F.col("_before") < n_test) & (n_test <= F.col("_before") + F.col("_n")))
+                                .select(label, "_p", (n_test - F.col("_before")).alias("_rank")))  # one row a class
+    near = X.join_null_safe(narrow, F.broadcast(holds), [label, "_p"], "inner")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    cut = R.materialize_small(near.withColumn("_rk", rank).where(F.col("_rk") == F.col("_rank"))
+                              .select(label, F.struct(*order).alias("_cut")))
+    out = X.join_null_safe(keyed, F.broadcast(cut), [label])
+    test = F.coalesce(F.struct(*order) <= F.col("_cut"), F.lit(False))
+    return out.withColumn("split", F.when(test, "test").otherwise("train")).drop("_k", "_cut")
 
 
 def class_counts(df: DataFrame, label: str = "riesgo_alto", by: str | None = None) -> DataFrame:
@@ -85,11 +111,13 @@ def random_oversample(train: DataFrame, label: str = "riesgo_alto") -> DataFrame
     base = train.withColumn("is_synthetic", F.lit(False)).withColumn("source_rank", F.lit(None).cast("long"))
     if need <= 0:
         return base
-    mins = R.row_number(train.where(F.col(label) == minority), ["v_ah_cuenta", "periodo"], out="_rn")
-    picks = spark.range(need).select(F.floor(draw("base", F.col("id")) * m).cast("long").alias("_rn0"))
-    copies = (picks.join(mins.withColumn("_rn0", F.col("_rn") - 1), "_rn0")
-                   .withColumn("is_synthetic", F.lit(True)).withColumn("source_rank", F.col("_rn0"))
-                   .drop("_rn0", "_rn"))
+    rows = train.where(F.col(label) == minority)
+    keys = [c for c in ("v_ah_cliente", "v_ah_cuenta", "periodo") if c in train.columns]
+    mins = R.row_number(rows.select(*keys), ["v_ah_cuenta", "periodo"], out="_rn")  # keys alone are ranked
+    picks = spark.range(need).select((F.floor(draw("base", F.col("id")) * m) + 1).cast("long").alias("_rn"))
+    drawn = picks.join(mins, "_rn").withColumn("_src", F.col("_rn") - 1).drop("_rn")
+    copies = (X.join_null_safe(drawn, rows, keys, "inner").withColumn("is_synthetic", F.lit(True))
+              .withColumnRenamed("_src", "source_rank"))
     return base.unionByName(copies.select(*base.columns))
 
 
@@ -107,39 +135,43 @@ def balanced_dataset(df: DataFrame, label: str = "riesgo_alto") -> DataFrame:
 
 def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """M8: accuracy, precision, recall, F1 (zero division -> 0) and ROC AUC by
-    the rank-sum formula with average ranks (ties)."""
-    pred = (F.col(score) >= threshold).cast("int")
+    the rank-sum formula with average ranks (ties). One pass over the input:
+    everything follows from the class counts of each distinct score."""
     y = F.col(label)
-    conf = df.agg(F.count(F.lit(1)).alias("n"), F.count_if((pred == 1) & (y == 1)).alias("tp"),
-                  F.count_if((pred == 1) & (y == 0)).alias("fp"), F.count_if((pred == 0) & (y == 1)).alias("fn"),
-                  F.count_if((pred == 0) & (y == 0)).alias("tn"))
-    ranked = R.percent_rank_avg(df.select(label, score), score, "_pr")
-    auc = ranked.agg(F.sum(F.when(y == 1, F.col("_pr"))).alias("_sp"), F.count_if(y == 1).alias("_np"),
-                     F.count_if(y == 0).alias("_nn"), F.count(F.lit(1)).alias("_nt"))
-    rank_sum = F.col("_sp") * F.col("_nt")
+    hist = R.materialize_small(df.groupBy(F.col(score).alias("_s")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(y == 1).alias("_p"), F.count_if(y == 0).alias("_z")))
+    yes, no = F.col("_s") >= threshold, F.col("_s") < threshold
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    conf = hist.agg(total(F.col("_n")).alias("n"), total(F.when(yes, F.col("_p"))).alias("tp"),
+                    total(F.when(yes, F.col("_z"))).alias("fp"), total(F.when(no, F.col("_p"))).alias("fn"),
+                    total(F.when(no, F.col("_z"))).alias("tn"), total(F.col("_p")).alias("_np"), total(F.col("_z")).alias("_nn"))
+    ranked = R.rank_counts(hist.where(F.col("_s").isNotNull()), "_s", [], "_n")
+    ranks = ranked.agg(F.sum(F.col("_p") * (F.col("_mr_before") + (F.col("_n") + 1) / F.lit(2.0))).alias("_sum"))
     auc_v = F.when((F.col("_np") > 0) & (F.col("_nn") > 0),
-                   (rank_sum - F.col("_np") * (F.col("_np") + 1) / 2.0) / (F.col("_np") * F.col("_nn")))
+                   (F.col("_sum") - F.col("_np") * (F.col("_np") + 1) / 2.0) / (F.col("_np") * F.col("_nn")))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     precision = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     recall = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
     f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
-    a = X.one_row(auc)
-    conf = conf.withColumns({k: a[k] for k in ("_sp", "_np", "_nn", "_nt")})
-    return conf.select(
-        "n", "tp", "fp", "fn", "tn", ((tp + F.col("tn")) / F.col("n")).alias("accuracy"),
+    return conf.withColumn("_sum", X.one_row(ranks)["_sum"]).select(
+        "n", "tp", "fp", "fn", "tn", F.when(F.col("n") > 0, (tp + F.col("tn")) / F.col("n")).alias("accuracy"),
         precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), auc_v.alias("auc_roc"))
 
 
 def class_report(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """M9: per-class precision/recall/F1/support, macro and weighted averages."""
-    pred = (F.col(score) >= threshold).cast("int")
-    y = F.col(label)
+    """M9: per-class precision/recall/F1/support, macro and weighted averages,
+    all from one count of (label, prediction)."""
+    counts = R.materialize_small(df.groupBy(F.col(label).alias("y"), (F.col(score) >= threshold).cast("int").alias("pred"))
+                                 .agg(F.count(F.lit(1)).alias("n")))  # a row a combination
+    y, pred = F.col("y"), F.col("pred")
     rows = []
     for c in (0, 1):
-        tp = F.count_if((pred == c) & (y == c))
-        pp = F.count_if(pred == c)
-        sup = F.count_if(y == c)
-        rows.append(df.agg(F.lit(str(c)).alias("class"), tp.alias("tp"), pp.alias("pp"), sup.alias("support")))
+        total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+        rows.append(counts.agg(F.lit(str(c)).alias("class"), total((pred == c) & (y == c)).alias("tp"),
+                               total(pred == c).alias("pp"), total(y == c).alias("support")))
     per = rows[0].unionByName(rows[1])
     per = per.select(
         "class", "support",
@@ -151,7 +183,7 @@ def class_report(df: DataFrame, label: str, score: str, threshold: float = 0.5)
     macro = per.agg(F.lit("macro avg").alias("class"), tot.alias("support"), F.avg("precision").alias("precision"),
                     F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
     weighted = per.agg(F.lit("weighted avg").alias("class"), tot.alias("support"),
-                       *[(F.sum(F.col(m) * F.col("support")) / tot).alias(m) for m in ("precision", "recall", "f1")])
+                       *[F.when(tot > 0, F.sum(F.col(m) * F.col("support")) / tot).alias(m) for m in ("precision", "recall", "f1")])
     return per.unionByName(macro).unionByName(weighted)
 
 
@@ -175,11 +207,11 @@ def risk_level(score: Column) -> Column:
 
 # --- M13 / M17 -------------------------------------------------------------------------
 
-def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - mean) / population std (std 0 -> 1); one aggregate pass,
-    the 1-row statistics broadcast."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+def standardize(df: DataFrame, columns: list[str], like: DataFrame | None = None) -> DataFrame:
+    """(x - mean) / population std (std 0 -> 1) of ``like`` (default: the
+    rows themselves); one aggregate pass, its one row a scalar subquery."""
+    stats = (df if like is None else like).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
+                                               *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     st = X.one_row(stats)
     scaled = {c: (F.col(c) - st[f"_m_{c}"]) / F.coalesce(F.when(st[f"_s_{c}"] != 0, st[f"_s_{c}"]), F.lit(1.0))
               for c in columns}
@@ -192,13 +224,35 @@ def cluster_naming(scaled: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     ``Segmento i``. Ties by cluster id."""
     scores = scaled.groupBy(cluster).agg(
         (-F.avg("saldo_efectivo") + F.avg("dias_sin_movimiento")).alias("cluster_score"))
-    ranked = R.row_number(scores, ["cluster_score", cluster], out="_pos")
+    ranked = scores.withColumn("_pos", F.row_number().over(Window.orderBy("cluster_score", cluster)))  # a row a cluster
     names = F.array(*[F.lit(n) for n in CLUSTER_NAMES])
     name = F.when(F.col("_pos") <= len(CLUSTER_NAMES), F.element_at(names, F.col("_pos").cast("int"))) \
             .otherwise(F.concat(F.lit("Segmento "), F.col("_pos").cast("string")))
     return ranked.select(cluster, "cluster_score", F.col("_pos").alias("rank"), name.alias("cluster_name"))
 
 
+#: The dashboard's channels and the segments that each counts.
+CHANNEL_NAMES = ("whatsapp", "llamada", "legal")
+
+
+def channel_counts(named: DataFrame) -> DataFrame:
+    """Members per collection channel. Only the four named segments count;
+    a channel without members has 0."""
+    cells = F.array(*[F.struct(F.lit(ch).alias("channel"), F.count_if(F.col("cluster_name").isin(
+        *[n for n in CLUSTER_NAMES if CHANNELS[n] == ch])).alias("n_socios")) for ch in CHANNEL_NAMES])
+    return named.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
+def cluster_profiles(named: DataFrame) -> DataFrame:
+    """Size, share and raw means of each named cluster."""
+    total = X.one_row(named.agg(F.count(F.lit(1)).alias("n")))["n"]
+    return (named.groupBy("cluster_id", "cluster_name").agg(
+        F.count(F.lit(1)).alias("n_socios"), X.rnd(F.avg("saldo_disponible"), 2).alias("avg_saldo"),
+        X.rnd(F.avg("ingresos"), 2).alias("avg_ingresos"), X.rnd(F.avg("raw_idle_days"), 1).alias("avg_dias_inactivo"))
+        .withColumn("pct_total", X.rnd(F.col("n_socios") / total * 100, 1))
+        .withColumn("strategy", strategy(F.col("cluster_name"))))
+
+
 def strategy(name: Column) -> Column:
     m = F.create_map(*[F.lit(x) for kv in COLLECTION_STRATEGIES.items() for x in kv])
     return F.coalesce(F.element_at(m, name), F.lit(DEFAULT_STRATEGY))
@@ -222,7 +276,7 @@ def fit_credit_model(train: DataFrame, columns: list[str], label: str = "riesgo_
     regParam = 1 / (C x n_train)) on the balanced training rows."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     data = assemble(train, columns).select("features", F.col(label).cast("double").alias("label"))
-    data = data.persist()
+    data = R.materialize_small(data)
     n = data.count()
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", probabilityCol="p_rf",
                                 rawPredictionCol="raw_rf", predictionCol="pred_rf", **RF_PARAMS).fit(data)
@@ -230,7 +284,6 @@ def fit_credit_model(train: DataFrame, columns: list[str], label: str = "riesgo_
                             rawPredictionCol="raw_lr", predictionCol="pred_lr", maxIter=LR_MAX_ITER,
                             regParam=1.0 / (LR_C * max(n, 1)), elasticNetParam=0.0,
                             standardization=False).fit(data)
-    data.unpersist()
     return rf, lr
 
 
@@ -257,126 +310,137 @@ def feature_importances(rf, columns: list[str], spark, n: int = 10) -> DataFrame
 
 
 def kmeans_search(features: DataFrame, columns: list[str], k_range=K_RANGE, restarts: int = KMEANS_RESTARTS,
-                  max_iter: int = KMEANS_MAX_ITER):
+                  max_iter: int = KMEANS_MAX_ITER, at_once: int = KMEANS_AT_ONCE):
     """For each k keep the restart with the lowest training cost,
     score it by silhouette (squared Euclidean, O(n)); best silhouette wins,
-    lower k on ties. Returns (best_model, summary DataFrame)."""
+    lower k on ties, ``DEFAULT_K`` when no k has a silhouette. Restarts run
+    ``at_once`` together over one cached vector table, which is released at the
+    end. Returns (best_model, summary DataFrame)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     data = assemble(features, columns).select("features").persist()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows, best = [], None
-    for k in range(k_range[0], k_range[1] + 1):
-        fitted = None
-        for r in range(restarts):
-            model = KMeans(k=k, seed=SEED + r, maxIter=max_iter, featuresCol="features").fit(data)
-            cost = model.summary.trainingCost
-            if fitted is None or cost < fitted[1]:
-                fitted = (model, cost)
-        model, cost = fitted
-        pred = model.transform(data)
-        n_clusters = model.summary.k
-        sil = evaluator.evaluate(pred) if n_clusters > 1 else None
-        rows.append((k, float(sil) if sil is not None else None, float(cost)))
-        if sil is not None and (best is None or sil > best[1]):
-            best = (model, sil, k)
-    data.unpersist()
+
+    def fit(task):
+        k, r = task
+        model = KMeans(k=k, seed=SEED + r, maxIter=max_iter, featuresCol="features").fit(data)
+        return k, r, model, model.summary.trainingCost
+
+    try:
+        data.count()
+        ks = range(k_range[0], k_range[1] + 1)
+        with ThreadPoolExecutor(at_once) as pool:
+            fits = list(pool.map(fit, [(k, r) for k in ks for r in range(restarts)]))
+        rows, best = [], None
+        for k in ks:
+            _, _, model, cost = min((f for f in fits if f[0] == k), key=lambda f: (f[3], f[1]))
+            n_clusters = model.summary.k
+            sizes = [s for s in model.summary.clusterSizes if s > 0]
+            sil = evaluator.evaluate(model.transform(data)) if n_clusters > 1 and len(sizes) > 1 else None
+            rows.append((k, float(sil) if sil is not None else None, float(cost)))
+            if sil is not None and (best is None or sil > best[1]):
+                best = (model, sil, k)
+        if best is None:  # no silhouette at all: the source system's default
+            model = fit((DEFAULT_K, 0))[2]
+            best = (model, None, DEFAULT_K)
+    finally:
+        data.unpersist()
     summary = features.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
-    return (best[0] if best else None), summary
+    return best[0], summary
 
 
-# --- M2: SMOTE with an exact, pruned neighbour search -----------------------------------
+# --- M2: SMOTE -------------------------------------------------------------------------
 
 SMOTE_K = 5
-SMOTE_BAND_BUCKETS = 32
+#: The labelled minority rows that SMOTE interpolates between, at most: those with the
+#: smallest md5 key. It bounds the rows the classifier is fitted from, not its output.
+SMOTE_MINORITY_ROWS = 20_000
 
 
-def _sq_dist(a: str, b: str, columns: list[str]) -> Column:
-    out = None
-    for c in columns:
-        term = (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}"))
-        out = term if out is None else out + term
-    return out
+def _points(points: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and features, by id, of at most ``SMOTE_MINORITY_ROWS`` points."""
+    rows = points.select("_id", *columns).limit(SMOTE_MINORITY_ROWS + 1).toPandas().sort_values("_id")
+    if len(rows) > SMOTE_MINORITY_ROWS:
+        raise ValueError(f"more than {SMOTE_MINORITY_ROWS} points: draw a sample first")
+    return rows["_id"].to_numpy(dtype=np.int64), rows[columns].to_numpy(dtype=np.float64)
 
 
 def minority_knn(points: DataFrame, columns: list[str], k: int, queries: DataFrame | None = None) -> DataFrame:
     """Exact k nearest neighbours (squared Euclidean, ties by id) of the query
-    ids among ``points`` (columns ``_id`` + features), without enumerating all
-    pairs:
-
-    1. r(x) = distance to a pivot (the point with the smallest id).
-    2. Each query's k-th distance among its 2k rank-neighbours in r order is
-       an upper bound ub(x) of its true k-th neighbour distance.
-    3. By the triangle inequality every true neighbour y has
-       |r(x) - r(y)| <= ub(x): a band join, evaluated as an equi-join on
-       r-buckets of a data-derived width.
-    4. Exact distances of the band candidates, ``row_number <= k`` per query
-       (planned with a partial WindowGroupLimit)."""
-    prow = points.orderBy("_id").limit(1).select(*columns).first()  # the pivot: one row
-    r = None
-    for c in columns:
-        t = (F.col(c) - F.lit(float(prow[c]))) * (F.col(c) - F.lit(float(prow[c])))
-        r = t if r is None else r + t
-    pts = points.withColumn("_r", F.sqrt(r))
-    ranked = R.row_number(pts, ["_r", "_id"], out="_ri")
-    q = ranked if queries is None else ranked.join(queries.select("_id"), "_id", "left_semi")
-    offsets = F.array(*[F.lit(j) for j in range(-k, k + 1) if j != 0])
-    near = q.select("_id", "_ri", F.explode(offsets).alias("_o")).select(
-        F.col("_id").alias("_qid"), (F.col("_ri") + F.col("_o")).alias("_ri"))
-    cand = near.join(ranked.select("_ri", F.col("_id").alias("_cid")), "_ri")
-    qa = q.select(F.col("_id").alias("_qid"), F.struct(*columns, "_r").alias("qa"))
-    ca = ranked.select(F.col("_id").alias("_cid"), F.struct(*columns, "_r").alias("ca"))
-    d0 = cand.join(qa, "_qid").join(ca, "_cid").withColumn("_d2", _sq_dist("qa", "ca", columns))
-    w0 = Window.partitionBy("_qid").orderBy("_d2", "_cid")
-    ub = (d0.withColumn("_k", F.row_number().over(w0)).where(F.col("_k") == k)
-            .select("_qid", (F.sqrt("_d2") * F.lit(1 + 1e-9) + F.lit(1e-9)).alias("_ub")))
-    # bucket width = max(ub) / SMOTE_BAND_BUCKETS: each query emits at most
-    # 2 * SMOTE_BAND_BUCKETS + 1 buckets whatever the spread of the bounds
-    width = X.one_row(ub.agg(F.greatest(F.max("_ub") / SMOTE_BAND_BUCKETS, F.lit(1e-9)).alias("w")))["w"]
-    qb = (q.select(F.col("_id").alias("_qid"), "_r", F.struct(*columns, "_r").alias("qa")).join(ub, "_qid")
-            .withColumn("_b", F.explode(F.sequence(F.floor((F.col("_r") - F.col("_ub")) / width),
-                                                   F.floor((F.col("_r") + F.col("_ub")) / width))))
-            .drop("_r"))
-    pb = pts.select(F.col("_id").alias("_cid"), F.floor(F.col("_r") / width).alias("_b"),
-                    F.struct(*columns, "_r").alias("ca"))
-    band = (qb.join(pb, "_b")
-              .where((F.col("_cid") != F.col("_qid")) & (F.abs(F.col("qa._r") - F.col("ca._r")) <= F.col("_ub")))
-              .withColumn("_d2", _sq_dist("qa", "ca", columns)))
-    w = Window.partitionBy("_qid").orderBy("_d2", "_cid")
-    return (band.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
-                .select(F.col("_qid").alias("_id"), "nn_rank", F.col("_cid").alias("nn_id"), "_d2"))
+    ids among at most ``SMOTE_MINORITY_ROWS`` points (``_id`` + features).
+
+    The points are broadcast as arrays (their number is checked); each task
+    takes a share of the queries, block by block, and keeps k of each."""
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast(_points(points, columns))
+    ids = (points if queries is None else queries).select("_id")
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, x = shared.value
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                block = batch["_id"].to_numpy()[i:i + 256]
+                at = np.searchsorted(known, block)
+                d2 = np.zeros((len(at), len(known)))
+                for c in range(x.shape[1]):  # summed in column order
+                    diff = x[at, c][:, None] - x[None, :, c]
+                    d2 += diff * diff
+                d2[np.arange(len(at)), at] = np.inf
+                far = np.partition(d2, k - 1, axis=1)[:, k - 1]
+                for q, row, limit in zip(block, d2, far):
+                    near = np.flatnonzero(row <= limit)
+                    near = near[np.argsort(row[near], kind="stable")][:k]
+                    yield pd.DataFrame({"_id": q, "nn_rank": np.arange(1, len(near) + 1, dtype=np.int32),
+                                        "nn_id": known[near], "_d2": row[near]})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ids.repartition(parts, "_id").mapInPandas(nearest, "_id long, nn_rank int, nn_id long, _d2 double")
 
 
 def smote(train: DataFrame, columns: list[str], label: str = "riesgo_alto", k: int = SMOTE_K) -> DataFrame:
     """M2: synthetic minority rows until both classes are equal. Synthetic i
     takes base row floor(draw('base', i) * m) of the minority class (in
     account, period order), its neighbour of rank 1 + floor(draw('nn', i) * k)
-    and gap u = draw('u', i): x + u * (nn - x) on every feature. k is reduced
-    to m - 1 when the minority class is small; fewer than 2 minority rows
-    fall back to random over-sampling (M3). Returns the synthetic rows only
-    (synthetic index, base and neighbour ids, feature columns, label)."""
+    and gap u = draw('u', i): x + u * (nn - x) on every feature. Beyond
+    ``SMOTE_MINORITY_ROWS`` minority rows, m of them are used, drawn by md5 key.
+    k is reduced to m - 1 when the minority class is small; fewer than 2
+    minority rows give no synthetic rows (M3 is the fallback). Returns the
+    synthetic rows only (synthetic index, base and neighbour ids, feature
+    columns, label)."""
     spark = train.sparkSession
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    empty = "synthetic_id long, base_id long, nn_id long, " + ", ".join(f"`{c}` double" for c in columns)
+    shape = "synthetic_id long, base_id long, nn_id long, " + ", ".join(f"`{c}` double" for c in columns)
     if len(counts) < 2:
-        return spark.createDataFrame([], empty + f", `{label}` int")
+        return spark.createDataFrame([], shape + f", `{label}` int")
     minority = min(counts, key=lambda c: (counts[c], -c))
     majority = max(counts, key=lambda c: (counts[c], -c))
-    m, need = counts[minority], counts[majority] - counts[minority]
+    need, m = counts[majority] - counts[minority], min(counts[minority], SMOTE_MINORITY_ROWS)
     if need <= 0 or m < 2:
-        return spark.createDataFrame([], empty + f", `{label}` int")
+        return spark.createDataFrame([], shape + f", `{label}` int")
     k = min(k, m - 1)
-    mins = R.row_number(train.where(F.col(label) == minority), ["v_ah_cuenta", "periodo"], out="_rn")
-    pts = mins.select((F.col("_rn") - 1).alias("_id"), *[F.col(c).cast("double").alias(c) for c in columns])
+    drawn = (train.where(F.col(label) == minority)
+             .select(split_key().alias("_k"), "v_ah_cuenta", "periodo", *[F.col(c).cast("double").alias(f"_x_{c}") for c in columns])
+             .orderBy("_k", "v_ah_cuenta", "periodo").limit(SMOTE_MINORITY_ROWS))
+    order = Window.orderBy("v_ah_cuenta", "periodo")  # over at most SMOTE_MINORITY_ROWS rows
+    pts = R.materialize_small(drawn.select((F.row_number().over(order) - 1).cast("long").alias("_id"),
+                                           *[F.col(f"_x_{c}").alias(c) for c in columns]))
+    near = minority_knn(pts, columns, k).select("_id", "nn_rank", "nn_id").toPandas()  # k rows a point
+    _, x = _points(pts, columns)
+    table = np.zeros((m, k), np.int64)
+    table[near["_id"], near["nn_rank"] - 1] = near["nn_id"]
+    shared = spark.sparkContext.broadcast((x, table))
     i = F.col("id")
     picks = spark.range(need).select(
         i.alias("_syn"), F.floor(draw("base", i) * m).cast("long").alias("_id"),
         (F.floor(draw("nn", i) * k) + 1).cast("int").alias("nn_rank"), draw("u", i).alias("_u"))
-    nn = minority_knn(pts, columns, k, queries=picks.select("_id").distinct())
-    base = pts.select("_id", *[F.col(c).alias(f"_x_{c}") for c in columns])
-    other = pts.select(F.col("_id").alias("nn_id"), *[F.col(c).alias(f"_n_{c}") for c in columns])
-    j = picks.join(nn.select("_id", "nn_rank", "nn_id"), ["_id", "nn_rank"]).join(base, "_id").join(other, "nn_id")
-    return j.select(F.col("_syn").alias("synthetic_id"), F.col("_id").alias("base_id"), "nn_id",
-                    *[(F.col(f"_x_{c}") + F.col("_u") * (F.col(f"_n_{c}") - F.col(f"_x_{c}"))).alias(c)
-                      for c in columns],
-                    F.lit(minority).cast(train.schema[label].dataType).alias(label))
+
+    def interpolate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, table = shared.value
+        for b in batches:
+            base = b["_id"].to_numpy()
+            other = table[base, b["nn_rank"].to_numpy() - 1]
+            made = x[base] + b["_u"].to_numpy()[:, None] * (x[other] - x[base])
+            yield pd.concat([pd.DataFrame({"synthetic_id": b["_syn"].to_numpy(), "base_id": base, "nn_id": other}),
+                             pd.DataFrame(made, columns=columns)], axis=1)
+
+    return picks.mapInPandas(interpolate, shape).withColumn(label, F.lit(minority).cast(train.schema[label].dataType))

@@ -5,12 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memberrisk.operators import analyzers as A
 from memberrisk.operators import features as FE
 from memberrisk.operators import ml as M
 from memberrisk.plans import q_analyzers as QA
 from memberrisk.plans.q_prepare import CLUSTER_FEATURES
-from memberrisk.plans.registry import register
+from memberrisk.plans.registry import REGISTRY, register
 
 KEYS = ["v_ah_cliente", "v_ah_cuenta", "periodo"]
 
@@ -54,11 +53,40 @@ def credit_scores(h):
 def scaled_last(h):
     def build():
         last = FE.scrub_features(h.last_period(), CLUSTER_FEATURES)
-        return M.standardize(last.select(*KEYS, "prod_bancario", "saldo_disponible", "ingresos",
-                                         *CLUSTER_FEATURES), CLUSTER_FEATURES)
+        last = last.select(*KEYS, "prod_bancario", "saldo_disponible", "ingresos",
+                           F.col("dias_sin_movimiento").alias("raw_idle_days"), *CLUSTER_FEATURES)
+        return M.standardize(last, CLUSTER_FEATURES)
     return h.memo("scaled_last", build)
 
 
+def with_member_features(df, cols):
+    """Model inputs of a request row: its own fields over the member's stored
+    row (struct ``member`` of ``decide.assess``), nulls and non-finite -> 0."""
+    own = set(df.columns)
+    stored = set(df.schema["member"].dataType.fieldNames())
+    new = {c: F.coalesce(*([F.col(c).cast("double")] if c in own else []),
+                         *([F.col(f"member.{c}").cast("double")] if c in stored else [F.lit(None).cast("double")])) for c in cols}
+    return FE.scrub_features(df.withColumns(new), cols)
+
+
+def score_requests(h, df):
+    """M12 on rows that hold the model columns."""
+    return M.score_credit(df, credit_models(h), model_columns(h))
+
+
+def assign_requests(h, df):
+    """Each request's cluster by its own features, scaled like the members'."""
+    model, _ = kmeans(h)
+    raw = FE.scrub_features(h.last_period(), CLUSTER_FEATURES)
+    rows = with_member_features(df, CLUSTER_FEATURES)
+    kept = rows.withColumns({f"_raw_{c}": F.col(c) for c in CLUSTER_FEATURES})
+    scaled = M.standardize(kept, CLUSTER_FEATURES, like=raw)
+    pred = model.transform(M.assemble(scaled, CLUSTER_FEATURES)).withColumnRenamed("prediction", "cluster_id").drop("features")
+    pred = pred.drop(*CLUSTER_FEATURES).withColumnsRenamed({f"_raw_{c}": c for c in CLUSTER_FEATURES})
+    names = clusters(h).select("cluster_id", "cluster_name").distinct()
+    return pred.join(F.broadcast(names), "cluster_id", "left")  # a row a cluster
+
+
 def kmeans(h):
     return h.memo("kmeans", lambda: M.kmeans_search(scaled_last(h), CLUSTER_FEATURES))
 
@@ -234,14 +262,24 @@ def q_grade_rate(h):
          .alias("tasa_riesgo_alto"))
 
 
+def _member_requests(h):
+    """Requests with the member's stored row beside them."""
+    from memberrisk.operators import decide as D
+    from memberrisk.plans import q_decide as QD
+    return D.overlay(h.requests(), QD.members(h))
+
+
 @register("credit_score_requests", kind="R")
 def q_credit_score_requests(h):
-    cols = model_columns(h)
-    last = A.latest_per_client(h.featured(), cols + ["riesgo_alto"])
-    req = h.requests().select("v_ah_cliente").join(last, "v_ah_cliente", "left")
-    req = FE.scrub_features(req, cols)
-    return M.score_credit(req, credit_models(h), cols).select("v_ah_cliente", "score", "grade",
-                                                              "probability_default", "risk_level")
+    """Requests scored on their own fields over the stored ones."""
+    df = with_member_features(_member_requests(h), model_columns(h))
+    return score_requests(h, df).select("request_id", "v_ah_cliente", "score", "grade", "probability_default", "risk_level")
+
+
+@register("cluster_assign_requests", kind="R")
+def q_cluster_assign_requests(h):
+    """M18 for every request."""
+    return assign_requests(h, _member_requests(h)).select("request_id", "v_ah_cliente", "cluster_id", "cluster_name")
 
 
 @register("kmeans_search", kind="R")
@@ -263,13 +301,42 @@ def q_cluster_assign(h):
 
 @register("cluster_profiles", kind="R")
 def q_cluster_profiles(h):
-    c = clusters(h)
-    tot = c.count()
-    return c.groupBy("cluster_id", "cluster_name").agg(
-        F.count(F.lit(1)).alias("n_socios"),
-        M.X.rnd(F.count(F.lit(1)) / F.lit(float(max(tot, 1))) * 100, 1).alias("pct_total"),
-        M.X.rnd(F.avg("saldo_disponible"), 2).alias("avg_saldo"), M.X.rnd(F.avg("ingresos"), 2).alias("avg_ingresos"),
-    ).withColumn("strategy", M.strategy(F.col("cluster_name")))
+    return M.cluster_profiles(clusters(h))
+
+
+def fixed_clusters(h):
+    """Members with product codes as clusters, named by M17: the reports on
+    clusters are checked exactly on these."""
+    names = M.cluster_naming(scaled_last(h).withColumnRenamed("prod_bancario", "cluster_id"))
+    rows = scaled_last(h).withColumn("cluster_id", F.col("prod_bancario"))
+    return rows.join(names.select("cluster_id", "cluster_name"), "cluster_id")
+
+
+_NAMED = """(SELECT l.saldo_disponible, l.ingresos, l.dias_sin_movimiento, n.cluster_id, n.cluster_name FROM lastp l
+    JOIN ({names}) n ON n.cluster_id = l.prod_bancario)"""
+_NAMED = _NAMED.format(names=REGISTRY["cluster_naming"].sql)
+
+
+@reg("cluster_profiles_fixed", f"""SELECT cluster_id, cluster_name, count(*) AS n_socios,
+    round_even(avg(saldo_disponible), 2) AS avg_saldo, round_even(avg(ingresos), 2) AS avg_ingresos,
+    round_even(avg(dias_sin_movimiento), 1) AS avg_dias_inactivo,
+    round_even(count(*) / (SELECT count(*) FROM {_NAMED}) * 100, 1) AS pct_total,
+    CASE cluster_name WHEN 'Recuperable fácil' THEN 'Recordatorio SMS/email + llamada amable. Alta probabilidad de pago voluntario.'
+      WHEN 'Negociación' THEN 'Contacto personalizado + oferta de reestructuración. Socio con capacidad pero requiere flexibilidad.'
+      WHEN 'Pre-jurídico' THEN 'Notificación formal + visita domiciliaria. Riesgo medio-alto, requiere acción inmediata.'
+      WHEN 'Castigo potencial' THEN 'Escalamiento a jurídico. Análisis de garantías. Provisión completa recomendada.'
+      ELSE 'Análisis individual requerido.' END AS strategy
+    FROM {_NAMED} GROUP BY cluster_id, cluster_name""")
+def q_cluster_profiles_fixed(h):
+    return M.cluster_profiles(fixed_clusters(h))
+
+
+@reg("channel_counts_fixed", f"""SELECT c.channel, count(n.cluster_name) AS n_socios
+    FROM (VALUES ('whatsapp', 'Recuperable fácil'), ('llamada', 'Negociación'), ('llamada', 'Pre-jurídico'),
+                 ('legal', 'Castigo potencial')) AS c(channel, cluster_name)
+    LEFT JOIN {_NAMED} n ON n.cluster_name = c.cluster_name GROUP BY c.channel""")
+def q_channel_counts_fixed(h):
+    return M.channel_counts(fixed_clusters(h))
 
 
 @register("cluster_distribution", kind="R")
@@ -279,49 +346,83 @@ def q_cluster_distribution(h):
 
 @register("channel_distribution", kind="R")
 def q_channel_distribution(h):
-    return (clusters(h).withColumn("channel", M.channel(F.col("cluster_name")))
-            .groupBy("channel").agg(F.count(F.lit(1)).alias("n_socios")))
-
-
-SMOTE_FIXTURE_COLUMNS = ["saldo_disponible", "dias_sin_movimiento"]
+    return M.channel_counts(clusters(h))
+
+
+# --- identities that hold for any fitted model -----------------------------------------
+
+@reg("model_identities", """SELECT (SELECT count(*) FROM split WHERE split = 'test') AS n_scored,
+    (SELECT count(*) FROM split WHERE split = 'test') AS n_graded, (SELECT count(*) FROM lastp) AS n_clustered,
+    (SELECT count(*) FROM lastp) AS n_in_profiles, 6 AS n_k, 0 AS n_bad_scores""")
+def q_model_identities(h):
+    """Counts that the fitted models must keep whatever they learn: the test set
+    is scored and graded whole, every latest-period row has one cluster, six k
+    are tried, scores and probabilities lie in range."""
+    scores = credit_scores(h)
+    bad = (F.col("score") < 0) | (F.col("score") > 1000) | (F.col("probability_default") < 0) | (F.col("probability_default") > 1) \
+        | F.col("score").isNull() | ~F.col("grade").isin("A", "B", "C", "D", "E")
+    one = scores.agg(F.count(F.lit(1)).alias("n_scored"), F.count("grade").alias("n_graded"), F.count_if(bad).alias("n_bad_scores"))
+    parts = [clusters(h).agg(F.count("cluster_name").alias("n_clustered")),
+             M.cluster_profiles(clusters(h)).agg(F.sum("n_socios").alias("n_in_profiles")),
+             kmeans(h)[1].agg(F.count(F.lit(1)).alias("n_k"))]
+    for part in parts:
+        one = one.withColumn(part.columns[0], M.X.one_row(part)[part.columns[0]])
+    return one
+
+
+SMOTE_FIXTURE_COLUMNS = ("saldo_disponible", "dias_sin_movimiento")
+# The model columns (P26) of the featured table, in its order.
+MODEL_COLUMNS = (
+    "saldo_disponible", "monto_bloq", "ult_tasa_int", "tiene_bloqueos", "bloqueo_encaje", "v24h", "val_de_creditos",
+    "val_de_debitos", "cooplinea", "tarjetas", "credito", "edad", "certificadosvalor", "ingresos", "egresos", "menor_edad",
+    "v12h", "v48h", "v72h_difer", "int_hoy", "int_acumulado", "saldo_int_decim", "oficina_cta", "prod_bancario",
+    "desviacion_maxima", "meses_actividad", "max_dias_mes", "min_dias_mes", "ecivil_S", "ecivil_C", "ecivil_D", "ecivil_V",
+    "ecivil_U", "ratio_ingreso_egreso", "flujo_neto", "saldo_efectivo", "ratio_bloqueo", "ratio_certificados_saldo",
+    "antiguedad_cuenta_dias", "dias_sin_movimiento", "dias_desde_actualizacion", "actividad_24h", "actividad_12h",
+    "volumen_total", "ratio_creditos_debitos", "delta_saldo_mensual", "tendencia_saldo", "grupo_etario", "es_menor",
+    "tiene_credito_activo", "tiene_tarjeta", "usa_cooplinea", "productos_digitales")
 _DRAW = "CAST(('0x' || substr(md5('42|{tag}|' || CAST({i} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
 
-SMOTE_CTES = {
-    "sm_tr": """SELECT s.v_ah_cuenta, s.periodo, s.riesgo_alto, f.saldo_disponible, f.dias_sin_movimiento
+
+def _smote_sql(columns) -> tuple[str, dict[str, str]]:
+    """M2 by brute force over ``columns``: final SELECT and its CTEs."""
+    clean = [f"CASE WHEN isnan(CAST(f.{c} AS DOUBLE)) OR isinf(CAST(f.{c} AS DOUBLE)) OR f.{c} IS NULL THEN 0.0 "
+             f"ELSE CAST(f.{c} AS DOUBLE) END AS x{i}" for i, c in enumerate(columns)]
+    dist = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(columns)))
+    ctes = {
+        "sm_tr": f"""SELECT s.v_ah_cuenta, s.periodo, s.riesgo_alto, {', '.join(clean)}
                 FROM split s JOIN featured f USING (v_ah_cliente, v_ah_cuenta, periodo) WHERE s.split = 'train'""",
-    "sm_cls": "SELECT riesgo_alto, count(*) AS n FROM sm_tr GROUP BY riesgo_alto",
-    "sm_min": "SELECT riesgo_alto AS c, n FROM sm_cls ORDER BY n, riesgo_alto DESC LIMIT 1",
-    "sm_maj": "SELECT riesgo_alto AS c, n FROM sm_cls ORDER BY n DESC, riesgo_alto LIMIT 1",
-    "sm_pts": """SELECT row_number() OVER (ORDER BY v_ah_cuenta, periodo) - 1 AS id,
-                CAST(saldo_disponible AS DOUBLE) AS x0, CAST(dias_sin_movimiento AS DOUBLE) AS x1
+        "sm_cls": "SELECT riesgo_alto, count(*) AS n FROM sm_tr GROUP BY riesgo_alto",
+        "sm_min": "SELECT riesgo_alto AS c, n FROM sm_cls ORDER BY n, riesgo_alto DESC LIMIT 1",
+        "sm_maj": "SELECT riesgo_alto AS c, n FROM sm_cls ORDER BY n DESC, riesgo_alto LIMIT 1",
+        "sm_pts": """SELECT row_number() OVER (ORDER BY v_ah_cuenta, periodo) - 1 AS id, *
                 FROM sm_tr WHERE riesgo_alto = (SELECT c FROM sm_min)""",
-    "sm_nn": """SELECT a.id, b.id AS nn_id, row_number() OVER (PARTITION BY a.id
-                  ORDER BY (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1), b.id) AS nn_rank
-                FROM sm_pts a JOIN sm_pts b ON a.id <> b.id""",
-    "sm_picks": f"""SELECT i AS synthetic_id,
+        "sm_nn": f"""SELECT id, nn_id, row_number() OVER (PARTITION BY id ORDER BY d, nn_id) AS nn_rank
+                FROM (SELECT a.id, b.id AS nn_id, {dist} AS d FROM sm_pts a JOIN sm_pts b ON a.id <> b.id)""",
+        "sm_picks": f"""SELECT i AS synthetic_id,
                 CAST(floor({_DRAW.format(tag='base', i='i')} * (SELECT n FROM sm_min)) AS BIGINT) AS id,
                 CAST(floor({_DRAW.format(tag='nn', i='i')} * least(5, (SELECT n FROM sm_min) - 1)) + 1 AS BIGINT) AS nn_rank,
                 {_DRAW.format(tag='u', i='i')} AS u
                 FROM (SELECT unnest(range(CAST(greatest((SELECT sm_maj.n - sm_min.n FROM sm_maj, sm_min), 0) AS BIGINT)))
                       AS i) WHERE (SELECT count(*) FROM sm_cls) > 1 AND (SELECT n FROM sm_min) >= 2""",
-}
+    }
+    made = ", ".join(f"x.x{i} + p.u * (y.x{i} - x.x{i}) AS {c}" for i, c in enumerate(columns))
+    return f"""SELECT p.synthetic_id, p.id AS base_id, n.nn_id, {made}, (SELECT c FROM sm_min) AS riesgo_alto
+        FROM sm_picks p JOIN sm_nn n ON n.id = p.id AND n.nn_rank = p.nn_rank
+        JOIN sm_pts x ON x.id = p.id JOIN sm_pts y ON y.id = n.nn_id""", {**CTES, **ctes}
 
 
-@register("smote", """SELECT p.synthetic_id, p.id AS base_id, n.nn_id,
-    x.x0 + p.u * (y.x0 - x.x0) AS saldo_disponible, x.x1 + p.u * (y.x1 - x.x1) AS dias_sin_movimiento,
-    (SELECT c FROM sm_min) AS riesgo_alto
-    FROM sm_picks p JOIN sm_nn n ON n.id = p.id AND n.nn_rank = p.nn_rank
-    JOIN sm_pts x ON x.id = p.id JOIN sm_pts y ON y.id = n.nn_id""", {**CTES, **SMOTE_CTES})
+@register("smote", *_smote_sql(SMOTE_FIXTURE_COLUMNS))
 def q_smote(h):
-    """M2 on a two-feature fixture (balance, idle days) of the training split:
-    exact against a brute-force neighbour search."""
+    """M2 on two features (balance, idle days) of the training split: exact
+    against a brute-force neighbour search."""
     train = split(h).where(F.col("split") == "train").select(*KEYS, "riesgo_alto", *SMOTE_FIXTURE_COLUMNS)
-    return M.smote(train, SMOTE_FIXTURE_COLUMNS)
+    return M.smote(train, list(SMOTE_FIXTURE_COLUMNS))
 
 
-@register("smote_full", kind="R")
+@register("smote_full", *_smote_sql(MODEL_COLUMNS))
 def q_smote_full(h):
-    """M2 on every model feature column of the training split (rows-only)."""
+    """M2 on every model feature column of the training split."""
     cols = model_columns(h)
     train = FE.scrub_features(split(h).where(F.col("split") == "train"), cols)
     return M.smote(train, cols)
