@@ -152,7 +152,7 @@ def early_warning(adults: DataFrame, stats: dict | None = None) -> DataFrame:
     balance trend and deviation, each normalised by global percentiles."""
     st = stats if stats is not None else early_warning_stats(adults)
     m = st["dias_sin_movimiento_q99"] or 1.0
-    lo, hi = st["tendencia_saldo_q1"], st["tendencia_saldo_q99"]
+    lo, hi = st["tendencia_saldo_q1"] or 0.0, st["tendencia_saldo_q99"] or 0.0  # null only without rows
     rng = (hi - lo) if hi != lo else 1.0
     v = st["desviacion_maxima_q99"] or 1.0
     inact = X.clip("dias_sin_movimiento", hi=float(m)) / _lit(float(m))
@@ -196,8 +196,8 @@ def top_alerts(ew: DataFrame, n: int = 20) -> DataFrame:
               .select("v_ah_cliente", "periodo", "alert_score", "alert_level", "estimated_days_to_default"))
 
 
-def early_warning_adhoc(req: DataFrame) -> DataFrame:
-    """R2: fixed denominators; trend >= 0 -> 0.5 else 0.8; days truncated."""
+def early_warning_adhoc_columns() -> dict[str, Column]:
+    """R2 on a request row: fixed denominators; trend >= 0 -> 0.5 else 0.8; days truncated."""
     idle = F.coalesce(F.col("dias_sin_movimiento"), _lit(0.0))
     trend = F.coalesce(F.col("tendencia_saldo"), _lit(0.0))
     dev = F.coalesce(F.col("desviacion_maxima"), _lit(0.0))
@@ -205,8 +205,13 @@ def early_warning_adhoc(req: DataFrame) -> DataFrame:
     score = (_lit(w["inactivity"]) * F.least(idle / EW_ADHOC_IDLE_DENOM, _lit(1.0))
              + _lit(w["balance_trend"]) * F.when(trend >= 0, _lit(0.5)).otherwise(_lit(0.8))
              + _lit(w["deviation"]) * F.least(dev / EW_ADHOC_DEV_DENOM, _lit(1.0)))
-    return req.select("v_ah_cliente", X.rnd(score, 4).alias("alert_score"), _level(score).alias("alert_level"),
-                      ((_lit(1.0) - score) * EW_DAYS_HORIZON).cast("long").alias("estimated_days_to_default"))
+    return {"alert_score": X.rnd(score, 4), "alert_level": _level(score),
+            "estimated_days_to_default": ((_lit(1.0) - score) * EW_DAYS_HORIZON).cast("long")}
+
+
+def early_warning_adhoc(req: DataFrame) -> DataFrame:
+    """R2 for a request table."""
+    return req.select("v_ah_cliente", *[c.alias(n) for n, c in early_warning_adhoc_columns().items()])
 
 
 def latest_per_client(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -218,18 +223,14 @@ def latest_per_client(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def early_warning_lookup(req: DataFrame, ew: DataFrame) -> DataFrame:
-    """Stored score of the client's latest row, else the ad-hoc score."""
-    stored = latest_per_client(ew, ["alert_score", "alert_level", "estimated_days_to_default"])
-    adhoc = early_warning_adhoc(req).select(
-        "v_ah_cliente", F.col("alert_score").alias("_a_score"), F.col("alert_level").alias("_a_level"),
-        F.col("estimated_days_to_default").alias("_a_days"))
-    j = req.select("v_ah_cliente").join(stored, "v_ah_cliente", "left").join(adhoc, "v_ah_cliente", "left")
-    known = F.col("alert_score").isNotNull()
+    """Stored score of the client's latest row, else the ad-hoc score of
+    the request row. One join; a client may have any number of requests."""
+    names = list(early_warning_adhoc_columns())
+    stored = latest_per_client(ew, names).withColumnsRenamed({n: f"_k_{n}" for n in names})
+    j = req.join(stored, "v_ah_cliente", "left")
+    known = F.col("_k_alert_score").isNotNull()
     return j.select("v_ah_cliente", known.alias("from_history"),
-                    F.when(known, F.col("alert_score")).otherwise(F.col("_a_score")).alias("alert_score"),
-                    F.when(known, F.col("alert_level")).otherwise(F.col("_a_level")).alias("alert_level"),
-                    F.when(known, F.col("estimated_days_to_default")).otherwise(F.col("_a_days"))
-                     .alias("estimated_days_to_default"))
+                    *[F.when(known, F.col(f"_k_{n}")).otherwise(c).alias(n) for n, c in early_warning_adhoc_columns().items()])
 
 
 # ---------------------------------------------------------------------------
@@ -423,9 +424,9 @@ def top_overdebt(od: DataFrame, n: int = 20) -> DataFrame:
               .select("v_ah_cliente", "overindebtedness_score", "flujo_neto", "ratio_ingreso_egreso"))
 
 
-def over_indebtedness_adhoc(req: DataFrame) -> DataFrame:
-    """R6 (no 0.4 tier, trend term fixed 0.3) with level; flag on the
-    uncapped score."""
+def over_indebtedness_adhoc_columns() -> dict[str, Column]:
+    """R6 on a request row (no 0.4 tier, trend term fixed 0.3) with level; flag
+    on the uncapped score."""
     ing = F.coalesce(F.col("ingresos"), _lit(0.0))
     egr = F.coalesce(F.col("egresos"), _lit(0.0))
     bloq = F.coalesce(F.col("monto_bloq"), _lit(0.0))
@@ -441,9 +442,13 @@ def over_indebtedness_adhoc(req: DataFrame) -> DataFrame:
     w = OD_WEIGHTS
     score = (_lit(w[0]) * s_r + _lit(w[1]) * s_b + _lit(w[2]) * s_f + _lit(w[3] * 0.3)) * mult * 100
     level = (F.when(score >= 80, "crítico").when(score >= 60, "alto").when(score >= 30, "medio").otherwise("bajo"))
-    return req.select("v_ah_cliente", X.rnd(F.least(score, _lit(100.0)), 2).alias("overindebtedness_score"),
-                      (score >= OD_FLAG).alias("is_overindebted"), flow.alias("flujo_neto"),
-                      X.rnd(ratio, 4).alias("ratio_ingreso_egreso"), level.alias("risk_level"))
+    return {"overindebtedness_score": X.rnd(F.least(score, _lit(100.0)), 2), "is_overindebted": score >= OD_FLAG,
+            "flujo_neto": flow, "ratio_ingreso_egreso": X.rnd(ratio, 4), "risk_level": level}
+
+
+def over_indebtedness_adhoc(req: DataFrame) -> DataFrame:
+    """R6 for a request table."""
+    return req.select("v_ah_cliente", *[c.alias(n) for n, c in over_indebtedness_adhoc_columns().items()])
 
 
 # ---------------------------------------------------------------------------
@@ -505,29 +510,32 @@ def top_segments(groups: DataFrame, n: int = 10) -> DataFrame:
     return (groups.orderBy(F.col("risk_score").desc(), _dim_order(), key_num.asc_nulls_last(), "segment").limit(n))
 
 
+def with_group_profiles(df: DataFrame, groups: DataFrame, dimensions=("producto", "oficina", "tipo_cuenta")) -> DataFrame:
+    """Risk and rate columns of the row's groups (null when unknown)."""
+    for dim, col, prefix in (("producto", "prod_bancario", "product"), ("oficina", "oficina_cta", "office"),
+                             ("tipo_cuenta", "tipo_cuenta", "type")):
+        if dim in dimensions:
+            # one row per kept segment; AQE broadcasts it when its runtime size is small
+            g = groups.where(F.col("dimension") == dim).select(
+                F.col("segment").alias("_seg"), F.col("risk_score").alias(f"{prefix}_risk_score"),
+                F.col("tasa_riesgo").alias(f"{prefix}_tasa_riesgo"))
+            df = df.join(g, F.col(col).cast("string") == F.col("_seg"), "left").drop("_seg")
+    return df
+
+
 def group_profile_lookup(req: DataFrame, groups: DataFrame) -> DataFrame:
     """Product, office and account-type profile of each request, (0,0)
     when the group is unknown or was dropped."""
-    def side(dim, col, prefix):
-        g = groups.where(F.col("dimension") == dim).select(
-            F.col("segment").alias(f"_{prefix}_seg"), F.col("risk_score").alias(f"{prefix}_risk_score"),
-            F.col("tasa_riesgo").alias(f"{prefix}_tasa_riesgo"))
-        return g, F.col(col).cast("string") == F.col(f"_{prefix}_seg")
-    out = req.select("v_ah_cliente", "prod_bancario", "oficina_cta", "tipo_cuenta")
-    for dim, col, prefix in (("producto", "prod_bancario", "product"), ("oficina", "oficina_cta", "office"),
-                             ("tipo_cuenta", "tipo_cuenta", "type")):
-        g, cond = side(dim, col, prefix)
-        # one row per kept segment; AQE broadcasts it when its runtime size is small
-        out = out.join(g, cond, "left").drop(f"_{prefix}_seg")
+    out = with_group_profiles(req.select("v_ah_cliente", "prod_bancario", "oficina_cta", "tipo_cuenta"), groups)
     fills = {c: 0.0 for c in out.columns if c.endswith("_risk_score") or c.endswith("_tasa_riesgo")}
     return out.fillna(fills)
 
 
 def segment_report(groups: DataFrame) -> DataFrame:
-    """Product segments for the dashboard (score / 100)."""
+    """Product segments for the dashboard (score / 100), worst first."""
     return groups.where(F.col("dimension") == "producto").select(
         F.col("segment").alias("prod_bancario"), "n_socios", F.col("tasa_riesgo").alias("tasa_mora_pct"),
-        (F.col("risk_score") / 100.0).alias("score_riesgo"))
+        (F.col("risk_score") / 100.0).alias("score_riesgo")).orderBy(F.col("score_riesgo").desc(), "prod_bancario")
 
 
 def segment_tags(report: DataFrame) -> DataFrame:
@@ -671,11 +679,15 @@ def top_vulnerable(fam: DataFrame, n: int = 20) -> DataFrame:
                        "ingresos_original", "ingreso_ajustado"))
 
 
-def family_impact_adhoc(req: DataFrame) -> DataFrame:
-    """R12 (no +30 term)."""
+def family_impact_adhoc_columns() -> dict[str, Column]:
+    """R12 on a request row (no +30 term)."""
     ing = F.coalesce(F.col("ingresos"), _lit(0.0))
     dep = dependents(F.coalesce(F.col("edad"), _lit(0.0)), F.coalesce(F.col("estado_civil"), _lit("S")))
     factor = F.greatest(_lit(FAMILY_MIN_FACTOR), _lit(1.0) - dep * FAMILY_REDUCTION_PER_DEPENDENT)
-    return req.select("v_ah_cliente", dep.alias("estimated_dependents"), X.rnd(factor, 4).alias("adjustment_factor"),
-                      X.rnd(ing, 2).alias("ingreso_original"), X.rnd(ing * factor, 2).alias("ingreso_ajustado"),
-                      X.rnd(F.least(_lit(100.0), dep * 20), 2).alias("vulnerability_score"))
+    return {"estimated_dependents": dep, "adjustment_factor": X.rnd(factor, 4), "ingreso_original": X.rnd(ing, 2),
+            "ingreso_ajustado": X.rnd(ing * factor, 2), "vulnerability_score": X.rnd(F.least(_lit(100.0), dep * 20), 2)}
+
+
+def family_impact_adhoc(req: DataFrame) -> DataFrame:
+    """R12 for a request table."""
+    return req.select("v_ah_cliente", *[c.alias(n) for n, c in family_impact_adhoc_columns().items()])

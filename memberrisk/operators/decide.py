@@ -1,11 +1,11 @@
 """Consolidation: per-member decision (D1-D5, J5, J8, W6), 360° profile (D6),
 KPIs (A26-A30, D7, D10, D11) and the run summary (D12).
 
-The decision is computed for a whole request table in one job: every
-analyzer output is a table keyed by client (one row per client), fanned in
-with left joins (each side keyed by client, so AQE can broadcast the small
-ones and shuffle-join the rest). A missing analyzer row yields nulls that
-count as 0 / default, as in the source system.
+The decision is computed for a whole request table in one job. What the
+analyzers stored for a member is one row of the member table (built once); a
+request takes it with one left join, then overlays its own fields on the
+member's (J5). Formulas for members without history are columns of the request
+row, so any number of requests of one member stay rows of their own.
 """
 
 from __future__ import annotations
@@ -32,43 +32,97 @@ MSG_STRATEGY = "Estrategia de cobranza: %s"
 RISK_BANDS = ((70, "alto"), (40, "medio"))
 
 
-def age_adhoc(req: DataFrame) -> DataFrame:
-    """Derived age (1 decimal) when birth and process dates are given,
-    else the age field; blocked when < 18. The as-of date is the request's
-    process date (explicit, Q20)."""
+def age_adhoc_columns() -> dict[str, Column]:
+    """R7b on a request row: derived age (1 decimal) when birth and process dates
+    are given, else the age field; blocked when < 18. The as-of date is the
+    request's process date (explicit, Q20)."""
     calc = F.when(F.col("v_fecha_nac").isNotNull() & F.col("fecha_proceso").isNotNull(),
                   X.rnd(X.floor_days("fecha_proceso", "v_fecha_nac") / F.lit(365.25), 1))
     real = F.coalesce(calc, F.col("edad"))
     minor = F.coalesce(real < 18, F.lit(False))
-    return req.select("v_ah_cliente", F.col("edad").alias("edad_campo"), calc.alias("edad_calculada"),
-                      real.alias("edad_real"), minor.alias("is_minor"), minor.alias("is_blocked"),
-                      F.when(minor, "BLOQUEADO - Menor de edad").otherwise("APROBADO").alias("validation_status"))
-
-
-def known_then_adhoc(req: DataFrame, known: DataFrame, adhoc: DataFrame, cols: list[str]) -> DataFrame:
-    """Stored analyzer row for members with history, the ad-hoc formula for
-    the others (Q18/Q19)."""
-    k = known.select("v_ah_cliente", F.lit(True).alias("_known"), *[F.col(c).alias(f"_k_{c}") for c in cols])
-    a = adhoc.select("v_ah_cliente", *[F.col(c).alias(f"_a_{c}") for c in cols])
-    j = req.select("v_ah_cliente").join(k, "v_ah_cliente", "left").join(a, "v_ah_cliente", "left")
-    return j.select("v_ah_cliente", *[F.when(F.col("_known").isNotNull(), F.col(f"_k_{c}"))
-                                      .otherwise(F.col(f"_a_{c}")).alias(c) for c in cols])
-
-
-def fan_in(req: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """Left-join every analyzer table (keyed by client) onto the requests."""
-    out = req.select("v_ah_cliente")
-    for _, part in parts.items():
-        out = out.join(part, "v_ah_cliente", "left")
+    return {"edad_campo": F.col("edad"), "edad_calculada": calc, "edad_real": real, "is_minor": minor, "is_blocked": minor,
+            "validation_status": F.when(minor, "BLOQUEADO - Menor de edad").otherwise("APROBADO")}
+
+
+def age_adhoc(req: DataFrame) -> DataFrame:
+    """R7b for a request table."""
+    return req.select("v_ah_cliente", *[c.alias(n) for n, c in age_adhoc_columns().items()])
+
+
+def member_table(latest: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """One row per member: its latest snapshot row as struct ``member`` and each
+    analyzer's stored result as a struct of the part's name (null if none)."""
+    out = latest.select("v_ah_cliente", F.struct(*[F.col(c) for c in latest.columns if c != "v_ah_cliente"]).alias("member"))
+    for name, part in parts.items():
+        cols = [F.col(c) for c in part.columns if c != "v_ah_cliente"]
+        out = out.join(part.select("v_ah_cliente", F.struct(*cols).alias(name)), "v_ah_cliente", "left")
     return out
 
 
+def overlay(req: DataFrame, members: DataFrame) -> DataFrame:
+    """The request's fields over the member's stored ones (null = not given)."""
+    stored = set(members.schema["member"].dataType.fieldNames())
+    fields = [f for f in req.columns if f in stored]
+    j = req.join(members, "v_ah_cliente", "left")
+    return j.withColumns({f: F.coalesce(F.col(f), F.col(f"member.{f}").cast(req.schema[f].dataType)) for f in fields})
+
+
+def stored_or_adhoc(part: str, adhoc: dict[str, Column], names: list[str]) -> dict[str, Column]:
+    """The member's stored result, else the formula on the request row (Q18/Q19)."""
+    known = F.col(part).isNotNull()
+    return {n: F.when(known, F.col(f"{part}.{n}")).otherwise(adhoc[n]) for n in names}
+
+
+def assess(req: DataFrame, members: DataFrame, products: DataFrame, groups: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Every analyzer's answer for each request row, in five joins (member,
+    product, office, account type, transition row). ``products`` has a row a
+    product: ``segment, risk_score, tasa_riesgo, cluster_name``."""
+    df = overlay(req, members)
+    df = df.withColumns(age_adhoc_columns())
+    ew = A.early_warning_adhoc_columns()
+    od = A.over_indebtedness_adhoc_columns()
+    fam = A.family_impact_adhoc_columns()
+    df = df.withColumns({
+        **stored_or_adhoc("k_ew", ew, list(ew)),
+        **stored_or_adhoc("k_od", od, ["is_overindebted", "overindebtedness_score"]),
+        **stored_or_adhoc("k_fam", fam, ["estimated_dependents", "adjustment_factor", "ingreso_ajustado", "vulnerability_score"]),
+        "fecha_sugerida_cobro": F.coalesce(F.col("k_dates.fecha_sugerida_cobro"), F.lit(A.DEFAULT_COLLECTION_DAY)),
+        "alignment_score": F.coalesce(F.col("k_dates.alignment_score"), F.lit(A.DEFAULT_ALIGNMENT)),
+        "dia_movimiento_predominante": F.col("k_dates.dia_movimiento_predominante"),
+        "estado_riesgo": F.col("k_state.estado_riesgo")})
+    p = products.select(F.col("segment").alias("_p_seg"), F.col("risk_score").alias("product_risk_score"),
+                        F.col("tasa_riesgo").alias("product_tasa_riesgo"), "cluster_name")
+    df = df.join(p, F.col("prod_bancario").cast("string") == F.col("_p_seg"), "left").drop("_p_seg")
+    df = A.with_group_profiles(df, groups, ("oficina", "tipo_cuenta"))
+    df = df.fillna({c: 0.0 for c in df.columns if c.endswith("_risk_score") or c.endswith("_tasa_riesgo")})
+    df = A.transition_lookup(df, matrix)
+    s, g = M.score_grade(F.lit(1.0) - F.col("alert_score"))  # without a model: P(default) = alert score
+    return df.withColumns({
+        "probability_default": F.col("alert_score"), "score": s, "grade": g, "risk_level": M.risk_level(s),
+        "strategy": F.when(F.col("cluster_name").isNull(), F.lit("")).otherwise(M.strategy(F.col("cluster_name")))})
+
+
+#: The analyzers and what each says of a request (``agentes``).
+AGENTS = {
+    "age_validation": ("edad_campo", "edad_calculada", "edad_real", "is_minor", "is_blocked", "validation_status"),
+    "credit_scoring": ("score", "grade", "probability_default", "risk_level"),
+    "early_warning": ("alert_score", "alert_level", "estimated_days_to_default"),
+    "roll_rate": ("current_state", "prob_deterioro", "most_likely_next_state"),
+    "over_indebtedness": ("overindebtedness_score", "is_overindebted"),
+    "collection_segments": ("cluster_name", "strategy"),
+    "product_risk": ("product_risk_score", "product_tasa_riesgo", "office_risk_score", "office_tasa_riesgo",
+                     "type_risk_score", "type_tasa_riesgo"),
+    "date_optimization": ("fecha_sugerida_cobro", "alignment_score", "dia_movimiento_predominante"),
+    "family_impact": ("estimated_dependents", "adjustment_factor", "ingreso_ajustado", "vulnerability_score"),
+}
+
+
+def agents() -> Column:
+    return F.struct(*[F.struct(*cols).alias(name) for name, cols in AGENTS.items()])
+
+
 def decide(fanned: DataFrame) -> DataFrame:
-    """D1-D5 on the fanned-in table. Expected columns (nullable): is_minor,
-    score, probability_default, alert_score, alert_level, prob_deterioro,
-    is_overindebted, overindebtedness_score, cluster_name, strategy,
-    product_risk_score, fecha_sugerida_cobro, ingreso_ajustado,
-    vulnerability_score."""
+    """D1-D5 on the output of ``assess`` (all its columns may be null)."""
     c = F.col
     minor = F.coalesce(c("is_minor"), F.lit(False))
     score = F.coalesce(c("score"), F.lit(0))
@@ -100,10 +154,10 @@ def decide(fanned: DataFrame) -> DataFrame:
         F.when(minor, F.lit("age_validation")), F.when(od_score >= BLOCK_OVERDEBT_SCORE, F.lit("over_indebtedness")),
         F.when(score < ELIGIBLE_MIN_SCORE, F.lit("credit_scoring"))))
     return fanned.select(
-        F.col("v_ah_cliente").alias("cliente_id"), global_risk.alias("riesgo_global"),
+        "request_id", F.col("v_ah_cliente").alias("cliente_id"), global_risk.alias("riesgo_global"),
         eligible.alias("elegibilidad_credito"), M.channel(c("cluster_name")).alias("canal_cobranza"),
         day.cast("long").alias("dia_pago_sugerido"), alerts.alias("alertas_activas"),
-        actions.alias("acciones_priorizadas"), blocks.alias("bloqueos"))
+        actions.alias("acciones_priorizadas"), blocks.alias("bloqueos"), agents().alias("agentes"))
 
 
 def risk_band(global_risk: Column) -> Column:

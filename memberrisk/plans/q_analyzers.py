@@ -200,13 +200,16 @@ CTES = {
                 coalesce(estado_civil, '') AS estado_civil, edad, coalesce(sexo, '') AS sexo
              FROM (SELECT *, coalesce(ingresos, 0.0) AS ing, coalesce(egresos, 0.0) AS egr,
                           greatest(0.6, 1.0 - dep * 0.1) AS factor FROM fam_dep)""",
-    "req": """SELECT v_ah_cliente, edad, ingresos, egresos, saldo_disponible, monto_bloq, credito, dias_sin_movimiento,
+    "req": """SELECT 'm' || v_ah_cliente AS request_id, v_ah_cliente, edad, ingresos, egresos, saldo_disponible, monto_bloq, credito, dias_sin_movimiento,
                 tendencia_saldo, desviacion_maxima, estado_civil, sexo, v_fecha_nac, fecha_proceso,
                 CAST(prod_bancario AS INTEGER) AS prod_bancario, CAST(oficina_cta AS INTEGER) AS oficina_cta, tipo_cuenta
              FROM (SELECT *, row_number() OVER (PARTITION BY v_ah_cliente ORDER BY v_ah_cuenta) AS rk FROM lastp)
              WHERE rk = 1
              UNION ALL
-             SELECT -(c_custkey + 1), CAST(15 + (c_custkey * 13) % 60 AS DOUBLE), round_even(abs(c_acctbal) * 0.1, 2),
+             SELECT DISTINCT 'i' || v_ah_cliente, v_ah_cliente, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+                NULL, NULL, NULL, NULL, NULL, NULL FROM lastp
+             UNION ALL
+             SELECT 'c' || c_custkey, -(c_custkey + 1), CAST(15 + (c_custkey * 13) % 60 AS DOUBLE), round_even(abs(c_acctbal) * 0.1, 2),
                 round_even(abs(c_acctbal) * 0.05, 2), NULL, NULL, NULL, CAST((c_custkey * 37) % 150 AS DOUBLE),
                 NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
              FROM customer""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from memberrisk.functions import exprs as X
@@ -11,6 +13,7 @@ from memberrisk.operators import ml as M
 from memberrisk.plans import q_analyzers as QA
 from memberrisk.plans import q_ml as QM
 from memberrisk.plans.registry import REGISTRY, register
+from memberrisk.sources import sinks as SK
 
 KEYS = ["v_ah_cliente", "v_ah_cuenta", "periodo"]
 
@@ -20,69 +23,90 @@ def _latest_last(df, cols):
     return A.latest_per_client(df.withColumn("periodo", F.lit("last")), cols)
 
 
-def decision_parts(h, credit=None, segments=None, req=None) -> dict:
-    """Analyzer outputs keyed by client for a request table (default: the
-    hub's request table; a streaming micro-batch passes its own)."""
-    req = h.requests() if req is None else req
-    ew = A.early_warning_lookup(req, QA.early_warning(h))
-    cur = req.select("v_ah_cliente").join(
-        A.latest_per_client(QA.states(h), ["estado_riesgo"]), "v_ah_cliente", "left")
-    rr = A.transition_lookup(cur, QA.matrix(h)).select("v_ah_cliente", "prob_deterioro")
-    od_known = _latest_last(QA.overdebt(h).withColumn("is_overindebted", F.col("is_overindebted") == 1),
-                            ["is_overindebted", "overindebtedness_score"])
-    od = D.known_then_adhoc(req, od_known, A.over_indebtedness_adhoc(req),
-                            ["is_overindebted", "overindebtedness_score"])
-    fam_known = _latest_last(QA.family(h), ["ingreso_ajustado", "vulnerability_score"])
-    fam = D.known_then_adhoc(req, fam_known, A.family_impact_adhoc(req), ["ingreso_ajustado", "vulnerability_score"])
-    prod = A.group_profile_lookup(req, QA.groups(h)).select("v_ah_cliente", "product_risk_score")
-    dates = A.collection_date_lookup(req, QA.dates(h)).select("v_ah_cliente", "fecha_sugerida_cobro")
-    if credit is None:  # deterministic score input: P(default) = alert score
-        credit = ew.select("v_ah_cliente", F.col("alert_score").alias("probability_default"),
-                           M.score_grade(F.lit(1.0) - F.col("alert_score"))[0].alias("score"))
-    if segments is None:  # deterministic clusters: product codes named by M17
-        names = M.cluster_naming(QM.scaled_last(h).withColumnRenamed("prod_bancario", "cluster_id"))
-        segments = req.select("v_ah_cliente", "prod_bancario").join(
-            names.select(F.col("cluster_id").alias("prod_bancario"), "cluster_name"),
-            "prod_bancario", "left").drop("prod_bancario")
-    segments = segments.withColumn("strategy", F.when(F.col("cluster_name").isNull(), F.lit(""))
-                                   .otherwise(M.strategy(F.col("cluster_name"))))
-    return {"age": D.age_adhoc(req).select("v_ah_cliente", "is_minor"),
-            "credit": credit, "ew": ew.select("v_ah_cliente", "alert_score", "alert_level"), "rr": rr, "od": od,
-            "segments": segments, "prod": prod, "dates": dates, "family": fam}
+def members(h):
+    """The member table: a row a member, built once."""
+    def build():
+        f = h.featured().drop("v_ah_nombre")
+        latest = A.latest_per_client(f, [c for c in f.columns if c != "v_ah_cliente"])
+        od = QA.overdebt(h).withColumn("is_overindebted", F.col("is_overindebted") == 1)
+        return D.member_table(latest, {
+            "k_ew": A.latest_per_client(QA.early_warning(h), list(A.early_warning_adhoc_columns())),
+            "k_state": A.latest_per_client(QA.states(h), ["estado_riesgo"]),
+            "k_od": _latest_last(od, ["is_overindebted", "overindebtedness_score"]),
+            "k_fam": _latest_last(QA.family(h), ["estimated_dependents", "adjustment_factor", "ingreso_ajustado", "vulnerability_score"]),
+            "k_dates": QA.dates(h).select("v_ah_cliente", "fecha_sugerida_cobro", "alignment_score", "dia_movimiento_predominante")})
+    return QA._table(h, "members", build)
+
+
+def product_names(h):
+    """Deterministic segments: product codes named by M17."""
+    return QA._table(h, "product_names", lambda: M.cluster_naming(
+        QM.scaled_last(h).withColumnRenamed("prod_bancario", "cluster_id")))
+
+
+def products(h):
+    """A row a product: its group profile (if kept) and its segment's name."""
+    def build():
+        named = product_names(h).where("cluster_id IS NOT NULL").select(
+            F.col("cluster_id").cast("string").alias("segment"), "cluster_name")
+        own = QA.groups(h).where(F.col("dimension") == "producto").select("segment", "risk_score", "tasa_riesgo")
+        return own.join(named, "segment", "full")
+    return QA._table(h, "products", build)
+
+
+def assess(h, req=None):
+    """Every analyzer's answer for a request table (default: the hub's; a
+    streaming micro-batch passes its own)."""
+    return D.assess(h.requests() if req is None else req, members(h), products(h), QA.groups(h), QA.matrix(h))
 
 
 def decisions(h):
-    return h.memo("decisions", lambda: D.decide(D.fan_in(h.requests(), decision_parts(h))))
+    return h.memo("decisions", lambda: D.decide(assess(h)))
 
 
 def _jsonify(df):
-    return df.withColumns({c: F.to_json(F.col(c)) for c in ("alertas_activas", "acciones_priorizadas", "bloqueos")
+    return df.drop("agentes").withColumns({c: F.to_json(F.col(c)) for c in ("alertas_activas", "acciones_priorizadas", "bloqueos")
                            if c in df.columns})
 
 
 _DIST = "floor((epoch_us(fecha_proceso) - epoch_us(v_fecha_nac)) / 86400000000.0)"
 
+_REQ_FIELDS = ("edad", "ingresos", "egresos", "saldo_disponible", "monto_bloq", "credito", "dias_sin_movimiento",
+               "tendencia_saldo", "desviacion_maxima", "estado_civil", "sexo", "v_fecha_nac", "fecha_proceso",
+               "prod_bancario", "oficina_cta", "tipo_cuenta")
+
+
+def _per_request(name: str) -> str:
+    """An analyzer's SQL over overlaid requests, with the request's id."""
+    sql = re.sub(r"\bSELECT (r\.)?v_ah_cliente\b", r"SELECT \1request_id, \1v_ah_cliente", REGISTRY[name].sql)
+    return re.sub(r"\bFROM req\b", "FROM reqo", sql)
+
+
 DEC_CTES = {
-    "ew_lookup": REGISTRY["lookup_or_default"].sql,
-    "od_adhoc": REGISTRY["over_indebtedness_adhoc"].sql,
-    "fam_adhoc": REGISTRY["family_impact_adhoc"].sql,
-    "gpl": REGISTRY["group_profile_lookup"].sql,
-    "dl": REGISTRY["collection_date_lookup"].sql,
+    "d_member": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v_ah_cliente ORDER BY periodo DESC, v_ah_cuenta)
+                AS rk FROM featured) WHERE rk = 1""",
+    "reqo": "SELECT r.request_id, r.v_ah_cliente, " + ", ".join(f"coalesce(r.{c}, m.{c}) AS {c}" for c in _REQ_FIELDS)
+            + " FROM req r LEFT JOIN d_member m ON m.v_ah_cliente = r.v_ah_cliente",
+    "ew_lookup": _per_request("lookup_or_default"),
+    "od_adhoc": _per_request("over_indebtedness_adhoc"),
+    "fam_adhoc": _per_request("family_impact_adhoc"),
+    "gpl": _per_request("group_profile_lookup"),
+    "dl": _per_request("collection_date_lookup"),
     "cn": REGISTRY["cluster_naming"].sql,
-    "d_age": f"""SELECT v_ah_cliente, coalesce(coalesce(CASE WHEN v_fecha_nac IS NOT NULL AND fecha_proceso IS NOT NULL
-                THEN round_even({_DIST} / 365.25, 1) END, edad) < 18, false) AS is_minor FROM req""",
-    "d_cur": """SELECT r.v_ah_cliente, coalesce(s.estado_riesgo, 'Regular') AS st FROM req r LEFT JOIN (
+    "d_age": f"""SELECT request_id, coalesce(coalesce(CASE WHEN v_fecha_nac IS NOT NULL AND fecha_proceso IS NOT NULL
+                THEN round_even({_DIST} / 365.25, 1) END, edad) < 18, false) AS is_minor FROM reqo""",
+    "d_cur": """SELECT r.request_id, coalesce(s.estado_riesgo, 'Regular') AS st FROM reqo r LEFT JOIN (
                 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v_ah_cliente ORDER BY periodo DESC, v_ah_cuenta)
                 AS rk FROM rr_state) WHERE rk = 1) s USING (v_ah_cliente)""",
-    "d_rr": """SELECT c.v_ah_cliente, round_even(coalesce(sum(CASE WHEN b.idx > a.idx THEN m.p END), 0.0) + 0.0, 4)
+    "d_rr": """SELECT c.request_id, any_value(c.st) AS current_state, round_even(coalesce(sum(CASE WHEN b.idx > a.idx THEN m.p END), 0.0) + 0.0, 4)
                 AS prob_deterioro
              FROM d_cur c JOIN states_dim a ON a.state = c.st LEFT JOIN last_matrix m ON m.state_from = c.st
-             LEFT JOIN states_dim b ON b.state = m.state_to GROUP BY c.v_ah_cliente""",
+             LEFT JOIN states_dim b ON b.state = m.state_to GROUP BY c.request_id""",
     "od_k": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v_ah_cliente ORDER BY v_ah_cuenta) AS rk FROM od)
              WHERE rk = 1""",
     "fam_k": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v_ah_cliente ORDER BY v_ah_cuenta) AS rk FROM fam)
              WHERE rk = 1""",
-    "d_all": """SELECT r.v_ah_cliente, ag.is_minor, e.alert_score AS probability_default,
+    "d_all": """SELECT r.request_id, r.v_ah_cliente, ag.is_minor, e.alert_score AS probability_default,
                 CAST(round_even((1.0 - e.alert_score) * 1000, 0) AS BIGINT) AS score, e.alert_score, e.alert_level,
                 rr.prob_deterioro,
                 CASE WHEN ok.v_ah_cliente IS NOT NULL THEN ok.is_overindebted = 1 ELSE oa.is_overindebted END
@@ -100,14 +124,14 @@ DEC_CTES = {
                 CASE WHEN fk.v_ah_cliente IS NOT NULL THEN fk.ingreso_ajustado ELSE fa.ingreso_ajustado END AS ingreso_ajustado,
                 CASE WHEN fk.v_ah_cliente IS NOT NULL THEN fk.vulnerability_score ELSE fa.vulnerability_score END
                   AS vulnerability_score
-             FROM req r
-             LEFT JOIN d_age ag USING (v_ah_cliente) LEFT JOIN ew_lookup e USING (v_ah_cliente)
-             LEFT JOIN d_rr rr USING (v_ah_cliente)
-             LEFT JOIN od_k ok USING (v_ah_cliente) LEFT JOIN od_adhoc oa USING (v_ah_cliente)
+             FROM reqo r
+             LEFT JOIN d_age ag USING (request_id) LEFT JOIN ew_lookup e USING (request_id)
+             LEFT JOIN d_rr rr USING (request_id)
+             LEFT JOIN od_k ok ON ok.v_ah_cliente = r.v_ah_cliente LEFT JOIN od_adhoc oa USING (request_id)
              LEFT JOIN cn ON cn.cluster_id = r.prod_bancario
-             LEFT JOIN gpl g USING (v_ah_cliente) LEFT JOIN dl USING (v_ah_cliente)
-             LEFT JOIN fam_k fk USING (v_ah_cliente) LEFT JOIN fam_adhoc fa USING (v_ah_cliente)""",
-    "dec": """SELECT v_ah_cliente AS cliente_id,
+             LEFT JOIN gpl g USING (request_id) LEFT JOIN dl USING (request_id)
+             LEFT JOIN fam_k fk ON fk.v_ah_cliente = r.v_ah_cliente LEFT JOIN fam_adhoc fa USING (request_id)""",
+    "dec": """SELECT request_id, v_ah_cliente AS cliente_id,
                 round_even((coalesce(probability_default, 0.0) * 100 + coalesce(alert_score, 0.0) * 100
                             + coalesce(prob_deterioro, 0.0) * 100 + coalesce(product_risk_score, 0.0)) / 4, 2) AS riesgo_global,
                 (NOT coalesce(is_minor, false)) AND coalesce(score, 0) >= 350 AND (NOT coalesce(is_overindebted, false))
@@ -150,9 +174,9 @@ def q_member_decision(h):
     return _jsonify(decisions(h))
 
 
-@reg("eligibility", "SELECT cliente_id, elegibilidad_credito FROM dec")
+@reg("eligibility", "SELECT request_id, cliente_id, elegibilidad_credito FROM dec")
 def q_eligibility(h):
-    return decisions(h).select("cliente_id", "elegibilidad_credito")
+    return decisions(h).select("request_id", "cliente_id", "elegibilidad_credito")
 
 
 @reg("global_risk", "SELECT cliente_id, riesgo_global FROM dec")
@@ -205,7 +229,7 @@ _OVERLAY = ("edad", "ingresos", "egresos", "saldo_disponible", "monto_bloq", "cr
 def q_request_overlay(h):
     req = h.requests()
     stored = A.latest_per_client(h.featured(), list(_OVERLAY))
-    s = stored.select("v_ah_cliente", *[F.col(c).alias(f"_s_{c}") for c in _OVERLAY])
+    s = stored.select("v_ah_cliente", *[F.col(c).alias(f"_s_{c}") for c in _OVERLAY])  # a row a member
     j = req.join(s, "v_ah_cliente", "left")
     return j.select("v_ah_cliente", *[F.coalesce(F.col(c), F.col(f"_s_{c}")).alias(c) for c in _OVERLAY])
 
@@ -249,17 +273,13 @@ def q_alert_kpis(h):
 # --- rows-only consolidation with fitted models ---------------------------------------
 
 def model_decisions(h):
+    """Decisions with the fitted models' scores and segments: both score the
+    request's own fields over the member's stored ones, row by row."""
     def build():
-        req = h.requests()
-        cols = QM.model_columns(h)
-        last = A.latest_per_client(h.featured(), cols)
-        scored = M.score_credit(QM.FE.scrub_features(req.select("v_ah_cliente").join(last, "v_ah_cliente", "left"),
-                                                     cols), QM.credit_models(h), cols)
-        credit = scored.select("v_ah_cliente", "score", "probability_default")
-        seg = QM.clusters(h).select("v_ah_cliente", "v_ah_cuenta", "cluster_name")
-        seg = A.latest_per_client(seg.withColumn("periodo", F.lit("last")), ["cluster_name"])
-        seg = req.select("v_ah_cliente").join(seg, "v_ah_cliente", "left")
-        return D.decide(D.fan_in(req, decision_parts(h, credit=credit, segments=seg)))
+        df = assess(h).drop("score", "grade", "risk_level", "probability_default", "cluster_name", "strategy")
+        df = QM.score_requests(h, QM.with_member_features(df, QM.model_columns(h)))
+        df = QM.assign_requests(h, df).drop("cluster_id")
+        return D.decide(df.withColumn("strategy", M.strategy(F.col("cluster_name"))))
     return h.memo("model_decisions", build)
 
 
@@ -268,22 +288,48 @@ def q_member_decision_model(h):
     return _jsonify(model_decisions(h))
 
 
-@register("member_fan_in", kind="R")
+FAN_IN = ("request_id", "v_ah_cliente", "is_minor", "probability_default", "score", "alert_score", "alert_level",
+          "prob_deterioro", "is_overindebted", "overindebtedness_score", "cluster_name", "strategy",
+          "product_risk_score", "fecha_sugerida_cobro", "ingreso_ajustado", "vulnerability_score")
+
+
+@reg("member_fan_in", "SELECT * FROM d_all")
 def q_member_fan_in(h):
-    return D.fan_in(h.requests(), decision_parts(h))
+    return assess(h).select(*FAN_IN)
+
 
+@reg("minors_stay_blocked", """SELECT d.request_id, d.cliente_id, d.elegibilidad_credito, d.riesgo_global FROM dec d
+    JOIN (SELECT DISTINCT v_ah_cliente FROM minors) m ON m.v_ah_cliente = d.cliente_id""")
+def q_minors_stay_blocked(h):
+    """D5 for minors, asked with all fields or by id alone."""
+    minors = A.minor_ids(QA.validation(h)).withColumnRenamed("v_ah_cliente", "cliente_id")
+    return decisions(h).join(minors, "cliente_id", "left_semi").select(
+        "request_id", "cliente_id", "elegibilidad_credito", "riesgo_global")
 
-@register("member_profile", kind="R")
+
+_PROFILE = ("edad", "saldo_disponible", "ingresos", "dias_sin_movimiento", "prod_bancario", "oficina_cta", "tipo_cuenta")
+_DATES = ("fecha_proceso", "v_fecha_nac")
+
+
+@reg("member_profile", "SELECT m.v_ah_cliente, m.periodo, " + ", ".join(f"m.{c}" for c in _PROFILE) + ", "
+     + ", ".join(f"strftime(m.{c}, '%Y-%m-%dT%H:%M:%S') AS {c}" for c in _DATES) + """,
+     a.is_minor, a.score, a.alert_score, a.alert_level, a.prob_deterioro, a.is_overindebted, a.overindebtedness_score,
+     a.cluster_name, a.strategy, a.product_risk_score, a.fecha_sugerida_cobro, a.ingreso_ajustado, a.vulnerability_score,
+     9 AS n_agents
+     FROM d_all a JOIN d_member m ON m.v_ah_cliente = a.v_ah_cliente WHERE a.request_id = 'i' || a.v_ah_cliente""")
 def q_member_profile(h):
-    """Latest row per member without the name, plus analyzer structs."""
-    f = h.featured().drop("v_ah_nombre")
-    cols = [c for c in f.columns if c not in ("v_ah_cliente",)]
-    latest = A.latest_per_client(f, cols)
-    ew = A.latest_per_client(QA.early_warning(h), ["alert_score", "alert_level"])
-    dt = QA.dates(h).select("v_ah_cliente", F.struct("fecha_sugerida_cobro", "alignment_score").alias("date_optimization"))
-    return (latest.join(ew.select("v_ah_cliente", F.struct("alert_score", "alert_level").alias("early_warning")),
-                        "v_ah_cliente", "left").join(dt, "v_ah_cliente", "left")
-            .withColumns({"early_warning": F.to_json("early_warning"), "date_optimization": F.to_json("date_optimization")}))
+    """D6 + P29: the latest row of each latest-period member without the name,
+    times as text and NaN as null, with the answers of all nine analyzers."""
+    df = profiles(h)
+    cols = [F.col(f"member.{c}").alias(c) for c in ("periodo", *_PROFILE, *_DATES)]
+    keys = F.size(F.json_object_keys(F.to_json("agentes"))).cast("long")
+    return SK.serializable(df.select("v_ah_cliente", *cols, *FAN_IN[2:3], "score", *FAN_IN[5:], keys.alias("n_agents")))
+
+
+def profiles(h):
+    """D6 in full: ``member`` (latest row, no name) and ``agentes`` of each member."""
+    by_id = h.requests().where(F.col("request_id").startswith("i"))
+    return assess(h, by_id).withColumn("agentes", D.agents())
 
 
 @register("kpi_row", kind="R")
@@ -299,9 +345,8 @@ def q_kpi_row(h):
     over = A.overdebt_metrics(QA.overdebt(h)).select("socios_sobreendeudados")
     grade = REGISTRY["grade_rate"].build(h)
     model, _ = QM.kmeans(h)
-    chan = (QM.clusters(h).withColumn("channel", M.channel(F.col("cluster_name")))
-            .groupBy().pivot("channel", ["whatsapp", "llamada", "legal"]).agg(F.count(F.lit(1))).fillna(0)
-            .select(F.to_json(F.struct("whatsapp", "llamada", "legal")).alias("distribucion_canal")))
+    counts = M.channel_counts(QM.clusters(h)).groupBy().pivot("channel", list(M.CHANNEL_NAMES)).agg(F.first("n_socios"))
+    chan = counts.select(F.to_json(F.struct(*M.CHANNEL_NAMES)).alias("distribucion_canal"))
     out = core
     for part in (buckets, alerts, minors, over, grade, chan):
         row = X.one_row(part)
@@ -310,10 +355,8 @@ def q_kpi_row(h):
               .withColumn("id", F.lit("latest")).withColumn("pipeline_status", F.lit("ready"))
 
 
-@register("run_summary", kind="R")
-def q_run_summary(h):
-    """Headline metrics of every analyzer as (analyzer, metric, value)."""
-    parts = [
+def _rule_metrics(h):
+    return [
         ("early_warning", A.alert_metrics(QA.early_warning(h))),
         ("over_indebtedness", A.overdebt_metrics(QA.overdebt(h))),
         ("age_validation", A.age_metrics(QA.validation(h))),
@@ -325,16 +368,50 @@ def q_run_summary(h):
             .agg(F.first("n_groups")).withColumnsRenamed({"producto": "n_productos", "oficina": "n_oficinas",
                                                           "tipo_cuenta": "n_tipos_cuenta"})),
     ]
+
+
+def _summary(parts):
     out = None
     for name, df in parts:
-        cols = [c for c in df.columns]
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                                             for c in cols])).alias("m")).select(
-            F.lit(name).alias("analyzer"), "m.metric", "m.value")
+                                             for c in df.columns])).alias("m")).select(
+            F.lit(name).alias("analyzer"), F.lit("ready").alias("status"), "m.metric", "m.value")
         out = long if out is None else out.unionByName(long)
     return out
 
 
+_SUMMARY_SQL = {
+    "early_warning": REGISTRY["alert_metrics"].sql, "over_indebtedness": REGISTRY["overdebt_metrics"].sql,
+    "age_validation": REGISTRY["age_metrics"].sql, "date_optimization": REGISTRY["alignment_metrics"].sql,
+    "family_impact": REGISTRY["family_metrics"].sql,
+    "roll_rate": f"""SELECT count(*) AS n_transiciones, sum(n_deteriorated) AS n_socios_deteriorados
+                     FROM ({REGISTRY["deterioration"].sql})""",
+    "product_risk": f"""SELECT max(CASE WHEN dimension = 'producto' THEN n_groups END) AS n_productos,
+                        max(CASE WHEN dimension = 'oficina' THEN n_groups END) AS n_oficinas,
+                        max(CASE WHEN dimension = 'tipo_cuenta' THEN n_groups END) AS n_tipos_cuenta
+                        FROM ({REGISTRY["group_counts"].sql})""",
+}
+
+
+@reg("run_summary_rules", " UNION ALL ".join(
+    f"""SELECT '{name}' AS analyzer, 'ready' AS status, metric, value FROM
+        (SELECT * FROM (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({sql}))
+         UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(*))))"""
+    for name, sql in _SUMMARY_SQL.items()))
+def q_run_summary_rules(h):
+    """D12 for the seven rule analyzers."""
+    return _summary(_rule_metrics(h))
+
+
+@register("run_summary", kind="R")
+def q_run_summary(h):
+    """Status and headline metrics of all nine analyzers as (analyzer, status, metric, value)."""
+    model, table = QM.kmeans(h)
+    best = table.orderBy(F.col("silhouette").desc_nulls_last(), "k").limit(1).select(
+        F.lit(model.summary.k).alias("optimal_k"), "silhouette", "inertia")
+    return _summary([*_rule_metrics(h), ("credit_scoring", REGISTRY["credit_metrics"].build(h)), ("collection_segments", best)])
+
+
 # --- remaining inventory items ------------------------------------------------------
 
 _REQ_NUMERIC = ("edad", "ingresos", "egresos", "saldo_disponible", "monto_bloq", "credito", "dias_sin_movimiento",
@@ -377,8 +454,3 @@ def q_quality_counts(h):
     e = h.enriched().agg(F.count_if(F.col("fuente_alerta") != "sin_alerta").alias("n_rows_with_alert"),
                          F.count(F.lit(1)).alias("n_enriched_rows"))
     return f.withColumns({k: X.one_row(e)[k] for k in ("n_rows_with_alert", "n_enriched_rows")})
-
-
-REGISTRY["member_fan_in"].sql = "SELECT * FROM d_all"
-REGISTRY["member_fan_in"].ctes = dict(CTES)
-REGISTRY["member_fan_in"].kind = "E"

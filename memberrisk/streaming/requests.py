@@ -19,7 +19,7 @@ from memberrisk.sources import sinks
 
 def score_batch(h: Hub, requests: DataFrame) -> DataFrame:
     from memberrisk.plans import q_decide as QD
-    return D.decide(D.fan_in(requests, QD.decision_parts(h, req=requests)))
+    return D.decide(QD.assess(h, requests))
 
 
 def start(h: Hub, stream: DataFrame, table_dir: str, checkpoint_dir: str,
