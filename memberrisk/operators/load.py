@@ -31,15 +31,25 @@ def parse_dates(df: DataFrame, columns: Iterable[str] = S.DATE_COLUMNS) -> DataF
     return df.withColumns({c: parse_timestamp(c) for c in present})
 
 
+def parse_id(c: str) -> Column:
+    """P5 for ids: blanks trimmed, ``12`` or ``12.0`` -> 12, else null. Snapshot and
+    alert ids go through it, so both sides of J1 read an id alike."""
+    text = f"trim(cast(`{c}` as string))"
+    return F.expr(f"coalesce(try_cast({text} as bigint), try_cast(try_cast({text} as double) as bigint))")
+
+
+def rejected_rows(typed: DataFrame) -> DataFrame:
+    """Q11: typed snapshot rows without a client id, which no analyzer can use."""
+    return typed.where(F.col("v_ah_cliente").isNull())
+
+
 def coerce_numeric(df: DataFrame) -> DataFrame:
     """P5: numeric text -> DOUBLE (codes -> INT), anything unparsable -> null."""
     conv = {c: F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)")
             for c in S.NUMERIC_COLUMNS if c in df.columns}
     conv.update({c: F.expr(f"try_cast(try_cast(trim(cast(`{c}` as string)) as double) as int)")
                  for c in S.INT_COLUMNS if c in df.columns})
-    for key in ("v_ah_cliente", "v_ah_cuenta"):
-        if key in df.columns:
-            conv[key] = F.expr(f"try_cast(try_cast(trim(cast(`{key}` as string)) as double) as bigint)")
+    conv.update({key: parse_id(key) for key in ("v_ah_cliente", "v_ah_cuenta") if key in df.columns})
     return df.withColumns(conv)
 
 

@@ -18,18 +18,18 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from memberrisk import session as sess
 from memberrisk.functions import exprs as X
-from memberrisk.functions import ranking
 from memberrisk.operators import clean as C
 from memberrisk.operators import features as FE
 from memberrisk.operators import load as L
+from memberrisk.sources import files as FS
 from memberrisk.sources import fixtures as FX
+from memberrisk.sources.files import SourceSpec
 
 _LOCK = threading.Lock()
-_HUBS: dict[tuple[int, str], "Hub"] = {}
+_HUBS: dict[tuple[str, str], tuple[tuple, "Hub"]] = {}
 
 
 class Hub:
@@ -38,7 +38,7 @@ class Hub:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.tables = FX.Tables(spark, self.root)
+        self.tables = FX.Tables(spark, self.root) if self.root else None
         self._memo: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
 
@@ -95,44 +95,93 @@ class Hub:
 
     def requests(self) -> DataFrame:
         """Scoring requests over whole tables: one row per latest-period member
-        (the member's smallest account), plus every customer once more as an
+        (the member's smallest account) with its fields, one more that gives only
+        the member's id (its stored data are used), and every customer as an
         unknown member (id -(k + 1), no history) carrying only age, income,
-        egress and idle days."""
+        egress and idle days. ``request_id`` tells a member's requests apart."""
         def build():
             from memberrisk import schemas as S
             from memberrisk.operators import analyzers as A
-            cols = [f.name for f in S.REQUEST_SCHEMA.fields if f.name != "v_ah_cliente"]
-            known = A.latest_per_client(self.last_period(), cols)
+            cols = [f.name for f in S.REQUEST_SCHEMA.fields if f.name not in ("request_id", "v_ah_cliente")]
+            client = F.col("v_ah_cliente").cast("string")
+            members = A.latest_per_client(self.last_period(), cols)
+            known = members.withColumn("request_id", F.concat(F.lit("m"), client))
+            only_id = members.select("v_ah_cliente", F.concat(F.lit("i"), client).alias("request_id"))
             c = self.tables.customer
             k = F.col("c_custkey")
             unknown = c.select(
+                F.concat(F.lit("c"), k.cast("string")).alias("request_id"),
                 (-(k + 1)).alias("v_ah_cliente"),
                 (F.lit(15) + (k * 13) % 60).cast("double").alias("edad"),
                 X.rnd(F.abs(F.col("c_acctbal")) * 0.1, 2).alias("ingresos"),
                 X.rnd(F.abs(F.col("c_acctbal")) * 0.05, 2).alias("egresos"),
                 ((k * 37) % 150).cast("double").alias("dias_sin_movimiento"))
-            typed = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in unknown.columns
-                     else F.lit(None).cast(f.dataType).alias(f.name) for f in S.REQUEST_SCHEMA.fields]
-            return known.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.REQUEST_SCHEMA.fields]) \
-                .unionByName(unknown.select(*typed))
+
+            def typed(df: DataFrame) -> DataFrame:
+                return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
+                                   else F.lit(None).cast(f.dataType).alias(f.name) for f in S.REQUEST_SCHEMA.fields])
+            return typed(known).unionByName(typed(only_id)).unionByName(typed(unknown))
         return self._get("requests", build)
 
+    def forget_analyzers(self) -> None:
+        """Keep the stages up to the featured table; build everything on it anew."""
+        with self._lock:
+            kept = {"snapshot_raw", "alerts_raw", "alerts", "typed", "enriched", "cleaned", "featured"}
+            self._memo = {k: v for k, v in self._memo.items() if k in kept or k.startswith("clean:")}
+
     def memo(self, name: str, build) -> DataFrame:
         return self._get(name, build)
 
 
+class FileHub(Hub):
+    """The same job on the user's own files: snapshot CSVs per period and alert
+    files (S1-S7). Only what is derived from snapshots and alerts is available;
+    requests come from the caller."""
+
+    def __init__(self, spark: SparkSession, snapshots: list[SourceSpec], alerts: SourceSpec):
+        super().__init__(spark, "")
+        self.snapshots, self.alert_spec = snapshots, alerts
+
+    def snapshot_raw(self) -> DataFrame:
+        def build():
+            out = None
+            for spec in self.snapshots:
+                df = FS.read_snapshots(self.spark, spec)
+                out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+            return out
+        return self._get("snapshot_raw", build)
+
+    def alerts_raw(self) -> DataFrame:
+        return self._get("alerts_raw", lambda: FS.read_alerts(self.spark, self.alert_spec))
+
+    def rejected(self) -> DataFrame:
+        """Q11: rows without a client id; the other stages do not see them."""
+        return self._get("rejected", lambda: L.rejected_rows(L.type_snapshot(self.snapshot_raw())))
+
+    def typed(self) -> DataFrame:
+        return self._get("typed", lambda: L.type_snapshot(self.snapshot_raw()).where("v_ah_cliente IS NOT NULL"))
+
+
 def materialize(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write the stage as a table in the shared checkpoint folder and read it
     back: a plan leaf (small plans downstream, real size statistics, no
     lineage replay after an executor loss)."""
-    with ranking.scope():
-        return sess.write_table(df, name, partition_by)
+    return sess.write_table(df, name, partition_by)
+
+
+def _marks(spark: SparkSession, root: str) -> tuple:
+    """Names, sizes and times of the files below ``root``: a hub is built anew when they change."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
 
 
 def hub(spark: SparkSession, root: str) -> Hub:
-    key = (id(spark), root.rstrip("/"))
+    key = (spark.sparkContext.applicationId, root.rstrip("/"))
     with _LOCK:
-        if key not in _HUBS:
+        marks = _marks(spark, root)
+        if key not in _HUBS or _HUBS[key][0] != marks:
             sess.configure(spark)  # UTC day arithmetic, checkpoint folder
-            _HUBS[key] = Hub(spark, root)
-        return _HUBS[key]
+            _HUBS[key] = (marks, Hub(spark, root))
+        return _HUBS[key][1]

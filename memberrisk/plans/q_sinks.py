@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from memberrisk import session as sess
 from memberrisk.functions import exprs as X
 from memberrisk.operators import analyzers as A
 from memberrisk.plans import q_analyzers as QA
@@ -60,26 +62,62 @@ def q_sink_segments(h):
 
 @register("sink_decisions", """SELECT CAST(cliente_id AS VARCHAR) AS id, CAST(cliente_id AS DOUBLE) AS cliente_id,
     riesgo_global, elegibilidad_credito, canal_cobranza, dia_pago_sugerido, alertas_activas, acciones_priorizadas,
-    bloqueos, CAST(NULL AS VARCHAR) AS agentes FROM dec WHERE cliente_id IS NOT NULL""", QD.CTES)
+    bloqueos, 9 AS n_agentes FROM dec WHERE cliente_id IS NOT NULL""", QD.CTES)
 def q_sink_decisions(h):
-    return SK.decision_records(QD.decisions(h)).drop("updated_at")
+    recs = SK.serializable(SK.decision_records(QD.decisions(h)))
+    return recs.withColumn("n_agentes", F.size(F.json_object_keys("agentes")).cast("long")).drop("updated_at", "agentes")
 
 
 @register("member_extract", """SELECT CAST(v_ah_cliente AS VARCHAR) AS id, v_ah_cliente, edad, sexo, saldo_disponible,
     ingresos, egresos, credito, dias_sin_movimiento, prod_bancario, estado_cta, oficina_cta, tipo_cuenta,
-    desviacion_maxima, fuente_alerta FROM lastp ORDER BY v_ah_cliente, v_ah_cuenta LIMIT 25000""", QA.CTES)
+    desviacion_maxima, fuente_alerta FROM lastp""", QA.CTES)
 def q_member_extract(h):
     return SK.member_extract(h.last_period())
 
 
-@register("read_back_json", """SELECT CAST(cliente_id AS VARCHAR) AS id,
-    CAST(json_array_length(alertas_activas) AS BIGINT) AS n_alertas,
-    CAST(json_array_length(bloqueos) AS BIGINT) AS n_bloqueos FROM dec""", QD.CTES)
-def q_read_back_json(h):
-    recs = SK.decision_records(QD.decisions(h))
-    back = SK.read_back(recs, json_columns={"alertas_activas": "array<string>", "bloqueos": "array<string>"})
+def stored_decisions(h):
+    """The decisions of the requests that give a member's fields, upserted into a
+    stored table in two batches: all members, then the minors once more."""
+    def build():
+        table = f"{sess.ensure_checkpoint_dir(h.spark).rstrip('/')}/tables/scoring-{uuid.uuid4().hex}"
+        first = QD.decisions(h).where(F.col("request_id").startswith("m") | F.col("request_id").startswith("c"))
+        recs = SK.decision_records(first).withColumn("updated_at", F.lit(T0).cast("timestamp"))
+        SK.upsert_table(recs, table, "scoring_results")
+        minors = A.minor_ids(QA.validation(h)).select(F.col("v_ah_cliente").cast("string").alias("id"))
+        again = recs.join(minors, "id", "left_semi").withColumn("updated_at", F.lit(T1).cast("timestamp"))
+        SK.upsert_table(again, table, "scoring_results")
+        return table
+    return h.memo("stored_decisions", build)
+
+
+_STORED = "(SELECT * FROM dec WHERE request_id[1] IN ('m', 'c') AND cliente_id IS NOT NULL)"
+_LISTS = {"alertas_activas": "array<string>", "bloqueos": "array<string>"}
+
+
+def _lengths(back):
     return back.select("id", F.size("alertas_activas").cast("long").alias("n_alertas"),
-                       F.size("bloqueos").cast("long").alias("n_bloqueos"))
+                       F.size("bloqueos").cast("long").alias("n_bloqueos"),
+                       F.date_format("updated_at", "yyyy-MM-dd").alias("dia"))
+
+
+_LENGTHS = f"""SELECT CAST(d.cliente_id AS VARCHAR) AS id, CAST(json_array_length(d.alertas_activas) AS BIGINT) AS n_alertas,
+    CAST(json_array_length(d.bloqueos) AS BIGINT) AS n_bloqueos,
+    CASE WHEN m.v_ah_cliente IS NULL THEN '2001-07-01' ELSE '2001-07-02' END AS dia
+    FROM {_STORED} d LEFT JOIN (SELECT DISTINCT v_ah_cliente FROM minors) m ON m.v_ah_cliente = d.cliente_id"""
+
+
+@register("read_back_json", _LENGTHS, QD.CTES)
+def q_read_back_json(h):
+    """S8 + S12 + S14: decisions written to a stored table, upserted and read back."""
+    return _lengths(SK.read_back(SK.read_current(h.spark, stored_decisions(h), "scoring_results"), json_columns=_LISTS))
+
+
+@register("read_back_by_id", f"""SELECT * FROM ({_LENGTHS}) WHERE id = (SELECT CAST(min(v_ah_cliente) AS VARCHAR)
+    FROM lastp)""", QD.CTES)
+def q_read_back_by_id(h):
+    """The keyed read of one member."""
+    first = str(h.last_period().agg(F.min("v_ah_cliente")).first()[0])
+    return _lengths(SK.read_back(SK.read_current(h.spark, stored_decisions(h), "scoring_results", first), json_columns=_LISTS))
 
 
 @register("sink_clusters", kind="R")

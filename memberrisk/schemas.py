@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 KEYS = ("v_ah_cliente", "v_ah_cuenta", "periodo")
 CLIENT = "v_ah_cliente"
 
+# The source system's column names, codes and labels.
 DATE_COLUMNS = ("fecha_proceso", "fecha_aper", "fecha_ultmov", "fecha_ult_capi",
                 "v_fecha_nac", "fecha_actualizacion")
 
@@ -30,8 +31,6 @@ TEXT_COLUMNS = ("v_ah_nombre",)
 FINANCIAL_COLUMNS = ("saldo_disponible", "monto_bloq", "val_de_creditos", "val_de_debitos",
                      "ingresos", "egresos", "certificadosvalor")
 
-ALERT_FILL = {"desviacion_maxima": 0.0, "meses_actividad": 0, "max_dias_mes": 0.0,
-              "min_dias_mes": 0.0, "fuente_alerta": "sin_alerta"}
 NO_ALERT = "sin_alerta"
 
 # fixed code tables of the source system
@@ -67,7 +66,10 @@ ALERT_RAW_SCHEMA = T.StructType([
     T.StructField("desviacion_maxima", T.DoubleType()),
 ])
 
+ALERT_TAGGED_SCHEMA = T.StructType([*ALERT_RAW_SCHEMA.fields, T.StructField("fuente_alerta", T.StringType())])
+
 REQUEST_SCHEMA = T.StructType([
+    T.StructField("request_id", T.StringType()),
     T.StructField("v_ah_cliente", T.LongType()),
     T.StructField("edad", T.DoubleType()),
     T.StructField("ingresos", T.DoubleType()),

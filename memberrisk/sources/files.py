@@ -32,49 +32,58 @@ ALERT_SEP = ","
 ALERT_SOURCES = ("desviados", "desviados_3_mas")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path or glob names, in order; a folder names its files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(hpath)
-    return statuses is not None and len(statuses) > 0
+    fs = hpath.getFileSystem(conf)
+    out = []
+    for status in fs.globStatus(hpath) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [s.getPath().toString() for s in inside if s.isFile() and s.getPath().getName()[0] not in "._"]
+    return sorted(out)
+
+
+def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
+    """Column names of one file (reads one line)."""
+    first = spark.read.option("sep", sep).csv(path).limit(1).collect()
+    return tuple(str(c).strip() for c in first[0]) if first else ()
 
 
 def read_snapshots(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """S1/S2 + S4 + S5: all periods as strings, tagged and unioned by name."""
+    """S1/S2 + S4 + S5: all periods as strings, tagged and unioned by name.
+
+    Each file is read by its own header; files of a period with the same header
+    are one scan. Columns that a file lacks are null."""
     frames = {}
     for period, path in spec.paths.items():
-        if not _exists(spark, path):
-            continue
-        frames[period] = (spark.read.option("header", True).option("sep", spec.sep)
-                          .option("mode", "PERMISSIVE").schema(_header_schema(spark, path, spec.sep)).csv(path))
+        by_header: dict[tuple[str, ...], list[str]] = {}
+        for file in _files(spark, path):
+            by_header.setdefault(_header(spark, file, spec.sep), []).append(file)
+        for header, files in by_header.items():
+            if header:
+                schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
+                df = (spark.read.option("header", True).option("sep", spec.sep).option("enforceSchema", True)
+                      .option("mode", "PERMISSIVE").schema(schema).csv(files))
+                frames[period] = frames[period].unionByName(df, allowMissingColumns=True) if period in frames else df
     return L.union_periods(frames)
 
 
-def _header_schema(spark: SparkSession, path: str, sep: str) -> T.StructType:
-    """All-string schema from the header line only (reads one line)."""
-    first = spark.read.option("sep", sep).csv(path).limit(1).collect()
-    names = [str(c).strip() for c in first[0]] if first else []
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
 def read_alerts(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """S3 + U2: both alert files tagged with their source; empty if none."""
     out = None
     schema = T.StructType([T.StructField("cliente", T.StringType()), T.StructField("dias_por_mes", T.StringType()),
                            T.StructField("desviacion_maxima", T.StringType())])
     for name, path in spec.paths.items():
-        if not _exists(spark, path):
+        files = _files(spark, path)
+        if not files:
             continue
-        df = (spark.read.option("header", True).option("sep", spec.sep).schema(schema).csv(path)
-              .select(F.expr("try_cast(cliente as bigint)").alias("cliente"), "dias_por_mes",
-                      F.expr("try_cast(desviacion_maxima as double)").alias("desviacion_maxima"))
+        df = (spark.read.option("header", True).option("sep", spec.sep).schema(schema).csv(files)
+              .select(L.parse_id("cliente").alias("cliente"), "dias_por_mes",
+                      F.expr("try_cast(trim(desviacion_maxima) as double)").alias("desviacion_maxima"))
               .withColumn("fuente_alerta", F.lit(name)))
         out = df if out is None else out.unionByName(df)
-    if out is None:
-        empty = S.ALERT_RAW_SCHEMA.add(T.StructField("fuente_alerta", T.StringType()))
-        return spark.createDataFrame([], empty)
-    return out
+    return out if out is not None else spark.createDataFrame([], S.ALERT_TAGGED_SCHEMA)
 
 
 def source_row_counts(frames: dict[str, DataFrame]) -> DataFrame:

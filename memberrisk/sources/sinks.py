@@ -1,16 +1,21 @@
-"""Sinks (S8-S17): keyed "latest row wins" upsert into versioned parquet
-tables, the five output table schemas, and the JSON edge for nested values.
-
-Upsert = union(existing, new) -> keep the newest row per id (max_by
-aggregate, partially aggregated, so a hot id costs one row per map task) ->
-write a new version directory -> readers take the newest committed version.
-No row is shipped through the driver; batching is Spark's partitioning.
+"""Sinks (S8-S17): keyed "latest row wins" upsert into parquet tables, the
+five output table schemas, and the JSON edge for nested values.
+
+A stored table is cut into buckets by a hash of the id. An upsert reads the
+buckets that the new rows touch, keeps the newest row per id (max_by aggregate,
+partially aggregated, so a hot id costs one row per map task), and writes those
+buckets anew; the others stay. A small manifest names each bucket's folder.
+Committing creates the next manifest, which only one writer can; the loser
+reads again and tries again. Folders that the last manifests do not name are
+deleted. A keyed read opens one bucket. No row goes through the driver.
 """
 
 from __future__ import annotations
 
-import datetime as dt
+import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +70,6 @@ DEFAULTS = {"total_socios": 0, "tasa_mora_pct": 0.0, "tasa_riesgo_alto": 0.0, "s
 MEMBER_EXTRACT_COLUMNS = ("v_ah_cliente", "edad", "sexo", "saldo_disponible", "ingresos", "egresos", "credito",
                           "dias_sin_movimiento", "prod_bancario", "estado_cta", "oficina_cta", "tipo_cuenta",
                           "desviacion_maxima", "fuente_alerta")
-MEMBER_EXTRACT_MAX_ROWS = 25000
 
 
 def conform_output(df: DataFrame, table: str) -> DataFrame:
@@ -98,33 +102,104 @@ def upsert(existing: DataFrame | None, new: DataFrame, key: str = "id") -> DataF
     return latest_per_id(merged, key).drop("_src")
 
 
-def write_version(df: DataFrame, table_dir: str) -> str:
-    """Write a new version directory; the newest committed one is current."""
-    version = dt.datetime.now(dt.timezone.utc).strftime("v%Y%m%dT%H%M%S%f")
-    path = f"{table_dir.rstrip('/')}/{version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+BUCKETS = 32
+KEEP_MANIFESTS = 2
 
 
-def read_current(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                      if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+class _Folder:
+    """A table's folder on any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, table_dir: str):
+        self.spark, self.dir = spark, table_dir.rstrip("/")
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self.path(self.dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def names(self, sub: str) -> list[str]:
+        p = self.path(f"{self.dir}/{sub}")
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
+
+    def versions(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self.names("manifests") if n.endswith(".json")]
+
+    def manifest(self, version: int) -> dict[str, str]:
+        """Bucket number to folder name."""
+        stream = self.fs.open(self.path(f"{self.dir}/manifests/{version:012d}.json"))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def commit(self, version: int, manifest: dict[str, str]) -> bool:
+        """Write the manifest unless another writer has."""
+        try:
+            stream = self.fs.create(self.path(f"{self.dir}/manifests/{version:012d}.json"), False)
+        except Py4JJavaError as error:
+            if "exist" in str(error.java_exception).lower():
+                return False
+            raise
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+        return True
+
+    def clean(self) -> None:
+        """Delete manifests but the last ones, and folders that those do not name."""
+        versions = self.versions()
+        named = {f.split("/")[0] for v in versions[-KEEP_MANIFESTS:] for f in self.manifest(v).values()}
+        for v in versions[:-KEEP_MANIFESTS]:
+            folders = {f.split("/")[0] for f in self.manifest(v).values()}
+            self.fs.delete(self.path(f"{self.dir}/manifests/{v:012d}.json"), False)
+            for folder in folders - named:
+                self.fs.delete(self.path(f"{self.dir}/data/{folder}"), True)
+
+
+def _read(folder: _Folder, manifest: dict[str, str], schema: T.StructType, buckets: list[str] | None = None) -> DataFrame | None:
+    paths = [f"{folder.dir}/data/{f}" for b, f in sorted(manifest.items()) if buckets is None or b in buckets]
+    return folder.spark.read.schema(schema).parquet(*paths) if paths else None
+
+
+def read_current(spark: SparkSession, table_dir: str, table: str, key_value: str | None = None) -> DataFrame | None:
+    """The committed table, or the rows of one id (one bucket is opened, ``id = x`` is pushed down)."""
+    folder = _Folder(spark, table_dir)
+    versions = folder.versions()
     if not versions:
         return None
-    return spark.read.parquet(f"{table_dir.rstrip('/')}/{versions[-1]}")
+    schema = OUTPUT_SCHEMAS[table]
+    if key_value is None:
+        return _read(folder, folder.manifest(versions[-1]), schema)
+    bucket = spark.range(1).select(bucket_of(F.lit(key_value)).alias("b")).first()["b"]
+    df = _read(folder, folder.manifest(versions[-1]), schema, [str(bucket)])
+    return df.where(F.col("id") == key_value) if df is not None else spark.createDataFrame([], schema)
 
 
-def upsert_table(new: DataFrame, table_dir: str, table: str) -> str:
-    """S8 end to end: read current version, merge, write the next version."""
+def upsert_table(new: DataFrame, table_dir: str, table: str) -> int:
+    """S8 end to end: merge the touched buckets and commit. Returns the version."""
+    from memberrisk.session import write_table
     spark = new.sparkSession
-    cur = read_current(spark, table_dir)
-    merged = upsert(cur, conform_output(new, table))
-    return write_version(conform_output(merged, table), table_dir)
+    batch = write_table(conform_output(new, table).withColumn("_bucket", bucket_of(F.col("id"))), "upsert")
+    touched = sorted(r["_bucket"] for r in batch.select("_bucket").distinct().collect())  # at most BUCKETS
+    folder = _Folder(spark, table_dir)
+    while True:
+        versions = folder.versions()
+        manifest = folder.manifest(versions[-1]) if versions else {}
+        current = _read(folder, manifest, OUTPUT_SCHEMAS[table], [str(b) for b in touched])
+        merged = conform_output(upsert(current, batch.drop("_bucket")), table)
+        data = uuid.uuid4().hex
+        (merged.withColumn("_bucket", bucket_of(F.col("id"))).repartition(len(touched) or 1, "_bucket")
+         .write.partitionBy("_bucket").parquet(f"{folder.dir}/data/{data}"))
+        version = (versions[-1] if versions else 0) + 1
+        if folder.commit(version, manifest | {str(b): f"{data}/_bucket={b}" for b in touched}):
+            folder.clean()
+            return version
+        folder.fs.delete(folder.path(f"{folder.dir}/data/{data}"), True)  # another writer was first
 
 
 def _now() -> Column:
@@ -162,8 +237,7 @@ def decision_records(decisions: DataFrame) -> DataFrame:
     def js(c):
         t = d.schema[c].dataType if c in d.columns else None
         return F.to_json(F.col(c)) if isinstance(t, (T.ArrayType, T.MapType, T.StructType)) else F.col(c)
-    agents = F.to_json(F.struct(*[F.col(c) for c in ("agentes",) if c in d.columns])) if "agentes" in d.columns \
-        else F.lit(None).cast("string")
+    agents = js("agentes") if "agentes" in d.columns else F.lit(None).cast("string")
     return d.select(F.col("cliente_id").cast("long").cast("string").alias("id"), _now().alias("updated_at"),
                     F.col("cliente_id").cast("double").alias("cliente_id"), "riesgo_global", "elegibilidad_credito",
                     "canal_cobranza", "dia_pago_sugerido", js("alertas_activas").alias("alertas_activas"),
@@ -171,12 +245,12 @@ def decision_records(decisions: DataFrame) -> DataFrame:
                     agents.alias("agentes"))
 
 
-def member_extract(last: DataFrame, max_rows: int = MEMBER_EXTRACT_MAX_ROWS) -> DataFrame:
-    """Latest-period members, 14 key columns, id = integer client id as
-    text, first ``max_rows`` by (client, account) - the row cap is the
-    feature of this extract."""
+def member_extract(last: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """All latest-period members, 14 key columns, id = integer client id as
+    text. ``max_rows`` keeps the first by (client, account), for a store that
+    limits its uploads."""
     cols = [c for c in MEMBER_EXTRACT_COLUMNS if c in last.columns]
-    top = last.orderBy("v_ah_cliente", "v_ah_cuenta").limit(max_rows)
+    top = last if max_rows is None else last.orderBy("v_ah_cliente", "v_ah_cuenta").limit(max_rows)
     return top.select(F.col("v_ah_cliente").cast("long").cast("string").alias("id"), *cols)
 
 
@@ -192,7 +266,7 @@ def serializable(df: DataFrame) -> DataFrame:
     """Timestamps to ISO text, NaN to null."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):

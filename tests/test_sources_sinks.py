@@ -33,7 +33,41 @@ def test_scan_alerts_tagged_and_empty(spark, scratch):
     r = df.first()
     assert (r.cliente, r.fuente_alerta, r.desviacion_maxima) == (5, "desviados", 2.5)
     empty = SRC.read_alerts(spark, SRC.SourceSpec({"desviados": f"{scratch}/none.csv"}))
-    assert empty.count() == 0 and "fuente_alerta" in empty.columns
+    assert empty.count() == 0
+    again = SRC.read_alerts(spark, SRC.SourceSpec({"desviados": f"{scratch}/none.csv"}))
+    assert again.columns == empty.columns == df.columns
+
+
+def test_header_per_file_and_ids(spark, scratch):
+    os.mkdir(f"{scratch}/m")
+    _write(f"{scratch}/m/a.csv", "v_ah_cliente,saldo_disponible\n 1 ,10\n2.0,20\n")
+    _write(f"{scratch}/m/b.csv", "saldo_disponible,v_ah_cliente,edad\n30,3,40\n50,,41\n")
+    df = SRC.read_snapshots(spark, SRC.SourceSpec({"2026-03": f"{scratch}/m/*.csv"}))
+    got = {(r.v_ah_cliente, r.saldo_disponible, r.edad) for r in df.collect()}
+    assert got == {(" 1 ", "10", None), ("2.0", "20", None), ("3", "30", "40"), (None, "50", "41")}
+    from memberrisk.operators import load as L
+    assert sorted(r.v_ah_cliente for r in L.type_snapshot(df).where("v_ah_cliente IS NOT NULL").collect()) == [1, 2, 3]
+    assert [r.edad for r in L.rejected_rows(L.type_snapshot(df)).collect()] == [41.0]
+    _write(f"{scratch}/al.csv", 'cliente,dias_por_mes,desviacion_maxima\n 1 ,,2.5\n2.0,,3\n')
+    alerts = SRC.read_alerts(spark, SRC.SourceSpec({"desviados": f"{scratch}/al.csv"}))
+    assert sorted(r.cliente for r in alerts.collect()) == [1, 2]
+
+
+def test_file_hub_gives_the_same_features(spark, scratch):
+    """The fixture's raw layer written as CSV and read back: same features."""
+    from memberrisk.plans.pipeline import FileHub, hub
+    from conftest import SMOKE
+    h = hub(spark, SMOKE)
+    h.snapshot_raw().write.partitionBy("periodo").option("header", True).option("emptyValue", "").csv(f"{scratch}/snap")
+    h.alerts_raw().write.partitionBy("fuente_alerta").option("header", True).csv(f"{scratch}/alerts")
+    periods = [r[0] for r in h.snapshot_raw().select("periodo").distinct().collect()]
+    f = FileHub(spark, [SRC.SourceSpec({p: f"{scratch}/snap/periodo={p}" for p in periods})],
+                SRC.SourceSpec({s: f"{scratch}/alerts/fuente_alerta={s}" for s in SRC.ALERT_SOURCES}))
+    cols = sorted(set(h.featured().columns) & set(f.featured().columns))
+    assert set(h.featured().columns) == set(f.featured().columns) and f.rejected().count() == 0
+    a = {tuple(r) for r in h.featured().select(cols).collect()}
+    b = {tuple(r) for r in f.featured().select(cols).collect()}
+    assert a == b
 
 
 def test_upsert_latest_wins_and_idempotent(spark, scratch):
@@ -48,10 +82,31 @@ def test_upsert_latest_wins_and_idempotent(spark, scratch):
     table = f"{scratch}/clusters"
     SK.upsert_table(new.withColumn("cluster_name", F.lit("x")), table, "pipeline_clusters")
     SK.upsert_table(old.withColumn("cluster_name", F.lit("y")), table, "pipeline_clusters")
-    cur = {r.id: r.n_socios for r in SK.read_current(spark, table).collect()}
+    cur = {r.id: r.n_socios for r in SK.read_current(spark, table, "pipeline_clusters").collect()}
     assert cur == {"a": 10, "b": 2}
 
 
+def test_upsert_touches_only_its_buckets(spark, scratch):
+    table = f"{scratch}/t"
+    rows = lambda ids, n: spark.createDataFrame([(str(i), n) for i in ids], "id string, n_socios long").withColumns(
+        {"cluster_name": F.lit("x"), "updated_at": F.timestamp_seconds(F.col("n_socios"))})
+    assert SK.upsert_table(rows(range(500), 1), table, "pipeline_clusters") == 1
+    folder = SK._Folder(spark, table)
+    first = folder.manifest(1)
+    assert SK.upsert_table(rows([7], 2), table, "pipeline_clusters") == 2
+    second = folder.manifest(2)
+    assert sum(first[b] != second[b] for b in first) == 1               # one bucket was written anew
+    got = {r.id: r.n_socios for r in SK.read_current(spark, table, "pipeline_clusters").collect()}
+    assert len(got) == 500 and got["7"] == 2 and got["8"] == 1
+    one = SK.read_current(spark, table, "pipeline_clusters", "7")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert [r.n_socios for r in one.collect()] == [2] and "PushedFilters: [IsNotNull(id), EqualTo(id,7)]" in plan
+    assert not folder.commit(2, {})                                     # the version is taken
+    SK.upsert_table(rows(range(500), 3), table, "pipeline_clusters")
+    SK.upsert_table(rows(range(500), 4), table, "pipeline_clusters")
+    assert folder.versions() == [3, 4] and len(folder.names("data")) == 2  # older folders are gone
+
+
 def test_output_schemas_and_defaults(spark):
     df = spark.createDataFrame([("prod_1", "1")], "id string, prod_bancario string")
     out = SK.conform_output(df, "pipeline_segmentos")
@@ -76,6 +131,7 @@ def test_streaming_request_scoring(spark, scratch):
     stream = spark.readStream.schema(h.requests().schema).parquet(src)
     q = RQ.start(h, stream, f"{scratch}/scoring_results", f"{scratch}/ckpt")
     q.awaitTermination(300)
-    out = SK.read_current(spark, f"{scratch}/scoring_results")
-    assert out is not None and out.count() == h.requests().count()
+    out = SK.read_current(spark, f"{scratch}/scoring_results", "scoring_results")
+    assert out is not None and out.count() == h.requests().select("v_ah_cliente").distinct().count()
+    assert out.where("agentes IS NULL").count() == 0
     assert os.path.isdir(f"{scratch}/ckpt")
