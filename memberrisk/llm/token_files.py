@@ -8,8 +8,8 @@ Three predictions drive the arithmetic coder for each id:
  * order 2 and order 1: a table from the last two ids (the last id) to the id that
    followed them, with a confidence that grows by hits and shrinks by misses;
    the probability that each confidence deserves is learned as the block goes;
- * order 0: adaptive counts of groups of 128 neighbouring ids, for ids that
-   neither table predicts.
+ * order 0: adaptive counts of the ids' low bits and, for each of those, the id
+   last seen with them, for ids that neither table predicts.
 The two tables' probabilities are mixed with a weight kept for each pair of
 confidences, which moves toward the table that was right when they differ. All
 arithmetic is on integers, so a reader gets exactly the writer's models.
@@ -43,36 +43,42 @@ from memberrisk.llm import common as C
 from memberrisk.llm import tokens
 
 BLOCK = 4096
-LANES = 1024          # blocks coded side by side
-SLOTS = 4096          # of each prediction table of a block
-GROUP_BITS = 7        # ids of a group of the order-0 counts
+LANES = 2048          # blocks coded side by side
+SLOTS = 2048          # of each prediction table of a block
+HIGHS = 25            # ids with the same low bits, at most
 REFRESH = 32          # steps after which the order-0 sums are made anew
+# Of 4096: what each other id with the same low bits gets, by how often the last one was right.
+_OTHER = np.array([160, 24, 8, 3, 1, 1, 1, 1])
 _MASK, _TOP, _BOTTOM = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 24)
-_S16, _S32 = np.uint64(16), np.uint64(32)
+_S12, _S16, _S32 = np.uint64(12), np.uint64(16), np.uint64(32)
 
 
 class _Model:
     """The adaptive models of ``lanes`` blocks; lanes that ended are at the back."""
 
-    def __init__(self, lanes: int, groups: int) -> None:
-        self.groups = groups
+    def __init__(self, lanes: int, id_limit: int) -> None:
+        self.bits = 0
+        while ((id_limit - 1) >> self.bits) >= HIGHS:
+            self.bits += 1
+        self.lows, self.highs = 1 << self.bits, ((id_limit - 1) >> self.bits) + 1
         self.table = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]   # order 1, order 2
         self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
         self.share = [np.tile(np.arange(1, 9) * 6500, lanes) for _ in range(2)]  # of hits in 65536, by confidence
         self.weight = np.full(lanes * 16, 8, np.int64)
-        self.counts = np.ones(lanes * groups, np.int64)
-        self.sums = np.zeros((lanes, groups + 1), np.int64)
+        self.counts = np.ones((lanes, self.lows), np.int32)
+        self.sums = np.zeros((lanes, self.lows + 1), np.int32)
+        self.high = np.zeros(lanes * self.lows, np.int8)
+        self.sure = np.zeros(lanes * self.lows, np.int8)
         self.last = np.zeros((2, lanes), np.int64)
         self.lane = np.arange(lanes)
         self._sum()
 
     def _sum(self) -> None:
-        counts = self.counts.reshape(-1, self.groups)
-        np.cumsum(counts, axis=1, out=self.sums[:, 1:])
-        heavy = self.sums[:, -1] > 1 << 15
+        np.cumsum(self.counts, axis=1, out=self.sums[:, 1:])
+        heavy = self.sums[:, -1] > 1 << 17
         if heavy.any():
-            counts[heavy] = (counts[heavy] + 1) >> 1
-            np.cumsum(counts, axis=1, out=self.sums[:, 1:])
+            self.counts[heavy] = (self.counts[heavy] + 1) >> 1
+            np.cumsum(self.counts, axis=1, out=self.sums[:, 1:])
 
     def predict(self, live: int) -> None:
         """Frequencies (of 65536) of the events: order 2 is right, else order 1 is right."""
@@ -91,6 +97,12 @@ class _Model:
         self.two += 32 * (self.level[1] > 0)
         self.one = np.where(self.same, 0, by_one + 32 * (self.level[0] > 0))
 
+    def rest(self, missed: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id last seen with these low bits (its high bits), its frequency (of 4096) and that of each other one."""
+        self.slot = missed * self.lows + low
+        other = _OTHER[self.sure[self.slot]]
+        return self.high[self.slot].astype(np.int64), 4096 - (self.highs - 1) * other, other
+
     def learn(self, x: np.ndarray, live: int, missed: np.ndarray, step: int) -> None:
         lane = self.lane[:live]
         right = [(self.guess[i] == x) & (self.level[i] > 0) for i in (0, 1)]
@@ -105,7 +117,13 @@ class _Model:
         differ = np.flatnonzero((right[0] != right[1]) & (self.level[0] > 0) & (self.level[1] > 0))
         at = self.mix[differ]
         self.weight[at] = np.clip(self.weight[at] + np.where(right[1][differ], 1, -1), 1, 15)
-        self.counts[missed * self.groups + (x[missed] >> GROUP_BITS)] += 24
+        if len(missed):
+            high = x[missed] >> self.bits
+            hit = self.high[self.slot] == high
+            self.sure[self.slot] = np.where(hit, np.minimum(self.sure[self.slot] + 1, 7), 1)
+            self.high[self.slot] = high
+        low = x & (self.lows - 1)  # every id counts, also those that the tables predict
+        self.counts[lane, low] += 24
         if step % REFRESH == REFRESH - 1:
             self._sum()
         self.last[1, :live] = self.last[0, :live]
@@ -142,11 +160,11 @@ def encode_blocks(blocks: list[np.ndarray], id_limit: int) -> list[bytes]:
     """Codes of blocks of ids below ``id_limit``, each on its own. Longest first."""
     lanes, size = len(blocks), len(blocks[0])
     length = np.array([len(b) for b in blocks])
-    ids = np.zeros((size, lanes), np.int64)
+    ids = np.zeros((size, lanes), np.int32)
     for i, b in enumerate(blocks):
         ids[:len(b), i] = b
-    model, coder = _Model(lanes, (id_limit >> GROUP_BITS) + 1), _Coder(lanes)
-    out = np.zeros((lanes, 3 * size + 8), np.uint16)
+    model, coder = _Model(lanes, id_limit), _Coder(lanes)
+    out = np.zeros((lanes, 3 * size + 8), np.uint16)  # pages that no code reaches stay untouched
     filled = np.zeros(lanes, np.int64)
 
     def moved(at: np.ndarray) -> None:
@@ -155,7 +173,7 @@ def encode_blocks(blocks: list[np.ndarray], id_limit: int) -> list[bytes]:
 
     for step in range(size):
         live = int(np.searchsorted(-length, -step, side="left"))
-        x = ids[step, :live]
+        x = ids[step, :live].astype(np.int64)
         model.predict(live)
         two = (x == model.guess[1]) & (model.level[1] > 0)
         one = ~two & (x == model.guess[0]) & (model.level[0] > 0)
@@ -165,11 +183,13 @@ def encode_blocks(blocks: list[np.ndarray], id_limit: int) -> list[bytes]:
         coder.shift(live, moved)
         missed = np.flatnonzero(~(two | one))
         if len(missed):
-            group, rest = x[missed] >> GROUP_BITS, x[missed] & ((1 << GROUP_BITS) - 1)
-            below = model.sums[missed, group]
-            freq = model.sums[missed, group + 1] - below
-            total = model.sums[missed, -1] << GROUP_BITS
-            coder.narrow(missed, coder.range[missed] // total.astype(np.uint64), (below << GROUP_BITS) + rest * freq, freq)
+            low, high = x[missed] & (model.lows - 1), x[missed] >> model.bits
+            below = model.sums[missed, low]
+            coder.narrow(missed, coder.range[missed] // model.sums[missed, -1].astype(np.uint64), below, model.sums[missed, low + 1] - below)
+            coder.shift(live, moved)
+            known, often, other = model.rest(missed, low)
+            start = np.where(high == known, 0, often + (high - (high > known)) * other)
+            coder.narrow(missed, coder.range[missed] >> _S12, start, np.where(high == known, often, other))
             coder.shift(live, moved)
         model.learn(x, live, missed, step)
     for _ in range(3):
@@ -188,9 +208,8 @@ def decode_blocks(codes: list[bytes], lengths: list[int], id_limit: int) -> list
         feed[i, :len(w)] = w
     taken = np.full(lanes, 3)
     code = (feed[:, 0] << _S32) | (feed[:, 1] << _S16) | feed[:, 2]
-    ids = np.zeros((size, lanes), np.int64)
-    groups = (id_limit >> GROUP_BITS) + 1
-    model, coder = _Model(lanes, groups), _Coder(lanes)
+    ids = np.zeros((size, lanes), np.int32)
+    model, coder = _Model(lanes, id_limit), _Coder(lanes)
 
     def moved(at: np.ndarray) -> None:
         # A damaged code may ask for more than there is; its checksum fails later.
@@ -215,21 +234,27 @@ def decode_blocks(codes: list[bytes], lengths: list[int], id_limit: int) -> list
         x = np.where(two, model.guess[1], model.guess[0]).astype(np.int64)
         missed = np.flatnonzero(~(two | one))
         if len(missed):
-            total = model.sums[missed, -1] << GROUP_BITS
+            total = model.sums[missed, -1].astype(np.int64)
             r = coder.range[missed] // total.astype(np.uint64)
             v = wanted(missed, r, total)
-            lo, hi = np.zeros(len(missed), np.int64), np.full(len(missed), groups)
-            for _ in range(groups.bit_length()):  # the last group whose sum is not above
-                mid = (lo + hi) >> 1
-                above = model.sums[missed, mid] > v >> GROUP_BITS
-                hi = np.where(above, mid, hi)
-                lo = np.where(above, lo, mid)
-            below = model.sums[missed, lo]
-            freq = model.sums[missed, lo + 1] - below
-            rest = (v - (below << GROUP_BITS)) // freq
-            coder.narrow(missed, r, (below << GROUP_BITS) + rest * freq, freq)
+            low, top = np.zeros(len(missed), np.int64), np.full(len(missed), model.lows)
+            for _ in range(model.bits):  # the last low bits whose sum is not above
+                mid = (low + top) >> 1
+                above = model.sums[missed, mid] > v
+                top = np.where(above, mid, top)
+                low = np.where(above, low, mid)
+            below = model.sums[missed, low]
+            coder.narrow(missed, r, below, model.sums[missed, low + 1] - below)
+            coder.shift(live, moved)
+            known, often, other = model.rest(missed, low)
+            r = coder.range[missed] >> _S12
+            v = wanted(missed, r, 4096)
+            index = np.minimum(np.maximum(v - often, 0) // other, max(model.highs - 2, 0))
+            high = np.where(v < often, known, index + (index >= known))
+            start = np.where(v < often, 0, often + index * other)
+            coder.narrow(missed, r, start, np.where(v < often, often, other))
             coder.shift(live, moved)
-            x[missed] = (lo << GROUP_BITS) + rest
+            x[missed] = (high << model.bits) + low
         ids[step, :live] = x
         model.learn(x, live, missed, step)
     return [ids[:n, i] for i, n in enumerate(lengths)]
@@ -313,14 +338,13 @@ def read(spark: SparkSession, path: str, id_limit: int, with_ids: bool = False)
                 ids = decode_segment(row, id_limit)
                 n = np.array([len(x) for x in ids])
                 yield C.batch_of({
-                    "part": pa.array([row["part"]] * len(n), pa.int32()), "segment": pa.array([row["segment"]] * len(n), pa.int32()),
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "inside": pa.array(np.cumsum(n) - n, pa.int64()),
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["first"] + np.cumsum(n) - n, pa.int64()),
                     "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array([_crc(x) for x in ids], pa.int64()),
                     "ids": pa.array([x.astype("<u4").tobytes() if with_ids else None for x in ids], pa.binary())})
 
-    out = files.mapInArrow(run, "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long, ids binary")
-    out = out.join(starts, ["part", "segment"]).withColumn("start", F.col("first") + F.col("inside"))
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    # The codes meet their starts before they are decoded, so each is decoded once.
+    out = files.join(starts, ["part", "segment"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return out if with_ids else out.drop("ids")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
