@@ -28,7 +28,7 @@ from memberrisk.session import ship_package
 #: Rows handled at once.
 ROWS = 1024
 #: Bytes of text turned into arrays at once; one longer text makes its own slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -15,13 +15,15 @@ Plan
     order and a histogram of its set, about 4 to 8 shingles a part. Equal sets (by 64-bit
     fingerprint) become one class before anything is joined.
  3. *Hub round.* Each prefix shingle held by two or more classes links its
-    members to its smallest member (a linear number of pairs). Length and
-    positional filters cut pairs at the join, the suffix filter (Hamming bound
-    over the histograms) cuts the distinct pairs, the rest is verified once on
-    the whole sets. What links is merged into components.
+    members to its smallest member (a linear number of pairs). Length, positional
+    and prefix-count filters cut pairs at the join (the last one: of two sets,
+    the one whose prefix ends first in the order can share no more than its
+    prefix shingles that others hold, and what comes after its prefix); the
+    suffix filter (Hamming bound over the histograms) cuts the distinct pairs,
+    the rest is verified once on the whole sets. What links is merged into components.
  4. *Remaining pairs.* Members of one shingle that are in different components
-    now are joined with each other under the same filters; pairs that were
-    verified before are taken out. So no link between components is lost,
+    now are joined with each other under the same filters, with the prefix
+    shingles in common counted; pairs that were verified before are taken out. So no link between components is lost,
     while a group of near copies never makes all its pairs.
  5. Components of all links give every text its class.
 
@@ -105,12 +107,13 @@ def count_classes(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray, name: str) -> DataFrame:
-    """Per row: row_key, doc_id, n, fp (fingerprint of the set), prefix (ordered shingles), parts (histogram)."""
+    """Per row: row_key, doc_id, n, fp (fingerprint of the set), prefix (ordered shingles), last (the order of its
+    last one), parts (histogram)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        size, fp = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        size, fp, last = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         parts: list[bytes | None] = [None] * n
         found: list[np.ndarray] = [np.zeros(0, np.uint64)] * n
         rank = shared.value
@@ -118,22 +121,38 @@ def prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray, name: str
             m = size[row] = len(s)
             fp[row] = fingerprint(s)
             parts[row] = histogram(s).tobytes()
-            found[row] = s[np.argsort(rank[_cell(s)], kind="stable")[:m - -(-percent * m // 100) + 1]]
+            own = rank[_cell(s)]
+            first = np.argsort(own, kind="stable")[:m - -(-percent * m // 100) + 1]
+            found[row], end = s[first], first[-1]
+            last[row] = (int(own[end]) << 55) | int(s[end] >> np.uint64(9))
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
         return C.batch_of({
-            "row_key": batch.column(2), "doc_id": batch.column(0), "n": pa.array(size), "fp": pa.array(fp),
+            "row_key": batch.column(2), "doc_id": batch.column(0), "n": pa.array(size), "fp": pa.array(fp), "last": pa.array(last),
             "prefix": C.lists(C.signed(np.concatenate(found)), ends, pa.int64()),
             "parts": pa.array(parts, pa.binary())})
 
     return C.stage(C.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", C.row_key().alias("row_key")), run,
-                                 "row_key long, doc_id long, n long, fp long, prefix array<long>, parts binary"), f"{name}-prefix")
+                                 "row_key long, doc_id long, n long, fp long, last long, prefix array<long>, parts binary"), f"{name}-prefix")
+
+
+def _need(percent: int) -> str:
+    """Intersection that two sets of ``n`` and ``n2`` shingles must have."""
+    return f"ceil({percent} * (n + n2) / {100 + percent}.0 - 1e-9)"
+
+
+def _beyond(percent: int) -> str:
+    """What two sets can have in common beyond their common prefix shingles: the
+    shingles after the prefix of the set whose prefix ends first in the order."""
+    rest = f"(({percent} * {{0}} + 99) div 100 - 1)"
+    one, two = rest.format("n"), rest.format("n2")
+    return f"IF(last < last2, {one}, IF(last2 < last, {two}, greatest({one}, {two})))"
 
 
 def _passes(percent: int) -> str:
-    """Length and positional filter on the columns of two postings of one shingle."""
-    need = f"ceil({percent} * (n + n2) / {100 + percent}.0 - 1e-9)"
+    """Length, positional and prefix-count filter on two postings of one shingle."""
     return (f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND "
-            f"least(pos, pos2) + 1 + least(n - pos, n2 - pos2) - 1 >= {need}")
+            f"least(pos, pos2) + least(n - pos, n2 - pos2) >= {_need(percent)} AND "
+            f"least(held, held2) + {_beyond(percent)} >= {_need(percent)}")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
@@ -192,13 +211,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
     docs = docs.select("doc_id", "text")
     rows = prefixes(docs, k, percent, count_classes(docs, k), name)
     classes = C.stage(rows.where("n > 0").groupBy("fp").agg(
-        F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+        F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("prefix").alias("prefix"),
         F.first("parts").alias("parts")), f"{name}-classes")
     postings = classes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))  # a class has each shingle once
     shared = C.stage(postings.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("high"))
                      .where("hub != high").select("key", "hub"), f"{name}-keys")
-    members = C.stage(postings.join(shared, "key"), f"{name}-members")
-    hubs = members.where("fp = hub").selectExpr("key", "fp AS a", "n AS n2", "pos AS pos2")
+    # ``held``: how many of a class's prefix shingles others hold too; no pair has more in common there.
+    found = C.stage(postings.join(shared, "key"), f"{name}-found")
+    held = found.groupBy("fp").agg(F.count(F.lit(1)).alias("held")).join(classes.select("fp", "last"), "fp")
+    members = C.stage(found.join(held, "fp"), f"{name}-members")
+    C.unstage(found)
+    hubs = members.where("fp = hub").selectExpr("key", "fp AS a", "n AS n2", "pos AS pos2", "held AS held2", "last AS last2")
     members = members.drop("hub")
     near = (members.withColumnRenamed("fp", "b").join(hubs, "key")
             .where("a != b").where(_passes(percent)).select("a", "b").distinct())
@@ -212,8 +235,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
                  .where("low != high").select("key"))
     left = C.stage(placed.join(open_keys, "key"), f"{name}-open")
     other = left.toDF("key", *(f"{c}2" for c in left.columns[1:]))
+    # Every prefix shingle that such a pair has in common is still here, so their number is exact.
     rest = (left.join(other, "key").where("fp < fp2 AND root != root2").where(_passes(percent))
-            .select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct())
+            .groupBy(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+            .agg(F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("n", "n2", "last", "last2")])
+            .where(f"common + {_beyond(percent)} >= {_need(percent)}").select("a", "b"))
     rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _verified(rest, classes, docs, k, percent, f"{name}-rest").where("link")
     edges = links.select("a", "b").unionByName(second.select("a", "b"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from memberrisk.llm import common as C
 
 #: Distinct words kept in a task's memory.
-WORDS = 1_200_000
+WORDS = 300_000
 #: Words of one call of the library.
 CALL = 20_000
 _EMPTY, _END = 0, 1
