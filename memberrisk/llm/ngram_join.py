@@ -15,7 +15,8 @@ Plan
     order and a histogram of its set, about 4 to 8 shingles a part. Equal sets (by 64-bit
     fingerprint) become one class before anything is joined.
  3. *Hub round.* Each prefix shingle held by two or more classes links its
-    members to its smallest member (a linear number of pairs). Length, positional
+    members to one of them, the one that shares most of its prefix with others
+    (a linear number of pairs). Length, positional
     and prefix-count filters cut pairs at the join (the last one: of two sets,
     the one whose prefix ends first in the order can share no more than its
     prefix shingles that others hold, and what comes after its prefix); the
@@ -46,6 +47,7 @@ from memberrisk.llm import common as C
 
 CELL_BITS = 22
 PART_BITS = 20
+MAP_WORDS = 16
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -178,13 +180,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     if likely.limit(1).count() == 0:
         return likely.select("a", "b", F.lit(True).alias("link"))
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [s for _, s in shingle_sets(batch.column(0), k)]
-        return C.batch_of({"fp": pa.array([fingerprint(s) for s in found], pa.int64()),
-                           "items": pa.array([s.tobytes() for s in found], pa.binary())})
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.pieces(batches):
+            found = [s for _, s in shingle_sets(batch.column(0), k)]
+            yield C.batch_of({"fp": pa.array([fingerprint(s) for s in found], pa.int64()),
+                              "items": pa.array([s.tobytes() for s in found], pa.binary())})
 
-    texts = C.IdFilter.of(ends, "id").keep(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id")
-    whole = C.map_batches(texts.select("text"), sets, "fp long, items binary")
+    whole = C.IdFilter.of(ends, "id").run(docs.select("text", F.col("doc_id").cast("long").alias("id")), "id", sets,
+                                          "fp long, items binary", True)
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         passed = []
@@ -214,15 +217,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
         F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("prefix").alias("prefix"),
         F.first("parts").alias("parts")), f"{name}-classes")
     postings = classes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))  # a class has each shingle once
-    shared = C.stage(postings.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("high"))
-                     .where("hub != high").select("key", "hub"), f"{name}-keys")
+    shared = C.stage(postings.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+                     .where("low != high").select("key"), f"{name}-keys")
     # ``held``: how many of a class's prefix shingles others hold too; no pair has more in common there.
     found = C.stage(postings.join(shared, "key"), f"{name}-found")
     held = found.groupBy("fp").agg(F.count(F.lit(1)).alias("held")).join(classes.select("fp", "last"), "fp")
     members = C.stage(found.join(held, "fp"), f"{name}-members")
     C.unstage(found)
-    hubs = members.where("fp = hub").selectExpr("key", "fp AS a", "n AS n2", "pos AS pos2", "held AS held2", "last AS last2")
-    members = members.drop("hub")
+    # A shingle's hub is the member that shares most of its prefix: the middle of a group of near copies.
+    middle = F.max_by(F.struct(F.col("fp").alias("a"), F.col("n").alias("n2"), F.col("pos").alias("pos2"),
+                               F.col("held").alias("held2"), F.col("last").alias("last2")), F.struct(F.col("held") / F.col("n"), "fp"))
+    hubs = C.stage(members.groupBy("key").agg(middle.alias("hub")).select("key", "hub.*"), f"{name}-hubs")
     near = (members.withColumnRenamed("fp", "b").join(hubs, "key")
             .where("a != b").where(_passes(percent)).select("a", "b").distinct())
     first = _verified(near, classes, docs, k, percent, f"{name}-hub")
@@ -233,10 +238,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
     placed = members.join(merged.withColumnsRenamed({"id": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_keys = (placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
                  .where("low != high").select("key"))
-    left = C.stage(placed.join(open_keys, "key"), f"{name}-open")
+    left = C.stage(placed.drop("held").join(open_keys, "key"), f"{name}-open")
+    # A map of 1024 bits of each class's open prefix shingles bounds what two classes have in common
+    # of them before their shingles are joined. Every prefix shingle that a pair of two components
+    # has in common is open, so the number that the join finds is exact.
+    bit = F.shiftright("key", 7).bitwiseAND(F.lit(MAP_WORDS * 64 - 1))
+    word, one = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast((shiftright(key, 7) & {MAP_WORDS * 64 - 1}) & 63 AS int))")
+    own = left.groupBy("fp").agg(F.count(F.lit(1)).alias("held"), *[
+        F.bit_or(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"m{w}_") for w in range(MAP_WORDS)])
+    marks = " + ".join(f"bit_count(m{w}_)" for w in range(MAP_WORDS))
+    left = C.stage(left.join(own.withColumn("free", F.expr(f"held - ({marks})")), "fp"), f"{name}-left").select(
+        "key", "fp", "n", "pos", "last", "root", "held", "free", *[f"m{w}_" for w in range(MAP_WORDS)])
     other = left.toDF("key", *(f"{c}2" for c in left.columns[1:]))
-    # Every prefix shingle that such a pair has in common is still here, so their number is exact.
+    common = " + ".join(f"bit_count(m{w}_ & m{w}_2)" for w in range(MAP_WORDS))
     rest = (left.join(other, "key").where("fp < fp2 AND root != root2").where(_passes(percent))
+            .where(f"{common} + least(free, free2) + {_beyond(percent)} >= {_need(percent)}")
             .groupBy(F.col("fp").alias("a"), F.col("fp2").alias("b"))
             .agg(F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("n", "n2", "last", "last2")])
             .where(f"common + {_beyond(percent)} >= {_need(percent)}").select("a", "b"))
