@@ -25,3 +25,8 @@ def test_model_roundtrip(spark, scratch):
     assert back.coefficients.toArray().tolist() == lr.coefficients.toArray().tolist()
     scored = M.score_credit(df, (rf, lr), ["a", "b"]).select("score", "grade").collect()
     assert all(0 <= r.score <= 1000 and r.grade in "ABCDE" for r in scored)
+
+
+def test_drop_label_inputs():
+    cols = ["saldo_disponible", "edad", "dias_sin_movimiento", "credito", "ingresos"]
+    assert FE.drop_label_inputs(cols) == ["edad", "ingresos"]  # Q16: the label's own inputs go
