@@ -7,8 +7,8 @@ number of pieces of each length (at most ``capacity`` rows, whatever the input).
 Bin completion: take the longest length that is left, enumerate undominated
 fillings of the room beside it (a filling is dominated when another holds the
 same lengths or longer ones), apply one as often as the counts allow, go on.
-The first way down, always with the fullest filling, is best fit; it is the
-incumbent. Branches whose waste so far exceeds what a better solution may waste
+Best-fit decreasing gives the first incumbent; the first way down takes the
+fullest fillings. Branches whose waste so far exceeds what a better solution may waste
 are cut. The search ends at the bound ``ceil(tokens / capacity)`` or after
 ``NODES`` nodes with the best solution found; it never leaves a piece out.
 
@@ -24,6 +24,7 @@ null or repeated ids are pieces of their own. An empty table packs into nothing.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,13 +84,43 @@ def _fillings(left: np.ndarray, room: int, wanted: int, tries: int = 400) -> lis
     return kept
 
 
+def best_fit(counts: np.ndarray, capacity: int) -> list[Run]:
+    """Best-fit decreasing: each piece, longest first, where the least room stays. Equal pieces and
+    equal sequences are placed together."""
+    open_: dict[int, list[Run]] = {}  # by room left
+    rooms: list[int] = []             # those rooms, ascending
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[size])
+        while left:
+            i = bisect_left(rooms, size)
+            if i == len(rooms):
+                run, room = Run((), 1 << 62), capacity
+            else:
+                room = rooms[i]
+                run = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[i]
+            each = min(room // size, left)
+            times = min(run.times, left // each)
+            left -= each * times
+            for lengths, n in (((*run.lengths, *[size] * each), times), (run.lengths, run.times - times)):
+                if n and lengths:
+                    rest = capacity - sum(lengths)
+                    if n < 1 << 60:
+                        if rest not in open_:
+                            open_[rest] = []
+                            insort(rooms, rest)
+                        open_[rest].append(Run(lengths, n))
+    return [run for runs in open_.values() for run in runs]
+
+
 def complete_bins(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Run]:
     """Runs of sequences for ``counts[length]`` pieces of each length."""
     left = counts.astype(np.int64).copy()
     total = int((left * np.arange(len(left))).sum())
     bound = -(-total // capacity)
-    best: list[Run] | None = None
-    best_bins = 1 << 62
+    best = best_fit(counts, capacity)  # the first incumbent
+    best_bins = sum(run.times for run in best)
 
     def moves() -> list[Run]:
         longest = int(np.flatnonzero(left)[-1])
@@ -109,10 +140,8 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list
     # Depth first with an explicit stack: (moves still to try, the move that is applied).
     stack: list[tuple[list[Run], Run | None]] = []
     bins, waste, seen = 0, 0, 0
-    if left.any():
+    if left.any() and best_bins > bound:
         stack.append((moves()[::-1], None))
-    else:
-        return []
     while stack:
         options, applied = stack[-1]
         if applied is not None:  # back from below
@@ -120,7 +149,7 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list
             bins -= applied.times
             waste -= applied.times * (capacity - sum(applied.lengths))
             stack[-1] = (options, None)
-        if not options or (best is not None and (best_bins == bound or seen > nodes)):
+        if not options or best_bins == bound or seen > nodes:
             stack.pop()
             continue
         run = options.pop()
@@ -129,14 +158,14 @@ def complete_bins(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list
         waste += run.times * (capacity - sum(run.lengths))
         stack[-1] = (options, run)
         seen += 1
-        if best is not None and waste > (best_bins - 1) * capacity - total:
+        if waste > (best_bins - 1) * capacity - total:
             continue
         if not left.any():
             if bins < best_bins:
                 best, best_bins = [a for _, a in stack if a is not None], bins
             continue
         stack.append((moves()[::-1], None))
-    return best or []
+    return best
 
 
 def places(runs: list[Run]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
