@@ -282,7 +282,7 @@ def prefix_hash(h: np.ndarray) -> np.ndarray:
 def span_hash(total: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """Hash of the ``length`` words from each of ``start``; equal runs give equal hashes."""
     _, down = _powers(len(total))
-    return mix((total[start + length] - total[start]) * down[start] + GOLDEN * np.uint64(length))
+    return mix((total[start + length] - total[start]) * down[start] + np.array([length], np.uint64) * GOLDEN)
 
 
 def sliding_min(g: np.ndarray, width: int) -> np.ndarray:

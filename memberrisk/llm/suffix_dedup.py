@@ -10,9 +10,11 @@ equal neighbours share the reach. Neighbouring hits on one diagonal make one
 match, which is extended to the left and to the right by comparing words (by
 selection, at most ``WIDTH - 1`` on each side are left to find).
 
-Every passage of at least ``least`` words that a document shares with another
-document is covered by matches of that document; matches have at least the reach
-(43 words for passages of 50). Each suffix is compared with neighbours only, so
+Of every passage of at least ``least`` words that a document shares with another
+one, at least the reach (43 words of 50) is covered by matches of that document;
+matches have at least the reach. (A match ends where its neighbour's words end.
+Where several documents share the middle of a passage, the neighbour may share
+up to ``WIDTH - 1`` words less of it at an end than another document does.) Each suffix is compared with neighbours only, so
 a passage of any number of documents gives matches in proportion to them. A
 task first gathers equal suffixes of its own rows, so such a passage moves as
 one row a task.
