@@ -22,7 +22,9 @@ import pyarrow as pa
 from memberrisk.llm import common as C
 
 #: Distinct words kept in a task's memory.
-WORDS = 300_000
+WORDS = 1_200_000
+#: New words that are kept apart before they are merged with the others.
+RECENT = 50_000
 #: Words of one call of the library.
 CALL = 20_000
 _EMPTY, _END = 0, 1
@@ -77,9 +79,11 @@ class Encoder:
 
     # -- the store: pieces by number, words by hash
     def _start(self) -> None:
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.flat, self.used = np.zeros(1 << 20, np.uint16 if small else np.uint32), 0
         self.at, self.size, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
-        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # Sorted hashes and piece numbers of most words, and of the latest ones.
+        self.keys, self.number = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.int32)] * 2
         self.gaps: dict[bytes, int] = {}
         self._add([np.zeros(0, np.uint32), np.zeros(1, np.uint32)])
 
@@ -119,8 +123,25 @@ class Encoder:
             for i in range(0, len(own), CALL):
                 part = own[i:i + CALL]
                 numbers[part] = self._encode_words([words[j] for j in part], flag)
-        at = np.searchsorted(self.keys, keys)  # both are sorted
-        self.keys, self.number = np.insert(self.keys, at, keys), np.insert(self.number, at, numbers)
+        self._merge(1, keys, numbers)
+        if len(self.keys[1]) > RECENT:
+            self._merge(0, self.keys[1], self.number[1])
+            self.keys[1], self.number[1] = self.keys[1][:0], self.number[1][:0]
+
+    def _merge(self, tier: int, keys: np.ndarray, numbers: np.ndarray) -> None:
+        at = np.searchsorted(self.keys[tier], keys)  # both are sorted
+        self.keys[tier] = np.insert(self.keys[tier], at, keys)
+        self.number[tier] = np.insert(self.number[tier], at, numbers)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Piece numbers of words, -1 for new ones."""
+        out = np.full(len(keys), -1, np.int64)
+        for held, number in zip(self.keys, self.number):
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                hit = held[at] == keys
+                out[hit] = number[at[hit]]
+        return out
 
     def _encode_words(self, words: list[bytes], spaced: bool) -> np.ndarray:
         between = b" " if spaced else b"\n" if self.spaced else b" \x01 "
@@ -139,7 +160,7 @@ class Encoder:
     def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text with the end id 0 appended, one after the other."""
         for w in C.words(column):
-            if len(self.keys) > WORDS:
+            if len(self.keys[0]) > WORDS:
                 self._start()
             ids, ends = self._slice(w)
             odd = set((np.searchsorted(w.edge, _odd(w.data), side="right") - 1).tolist())
@@ -174,25 +195,22 @@ class Encoder:
                 tail[d] = self._gap(w.data[last[d]:w.edge[d + 1]].tobytes() + b"\0")
         key = C.mix(w.hash + spaced * C.GOLDEN) if self.spaced else w.hash
         keys, one, which = np.unique(key, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
+        number = self._find(keys)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             data = w.data.tobytes()
             self._learn(keys[new], [data[s:e] for s, e in zip(w.start[one[new]].tolist(), w.end[one[new]].tolist())], spaced[one[new]])
-            at = np.searchsorted(self.keys, keys)
+            number = self._find(keys)
         # Pieces in order: before each word its gap; after a text its last gap and the end id.
         pieces = np.empty(2 * n + 2 * docs, np.int64)
         place = 2 * np.arange(n) + 2 * doc
-        pieces[place], pieces[place + 1] = gap, self.number[at][which]
+        pieces[place], pieces[place + 1] = gap, number[which]
         place = 2 * w.first[1:] + 2 * np.arange(docs)
         pieces[place], pieces[place + 1] = tail, _END
         size = self.size[pieces]
         ends = np.cumsum(size, dtype=np.int64)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[pieces] - ends + size, size)]
-        return ids, np.concatenate([[0], ends[place + 1]])
+        return ids.astype(np.uint32), np.concatenate([[0], ends[place + 1]])
 
 
 def encode_column(column: pa.Array, path: str, spaced: bool) -> Iterator[np.ndarray]:
