@@ -36,6 +36,7 @@ empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,15 +248,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
     own = left.groupBy("fp").agg(F.count(F.lit(1)).alias("held"), *[
         F.bit_or(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"m{w}_") for w in range(MAP_WORDS)])
     marks = " + ".join(f"bit_count(m{w}_)" for w in range(MAP_WORDS))
-    left = C.stage(left.join(own.withColumn("free", F.expr(f"held - ({marks})")), "fp"), f"{name}-left").select(
-        "key", "fp", "n", "pos", "last", "root", "held", "free", *[f"m{w}_" for w in range(MAP_WORDS)])
-    other = left.toDF("key", *(f"{c}2" for c in left.columns[1:]))
+    left = C.stage(left.join(own.withColumn("free", F.expr(f"held - ({marks})")), "fp").select(
+        "key", "fp", "n", "pos", "last", "root", "held", "free", *[f"m{w}_" for w in range(MAP_WORDS)]), f"{name}-left")
+    # Named by side, so that both sides are one exchange.
+    both = lambda text: re.sub(r"\b(n|pos|last|root|held|free|fp|m\d+_)(2?)\b", lambda m: ("y." if m[2] else "x.") + m[1], text)
     common = " + ".join(f"bit_count(m{w}_ & m{w}_2)" for w in range(MAP_WORDS))
-    rest = (left.join(other, "key").where("fp < fp2 AND root != root2").where(_passes(percent))
-            .where(f"{common} + least(free, free2) + {_beyond(percent)} >= {_need(percent)}")
-            .groupBy(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-            .agg(F.count(F.lit(1)).alias("common"), *[F.first(c).alias(c) for c in ("n", "n2", "last", "last2")])
-            .where(f"common + {_beyond(percent)} >= {_need(percent)}").select("a", "b"))
+    beyond, need = _beyond(percent), _need(percent)
+    rest = (left.alias("x").join(left.alias("y"), F.expr(both(
+        f"x.key = y.key AND fp < fp2 AND root != root2 AND {_passes(percent)} AND "
+        f"{common} + least(free, free2) + {beyond} >= {need}")))
+        .groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        .agg(F.count(F.lit(1)).alias("common"), *[F.first(f"{t}.{c}").alias(c + at) for c in ("n", "last") for t, at in (("x", ""), ("y", "2"))])
+        .where(f"common + {beyond} >= {need}").select("a", "b"))
     rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _verified(rest, classes, docs, k, percent, f"{name}-rest").where("link")
     edges = links.select("a", "b").unionByName(second.select("a", "b"))
