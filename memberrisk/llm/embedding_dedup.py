@@ -177,7 +177,7 @@ def near_components(rows: DataFrame, least: float = LEAST, margin: float = MARGI
     pairs = blocks.withColumn("task", F.explode(F.when(F.col("at_home"), F.concat(own, host)).otherwise(guest))).select(
         "label", "dim", "cell", "task.*", "cls", "raw", "copies", "home", "cells")
 
-    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+    def compare(key, group):
         return _compare(group, int(key[2]), least)
 
     found = C.stage(pairs.groupBy("label", "dim", "cell", "i", "j", "guest").applyInPandas(compare, "cls long, n long, low long"), f"{name}-links")
