@@ -8,9 +8,12 @@ hash-joined with the windows of the benchmark's items.
 
 For each (document, item) the values behind the placeholders are paired in
 order. The pairing must be one-to-one for each type: a question with other
-numbers or names, used alike throughout, is the same question. A pair counts
-when the windows it shares, of all the item's, reach ``coverage``; when its
-slots contradict each other, only windows without placeholders count.
+numbers or names, used alike throughout, is the same question. It is judged for
+the whole document and for each occurrence: windows that meet on one diagonal
+(place in the document less place in the item), and chains that stray up to a
+window from it, as words put in or left out do. The best counts, when the windows
+it shares, of all the item's, reach ``coverage``; of slots that contradict each
+other only windows with the item's own values count.
 
 A fixed-size map of the benchmark's window hashes (2**20 entries) spares the
 windows that cannot match their shuffle; the join is exact on 64-bit hashes.
@@ -108,15 +111,16 @@ def _windows(template: np.ndarray, kind: np.ndarray, window: int) -> tuple[np.nd
     return at, g[at]
 
 
-_SCHEMA = "key long, hash long, pos int, slots array<long>"
+_SCHEMA = "key long, hash long, pos array<int>, slots array<long>"
 
 
 def _rows(df: DataFrame, windows: list[int], whole_if_short: bool, held) -> DataFrame:
-    """Window rows of ``df(key, text)``; ``slots`` are value hashes, the kind in the last two bits."""
+    """A row for each text of ``df(key, text)`` and hash of a window: the window's places and, one place after the
+    other, the value hashes of its slots, the kind in the last two bits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        key, hashes, pos, slots, ends = [], [], [], [], [0]
+        key, hashes, pos, slots, edge, ends = [], [], [], [], [0], [0]
         for row, template, kind, value in templates(batch.column(1)):
             marked = C.signed((value & ~np.uint64(3)) | kind.astype(np.uint64))
             lengths = [len(template)] if whole_if_short and LEAST <= len(template) < windows[0] else windows
@@ -125,19 +129,88 @@ def _rows(df: DataFrame, windows: list[int], whole_if_short: bool, held) -> Data
                 if held is not None:
                     hit = held.value[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
                     at, h = at[hit], h[hit]
+                places: dict[int, list[int]] = {}
                 for p, one in zip(at.tolist(), C.signed(h).tolist()):
-                    part = marked[p:p + length][kind[p:p + length] != LITERAL]
+                    places.setdefault(one, []).append(p)
+                for one, own in places.items():
                     key.append(keys[row])
                     hashes.append(one)
-                    pos.append(p)
-                    slots.append(part)
-                    ends.append(ends[-1] + len(part))
-        return C.batch_of({"key": pa.array(key, pa.int64()), "hash": pa.array(hashes, pa.int64()), "pos": pa.array(pos, pa.int32()),
+                    pos += own
+                    edge.append(len(pos))
+                    part = [marked[p:p + length][kind[p:p + length] != LITERAL] for p in own]
+                    slots += part
+                    ends.append(ends[-1] + sum(map(len, part)))
+        return C.batch_of({"key": pa.array(key, pa.int64()), "hash": pa.array(hashes, pa.int64()),
+                           "pos": C.lists(np.array(pos, np.int32), np.array(edge), pa.int32()),
                            "slots": C.lists(np.concatenate([np.zeros(0, np.int64), *slots]), np.array(ends), pa.int64())})
 
     return C.map_batches(df, run, _SCHEMA)
 
 
+def _one_to_one(pairs: set[tuple[int, int]]) -> bool:
+    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
+def _split(pos: list[int], slots: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(place, slots) of a window's places; all have as many slots."""
+    n = len(slots) // len(pos)
+    return [(p, tuple(slots[i * n:i * n + n])) for i, p in enumerate(pos)]
+
+
+def best_occurrence(met: list[dict], stray: int = WINDOW) -> tuple[int, bool]:
+    """(windows, consistent) of the occurrence of an item in a document that shares most of the item's windows.
+
+    ``met`` has, for each hash that both hold, ``pos, slots, item_pos, item_slots``.
+    """
+    both = [(_split(m["pos"], m["slots"]), _split(m["item_pos"], m["item_slots"])) for m in met]
+    pairs = {e for here, there in both for a in {s for _, s in here} for b in {s for _, s in there} for e in zip(a, b)}
+    n_all = len({q for _, there in both for q, _ in there})
+    if _one_to_one(pairs):
+        return n_all, True  # no occurrence has more
+    same = set()  # places of the item whose values the document has
+    meets: dict[tuple[int, int], set] = {}
+    for here, there in both:
+        held = {s for _, s in here}
+        same |= {q for q, s in there if s in held}
+        for q, b in there:
+            for p, a in here:
+                meets.setdefault((p, q), set()).add((a, b))
+    best = len(same), False
+    places: dict[int, list[int]] = {}
+    size: dict[int, int] = {}
+    for p, q in sorted(meets):
+        places.setdefault(q, []).append(p)
+        size[p - q] = size.get(p - q, 0) + 1
+    order = sorted(places)
+    for reach in (0, stray):
+        for d in sorted(size, key=lambda d: (-size[d], d)):
+            if best == (n_all, True):
+                return best
+            if sum(size.get(e, 0) for e in range(d - reach, d + reach + 1)) < best[0]:
+                continue
+            now, last, chain = d, -1, []
+            for q in order:
+                near = [p for p in places[q] if p > last and abs(p - q - d) <= reach]
+                if near:
+                    last = min(near, key=lambda p: (abs(p - q - now), p))
+                    now = last - q
+                    chain.append(meets[last, q])
+            if _one_to_one({e for one in chain for a, b in one for e in zip(a, b)}):
+                best = max(best, (len(chain), True))
+            else:
+                best = max(best, (sum(any(a == b for a, b in one) for one in chain), False))
+    return best
+
+
+def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = []
+    for met, total in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        found.append((*best_occurrence(met), total))
+    return C.batch_of({"key": batch.column(0), "item": batch.column(1), "n_windows": pa.array([n for n, _, _ in found], pa.int64()),
+                       "share": pa.array([n / total for n, _, total in found], pa.float64()),
+                       "consistent": pa.array([c for _, c, _ in found], pa.bool_())})
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
             name: str = "decontaminate") -> DataFrame:
     """``row_key, doc_id, item_id, n_windows, share, consistent`` of each contaminated document and item.
@@ -156,17 +229,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     short = _lengths(items, window)
     found = _rows(docs.select(C.row_key().alias("key"), "text"), [window, *short], False, spark.sparkContext.broadcast(held))
     found = C.stage(found, f"{name}-found")
-    other = item_rows.select(F.col("key").alias("item"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    total = item_rows.groupBy(F.col("key").alias("item")).agg(F.countDistinct("pos").alias("total"))
-    met = found.join(other, "hash")
-    pair = met.groupBy("key", "item").agg(
-        F.countDistinct("item_pos").alias("n_windows"),
-        F.countDistinct(F.when(F.size("slots") == 0, F.col("item_pos"))).alias("n_literal"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "item_slots")))).alias("pairs"))
-    one_way = lambda c: F.size(F.array_distinct(F.transform("pairs", lambda e: e[c]))) == F.size("pairs")
-    pair = (pair.withColumn("consistent", one_way("slots") & one_way("item_slots"))
-            .join(total, "item").withColumn("n_windows", F.when(F.col("consistent"), F.col("n_windows")).otherwise(F.col("n_literal")))
-            .withColumn("share", F.col("n_windows") / F.col("total")).where(F.col("share") >= coverage))
+    total = item_rows.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("total"))
+    other = item_rows.join(total, "key").select(F.col("key").alias("item"), "hash", F.col("pos").alias("item_pos"),
+                                                F.col("slots").alias("item_slots"), "total")
+    # Repeated rows have equal keys; a set holds what they share once.
+    pair = found.join(other, "hash").groupBy("key", "item").agg(
+        F.collect_set(F.struct("hash", "pos", "slots", "item_pos", "item_slots")).alias("met"), F.max("total").alias("total"))
+    pair = C.map_batches(pair, _judge, "key long, item long, n_windows long, share double, consistent boolean").where(F.col("share") >= coverage)
     pair = C.stage(pair.select("key", "item", "n_windows", "share", "consistent"), f"{name}-pairs")
     keys = pair.select("key").distinct()
     ids = C.IdFilter.of(keys, "key").keep(docs.select(C.row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key")

@@ -238,6 +238,25 @@ def test_decontamination(spark, empty):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def contaminated(spark, docs, items):
+    """(doc_id, item_id) -> row of ``matches`` for lists of texts."""
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(docs, items).collect()}
+
+
+def test_occurrences_are_judged_one_by_one(spark):
+    item = "the train from Boston to Paris takes 9 hours and the train from Boston to Vienna takes 12 hours when it snows"
+    other = item.replace("Boston", "Denver").replace("9", "4").replace("12", "7")
+    third = other.replace("Denver", "Lima").replace("4", "5").replace("when", "surely when")
+    twice = "on the way and Ann has 5 apples and 6 pears and Bob has 7 apples and 8 pears"
+    asked = twice.replace("Ann", "Eve").replace("5", "9").replace("Bob", "Max").replace("7", "3")
+    got = contaminated(spark, [f"{item} {other}", twice, f"{other} {third}", f"{asked} or so {twice}", asked], [item, twice])
+    assert set(got) == {(0, 0), (1, 1), (2, 0), (3, 1), (4, 1)}
+    assert all(r["consistent"] for r in got.values())
+    assert got[0, 0]["share"] == got[1, 1]["share"] == got[2, 0]["share"] == got[3, 1]["share"] == 1.0
+
+
 # ------------------------------------------------------------------------ PII
 def strict(text):
     """The formats as written, by a plain regular-expression search."""
