@@ -2,7 +2,9 @@
 
 Texts become sequences of terms (lower-cased runs of letters, digits and bytes
 beyond ASCII). Numbers, names (capitalised inside a sentence) and units (after a
-number) become typed placeholders; neighbouring numbers or names make one.
+number) become typed placeholders; neighbouring numbers or names make one. A
+capitalised term that opens a sentence may be a name or not: windows with such
+terms are made both ways, all as words and all as names.
 Windows of ``window`` template terms, at least half of them literal, are
 hash-joined with the windows of the benchmark's items.
 
@@ -28,6 +30,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +76,18 @@ def _capital(w: C.Words) -> np.ndarray:
     return upper[w.start] & (second < w.end) & letter & ~upper[second]
 
 
-def templates(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, template hashes, kinds, value hashes) of each text."""
+class Template(NamedTuple):
+    """A text with typed placeholders."""
+
+    hash: np.ndarray    # of each template term
+    kind: np.ndarray
+    value: np.ndarray   # hash of the terms behind it
+    place: np.ndarray   # its place in the text's first template
+    opener: np.ndarray  # it is a name because it opens a sentence
+
+
+def templates(column: pa.Array) -> Iterator[tuple[int, list[Template]]]:
+    """(row, templates) of each text: sentence openers as words and, where there are capitalised ones, as names."""
     for w in C.words(column, lower=True, terms=True):
         n = len(w.hash)
         if not n:
@@ -86,62 +99,80 @@ def templates(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         sentence = opens | (stops[w.start] > stops[np.concatenate([[0], w.end[:-1]])])
         capital = _capital(w)
         number = digits[w.end] > digits[w.start]
-        kind = np.where(number, NUMBER, np.where(capital & ~sentence, NAME, LITERAL))
         at = np.minimum(np.searchsorted(_UNIT_HASHES, w.hash), len(_UNIT_HASHES) - 1)
         after = np.concatenate([[False], number[:-1]]) & ~opens
-        kind[(_UNIT_HASHES[at] == w.hash) & after & (kind == LITERAL)] = UNIT
-        same = np.concatenate([[False], kind[1:] == kind[:-1]]) & ~opens & ((kind == NUMBER) | (kind == NAME))
-        keep = np.flatnonzero(~same)
-        index = np.arange(n)
-        place = index - np.maximum.accumulate(np.where(same, 0, index))  # of a term in its run
-        value = np.add.reduceat(C.mix(w.hash + place.astype(np.uint64) * C.GOLDEN), keep)
-        first = np.searchsorted(keep, w.first)
-        template = np.where(kind[keep] == LITERAL, w.hash[keep], _PLACE[kind[keep]])
-        for d in range(len(first) - 1):
-            if first[d] < first[d + 1]:
-                part = slice(first[d], first[d + 1])
-                yield w.row + d, template[part], kind[keep][part], value[part]
-
-
-def _windows(template: np.ndarray, kind: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows of which half the terms are literal."""
-    g = C.grams(template, window)
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero(2 * (literal[window:] - literal[:-window]) >= window) if len(g) else np.zeros(0, np.int64)
+        unit = (_UNIT_HASHES[at] == w.hash) & after
+        made, base = [], None
+        for name in (capital & ~sentence, capital):
+            kind = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, LITERAL)))
+            follows = (kind == NUMBER) | (kind == NAME) & ~sentence  # an opener starts a name of its own
+            same = np.concatenate([[False], kind[1:] == kind[:-1]]) & ~opens & follows
+            keep = np.flatnonzero(~same)
+            index = np.arange(n)
+            run = index - np.maximum.accumulate(np.where(same, 0, index))  # of a term in its run
+            value = np.add.reduceat(C.mix(w.hash + run.astype(np.uint64) * C.GOLDEN), keep)
+            first = np.searchsorted(keep, w.first)
+            base = (keep, first) if base is None else base
+            place = np.searchsorted(base[0], keep, side="right") - 1
+            template = np.where(kind[keep] == LITERAL, w.hash[keep], _PLACE[kind[keep]])
+            made.append((first, template, kind[keep], value, place, (kind == NAME)[keep] & sentence[keep]))
+        for d in range(len(w.first) - 1):
+            if w.first[d] < w.first[d + 1]:
+                out = []
+                for first, template, kind, value, place, opener in made:
+                    part = slice(first[d], first[d + 1])
+                    if not out or opener[part].any():
+                        out.append(Template(template[part], kind[part], value[part], place[part] - base[1][d], opener[part]))
+                yield w.row + d, out
+
+
+def _windows(t: Template, window: int, again: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the windows of which half the terms are literal; with ``again``, of those with an opener."""
+    g = C.grams(t.hash, window)
+    if not len(g):
+        return np.zeros(0, np.int64), g
+    literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
+    keep = 2 * (literal[window:] - literal[:-window]) >= window
+    if again:  # the others are windows of the first template
+        openers = np.concatenate([[0], np.cumsum(t.opener)])
+        keep &= openers[window:] > openers[:-window]
+    at = np.flatnonzero(keep)
     return at, g[at]
 
 
-_SCHEMA = "key long, hash long, pos array<int>, slots array<long>"
+_SCHEMA = "key long, hash long, named boolean, pos array<int>, slots array<long>"
 
 
 def _rows(df: DataFrame, windows: list[int], whole_if_short: bool, held) -> DataFrame:
     """A row for each text of ``df(key, text)`` and hash of a window: the window's places and, one place after the
-    other, the value hashes of its slots, the kind in the last two bits."""
+    other, the value hashes of its slots, the kind in the last two bits. ``named``: sentence openers are names."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        key, hashes, pos, slots, edge, ends = [], [], [], [], [0], [0]
-        for row, template, kind, value in templates(batch.column(1)):
-            marked = C.signed((value & ~np.uint64(3)) | kind.astype(np.uint64))
-            lengths = [len(template)] if whole_if_short and LEAST <= len(template) < windows[0] else windows
-            for length in lengths:
-                at, h = _windows(template, kind, length)
-                if held is not None:
-                    hit = held.value[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
-                    at, h = at[hit], h[hit]
-                places: dict[int, list[int]] = {}
-                for p, one in zip(at.tolist(), C.signed(h).tolist()):
-                    places.setdefault(one, []).append(p)
-                for one, own in places.items():
-                    key.append(keys[row])
-                    hashes.append(one)
-                    pos += own
-                    edge.append(len(pos))
-                    part = [marked[p:p + length][kind[p:p + length] != LITERAL] for p in own]
-                    slots += part
-                    ends.append(ends[-1] + sum(map(len, part)))
+        key, hashes, named, pos, slots, edge, ends = [], [], [], [], [], [0], [0]
+        for row, made in templates(batch.column(1)):
+            for again, t in enumerate(made):
+                marked = C.signed((t.value & ~np.uint64(3)) | t.kind.astype(np.uint64))
+                lengths = [len(t.hash)] if whole_if_short and LEAST <= len(t.hash) < windows[0] else windows
+                for length in lengths:
+                    at, h = _windows(t, length, bool(again))
+                    if held is not None:
+                        hit = held.value[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
+                        at, h = at[hit], h[hit]
+                    places: dict[int, list[int]] = {}
+                    for p, one in zip(at.tolist(), C.signed(h).tolist()):
+                        places.setdefault(one, []).append(p)
+                    for one, own in places.items():
+                        key.append(keys[row])
+                        hashes.append(one)
+                        named.append(bool(again))
+                        pos += t.place[own].tolist()
+                        edge.append(len(pos))
+                        part = [marked[p:p + length][t.kind[p:p + length] != LITERAL] for p in own]
+                        slots += part
+                        ends.append(ends[-1] + sum(map(len, part)))
         return C.batch_of({"key": pa.array(key, pa.int64()), "hash": pa.array(hashes, pa.int64()),
-                           "pos": C.lists(np.array(pos, np.int32), np.array(edge), pa.int32()),
+                           "named": pa.array(named, pa.bool_()), "pos": C.lists(np.array(pos, np.int32), np.array(edge), pa.int32()),
                            "slots": C.lists(np.concatenate([np.zeros(0, np.int64), *slots]), np.array(ends), pa.int64())})
 
     return C.map_batches(df, run, _SCHEMA)
@@ -204,11 +235,18 @@ def best_occurrence(met: list[dict], stray: int = WINDOW) -> tuple[int, bool]:
 
 def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
     found = []
-    for met, total in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-        found.append((*best_occurrence(met), total))
+    for met, total, total_plain in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+        n, consistent = best_occurrence(met)
+        share = n / total
+        plain = [m for m in met if not m["named"]]
+        if plain and (share < 1 or not consistent):  # openers may be words after all
+            n_plain, consistent_plain = best_occurrence(plain)
+            if (n_plain / total_plain, consistent_plain) > (share, consistent):
+                n, consistent, share = n_plain, consistent_plain, n_plain / total_plain
+        found.append((n, share, consistent))
     return C.batch_of({"key": batch.column(0), "item": batch.column(1), "n_windows": pa.array([n for n, _, _ in found], pa.int64()),
-                       "share": pa.array([n / total for n, _, total in found], pa.float64()),
-                       "consistent": pa.array([c for _, c, _ in found], pa.bool_())})
+                       "share": pa.array([s for _, s, _ in found], pa.float64()),
+                       "consistent": pa.array([c for _, _, c in found], pa.bool_())})
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
@@ -229,12 +267,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     short = _lengths(items, window)
     found = _rows(docs.select(C.row_key().alias("key"), "text"), [window, *short], False, spark.sparkContext.broadcast(held))
     found = C.stage(found, f"{name}-found")
-    total = item_rows.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("total"))
-    other = item_rows.join(total, "key").select(F.col("key").alias("item"), "hash", F.col("pos").alias("item_pos"),
-                                                F.col("slots").alias("item_slots"), "total")
+    starts = lambda of: F.size(F.array_distinct(F.flatten(F.collect_list(of))))
+    total = item_rows.groupBy("key").agg(starts("pos").alias("total"), starts(F.when(~F.col("named"), F.col("pos"))).alias("total_plain"))
+    other = item_rows.join(total, "key").select(
+        F.col("key").alias("item"), "hash", F.col("named").alias("item_named"), F.col("pos").alias("item_pos"),
+        F.col("slots").alias("item_slots"), "total", "total_plain")
     # Repeated rows have equal keys; a set holds what they share once.
+    met = F.struct("hash", (F.col("named") | F.col("item_named")).alias("named"), "pos", "slots", "item_pos", "item_slots")
     pair = found.join(other, "hash").groupBy("key", "item").agg(
-        F.collect_set(F.struct("hash", "pos", "slots", "item_pos", "item_slots")).alias("met"), F.max("total").alias("total"))
+        F.collect_set(met).alias("met"), F.max("total").alias("total"), F.max("total_plain").alias("total_plain"))
     pair = C.map_batches(pair, _judge, "key long, item long, n_windows long, share double, consistent boolean").where(F.col("share") >= coverage)
     pair = C.stage(pair.select("key", "item", "n_windows", "share", "consistent"), f"{name}-pairs")
     keys = pair.select("key").distinct()
@@ -247,7 +288,7 @@ def _lengths(items: DataFrame, window: int) -> list[int]:
     """Numbers of terms, from ``LEAST`` and below ``window``, of the items that have fewer."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = {len(t) for _, t, _, _ in templates(batch.column(0)) if LEAST <= len(t) < window}
+        n = {len(t.hash) for _, made in templates(batch.column(0)) for t in made if LEAST <= len(t.hash) < window}
         return C.batch_of({"n": pa.array(sorted(n), pa.int32())})
 
     return sorted(r["n"] for r in C.map_batches(items.select("text"), run, "n int").distinct().collect())

@@ -257,6 +257,18 @@ def test_occurrences_are_judged_one_by_one(spark):
     assert got[0, 0]["share"] == got[1, 1]["share"] == got[2, 0]["share"] == got[3, 1]["share"] == 1.0
 
 
+def test_names_that_open_sentences(spark):
+    item = "Natalia sold clips to 48 friends in April. Natalia then sold half as many clips in May."
+    maria = item.replace("Natalia", "Maria").replace("48", "36")
+    inner = "Yesterday Omar Khan sold clips to 48 friends in April. Omar Khan then sold half as many clips in May."
+    mixed = item.replace("Natalia then", "Maria then")  # two names for one: the words alone are the item's
+    quoted = 'He said: "The river is wide and slow where it meets the old stone bridge."'
+    got = contaminated(spark, [f"Read this. {maria} Then answer.", inner, item, mixed, quoted.lower(), quoted.upper()], [item, quoted])
+    assert set(got) >= {(0, 0), (1, 0), (2, 0), (4, 1), (5, 1)}
+    assert got[0, 0]["share"] == got[2, 0]["share"] == 1.0 and got[0, 0]["consistent"] and got[1, 0]["consistent"]
+    assert (3, 0) not in got or not got[3, 0]["consistent"]
+
+
 # ------------------------------------------------------------------------ PII
 def strict(text):
     """The formats as written, by a plain regular-expression search."""
