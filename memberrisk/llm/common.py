@@ -233,9 +233,20 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
-def words(column: pa.Array, lower: bool = False, terms: bool = False) -> Iterator[Words]:
+def _alone(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the characters of scripts without blanks: Thai, Lao, Burmese, Khmer, Chinese, Japanese; wide forms."""
+    second = np.append(data[1:], np.uint8(0))
+    three = (data >= 0xE3) & (data <= 0xE9) | (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (data == 0xEF) & (second >= 0xBC) & (second <= 0xBD)
+    three |= (data == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))
+    four = (data == 0xF0) & (second >= 0xA0) & (second <= 0xAF)
+    start = np.flatnonzero(three | four)
+    return start, start + 3 + four[start]
+
+
+def words(column: pa.Array, lower: bool = False, terms: bool = False, scripts: bool = False) -> Iterator[Words]:
     """Words of each text. ``lower`` folds A-Z. With ``terms``, ASCII punctuation separates
-    them too, and ``lower`` folds two-byte characters as well."""
+    them too, and ``lower`` folds two-byte characters as well. With ``scripts``, each character
+    of a script without blanks is a word."""
     for row, edge, data in slices(column):
         space = (_NOT_TERM if terms else _IS_SPACE)[data]
         before = np.empty(len(data), dtype=bool)
@@ -245,6 +256,10 @@ def words(column: pa.Array, lower: bool = False, terms: bool = False) -> Iterato
             inner = edge[:-1][edge[:-1] < edge[1:]]  # starts of texts that are not empty
             before[inner] = True
             after[edge[1:][edge[:-1] < edge[1:]] - 1] = True
+            if scripts:
+                first, last = _alone(data)
+                before[first] = after[last - 1] = True
+                after[first[first > 0] - 1] = before[last[last < len(data)]] = True
         start = np.flatnonzero(~space & before)
         end = np.flatnonzero(~space & after) + 1
         up, down = _powers(len(data) + 1)

@@ -17,12 +17,17 @@ window from it, as words put in or left out do. The best counts, when the window
 it shares, of all the item's, reach ``coverage``; of slots that contradict each
 other only windows with the item's own values count.
 
+Whatever its share, a verbatim run of ``RUN`` terms (of the whole item, where it has
+fewer) counts too: items of numbers or names, of few terms, and a long quotation
+from a longer item. Then ``share`` is of the item's runs, where that is more.
+Characters of scripts without blanks are terms of their own.
+
 A fixed-size map of the benchmark's window hashes (2**20 entries) spares the
 windows that cannot match their shuffle; the join is exact on 64-bit hashes.
 An item of fewer than ``window`` but at least ``LEAST`` terms is one window.
 
-Edge cases: null or empty texts and items, and items of fewer than ``LEAST``
-terms, match nothing. Rows are told apart by id and text, so null and repeated
+Edge cases: null texts and items, and those without a letter or digit, match
+nothing; an item of one word is in every document with the word. Rows are told apart by id and text, so null and repeated
 ids are judged by their own text. Repeated items each count. Empty tables give
 an empty result.
 """
@@ -41,6 +46,7 @@ from memberrisk.llm import common as C
 
 WINDOW = 8
 LEAST = 5
+RUN = 13
 COVERAGE = 0.5
 MAP_BITS = 20
 
@@ -52,6 +58,8 @@ UNITS = (
     "volt volts byte bytes kb mb gb tb")
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
+PLAIN, NAMED, VERBATIM = range(3)  # windows: of the first template, with openers as names, of the terms themselves
+_OWN = np.uint64(0x5851F42D4C957F2D)  # tells the hashes of verbatim runs from those of windows
 _PLACE = C.mix(np.arange(101, 105, dtype=np.uint64))
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\r\"()"]] = True
@@ -86,9 +94,9 @@ class Template(NamedTuple):
     opener: np.ndarray  # it is a name because it opens a sentence
 
 
-def templates(column: pa.Array) -> Iterator[tuple[int, list[Template]]]:
-    """(row, templates) of each text: sentence openers as words and, where there are capitalised ones, as names."""
-    for w in C.words(column, lower=True, terms=True):
+def templates(column: pa.Array) -> Iterator[tuple[int, list[Template], np.ndarray]]:
+    """(row, templates, terms) of each text: sentence openers as words and, where there are capitalised ones, as names."""
+    for w in C.words(column, lower=True, terms=True, scripts=True):
         n = len(w.hash)
         if not n:
             continue
@@ -123,7 +131,7 @@ def templates(column: pa.Array) -> Iterator[tuple[int, list[Template]]]:
                     part = slice(first[d], first[d + 1])
                     if not out or opener[part].any():
                         out.append(Template(template[part], kind[part], value[part], place[part] - base[1][d], opener[part]))
-                yield w.row + d, out
+                yield w.row + d, out, w.hash[w.first[d]:w.first[d + 1]]
 
 
 def _windows(t: Template, window: int, again: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -140,39 +148,45 @@ def _windows(t: Template, window: int, again: bool) -> tuple[np.ndarray, np.ndar
     return at, g[at]
 
 
-_SCHEMA = "key long, hash long, named boolean, pos array<int>, slots array<long>"
+_SCHEMA = "key long, hash long, way int, pos array<int>, slots array<long>"
 
 
-def _rows(df: DataFrame, windows: list[int], whole_if_short: bool, held) -> DataFrame:
-    """A row for each text of ``df(key, text)`` and hash of a window: the window's places and, one place after the
-    other, the value hashes of its slots, the kind in the last two bits. ``named``: sentence openers are names."""
+def _rows(df: DataFrame, windows: list[int], runs: list[int], whole_if_short: bool, held) -> DataFrame:
+    """A row for each text of ``df(key, text)`` and hash of a window or run: its places and, one place after the
+    other, the value hashes of its slots, the kind in the last two bits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        key, hashes, named, pos, slots, edge, ends = [], [], [], [], [], [0], [0]
-        for row, made in templates(batch.column(1)):
-            for again, t in enumerate(made):
+        key, hashes, ways, pos, slots, edge, ends = [], [], [], [], [], [0], [0]
+
+        def add(row: int, way: int, at: np.ndarray, h: np.ndarray, place, slots_of) -> None:
+            if held is not None:
+                hit = held.value[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
+                at, h = at[hit], h[hit]
+            places: dict[int, list[int]] = {}
+            for p, one in zip(at.tolist(), C.signed(h).tolist()):
+                places.setdefault(one, []).append(p)
+            for one, own in places.items():
+                key.append(keys[row])
+                hashes.append(one)
+                ways.append(way)
+                pos.extend(place[own].tolist() if place is not None else own)
+                edge.append(len(pos))
+                part = [slots_of(p) for p in own] if slots_of else []
+                slots.extend(part)
+                ends.append(ends[-1] + sum(map(len, part)))
+
+        for row, made, terms in templates(batch.column(1)):
+            for way, t in enumerate(made):
                 marked = C.signed((t.value & ~np.uint64(3)) | t.kind.astype(np.uint64))
-                lengths = [len(t.hash)] if whole_if_short and LEAST <= len(t.hash) < windows[0] else windows
-                for length in lengths:
-                    at, h = _windows(t, length, bool(again))
-                    if held is not None:
-                        hit = held.value[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
-                        at, h = at[hit], h[hit]
-                    places: dict[int, list[int]] = {}
-                    for p, one in zip(at.tolist(), C.signed(h).tolist()):
-                        places.setdefault(one, []).append(p)
-                    for one, own in places.items():
-                        key.append(keys[row])
-                        hashes.append(one)
-                        named.append(bool(again))
-                        pos += t.place[own].tolist()
-                        edge.append(len(pos))
-                        part = [marked[p:p + length][t.kind[p:p + length] != LITERAL] for p in own]
-                        slots += part
-                        ends.append(ends[-1] + sum(map(len, part)))
+                for length in [len(t.hash)] if whole_if_short and LEAST <= len(t.hash) < windows[0] else windows:
+                    at, h = _windows(t, length, way == NAMED)
+                    add(row, way, at, h, t.place, lambda p: marked[p:p + length][t.kind[p:p + length] != LITERAL])  # noqa: B023
+            for length in [min(len(terms), RUN)] if whole_if_short else runs:
+                g = C.grams(terms, length)
+                add(row, VERBATIM, np.arange(len(g)), g ^ _OWN, None, None)
         return C.batch_of({"key": pa.array(key, pa.int64()), "hash": pa.array(hashes, pa.int64()),
-                           "named": pa.array(named, pa.bool_()), "pos": C.lists(np.array(pos, np.int32), np.array(edge), pa.int32()),
+                           "way": pa.array(ways, pa.int32()), "pos": C.lists(np.array(pos, np.int32), np.array(edge), pa.int32()),
                            "slots": C.lists(np.concatenate([np.zeros(0, np.int64), *slots]), np.array(ends), pa.int64())})
 
     return C.map_batches(df, run, _SCHEMA)
@@ -235,18 +249,21 @@ def best_occurrence(met: list[dict], stray: int = WINDOW) -> tuple[int, bool]:
 
 def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
     found = []
-    for met, total, total_plain in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-        n, consistent = best_occurrence(met)
-        share = n / total
-        plain = [m for m in met if not m["named"]]
+    for met, total, total_plain, total_runs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+        windows, plain = [m for m in met if m["way"] != VERBATIM], [m for m in met if m["way"] == PLAIN]
+        runs = len({q for m in met if m["way"] == VERBATIM for q in m["item_pos"]})
+        n, consistent = best_occurrence(windows)
+        share = n / max(total, 1)
         if plain and (share < 1 or not consistent):  # openers may be words after all
             n_plain, consistent_plain = best_occurrence(plain)
             if (n_plain / total_plain, consistent_plain) > (share, consistent):
                 n, consistent, share = n_plain, consistent_plain, n_plain / total_plain
-        found.append((n, share, consistent))
-    return C.batch_of({"key": batch.column(0), "item": batch.column(1), "n_windows": pa.array([n for n, _, _ in found], pa.int64()),
-                       "share": pa.array([s for _, s, _ in found], pa.float64()),
-                       "consistent": pa.array([c for _, _, c in found], pa.bool_())})
+        if runs / total_runs > share:
+            n, share = runs, runs / total_runs
+        found.append((n, share, consistent, runs > 0))
+    return C.batch_of({"key": batch.column(0), "item": batch.column(1), "n_windows": pa.array([f[0] for f in found], pa.int64()),
+                       "share": pa.array([f[1] for f in found], pa.float64()), "consistent": pa.array([f[2] for f in found], pa.bool_()),
+                       "verbatim": pa.array([f[3] for f in found], pa.bool_())})
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
@@ -258,25 +275,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     spark = docs.sparkSession
     items = benchmark.select(F.xxhash64(F.col("item_id").cast("long"), "text").alias("key"),
                              F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["key"])
-    item_rows = C.stage(_rows(items.select("key", "text"), [window], True, None), f"{name}-items")
+    item_rows = C.stage(_rows(items.select("key", "text"), [window], [], True, None), f"{name}-items")
     named = items.select("key", "item_id")
     bits = item_rows.select(F.shiftrightunsigned("hash", 64 - MAP_BITS).alias("bit")).distinct().toPandas()  # at most 2**20
     held = np.zeros(1 << MAP_BITS, bool)
     held[bits["bit"].to_numpy(dtype=np.int64)] = True
-    # Lengths of the items that are one window: at most window - LEAST more.
-    short = _lengths(items, window)
-    found = _rows(docs.select(C.row_key().alias("key"), "text"), [window, *short], False, spark.sparkContext.broadcast(held))
+    # Lengths of the items that are one window or one run: at most window - LEAST and RUN - 1 more.
+    short, runs = _lengths(items, window)
+    found = _rows(docs.select(C.row_key().alias("key"), "text"), [window, *short], [RUN, *runs], False, spark.sparkContext.broadcast(held))
     found = C.stage(found, f"{name}-found")
     starts = lambda of: F.size(F.array_distinct(F.flatten(F.collect_list(of))))
-    total = item_rows.groupBy("key").agg(starts("pos").alias("total"), starts(F.when(~F.col("named"), F.col("pos"))).alias("total_plain"))
+    starts = lambda of: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(of, F.col("pos"))))))
+    total = item_rows.groupBy("key").agg(starts(F.col("way") != VERBATIM).alias("total"), starts(F.col("way") == PLAIN).alias("total_plain"),
+                                         starts(F.col("way") == VERBATIM).alias("total_runs"))
     other = item_rows.join(total, "key").select(
-        F.col("key").alias("item"), "hash", F.col("named").alias("item_named"), F.col("pos").alias("item_pos"),
-        F.col("slots").alias("item_slots"), "total", "total_plain")
+        F.col("key").alias("item"), "hash", F.col("way").alias("item_way"), F.col("pos").alias("item_pos"),
+        F.col("slots").alias("item_slots"), "total", "total_plain", "total_runs")
     # Repeated rows have equal keys; a set holds what they share once.
-    met = F.struct("hash", (F.col("named") | F.col("item_named")).alias("named"), "pos", "slots", "item_pos", "item_slots")
+    met = F.struct("hash", F.greatest("way", "item_way").alias("way"), "pos", "slots", "item_pos", "item_slots")
     pair = found.join(other, "hash").groupBy("key", "item").agg(
-        F.collect_set(met).alias("met"), F.max("total").alias("total"), F.max("total_plain").alias("total_plain"))
-    pair = C.map_batches(pair, _judge, "key long, item long, n_windows long, share double, consistent boolean").where(F.col("share") >= coverage)
+        F.collect_set(met).alias("met"), *(F.max(c).alias(c) for c in ("total", "total_plain", "total_runs")))
+    pair = (C.map_batches(pair, _judge, "key long, item long, n_windows long, share double, consistent boolean, verbatim boolean")
+            .where((F.col("share") >= coverage) | F.col("verbatim")))
     pair = C.stage(pair.select("key", "item", "n_windows", "share", "consistent"), f"{name}-pairs")
     keys = pair.select("key").distinct()
     ids = C.IdFilter.of(keys, "key").keep(docs.select(C.row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id")), "key")
@@ -284,14 +304,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
             .select(F.col("key").alias("row_key"), "doc_id", "item_id", "n_windows", "share", "consistent"))
 
 
-def _lengths(items: DataFrame, window: int) -> list[int]:
-    """Numbers of terms, from ``LEAST`` and below ``window``, of the items that have fewer."""
+def _lengths(items: DataFrame, window: int) -> tuple[list[int], list[int]]:
+    """Numbers of template terms (from ``LEAST`` and below ``window``) and of terms (below ``RUN``) of the items that have fewer."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = {len(t.hash) for _, made in templates(batch.column(0)) for t in made if LEAST <= len(t.hash) < window}
-        return C.batch_of({"n": pa.array(sorted(n), pa.int32())})
-
-    return sorted(r["n"] for r in C.map_batches(items.select("text"), run, "n int").distinct().collect())
+        n = set()
+        for _, made, terms in templates(batch.column(0)):
+            n |= {(len(t.hash), False) for t in made if LEAST <= len(t.hash) < window}
+            if len(terms) < RUN:
+                n.add((len(terms), True))
+        return C.batch_of({"n": pa.array([k for k, _ in sorted(n)], pa.int32()), "terms": pa.array([t for _, t in sorted(n)], pa.bool_())})
+
+    rows = C.map_batches(items.select("text"), run, "n int, terms boolean").distinct().collect()
+    return tuple(sorted(r["n"] for r in rows if r["terms"] == terms) for terms in (False, True))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, name: str = "decontaminate") -> DataFrame:

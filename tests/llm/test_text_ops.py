@@ -269,6 +269,19 @@ def test_names_that_open_sentences(spark):
     assert (3, 0) not in got or not got[3, 0]["consistent"]
 
 
+def test_verbatim_runs_of_any_item(spark):
+    rng = random.Random(31)
+    long = prose(rng, 100)
+    items = [long, "12 + 30 = 42, 7 * 8 = 56, 9 - 4 = 5", "Anna Karenina", "日本語の文章です", "3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    quote = " ".join(long.split()[30:70])
+    docs = [f"{prose(rng, 50)} {quote} {prose(rng, 50)}", f"{prose(rng, 9)} 12 + 30 = 42; 7 * 8 = 56; 9 - 4 = 5.", "He read Anna Karenina in May.",
+            "これは日本語の文章です。次", "table: 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17",
+            "12 + 31 = 43, 7 * 8 = 56, 9 - 4 = 5", "Anna and Karenina", "日本語の文", " ".join(long.split()[30:42]), "3 4 5 6 7 8 9 10 11 12 13 15"]
+    got = contaminated(spark, docs, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)}
+    assert all(r["consistent"] for r in got.values())
+
+
 # ------------------------------------------------------------------------ PII
 def strict(text):
     """The formats as written, by a plain regular-expression search."""
