@@ -347,6 +347,34 @@ def test_pii(spark, odd, empty, texts):
     assert {r["doc_id"]: r["spans"] for r in pii.find(docs, None).collect()} == {i: pii.joined(strict(t)) for i, t in rows}
 
 
+def test_boosted_trees_add_each_kind(spark):
+    rng = random.Random(17)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def spans():
+        number = n(15)
+        card = next(number + c for c in "0123456789" if pii.luhn(number + c))
+        return [("email", "", f"jane{n(3)} [at] example{n(2)} [dot] com"), ("ip", "server ", ". ".join(str(rng.randrange(10, 256)) for _ in range(4))),
+                ("card", "card ", ".".join(card[i:i + 4] for i in (0, 4, 8, 12))), ("phone", "phone: ", f"({rng.randrange(200, 999)}) {n(3)}-{n(4)}"),
+                ("secret", "token = ", "ab1" + n(300))]
+
+    def texts(count):
+        made = []
+        for i in range(count):
+            kind, says, s = spans()[i % 5]
+            made.append((i, f"{prose(rng, 20)} {says}{s} {prose(rng, 20)} {n(10)} x {n(4)}.{n(4)}.{n(4)}.{n(3)} 3+{i}@4 {rng.randrange(300, 900)}. 4. 5. 6", kind, s))
+        return made
+
+    fitted, fresh = texts(1000), texts(200)
+    model = pii.fit(spark.createDataFrame([r[:2] for r in fitted], "doc_id long, text string"))
+    for kind in pii.KINDS:
+        own = [(t, s) for _, t, k, s in fresh if k == kind]
+        assert not any(pii.detect(t, None)[1] for t, _ in own)  # no strict format
+        assert sum((kind, t.index(s), t.index(s) + len(s)) in pii.detect(t, model)[1] for t, s in own) > 0.9 * len(own), kind
+    extra = sum(len(pii.detect(t, model)[1]) for _, t, _, _ in fresh)
+    assert extra <= 1.05 * len(fresh)
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 6))
