@@ -4,8 +4,7 @@ Vectors are compared only under equal labels (and equal length), by cosine in
 double precision. Equal vectors of a label become one class with a count.
 Spherical k-means, fitted on a bounded sample of classes (``SAMPLE`` smallest
 hashes), gives each class a home cell, the one of the nearest centre, and the
-further cells whose centre is at most ``MARGIN`` of cosine less near. Within a
-cell, blocks of ``BLOCK`` vectors are multiplied with each other. A pair counts
+further cells that a linked vector may have as home (``_cells``). Within a cell, blocks of ``BLOCK`` vectors are multiplied with each other. A pair counts
 in one cell only: where both are at home, or else in the lower of the two home
 cells in which both are present.
 
@@ -14,9 +13,7 @@ each of its vectors, how many vectors it links to and the smallest class of its
 links' component inside the block, never its pairs. So a group of any size
 leaves rows in proportion to its blocks. Components are joined in Spark.
 
-Every link found has cosine >= ``least``. A link is missed only if neither
-vector is within the margin of the other's home cell; the README gives recall
-against brute force.
+The links are exactly the pairs with cosine >= ``least``.
 
 Edge cases: null, empty, zero vectors, vectors with null or non-finite parts and
 vectors without a label link with nothing and are kept. Rows with repeated ids
@@ -37,7 +34,6 @@ LEAST = 0.93
 SAMPLE = 32_768
 CELL_ROWS = 4096     # classes a cell is meant to have
 MOST_CELLS = 4096
-MARGIN = 0.12
 BLOCK = 1024
 ROUNDS = 12
 
@@ -62,6 +58,20 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
+def _cells(x: np.ndarray, centres: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, visits) of the unit vectors ``x``; ``visits[i, j]`` if vector ``i`` is compared in cell ``j``.
+
+    Linked x and y are at most ``r = sqrt(2 - 2 * least)`` apart. With homes g and h,
+    x(g - h) + y(h - g) = (x - y)(g - h) <= r|g - h|, so one of the two terms, neither
+    below 0, is at most half of it, and its vector visits the other's home.
+    """
+    near = x @ centres.T
+    home = near.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[home] @ centres.T)))
+    half = np.sqrt(max(0.0, 2 - 2 * least)) / 2
+    return home, near[np.arange(len(x)), home][:, None] - near <= half * apart + 1e-7  # for rounding
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, label, dim, raw): ``raw`` holds the doubles of a usable vector, else null."""
 
@@ -121,7 +131,7 @@ def _compare(group: pd.DataFrame, cell: int, least: float) -> pd.DataFrame:
     return pd.DataFrame({"cls": cls[keep], "n": n[keep], "low": low[keep]})
 
 
-def near_components(rows: DataFrame, least: float = LEAST, margin: float = MARGIN, cell_rows: int = CELL_ROWS,
+def near_components(rows: DataFrame, least: float = LEAST, cell_rows: int = CELL_ROWS,
                     name: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``rows(vec_id, embedding, label)``."""
     spark = rows.sparkSession
@@ -150,10 +160,8 @@ def near_components(rows: DataFrame, least: float = LEAST, margin: float = MARGI
             for i in range(0, len(own), 4096):
                 at = own[i:i + 4096]
                 x = _unit(np.frombuffer(b"".join(raw[int(j)].as_py() for j in at), np.float64).reshape(len(at), -1))
-                near = x @ shared.value[int(dim)].T
-                best = near.argmax(axis=1)
-                home[at] = best
-                row, cell = np.nonzero(near >= near[np.arange(len(at)), best][:, None] - margin)
+                home[at], visits = _cells(x, shared.value[int(dim)], least)
+                row, cell = np.nonzero(visits)
                 for j, part in zip(at, np.split(cell, np.searchsorted(row, np.arange(1, len(at))))):
                     cells[j] = part.tolist()
         return C.batch_of({**{n: batch.column(i) for i, n in enumerate(("cls", "label", "dim", "raw", "copies"))},

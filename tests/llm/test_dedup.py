@@ -218,6 +218,24 @@ def test_embedding_components(spark, monkeypatch, cell_rows, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_cells_miss_no_link(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(800, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = rng.uniform(0.93, 0.96, size=(800, 1))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * off]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_components(df, cell_rows=100).collect()}
+    n = defaultdict(int)
+    for pair in brute_links(rows, embedding_dedup.LEAST):
+        for i in pair:
+            n[i] += 1
+    assert got == {i: n[i] for i, _, _ in rows}
+
+
 def test_embeddings_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_components(df).count() == 0
