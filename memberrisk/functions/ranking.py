@@ -14,21 +14,17 @@ the wanted ranks; only the values of those bins are counted and ranked, each bin
 on its own. Quantiles interpolate linearly between ``floor(q*(n-1))`` and
 ``ceil(q*(n-1))``, as pandas' ``quantile`` and DuckDB's ``quantile_cont``.
 
-*Ordinals* (``row_number``) range-partition the rows once, number them inside
-their slice, and write the result as a table. The first and the last row of
-each slice (two rows a partition) say how far a group that runs over slices has
-come; that offset is added back. Nothing is cached, and the slices are data
+*Ordinals* and running totals (``running``, ``row_number``) range-partition the
+rows, write them with their slice's number, and run a window inside each slice.
+A row a slice says how far a group that runs over slices has come; that is added
+back. All of it is JVM expressions; nothing is cached, and the slices are data
 once written, so a lost executor or a second reader sees the same cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,90 +43,77 @@ def _as_cols(cols: Iterable[str | Column]) -> list[Column]:
 
 
 # ----------------------------------------------------------------- ordinals
-_PID, _GROUP, _RUN, _EDGE, _LAG = "_mr_pid", "_mr_group", "_mr_run", "_mr_edge", "_mr_lag"
-
-
-def _number_slices(lag_at: int | None):
-    """mapInArrow function: adds slice id, running number in the group, edge marks
-    (1 first row, 2 last row, 3 both) and the row before's value of a column.
-    The group key is the input's last column; rows arrive in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, held, first = TaskContext.get().partitionId(), None, True
-        group, count, value = None, 0, None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            keys = batch.column(batch.num_columns - 1).to_numpy()
-            new = np.concatenate([[group is None or keys[0] != group], keys[1:] != keys[:-1]])
-            index = np.arange(n)
-            start = np.maximum.accumulate(np.where(new, index, -1))
-            runs = np.where(start >= 0, index - start, index + count) + 1
-            columns = [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(runs.astype(np.int64))]
-            if lag_at is not None:
-                own = batch.column(lag_at)
-                before = pa.concat_arrays([pa.array([value], own.type), own.slice(0, n - 1)])
-                columns.append(pc.if_else(pa.array(new), pa.scalar(None, own.type), before))
-                value = own[n - 1].as_py()
-            group, count = keys[-1], int(runs[-1])
-            edge = np.zeros(n, np.int8)
-            edge[0] += first
-            first = False
-            if held is not None:
-                yield _with_edge(*held)
-            held = (columns, batch.schema.names, edge, lag_at is not None)
-        if held is not None:
-            held[2][-1] += 2
-            yield _with_edge(*held)
-
-    return run
-
-
-def _with_edge(columns: list[pa.Array], names: list[str], edge: np.ndarray, lagged: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*columns, pa.array(edge)], names=[*names, _PID, _RUN, *([_LAG] if lagged else []), _EDGE])
+_PID, _RUN, _LAG = "_mr_pid", "_mr_run", "_mr_lag"
 
 
-def row_number(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "rn",
-               num_partitions: int | None = None, lag: tuple[str, str] | None = None) -> DataFrame:
-    """Exact 1-based ``row_number`` within ``by`` without a per-key window.
+def running(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "rn",
+            sums: dict[str, str] | None = None, lag: tuple[str, str] | None = None,
+            num_partitions: int | None = None) -> DataFrame:
+    """``df`` with the row's 1-based ordinal in its ``by`` group, running totals of
+    long columns (``sums={"new": "column"}``, the row itself included) and, with
+    ``lag=(column, name)``, the column's value in the row before.
 
-    ``order`` must be unique within ``by`` (add a tie-break key); null keys form
-    a group. ``lag=(column, name)`` adds the column's value in the row before of
-    the same group. One wide shuffle; the result is a written table.
+    A window runs inside a slice of the range-partitioned, written rows, never over
+    a whole group, so a group of any size is spread over its slices. Only groups
+    that go over an edge of slices (two a slice at most) need what their earlier
+    slices came to: a row for each of their slices, broadcast. ``order`` must be
+    unique within ``by`` up to rows that are equal in it; null keys are a group.
     """
     from memberrisk.session import write_table
-    order_cols, keys = _as_cols(order), [F.col(b) for b in by]
-    grouped = df.withColumn(_GROUP, F.xxhash64(*keys) if keys else F.lit(0).cast("long"))
-    ranged = grouped.repartitionByRange(_n_partitions(df, num_partitions), _GROUP, *order_cols).sortWithinPartitions(_GROUP, *order_cols)
-    schema = T.StructType([*grouped.schema.fields, T.StructField(_PID, T.IntegerType()), T.StructField(_RUN, T.LongType()),
-                           *([T.StructField(_LAG, df.schema[lag[0]].dataType)] if lag else []), T.StructField(_EDGE, T.ByteType())])
-    numbered = write_table(ranged.mapInArrow(_number_slices(df.columns.index(lag[0]) if lag else None), schema), "ordinal")
-
-    # Where a slice starts inside a group: rows of that group before it, and the row before's value.
-    carried = []
-    group, total, value = None, 0, None
-    edges = numbered.where(F.col(_EDGE) > 0).select(_PID, _GROUP, _RUN, _EDGE, *([F.col(lag[0]).alias("_mr_value")] if lag else []))
-    slices: dict[int, dict[int, tuple]] = {}
-    for r in edges.collect():  # at most two rows a partition
-        for mark in (1, 2):
-            if r[_EDGE] & mark:
-                slices.setdefault(r[_PID], {})[mark] = r
-    for pid in sorted(slices):
-        first, last = slices[pid][1], slices[pid][2]
-        if group is not None and first[_GROUP] == group:
-            carried.append((pid, group, total, value))
+    sums, keys, order_cols = sums or {}, list(by), _as_cols(order)
+    ranged = df.repartitionByRange(_n_partitions(df, num_partitions), *[F.col(k) for k in keys], *order_cols)
+    cut = write_table(ranged.withColumn(_PID, F.spark_partition_id()), "slices")
+
+    def inside(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(_PID, *keys).orderBy(*order_cols)
+        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.select(
+            *df.columns, _PID, F.row_number().over(w).cast("long").alias(_RUN),
+            *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).cast("long").alias(f"_mr_sum_{n}") for n, c in sums.items()],
+            *([F.lag(lag[0]).over(w).alias(_LAG)] if lag else []))
+
+    names = [f"_mr_k{i}" for i in range(len(keys))]
+    shape = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)])
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
+    ends = cut.groupBy(_PID).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy(_PID).collect()  # a row a slice
+    over = {tuple(b["lo"]) for a, b in zip(ends, ends[1:]) if a["hi"] == b["lo"]}
+    same = F.lit(True)
+    for n, k in zip(names, keys):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    done = inside(cut)
+    if over:
+        if keys:
+            crossing = df.sparkSession.createDataFrame([tuple(k) for k in over], shape)
+            spread = inside(cut.join(F.broadcast(crossing), same, "left_semi"))
         else:
-            total = 0
-        total = last[_RUN] + (total if last[_GROUP] == first[_GROUP] else 0)
-        group, value = last[_GROUP], last["_mr_value"] if lag else None
-    shape = T.StructType([T.StructField(_PID, T.IntegerType()), T.StructField(_GROUP, T.LongType()), T.StructField("_mr_off", T.LongType()),
-                          T.StructField("_mr_carry", df.schema[lag[0]].dataType if lag else T.ByteType())])
-    offsets = df.sparkSession.createDataFrame(carried, shape)
-    done = numbered.join(F.broadcast(offsets), [_PID, _GROUP], "left")  # at most one row a partition
-    ordinal = F.col(_RUN) + F.coalesce(F.col("_mr_off"), F.lit(0).cast("long"))
+            spread = inside(cut)
+        last = spread.groupBy(_PID, *keys).agg(
+            F.max(_RUN).alias("_mr_n"), *[F.max_by(f"_mr_sum_{n}", _RUN).alias(f"_mr_t_{n}") for n in sums],
+            *([F.max_by(lag[0], _RUN).alias("_mr_value")] if lag else []))
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_PID)  # a row a slice of a group
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        carry = materialize_small(last.select(
+            F.col(_PID).alias("_mr_p"), *[F.col(k).alias(n) for n, k in zip(names, keys)], F.sum("_mr_n").over(before).alias("_mr_off"),
+            *[F.sum(f"_mr_t_{n}").over(before).alias(f"_mr_off_{n}") for n in sums],
+            *([F.lag("_mr_value").over(w).alias("_mr_carry")] if lag else [])))
+        done = done.join(F.broadcast(carry), (F.col(_PID) == F.col("_mr_p")) & same, "left")  # two rows a slice at most
+    else:
+        done = done.withColumns({"_mr_off": F.lit(0), **{f"_mr_off_{n}": F.lit(0) for n in sums}})
+        if lag:
+            done = done.withColumn("_mr_carry", F.lit(None).cast(df.schema[lag[0]].dataType))
+
+    def add(own: str, off: str) -> Column:
+        return (F.col(own) + F.coalesce(F.col(off), F.lit(0))).cast("long")
+
     extra = [F.when(F.col(_RUN) > 1, F.col(_LAG)).otherwise(F.col("_mr_carry")).alias(lag[1])] if lag else []
-    return done.select(*df.columns, ordinal.alias(out), *extra)
+    return done.select(*[c for c in df.columns if c != out], add(_RUN, "_mr_off").alias(out),
+                       *[add(f"_mr_sum_{n}", f"_mr_off_{n}").alias(n) for n in sums], *extra)
+
+
+def row_number(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "rn",
+               num_partitions: int | None = None, lag: tuple[str, str] | None = None) -> DataFrame:
+    """Exact 1-based ``row_number`` within ``by`` without a per-key window (see :func:`running`)."""
+    return running(df, order, by, out, lag=lag, num_partitions=num_partitions)
 
 
 # ------------------------------------------------------- ranks and quantiles

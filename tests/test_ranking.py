@@ -86,3 +86,24 @@ def test_no_single_task_window(spark):
     df = spark.createDataFrame(_data())
     for out in (R.row_number(df, ["v", "id"], by=["g"]), R.percent_rank_avg(df, "v", "pr", by=["g"]), R.quantiles(df, ["v"], [0.5])):
         assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_totals_over_slices_without_python_workers(spark):
+    """Ordinals, totals and the row before, one group over most slices, in JVM plans alone."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": np.where(rng.random(4000) < 0.6, "hot", rng.integers(0, 60, 4000).astype(str)),
+                        "o": rng.permutation(4000), "x": rng.integers(-9, 9, 4000)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    found = R.running(df, ["o"], ["g"], out="at", sums={"total": "x"}, lag=("o", "prev"), num_partitions=16)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+    got = found.toPandas().sort_values(["g", "o"]).reset_index(drop=True)
+    want = pdf.sort_values(["g", "o"]).reset_index(drop=True)
+    each = want.groupby("g")
+    assert (got["at"] == each.cumcount() + 1).all()
+    assert (got["total"] == each["x"].cumsum()).all()
+    assert got["prev"].fillna(-1).astype(int).tolist() == each["o"].shift().fillna(-1).astype(int).tolist()
+    whole = R.running(df, ["o"], out="at", sums={"total": "x"}, num_partitions=9).toPandas().sort_values("o")
+    assert whole["at"].tolist() == list(range(1, 4001))
+    assert (whole["total"].values == pdf.sort_values("o")["x"].cumsum().values).all()
+    assert R.running(df.limit(0), ["o"], ["g"], sums={"total": "x"}).count() == 0
