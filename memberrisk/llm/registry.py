@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memberrisk.llm import (
-    decontaminate, embedding_dedup, ngram_join, packing, pii, substring_dedup, suffix_dedup, token_count,
+    decontaminate, embedding_dedup, ngram_join, packing, pii, prefix_trie, substring_dedup, suffix_dedup, token_count,
     token_files, toxicity,
 )
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard": ngram_join.ORACLE,
         "op3_embedding_dedup": embedding_dedup.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
     }
