@@ -285,7 +285,7 @@ def _search(anchors: DataFrame, indexed: DataFrame, k: int, same_label: bool, na
                 low, high = np.where(np.isnan(low), -np.inf, low), np.full((len(own), 1), np.inf)
             else:
                 wide = max(map(len, own["lows"]))
-                low, high = np.full((len(own), wide), np.inf), np.full((len(own), wide), -np.inf)
+                low, high = np.full((len(own), wide), NO_ID), np.full((len(own), wide), ~NO_ID)  # no window: empty
                 for i, (x, y) in enumerate(zip(own["lows"], own["highs"])):
                     low[i, :len(x)], high[i, :len(y)] = x, y
             yield int(dim), own, a, low, high
@@ -357,10 +357,13 @@ def _read(own, a, low, high, here, must, above, k: int, same_label: bool) -> lis
                 x, ids = _matrix(row["m"], row["n"], row["dim"]), np.frombuffer(row["ids"], np.int64)
             scores = _scores(a[some], x)
             for w in range(wide):
-                fits = (scores >= low[some, w][:, None]) & (scores <= high[some, w][:, None])
                 if same_label:
+                    fits = np.ones(scores.shape, bool)
                     mine = np.flatnonzero(uids[some] // BLOCK == row["block"])
                     fits[mine, uids[some][mine] % BLOCK] = False
+                else:
+                    least, most = (z[some, w].astype(scores.dtype)[:, None] for z in (low, high))
+                    fits = ((scores >= least) & (scores <= most)).astype(bool)
                 best.add(some * wide + w, scores, fits, ids, int(row["block"]))
     return [(int(uids[s // wide]), s % wide, _long(score), cand_id, cand)
             for s, found in enumerate(best.of) for score, cand_id, cand in found]
@@ -386,7 +389,7 @@ def hard_negatives(rows: DataFrame, positives: int = POSITIVES, negatives: int =
     # Whole bounds of the windows; a negative score's window is empty. At most ``positives`` an anchor.
     decimal = F.col("positive_score").cast("decimal(20,0)")
     windows = near.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(
-        "search", F.ceil(decimal * low / 100).cast("double").alias("low"), F.floor(decimal * high / 100).cast("double").alias("high")))).alias("w"))
+        "search", F.ceil(decimal * low / 100).cast("long").alias("low"), F.floor(decimal * high / 100).cast("long").alias("high")))).alias("w"))
     searching = C.stage(anchors.drop("kth").join(windows, "uid").select("tile", "uid", "label", "dim", "raw", F.col("w.low").alias("lows"),
                                                                        F.col("w.high").alias("highs")), f"{name}-searching")
     far = _first(_search(searching, indexed, negatives, False, f"{name}-negative"), negatives)

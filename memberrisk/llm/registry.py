@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memberrisk.llm import (
-    decontaminate, embedding_dedup, hard_negatives, ngram_join, packing, pii, prefix_trie, substring_dedup, suffix_dedup,
-    token_count, token_files, toxicity,
+    decontaminate, embedding_dedup, hard_negatives, language_id, ngram_join, packing, pii, prefix_trie, substring_dedup,
+    suffix_dedup, token_count, token_files, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_language_id": language_id.op12_language_id,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
@@ -37,5 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_embedding_dedup": embedding_dedup.ORACLE,
         "op8_substring_dedup": substring_dedup.ORACLE,
         "op11_prefix_trie": prefix_trie.ORACLE,
+        "op12_language_id": language_id.op12_language_id,
         "op13_hard_negatives": hard_negatives.ORACLE,
     }
