@@ -8,6 +8,9 @@ the CTEs a query references.
 
 from __future__ import annotations
 
+import collections
+import re
+
 NUMERIC = ("saldo_disponible", "monto_bloq", "ult_tasa_int", "tiene_bloqueos",
            "bloqueo_encaje", "v24h", "val_de_creditos", "val_de_debitos",
            "cooplinea", "tarjetas", "credito", "edad", "certificadosvalor",
@@ -251,9 +254,21 @@ def base_ctes() -> dict[str, str]:
     return out
 
 
+def _names(sql: str, known: dict[str, str]) -> list[str]:
+    """CTEs that ``sql`` names, as often as it names them."""
+    return [w for w in re.findall(r"[A-Za-z_]\w*", sql) if w in known]
+
+
 def with_base(extra: dict[str, str] | None, final: str) -> str:
+    """``final`` behind the CTEs that it needs, in their order. One that is named more than
+    once is materialised: inlined, the decision's would be planned anew for each use."""
     ctes = base_ctes()
-    if extra:
-        ctes.update(extra)
-    body = ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in ctes.items())
-    return f"WITH {body}\n{final}"
+    ctes.update(extra or {})
+    used, todo = collections.Counter(), [final]
+    while todo:
+        for name in _names(todo.pop(), ctes):
+            used[name] += 1
+            if used[name] == 1:
+                todo.append(ctes[name])
+    body = ",\n".join(f"{name} AS {'MATERIALIZED ' if used[name] > 1 else ''}(\n{sql}\n)" for name, sql in ctes.items() if used[name])
+    return f"WITH {body}\n{final}" if body else final
