@@ -1,11 +1,11 @@
-"""Consolidation: per-member decision (D1-D5, J5, J8, W6), 360° profile (D6),
-KPIs (A26-A30, D7, D10, D11) and the run summary (D12).
-
-The decision is computed for a whole request table in one job. What the
-analyzers stored for a member is one row of the member table (built once); a
-request takes it with one left join, then overlays its own fields on the
-member's (J5). Formulas for members without history are columns of the request
-row, so any number of requests of one member stay rows of their own.
+"""Consolidation: per-member decision (D1-D5), KPIs.
+
+The decision is computed for a whole request table in one job, from the analyzers'
+answers that ``fanin`` brings together. What the analyzers stored for a member is one
+row of the member table (built once); a request takes it with one left join, then
+overlays its own fields on the member's (J5). Formulas for members without history are
+columns of the request row, so any number of requests of one member stay rows of their
+own.
 """
 
 from __future__ import annotations
@@ -49,81 +49,29 @@ def age_adhoc(req: DataFrame) -> DataFrame:
     return req.select("v_ah_cliente", *[c.alias(n) for n, c in age_adhoc_columns().items()])
 
 
-def member_table(latest: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """One row per member: its latest snapshot row as struct ``member`` and each
-    analyzer's stored result as a struct of the part's name (null if none)."""
-    out = latest.select("v_ah_cliente", F.struct(*[F.col(c) for c in latest.columns if c != "v_ah_cliente"]).alias("member"))
-    for name, part in parts.items():
-        cols = [F.col(c) for c in part.columns if c != "v_ah_cliente"]
-        out = out.join(part.select("v_ah_cliente", F.struct(*cols).alias(name)), "v_ah_cliente", "left")
-    return out
-
-
-def overlay(req: DataFrame, members: DataFrame) -> DataFrame:
-    """The request's fields over the member's stored ones (null = not given)."""
-    stored = set(members.schema["member"].dataType.fieldNames())
-    fields = [f for f in req.columns if f in stored]
-    j = req.join(members, "v_ah_cliente", "left")
-    return j.withColumns({f: F.coalesce(F.col(f), F.col(f"member.{f}").cast(req.schema[f].dataType)) for f in fields})
-
-
-def stored_or_adhoc(part: str, adhoc: dict[str, Column], names: list[str]) -> dict[str, Column]:
-    """The member's stored result, else the formula on the request row (Q18/Q19)."""
-    known = F.col(part).isNotNull()
-    return {n: F.when(known, F.col(f"{part}.{n}")).otherwise(adhoc[n]) for n in names}
-
-
-def assess(req: DataFrame, members: DataFrame, products: DataFrame, groups: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Every analyzer's answer for each request row, in five joins (member,
-    product, office, account type, transition row). ``products`` has a row a
-    product: ``segment, risk_score, tasa_riesgo, cluster_name``."""
-    df = overlay(req, members)
-    df = df.withColumns(age_adhoc_columns())
-    ew = A.early_warning_adhoc_columns()
-    od = A.over_indebtedness_adhoc_columns()
-    fam = A.family_impact_adhoc_columns()
-    df = df.withColumns({
-        **stored_or_adhoc("k_ew", ew, list(ew)),
-        **stored_or_adhoc("k_od", od, ["is_overindebted", "overindebtedness_score"]),
-        **stored_or_adhoc("k_fam", fam, ["estimated_dependents", "adjustment_factor", "ingreso_ajustado", "vulnerability_score"]),
-        "fecha_sugerida_cobro": F.coalesce(F.col("k_dates.fecha_sugerida_cobro"), F.lit(A.DEFAULT_COLLECTION_DAY)),
-        "alignment_score": F.coalesce(F.col("k_dates.alignment_score"), F.lit(A.DEFAULT_ALIGNMENT)),
-        "dia_movimiento_predominante": F.col("k_dates.dia_movimiento_predominante"),
-        "estado_riesgo": F.col("k_state.estado_riesgo")})
-    p = products.select(F.col("segment").alias("_p_seg"), F.col("risk_score").alias("product_risk_score"),
-                        F.col("tasa_riesgo").alias("product_tasa_riesgo"), "cluster_name")
-    df = df.join(p, F.col("prod_bancario").cast("string") == F.col("_p_seg"), "left").drop("_p_seg")
-    df = A.with_group_profiles(df, groups, ("oficina", "tipo_cuenta"))
-    df = df.fillna({c: 0.0 for c in df.columns if c.endswith("_risk_score") or c.endswith("_tasa_riesgo")})
-    df = A.transition_lookup(df, matrix)
-    s, g = M.score_grade(F.lit(1.0) - F.col("alert_score"))  # without a model: P(default) = alert score
-    return df.withColumns({
-        "probability_default": F.col("alert_score"), "score": s, "grade": g, "risk_level": M.risk_level(s),
-        "strategy": F.when(F.col("cluster_name").isNull(), F.lit("")).otherwise(M.strategy(F.col("cluster_name")))})
-
-
 #: The analyzers and what each says of a request (``agentes``).
 AGENTS = {
-    "age_validation": ("edad_campo", "edad_calculada", "edad_real", "is_minor", "is_blocked", "validation_status"),
-    "credit_scoring": ("score", "grade", "probability_default", "risk_level"),
-    "early_warning": ("alert_score", "alert_level", "estimated_days_to_default"),
-    "roll_rate": ("current_state", "prob_deterioro", "most_likely_next_state"),
-    "over_indebtedness": ("overindebtedness_score", "is_overindebted"),
-    "collection_segments": ("cluster_name", "strategy"),
-    "product_risk": ("product_risk_score", "product_tasa_riesgo", "office_risk_score", "office_tasa_riesgo",
-                     "type_risk_score", "type_tasa_riesgo"),
-    "date_optimization": ("fecha_sugerida_cobro", "alignment_score", "dia_movimiento_predominante"),
-    "family_impact": ("estimated_dependents", "adjustment_factor", "ingreso_ajustado", "vulnerability_score"),
+    "age_validation": {"edad_campo": "double", "edad_calculada": "double", "edad_real": "double", "is_minor": "boolean",
+                       "is_blocked": "boolean", "validation_status": "string"},
+    "credit_scoring": {"score": "bigint", "grade": "string", "probability_default": "double", "risk_level": "string"},
+    "early_warning": {"alert_score": "double", "alert_level": "string", "estimated_days_to_default": "bigint"},
+    "roll_rate": {"current_state": "string", "prob_deterioro": "double", "most_likely_next_state": "string"},
+    "over_indebtedness": {"overindebtedness_score": "double", "is_overindebted": "boolean"},
+    "collection_segments": {"cluster_name": "string", "strategy": "string"},
+    "product_risk": {"product_risk_score": "double", "product_tasa_riesgo": "double", "office_risk_score": "double",
+                     "office_tasa_riesgo": "double", "type_risk_score": "double", "type_tasa_riesgo": "double"},
+    "date_optimization": {"fecha_sugerida_cobro": "bigint", "alignment_score": "double", "dia_movimiento_predominante": "bigint"},
+    "family_impact": {"estimated_dependents": "double", "adjustment_factor": "double", "ingreso_ajustado": "double",
+                      "vulnerability_score": "double"},
 }
 
 
-def agents() -> Column:
-    return F.struct(*[F.struct(*cols).alias(name) for name, cols in AGENTS.items()])
-
-
 def decide(fanned: DataFrame) -> DataFrame:
-    """D1-D5 on the output of ``assess`` (all its columns may be null)."""
+    """D1-D5 on the output of ``fanin.assess``. An analyzer without an answer counts as 0 (Q33):
+    no alert, no action of its own, score 0, the easiest segment's channel."""
     c = F.col
+    unsegmented = F.map_contains_key("agentes_error", F.lit("collection_segments"))
+    segment = F.when(unsegmented, F.lit(M.CLUSTER_NAMES[0])).otherwise(c("cluster_name"))
     minor = F.coalesce(c("is_minor"), F.lit(False))
     score = F.coalesce(c("score"), F.lit(0))
     pdef = F.coalesce(c("probability_default"), F.lit(0.0))
@@ -148,16 +96,16 @@ def decide(fanned: DataFrame) -> DataFrame:
     actions = F.slice(F.array_compact(F.array(
         F.when(minor, F.lit(MSG_MINOR)), F.when(over, F.lit(MSG_OVERDEBT)), F.when(alerting, F.lit(MSG_ALERT)),
         F.when(rr > DETERIORATION_ALERT, F.lit(MSG_DETERIORATION)),
-        F.format_string(MSG_DATE, day.cast("int")),
+        F.when(c("fecha_sugerida_cobro").isNotNull(), F.format_string(MSG_DATE, day.cast("int"))),
         F.when(strat != "", F.format_string(MSG_STRATEGY, strat)))), 1, MAX_ACTIONS)
     blocks = F.array_compact(F.array(
         F.when(minor, F.lit("age_validation")), F.when(od_score >= BLOCK_OVERDEBT_SCORE, F.lit("over_indebtedness")),
         F.when(score < ELIGIBLE_MIN_SCORE, F.lit("credit_scoring"))))
     return fanned.select(
         "request_id", F.col("v_ah_cliente").alias("cliente_id"), global_risk.alias("riesgo_global"),
-        eligible.alias("elegibilidad_credito"), M.channel(c("cluster_name")).alias("canal_cobranza"),
+        eligible.alias("elegibilidad_credito"), M.channel(segment).alias("canal_cobranza"),
         day.cast("long").alias("dia_pago_sugerido"), alerts.alias("alertas_activas"),
-        actions.alias("acciones_priorizadas"), blocks.alias("bloqueos"), agents().alias("agentes"))
+        actions.alias("acciones_priorizadas"), blocks.alias("bloqueos"), "agentes", "agentes_error")
 
 
 def risk_band(global_risk: Column) -> Column:

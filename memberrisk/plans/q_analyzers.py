@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import functions as F
 
 from memberrisk.operators import analyzers as A
@@ -22,7 +24,15 @@ def validation(h):
 
 
 def adults(h):
-    return _table(h, "adults", lambda: A.exclude_minors(h.featured(), A.minor_ids(validation(h))))
+    """Rows of members who are not minors; all rows when the age analyzer cannot be fitted."""
+    def build():
+        try:
+            minors = A.minor_ids(validation(h))
+        except Exception as error:  # noqa: BLE001 - the fan-in reports it as the age analyzer's status
+            logging.getLogger(__name__).warning("no age validation, minors stay: %s", error)
+            return h.featured()
+        return A.exclude_minors(h.featured(), minors)
+    return _table(h, "adults", build)
 
 
 def ew_stats(h):

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from memberrisk.functions import exprs as X
 from memberrisk.operators import analyzers as A
 from memberrisk.operators import decide as D
+from memberrisk.operators import fanin as FI
 from memberrisk.operators import ml as M
+from memberrisk.plans import analyzer_set as AS
 from memberrisk.plans import q_analyzers as QA
 from memberrisk.plans import q_ml as QM
 from memberrisk.plans.registry import REGISTRY, register
@@ -18,46 +20,31 @@ from memberrisk.sources import sinks as SK
 KEYS = ["v_ah_cliente", "v_ah_cuenta", "periodo"]
 
 
-def _latest_last(df, cols):
-    """One row per client among latest-period rows (smallest account)."""
-    return A.latest_per_client(df.withColumn("periodo", F.lit("last")), cols)
+def latest(h):
+    """A member's latest row (smallest account on ties), without the name."""
+    f = h.featured().drop("v_ah_nombre")
+    return A.latest_per_client(f, [c for c in f.columns if c != "v_ah_cliente"])
+
+
+def fan_in(h, analyzers=AS.RULES):
+    """The analyzers fitted, each under its guard, once a hub and set of analyzers."""
+    return h.memo(f"fan_in:{','.join(str(id(a)) for a in analyzers)}", lambda: FI.fit(h, analyzers, latest(h)))
 
 
 def members(h):
-    """The member table: a row a member, built once."""
-    def build():
-        f = h.featured().drop("v_ah_nombre")
-        latest = A.latest_per_client(f, [c for c in f.columns if c != "v_ah_cliente"])
-        od = QA.overdebt(h).withColumn("is_overindebted", F.col("is_overindebted") == 1)
-        return D.member_table(latest, {
-            "k_ew": A.latest_per_client(QA.early_warning(h), list(A.early_warning_adhoc_columns())),
-            "k_state": A.latest_per_client(QA.states(h), ["estado_riesgo"]),
-            "k_od": _latest_last(od, ["is_overindebted", "overindebtedness_score"]),
-            "k_fam": _latest_last(QA.family(h), ["estimated_dependents", "adjustment_factor", "ingreso_ajustado", "vulnerability_score"]),
-            "k_dates": QA.dates(h).select("v_ah_cliente", "fecha_sugerida_cobro", "alignment_score", "dia_movimiento_predominante")})
-    return QA._table(h, "members", build)
-
-
-def product_names(h):
-    """Deterministic segments: product codes named by M17."""
-    return QA._table(h, "product_names", lambda: M.cluster_naming(
-        QM.scaled_last(h).withColumnRenamed("prod_bancario", "cluster_id")))
+    """The member table: a row a member, with what the analyzers stored."""
+    return fan_in(h).members
 
 
 def products(h):
-    """A row a product: its group profile (if kept) and its segment's name."""
-    def build():
-        named = product_names(h).where("cluster_id IS NOT NULL").select(
-            F.col("cluster_id").cast("string").alias("segment"), "cluster_name")
-        own = QA.groups(h).where(F.col("dimension") == "producto").select("segment", "risk_score", "tasa_riesgo")
-        return own.join(named, "segment", "full")
-    return QA._table(h, "products", build)
+    """What the analyzers look up by product: a row a product."""
+    return fan_in(h).lookups["prod_bancario"]
 
 
-def assess(h, req=None):
+def assess(h, req=None, analyzers=AS.RULES):
     """Every analyzer's answer for a request table (default: the hub's; a
     streaming micro-batch passes its own)."""
-    return D.assess(h.requests() if req is None else req, members(h), products(h), QA.groups(h), QA.matrix(h))
+    return FI.assess(fan_in(h, analyzers), h.requests() if req is None else req)
 
 
 def decisions(h):
@@ -65,7 +52,7 @@ def decisions(h):
 
 
 def _jsonify(df):
-    return df.drop("agentes").withColumns({c: F.to_json(F.col(c)) for c in ("alertas_activas", "acciones_priorizadas", "bloqueos")
+    return df.drop("agentes", "agentes_error").withColumns({c: F.to_json(F.col(c)) for c in ("alertas_activas", "acciones_priorizadas", "bloqueos")
                            if c in df.columns})
 
 
@@ -273,14 +260,8 @@ def q_alert_kpis(h):
 # --- rows-only consolidation with fitted models ---------------------------------------
 
 def model_decisions(h):
-    """Decisions with the fitted models' scores and segments: both score the
-    request's own fields over the member's stored ones, row by row."""
-    def build():
-        df = assess(h).drop("score", "grade", "risk_level", "probability_default", "cluster_name", "strategy")
-        df = QM.score_requests(h, QM.with_member_features(df, QM.model_columns(h)))
-        df = QM.assign_requests(h, df).drop("cluster_id")
-        return D.decide(df.withColumn("strategy", M.strategy(F.col("cluster_name"))))
-    return h.memo("model_decisions", build)
+    """Decisions with the fitted models' scores and segments."""
+    return h.memo("model_decisions", lambda: D.decide(assess(h, analyzers=AS.MODELS)))
 
 
 @register("member_decision_model", kind="R")
@@ -329,7 +310,7 @@ def q_member_profile(h):
 def profiles(h):
     """D6 in full: ``member`` (latest row, no name) and ``agentes`` of each member."""
     by_id = h.requests().where(F.col("request_id").startswith("i"))
-    return assess(h, by_id).withColumn("agentes", D.agents())
+    return assess(h, by_id)
 
 
 @register("kpi_row", kind="R")
@@ -355,31 +336,6 @@ def q_kpi_row(h):
               .withColumn("id", F.lit("latest")).withColumn("pipeline_status", F.lit("ready"))
 
 
-def _rule_metrics(h):
-    return [
-        ("early_warning", A.alert_metrics(QA.early_warning(h))),
-        ("over_indebtedness", A.overdebt_metrics(QA.overdebt(h))),
-        ("age_validation", A.age_metrics(QA.validation(h))),
-        ("date_optimization", A.alignment_metrics(QA.dates(h))),
-        ("family_impact", A.family_metrics(QA.family(h))),
-        ("roll_rate", A.deterioration(QA.transitions(h)).agg(
-            F.count(F.lit(1)).alias("n_transiciones"), F.sum("n_deteriorated").alias("n_socios_deteriorados"))),
-        ("product_risk", A.group_counts(QA.groups(h)).groupBy().pivot("dimension", ["producto", "oficina", "tipo_cuenta"])
-            .agg(F.first("n_groups")).withColumnsRenamed({"producto": "n_productos", "oficina": "n_oficinas",
-                                                          "tipo_cuenta": "n_tipos_cuenta"})),
-    ]
-
-
-def _summary(parts):
-    out = None
-    for name, df in parts:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                                             for c in df.columns])).alias("m")).select(
-            F.lit(name).alias("analyzer"), F.lit("ready").alias("status"), "m.metric", "m.value")
-        out = long if out is None else out.unionByName(long)
-    return out
-
-
 _SUMMARY_SQL = {
     "early_warning": REGISTRY["alert_metrics"].sql, "over_indebtedness": REGISTRY["overdebt_metrics"].sql,
     "age_validation": REGISTRY["age_metrics"].sql, "date_optimization": REGISTRY["alignment_metrics"].sql,
@@ -399,17 +355,60 @@ _SUMMARY_SQL = {
          UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(*))))"""
     for name, sql in _SUMMARY_SQL.items()))
 def q_run_summary_rules(h):
-    """D12 for the seven rule analyzers."""
-    return _summary(_rule_metrics(h))
+    """D12 for the analyzers by rule that have headline numbers."""
+    return FI.summary(fan_in(h)).where("metric IS NOT NULL")
 
 
 @register("run_summary", kind="R")
 def q_run_summary(h):
     """Status and headline metrics of all nine analyzers as (analyzer, status, metric, value)."""
-    model, table = QM.kmeans(h)
-    best = table.orderBy(F.col("silhouette").desc_nulls_last(), "k").limit(1).select(
-        F.lit(model.summary.k).alias("optimal_k"), "silhouette", "inertia")
-    return _summary([*_rule_metrics(h), ("credit_scoring", REGISTRY["credit_metrics"].build(h)), ("collection_segments", best)])
+    return FI.summary(fan_in(h, AS.MODELS))
+
+
+@reg("run_status", " UNION ALL ".join(
+    f"SELECT '{name}' AS analyzer, 'ready' AS status, CAST(NULL AS VARCHAR) AS error, {rows} AS n_rows" for name, rows in {
+        "age_validation": "(SELECT count(*) FROM age_val)", "early_warning": "(SELECT count(*) FROM ew)",
+        "credit_scoring": "CAST(NULL AS BIGINT)", "roll_rate": "(SELECT count(*) FROM rr_state)",
+        "over_indebtedness": "(SELECT count(*) FROM od)", "collection_segments": "(SELECT count(*) FROM cn)",
+        "product_risk": "(SELECT count(*) FROM grp)", "date_optimization": "(SELECT count(*) FROM dates)",
+        "family_impact": "(SELECT count(*) FROM fam)"}.items()))
+def q_run_status(h):
+    """What became of each analyzer, and the rows of its result."""
+    return fan_in(h).status_table(h.spark).drop("seconds")
+
+
+def _without(name: str) -> str:
+    """The decision's SQL with an analyzer's answers taken away."""
+    gone = {"age_validation": ["is_minor"], "early_warning": ["alert_score", "alert_level", "probability_default", "score"],
+            "credit_scoring": ["probability_default", "score"], "roll_rate": ["prob_deterioro"],
+            "over_indebtedness": ["is_overindebted", "overindebtedness_score"], "collection_segments": ["cluster_name", "strategy"],
+            "product_risk": ["product_risk_score"], "date_optimization": ["fecha_sugerida_cobro"],
+            "family_impact": ["ingreso_ajustado", "vulnerability_score"]}[name]
+    sql = DEC_CTES["dec"].replace("FROM d_all", f"FROM (SELECT * REPLACE ({', '.join(f'NULL AS {c}' for c in gone)}) FROM d_all)")
+    if name == "collection_segments":
+        sql = sql.replace("CASE cluster_name WHEN", "CASE coalesce(cluster_name, 'Recuperable fácil') WHEN")
+    if name == "date_optimization":
+        sql = sql.replace("printf('Mover fecha", "CASE WHEN fecha_sugerida_cobro IS NOT NULL THEN printf('Mover fecha").replace(
+            "coalesce(fecha_sugerida_cobro, 15)),", "fecha_sugerida_cobro) END,", 1)
+    return f"""SELECT '{name}' AS analyzer_off, count(*) AS n_requests, sum(riesgo_global) AS sum_riesgo_global,
+        count_if(elegibilidad_credito) AS n_eligible, count_if(canal_cobranza = 'whatsapp') AS n_whatsapp,
+        sum(dia_pago_sugerido) AS sum_day, sum(json_array_length(alertas_activas)) AS n_alerts,
+        sum(json_array_length(acciones_priorizadas)) AS n_actions, sum(json_array_length(bloqueos)) AS n_blocks FROM ({sql})"""
+
+
+@reg("decision_without_one", " UNION ALL ".join(_without(a.name) for a in AS.RULES))
+def q_decision_without_one(h):
+    """The decisions with each analyzer switched off in turn; every request keeps its row."""
+    fan, out = fan_in(h), None
+    for a in AS.RULES:
+        made = D.decide(FI.assess(fan.without([a.name]), h.requests())).agg(
+            F.count(F.lit(1)).alias("n_requests"), F.sum("riesgo_global").alias("sum_riesgo_global"),
+            F.count_if("elegibilidad_credito").alias("n_eligible"), F.count_if(F.col("canal_cobranza") == "whatsapp").alias("n_whatsapp"),
+            F.sum("dia_pago_sugerido").alias("sum_day"),
+            *[F.sum(F.size(c)).alias(n) for c, n in (("alertas_activas", "n_alerts"), ("acciones_priorizadas", "n_actions"), ("bloqueos", "n_blocks"))])
+        row = made.select(F.lit(a.name).alias("analyzer_off"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # --- remaining inventory items ------------------------------------------------------

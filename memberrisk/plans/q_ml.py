@@ -81,7 +81,8 @@ def assign_requests(h, df):
     rows = with_member_features(df, CLUSTER_FEATURES)
     kept = rows.withColumns({f"_raw_{c}": F.col(c) for c in CLUSTER_FEATURES})
     scaled = M.standardize(kept, CLUSTER_FEATURES, like=raw)
-    pred = model.transform(M.assemble(scaled, CLUSTER_FEATURES)).withColumnRenamed("prediction", "cluster_id").drop("features")
+    named = model.copy({model.predictionCol: "cluster_id"})  # M12's ``prediction`` may be there
+    pred = named.transform(M.assemble(scaled.drop("cluster_id"), CLUSTER_FEATURES)).drop("features")
     pred = pred.drop(*CLUSTER_FEATURES).withColumnsRenamed({f"_raw_{c}": c for c in CLUSTER_FEATURES})
     names = clusters(h).select("cluster_id", "cluster_name").distinct()
     return pred.join(F.broadcast(names), "cluster_id", "left")  # a row a cluster
@@ -264,9 +265,9 @@ def q_grade_rate(h):
 
 def _member_requests(h):
     """Requests with the member's stored row beside them."""
-    from memberrisk.operators import decide as D
+    from memberrisk.operators import fanin as FI
     from memberrisk.plans import q_decide as QD
-    return D.overlay(h.requests(), QD.members(h))
+    return FI.overlay(h.requests(), QD.members(h))
 
 
 @register("credit_score_requests", kind="R")
