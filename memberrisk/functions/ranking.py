@@ -6,13 +6,16 @@ Exact percentiles through ``percentile``/``median`` keep one value->count map
 per group inside a single task as well. With one key holding a third of the
 rows, each of these is a single-task straggler.
 
-*Quantiles and percent ranks* narrow down. Values are counted into bins (an
-order-preserving function of the value, ``BINS_PER_OCTAVE`` for each doubling
-of 1 + |x|) with partial aggregation, so a group leaves at most some ten
-thousand rows whatever its size. Running sums over the bins tell which bins hold
-the wanted ranks; only the values of those bins are counted and ranked, each bin
-on its own. Quantiles interpolate linearly between ``floor(q*(n-1))`` and
-``ceil(q*(n-1))``, as pandas' ``quantile`` and DuckDB's ``quantile_cont``.
+*Quantiles* narrow down a radix tree over the ordered bits of the values: the first
+level is counted with partial aggregation, and only bins that hold a wanted rank are
+looked into, by ranking their values where they are few and by counting them at the
+next level where they are many. So values that lie close together, or many rows with
+one value, put no more into a task than other data. They interpolate linearly between
+``floor(q*(n-1))`` and ``ceil(q*(n-1))``, as pandas' ``quantile`` and DuckDB's
+``quantile_cont``.
+
+*Percent ranks* count each value once, add the counts up over range slices, and join the
+ranks back; the few common values are joined by broadcast.
 
 *Ordinals* and running totals (``running``, ``row_number``) range-partition the
 rows, write them with their slice's number, and run a window inside each slice.
@@ -29,7 +32,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BINS_PER_OCTAVE = 256
+#: Levels of the radix tree over a double's ordered bits: 16 bins for each doubling, then 4096 in each bin.
+SHIFTS = (48, 36, 24, 12, 0)
+MOST = 100_000  # rows of a bin that one task may rank
+HOT = 64        # a value with more than a HOTth of the rows is common
 
 
 def _n_partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -117,95 +123,134 @@ def row_number(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] =
 
 
 # ------------------------------------------------------- ranks and quantiles
-def value_bin(v: Column) -> Column:
+def ordered_bits(v: Column) -> Column:
+    """The 64 bits of a double (biased exponent, then fraction) as a long in the order of
+    the values; 0 for both zeros. For values that are not null and not NaN."""
+    a = F.abs(v)
+    guess = F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1074)), F.lit(1023))
+    unit = F.pow(F.lit(2.0), guess)  # the logarithm may be off by one next to a power of two
+    exponent = F.least(guess - (unit > a).cast("int") + (unit <= a / 2).cast("int"), F.lit(1023))
+    small = a < F.lit(2.0 ** -1022)
+    fraction = F.when(small, a / F.lit(5e-324)).otherwise((a / F.pow(F.lit(2.0), exponent) - 1) * F.lit(2.0 ** 52))
+    bits = F.when(small, F.lit(0).cast("long")).otherwise((exponent + 1023).cast("long")) * F.lit(1 << 52) + fraction.cast("long")
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(bits)
+    return F.when(v < 0, -size).otherwise(size)
+
+
+def value_bin(v: Column, shift: int = SHIFTS[0]) -> Column:
     """Order-preserving bin of a double: equal or larger for a larger value."""
-    size = F.least(F.floor(F.log2(F.lit(1.0) + F.least(F.abs(v), F.lit(1e300))) * BINS_PER_OCTAVE), F.lit(1 << 30))
-    return F.when(v < 0, -size).otherwise(size).cast("long")
+    return F.shiftright(ordered_bits(v), shift)
 
 
 def percent_rank_avg(df: DataFrame, value: str, out: str, by: Sequence[str] = (),
                      num_partitions: int | None = None) -> DataFrame:
     """pandas ``rank(pct=True)`` (average ties): (less + (ties+1)/2) / n.
 
-    Null values get a null rank; n counts non-null values."""
-    by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_mr_c"))
-    ranked = rank_counts(counts, value, by, "_mr_c")
-    ranks = ranked.select(
-        *by, value,
-        ((F.col("_mr_before") + (F.col("_mr_c") + F.lit(1)) / F.lit(2.0))
-         / F.col("_mr_total")).cast("double").alias(out))
-    return df.join(ranks, [*by, value], "left")
-
-
-def rank_counts(counts: DataFrame, value: str, by: Sequence[str], weight: str) -> DataFrame:
-    """``counts`` (a row a value of a group) with ``_mr_before``, the weight of the
-    group's smaller values, and ``_mr_total``. Ranked bin by bin; the running sum
-    over bins sees a row a bin."""
+    Null values get a null rank; n counts non-null values. A value that holds more than a
+    ``HOT``th of the rows (there are ``HOT`` at most) meets its rank by broadcast, so no
+    task gets all rows of a common value."""
     by = list(by)
-    counts = materialize_small(counts.withColumn("_mr_b", value_bin(F.col(value).cast("double"))))
-    bins = counts.groupBy(*by, "_mr_b").agg(F.sum(weight).alias("_mr_n"))
-    # A group's bins: bounded by the range of doubles, not by the rows.
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    bins = bins.select(
-        *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("_mr_b").alias("_kb"),
-        F.coalesce(F.sum("_mr_n").over(group.orderBy("_mr_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mr_off"),
-        F.sum("_mr_n").over(group).cast("long").alias("_mr_total"))
-    inside = Window.partitionBy(*by, "_mr_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_mr_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    same = F.col("_mr_b") == F.col("_kb")
-    for i, b in enumerate(by):
-        same &= F.col(b).eqNullSafe(F.col(f"_k{i}"))
-    return ranked.join(bins, same).select(
-        *[c for c in counts.columns if c != "_mr_b"], (F.col("_mr_in") + F.col("_mr_off")).cast("long").alias("_mr_before"), "_mr_total")
+    value_rows = df.where(F.col(value).isNotNull())
+    counts = value_rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_mr_c"))
+    ranked = rank_counts(counts, value, by, "_mr_c", num_partitions)
+    totals = materialize_small(ranked.groupBy(*by).agg(F.sum("_mr_c").alias("_mr_total")))
+    rows = totals.agg(F.sum("_mr_total")).first()[0] or 0
+    total = F.lit(rows) if not by else F.col("_mr_total")
+    if by:
+        ranked = _null_safe(ranked, totals, by)
+    ranks = materialize_small(ranked.select(
+        *by, value, "_mr_c", ((F.col("_mr_before") + (F.col("_mr_c") + F.lit(1)) / F.lit(2.0)) / total).cast("double").alias(out)))
+    common = ranks.where(F.col("_mr_c") * HOT > rows).drop("_mr_c")  # at most HOT rows
+    others = ranks.where(F.col("_mr_c") * HOT <= rows).drop("_mr_c")
+    keys = [*by, value]
+    hot = _null_safe(df, F.broadcast(common), keys, "inner")
+    rest = _null_safe(df, F.broadcast(common), keys, "left_anti")
+    nothing = rest.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    met = _null_safe(rest.where(F.col(value).isNotNull()), others, keys, "left")
+    shown = [*df.columns, out]
+    return hot.select(*shown).unionByName(nothing.select(*shown)).unionByName(met.select(*shown))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, null keys alike; the right side's keys go."""
+    names = {k: f"_mr_j{i}" for i, k in enumerate(keys)}
+    on = F.lit(True)
+    for k, n in names.items():
+        on &= F.col(k).eqNullSafe(F.col(n))
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
+def rank_counts(counts: DataFrame, value: str, by: Sequence[str], weight: str, num_partitions: int | None = None) -> DataFrame:
+    """``counts`` (a row a value of a group) with ``_mr_before``, the weight of the group's
+    smaller values: a running total over range slices, however close the values lie."""
+    ranked = running(counts, [value], list(by), out="_mr_at", sums={"_mr_upto": weight}, num_partitions=num_partitions)
+    return ranked.select(*counts.columns, (F.col("_mr_upto") - F.col(weight)).alias("_mr_before"))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
               by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles of several columns in two narrow passes.
+    """Exact linear-interpolated quantiles of several columns by recursive narrowing.
+
+    The values' ordered bits are a radix tree. Its first level is counted for all rows;
+    a bin that holds a wanted rank is ranked by its values if it has at most ``MOST`` rows,
+    else its rows alone are counted at the next level, down to single values. Bins of one
+    value need no ranking. Levels are ``SHIFTS``; ``MOST`` bounds what a task sorts.
 
     Returns a long table ``(*by, name, q, value)``; nulls and NaN are skipped
     (pandas semantics). Groups without values produce no row."""
     by = list(by)
+    keys = [*by, "name"]
     items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"))
                       for c in columns])
     long = (df.select(*by, F.explode(items).alias("_mr_s"))
               .select(*by, F.col("_mr_s.name").alias("name"), F.col("_mr_s.v").alias("v"))
-              .where(F.col("v").isNotNull() & ~F.isnan("v"))
-              .withColumn("_mr_b", value_bin(F.col("v"))))
-    keys = [*by, "name"]
+              .where(F.col("v").isNotNull() & ~F.isnan("v")))
     group = Window.partitionBy(*keys)
-    bins = long.groupBy(*keys, "_mr_b").agg(F.count(F.lit(1)).alias("_mr_n"))
-    bins = bins.select(
-        *keys, "_mr_b", "_mr_n",
-        F.coalesce(F.sum("_mr_n").over(group.orderBy("_mr_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_mr_off"),
-        F.sum("_mr_n").over(group).alias("_mr_total"))
+    counted = [F.count(F.lit(1)).alias("_mr_n"), F.min("v").alias("_mr_lo"), F.max("v").alias("_mr_hi")]
+    bins = long.groupBy(*keys, value_bin(F.col("v")).alias("_mr_b")).agg(*counted)
+    bins = bins.withColumns({"_mr_off": _before(group.orderBy("_mr_b")), "_mr_total": F.sum("_mr_n").over(group)})
     pos = F.col("q") * (F.col("_mr_total") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-
-    def covers(rank: Column, start: str, n: str) -> Column:
-        return (F.col(start) <= rank) & (rank < F.col(start) + F.col(n))
-
-    targets = F.array(*[F.lit(float(q)) for q in qs])
-    wanted = materialize_small(bins.withColumn("q", F.explode(targets))
-                               .where(covers(lo, "_mr_off", "_mr_n") | covers(hi, "_mr_off", "_mr_n"))
-                               .select(*keys, "_mr_b", "_mr_off", "_mr_total", "q"))
-    # Only the wanted bins' values are counted and ranked, each bin on its own.
-    chosen = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_mr_b").alias("_kb")).distinct()
-    same = F.col("_mr_b") == F.col("_kb")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    values = long.join(chosen, same, "left_semi").groupBy(*keys, "_mr_b", "v").agg(F.count(F.lit(1)).alias("_mr_c"))
-    inside = Window.partitionBy(*keys, "_mr_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("_mr_in", F.coalesce(F.sum("_mr_c").over(inside), F.lit(0)))
-    values = values.toDF(*[f"_k{i}" for i in range(len(keys))], "_kb", "v", "_mr_c", "_mr_in")
-    picked = wanted.join(values, same).withColumn("_mr_start", F.col("_mr_off") + F.col("_mr_in"))
-    at_lo, at_hi = covers(lo, "_mr_start", "_mr_c"), covers(hi, "_mr_start", "_mr_c")
-    picked = (picked.where(at_lo | at_hi).groupBy(*keys, "q")
-              .agg(F.max(F.when(at_lo, F.col("v"))).alias("_mr_lo"), F.max(F.when(at_hi, F.col("v"))).alias("_mr_hi"),
-                   F.max(pos - lo).alias("_mr_frac")))
+    ranks = F.array(F.struct(F.lit("lo").alias("end"), F.floor(pos).alias("rank")), F.struct(F.lit("hi").alias("end"), F.ceil(pos).alias("rank")))
+    wanted = (bins.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_mr_t", F.explode(ranks))
+              .select(*keys, "q", "_mr_t.end", "_mr_t.rank", (pos - F.floor(pos)).alias("frac"), "_mr_b", "_mr_off", "_mr_n", "_mr_lo", "_mr_hi"))
+    wanted = materialize_small(wanted.where(_holds("_mr_off", "_mr_n")))
+    carried, found = [*keys, "q", "end", "rank", "frac"], []
+    for shift, finer in zip(SHIFTS, [*SHIFTS[1:], None]):
+        one = F.col("_mr_lo") == F.col("_mr_hi")
+        found.append(wanted.where(one).select(*carried, F.col("_mr_lo").alias("v")))
+        few, many = wanted.where(~one & (F.col("_mr_n") <= MOST)), wanted.where(~one & (F.col("_mr_n") > MOST))
+        binned = long.withColumn("_mr_b", value_bin(F.col("v"), shift))
+        bin_keys = [*keys, "_mr_b"]
+        # At most MOST rows a bin are counted by value and ranked, each bin on its own.
+        values = _null_safe(binned, few.select(*bin_keys).distinct(), bin_keys, "left_semi").groupBy(*bin_keys, "v").agg(F.count(F.lit(1)).alias("_mr_n"))
+        values = values.withColumn("_mr_in", _before(Window.partitionBy(*bin_keys).orderBy("v")))
+        inside = _null_safe(few.drop("_mr_n"), values, bin_keys, "inner").withColumn("_mr_off", F.col("_mr_off") + F.col("_mr_in"))
+        found.append(inside.where(_holds("_mr_off", "_mr_n")).select(*carried, "v"))
+        if finer is None or not many.limit(1).count():
+            break
+        children = (_null_safe(binned, many.select(*bin_keys).distinct(), bin_keys, "left_semi")
+                    .groupBy(*bin_keys, value_bin(F.col("v"), finer).alias("_mr_child")).agg(*counted))
+        children = children.withColumn("_mr_in", _before(Window.partitionBy(*bin_keys).orderBy("_mr_child")))
+        next_ = _null_safe(many.drop("_mr_n", "_mr_lo", "_mr_hi"), children, bin_keys, "inner").withColumn("_mr_off", F.col("_mr_off") + F.col("_mr_in"))
+        wanted = materialize_small(next_.where(_holds("_mr_off", "_mr_n")).select(
+            *carried, F.col("_mr_child").alias("_mr_b"), "_mr_off", "_mr_n", "_mr_lo", "_mr_hi"))
+    picked = found[0]
+    for part in found[1:]:
+        picked = picked.unionByName(part)
+    ends = picked.groupBy(*keys, "q").agg(
+        F.max(F.when(F.col("end") == "lo", F.col("v"))).alias("_mr_lo"), F.max(F.when(F.col("end") == "hi", F.col("v"))).alias("_mr_hi"),
+        F.max("frac").alias("_mr_frac"))
     value = F.col("_mr_lo") + F.col("_mr_frac") * (F.col("_mr_hi") - F.col("_mr_lo"))
-    return picked.select(*keys, "q", value.alias("value"))
+    return ends.select(*keys, "q", value.alias("value"))
+
+
+def _before(ordered) -> Column:
+    """Rows in the bins before, in an ordered window of bins."""
+    return F.coalesce(F.sum("_mr_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+
+
+def _holds(start: str, n: str) -> Column:
+    return (F.col(start) <= F.col("rank")) & (F.col("rank") < F.col(start) + F.col(n))
 
 
 def quantile_row(df: DataFrame, spec: dict[str, Sequence[float]], by: Sequence[str] = (),

@@ -107,3 +107,59 @@ def test_running_totals_over_slices_without_python_workers(spark):
     assert whole["at"].tolist() == list(range(1, 4001))
     assert (whole["total"].values == pdf.sort_values("o")["x"].cumsum().values).all()
     assert R.running(df.limit(0), ["o"], ["g"], sums={"total": "x"}).count() == 0
+
+
+def test_ordered_bits_are_the_doubles_bits(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.frombuffer(rng.bytes(8 * 4000), np.float64), 2.0 ** rng.integers(-1074, 1024, 300), -(2.0 ** rng.integers(-1074, 1024, 300)),
+                        np.nextafter(2.0 ** np.arange(-1022, 1023, 7), 0), np.nextafter(2.0 ** np.arange(-1022, 1023, 7), np.inf),
+                        [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, np.finfo(float).max, -np.finfo(float).max, np.inf, -np.inf, 1.0, 0.1, 1 / 3]])
+    x = x[~np.isnan(x)]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double")
+    got = np.array([r[0] for r in df.select("i", R.ordered_bits(F.col("v")).alias("b")).orderBy("i").select("b").collect()])
+    want = np.abs(x).view(np.int64) * np.where(x < 0, -1, 1)
+    assert (got == want).all()
+
+
+def test_a_million_close_scores(spark, monkeypatch):
+    """Distinct scores within 1e-6: exact results, and no bin or slice above the limit in a task."""
+    monkeypatch.setattr(R, "MOST", 20_000)
+    df = spark.range(0, 1_000_000, 1, 8).select(
+        F.when(F.col("id") < 300_000, F.lit(0.5)).otherwise(F.lit(0.5) + F.col("id") * F.lit(1e-12)).alias("v"), "id")
+    ranked, written = [], R.materialize_small
+
+    def watch(table):
+        out = written(table)
+        if {"_mr_lo", "_mr_hi", "_mr_n"} <= set(out.columns):
+            small = out.where("_mr_lo <> _mr_hi AND _mr_n <= 20000").agg(F.max("_mr_n")).first()[0]
+            ranked.append((out.agg(F.max("_mr_n")).first()[0], small))
+        return out
+
+    monkeypatch.setattr(R, "materialize_small", watch)
+    qs = [0.0, 0.1, 0.299, 0.3, 0.31, 0.5, 0.77, 0.999, 1.0]
+    row = R.quantile_row(df, {"v": qs}).first()
+    v = np.where(np.arange(1_000_000) < 300_000, 0.5, 0.5 + np.arange(1_000_000) * 1e-12)
+    for q in qs:
+        assert row[R.quantile_name("v", q)] == np.quantile(v, q, method="linear") or abs(row[R.quantile_name("v", q)] - np.quantile(v, q)) < 1e-15
+    assert len(ranked) > 2 and ranked[0][0] > 900_000 and all(small is None or small <= 20_000 for _, small in ranked)
+    got = R.percent_rank_avg(df, "v", "pr", num_partitions=8)
+    sample = {r["id"]: r["pr"] for r in got.where("id % 99991 = 7 OR id IN (0, 299999, 300000, 999999)").collect()}
+    for i, pr in sample.items():
+        assert abs(pr - ((1 + 300_000) / 2 if i < 300_000 else i + 1) / 1e6) < 1e-12
+    assert got.count() == 1_000_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan  # the common value does not go by a shuffle of its rows
+
+
+def test_percent_ranks_keep_rows_nulls_and_groups(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 900), "v": rng.integers(0, 6, 900).astype(float), "id": np.arange(900)})
+    pdf.loc[pdf.index % 11 == 0, "v"] = np.nan
+    rows = [(g, None if np.isnan(v) else float(v), int(i)) for g, v, i in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    got = {r["id"]: r["pr"] for r in R.percent_rank_avg(df, "v", "pr", by=["g"]).collect()}
+    want = pdf.groupby(pdf["g"].fillna("-"))["v"].rank(pct=True)
+    assert len(got) == 900
+    for i, w in enumerate(want):
+        assert got[i] is None if np.isnan(w) else abs(got[i] - w) < 1e-12
+    assert R.percent_rank_avg(df.limit(0), "v", "pr").count() == 0 and R.quantiles(df.limit(0), ["v"], [0.5]).count() == 0
