@@ -13,6 +13,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple, Protocol
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from memberrisk.session import write_table
 
 READY, ERROR, OFF = "ready", "error", "off"
+AT_ONCE = 4  # analyzers fitted side by side
 LOG = logging.getLogger(__name__)
 STATUS_SCHEMA = "analyzer string, status string, error string, n_rows long, seconds double"
 
@@ -114,29 +116,32 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def _fit_one(hub: Any, a: Analyzer) -> tuple[Status, DataFrame | None, dict[str, DataFrame]]:
+    begun = time.time()
+    try:
+        table = a.fit(hub)
+        n = None if table is None else table.count()
+        own = a.stored(hub)
+        own = None if own is None else write_table(own, f"stored-{a.name}")
+        tables = {key: write_table(df, f"lookup-{a.name}") for key, df in a.lookups(hub).items()}
+    except Exception as error:  # noqa: BLE001 - whatever an analyzer raises is its own
+        LOG.warning("analyzer %s failed: %s", a.name, message(error))
+        return Status(a.name, ERROR, message(error), None, round(time.time() - begun, 3)), None, {}
+    return Status(a.name, READY, None, n, round(time.time() - begun, 3)), own, tables
+
+
 def fit(hub: Any, analyzers: Iterable[Analyzer], latest: DataFrame) -> FanIn:
-    """Fit every analyzer under its guard. ``latest`` has a member's latest row (a row a member)."""
+    """Fit every analyzer under its guard, some side by side: their jobs are many and small.
+    ``latest`` has a member's latest row (a row a member)."""
     analyzers = list(analyzers)
-    parts: dict[str, DataFrame] = {}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        done = list(pool.map(lambda a: _fit_one(hub, a), analyzers))
+    status = {s.analyzer: s for s, _, _ in done}
+    parts = {s.analyzer: own for s, own, _ in done if own is not None}
     looked: dict[str, list[DataFrame]] = {}
-    status: dict[str, Status] = {}
-    for a in analyzers:
-        begun = time.time()
-        try:
-            table = a.fit(hub)
-            n = None if table is None else table.count()
-            own = a.stored(hub)
-            own = None if own is None else write_table(own, f"stored-{a.name}")
-            tables = {key: write_table(df, f"lookup-{a.name}") for key, df in a.lookups(hub).items()}
-        except Exception as error:  # noqa: BLE001 - whatever an analyzer raises is its own
-            LOG.warning("analyzer %s failed: %s", a.name, message(error))
-            status[a.name] = Status(a.name, ERROR, message(error), None, round(time.time() - begun, 3))
-            continue
-        if own is not None:
-            parts[a.name] = own
+    for _, _, tables in done:
         for key, df in tables.items():
             looked.setdefault(key, []).append(df)
-        status[a.name] = Status(a.name, READY, None, n, round(time.time() - begun, 3))
 
     members = latest.select("v_ah_cliente", F.struct(*[F.col(c) for c in latest.columns if c != "v_ah_cliente"]).alias("member"))
     for name, part in parts.items():

@@ -41,11 +41,19 @@ class Hub:
         self.tables = FX.Tables(spark, self.root) if self.root else None
         self._memo: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
+        self._building: dict[str, threading.RLock] = {}
 
     def _get(self, name: str, build) -> DataFrame:
+        """Built once. Threads wait for a stage that another builds, not for each other's stages."""
         with self._lock:
+            if name in self._memo:
+                return self._memo[name]
+            own = self._building.setdefault(name, threading.RLock())
+        with own:
             if name not in self._memo:
-                self._memo[name] = build()
+                made = build()
+                with self._lock:
+                    self._memo[name] = made
             return self._memo[name]
 
     # --- sources -----------------------------------------------------------
