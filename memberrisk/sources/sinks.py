@@ -1,18 +1,24 @@
 """Sinks (S8-S17): keyed "latest row wins" upsert into parquet tables, the
 five output table schemas, and the JSON edge for nested values.
 
-A stored table is cut into buckets by a hash of the id. An upsert reads the
-buckets that the new rows touch, keeps the newest row per id (max_by aggregate,
-partially aggregated, so a hot id costs one row per map task), and writes those
-buckets anew; the others stay. A small manifest names each bucket's folder.
-Committing creates the next manifest, which only one writer can; the loser
-reads again and tries again. Folders that the last manifests do not name are
-deleted. A keyed read opens one bucket. No row goes through the driver.
+A stored table is cut into buckets by the first bits of a hash of the id, as many bits
+as a bucket needs to hold ``BUCKET_ROWS`` rows or so: a bucket that grows is split when
+it is next written (extendible hashing), so an upsert rewrites files of bounded size and
+the number of buckets follows the table. An upsert reads the buckets that the new rows
+touch, keeps the newest row per id (max_by aggregate, partially aggregated, so a hot id
+costs one row per map task), and writes those buckets anew, sorted by id in small row
+groups with bloom filters; the others stay. A manifest names each bucket's file and
+rows. It is written aside and renamed to the next version, which only one writer can;
+the loser reads again and tries again, and a reader never sees half of one. (The check
+and the rename are one step where the file system has it so, as HDFS does.) Folders
+that the last manifests do not name are deleted. A keyed read opens one bucket. No row
+goes through the driver, only a number a bucket.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -102,12 +108,29 @@ def upsert(existing: DataFrame | None, new: DataFrame, key: str = "id") -> DataF
     return latest_per_id(merged, key).drop("_src")
 
 
-BUCKETS = 32
+BUCKET_ROWS = 100_000   # a bucket with more rows is split when it is next written
+GROUP_BYTES = 1 << 20   # row groups of a bucket's file
 KEEP_MANIFESTS = 2
+ORPHAN_HOURS = 24       # what a dead writer left is deleted after that
 
 
-def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+def key_hash(key: Column) -> Column:
+    return F.xxhash64(key.cast("string"))
+
+
+def _top(depth: Column, h: str = "_h") -> Column:
+    """The first ``depth`` bits of the hash as a number."""
+    shifted = F.expr(f"shiftrightunsigned({h}, CAST(64 - _depth AS INT))")
+    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(shifted)
+
+
+def _label(depth: int, prefix: int) -> str:
+    return f"b{depth}_{prefix}"
+
+
+def _place(label: str) -> tuple[int, int]:
+    depth, prefix = label[1:].split("_")
+    return int(depth), int(prefix)
 
 
 class _Folder:
@@ -116,7 +139,8 @@ class _Folder:
     def __init__(self, spark: SparkSession, table_dir: str):
         self.spark, self.dir = spark, table_dir.rstrip("/")
         self.jvm = spark.sparkContext._jvm
-        self.fs = self.path(self.dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path(self.dir).getFileSystem(self.conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
@@ -126,77 +150,154 @@ class _Folder:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
 
     def versions(self) -> list[int]:
-        return [int(n.removesuffix(".json")) for n in self.names("manifests") if n.endswith(".json")]
+        return [int(n.removesuffix(".json")) for n in self.names("manifests") if n.endswith(".json") and not n.startswith(".")]
 
-    def manifest(self, version: int) -> dict[str, str]:
-        """Bucket number to folder name."""
+    def read_manifest(self, version: int) -> dict:
+        """``buckets`` (label to path and rows) and ``batches`` (stream to its last batch)."""
         stream = self.fs.open(self.path(f"{self.dir}/manifests/{version:012d}.json"))
         try:
             return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def commit(self, version: int, manifest: dict[str, str]) -> bool:
-        """Write the manifest unless another writer has."""
+    def manifest(self, version: int) -> dict[str, dict]:
+        return self.read_manifest(version)["buckets"]
+
+    def _write_aside(self, content: str) -> str:
+        aside = f"{self.dir}/manifests/.new-{uuid.uuid4().hex}"
+        stream = self.fs.create(self.path(aside), False)
+        try:
+            stream.write(bytearray(content.encode()))
+        finally:
+            stream.close()
+        return aside
+
+    def _publish(self, aside: str, version: int) -> bool:
+        """Rename, unless the name is taken. Readers see a whole manifest or none."""
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(self.dir).toUri(), self.conf) \
+            if "://" in self.dir or self.dir.startswith("file:") else self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.conf)
+        no_options = self.spark.sparkContext._gateway.new_array(getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
         try:
-            stream = self.fs.create(self.path(f"{self.dir}/manifests/{version:012d}.json"), False)
+            context.rename(self.path(aside), self.path(f"{self.dir}/manifests/{version:012d}.json"), no_options)
         except Py4JJavaError as error:
             if "exist" in str(error.java_exception).lower():
+                self.fs.delete(self.path(aside), False)
                 return False
             raise
-        try:
-            stream.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            stream.close()
         return True
 
+    def commit(self, version: int, buckets: dict[str, dict], batches: dict[str, int] | None = None) -> bool:
+        """Make ``version`` unless another writer has."""
+        if version in self.versions():
+            return False
+        return self._publish(self._write_aside(json.dumps({"buckets": buckets, "batches": batches or {}})), version)
+
     def clean(self) -> None:
-        """Delete manifests but the last ones, and folders that those do not name."""
+        """Delete manifests but the last ones, folders that only those name, and what dead writers left."""
         versions = self.versions()
-        named = {f.split("/")[0] for v in versions[-KEEP_MANIFESTS:] for f in self.manifest(v).values()}
+        named = {f["path"].split("/")[0] for v in versions[-KEEP_MANIFESTS:] for f in self.manifest(v).values()}
         for v in versions[:-KEEP_MANIFESTS]:
-            folders = {f.split("/")[0] for f in self.manifest(v).values()}
+            folders = {f["path"].split("/")[0] for f in self.manifest(v).values()}
             self.fs.delete(self.path(f"{self.dir}/manifests/{v:012d}.json"), False)
             for folder in folders - named:
                 self.fs.delete(self.path(f"{self.dir}/data/{folder}"), True)
+        before = int((time.time() - ORPHAN_HOURS * 3600) * 1000)
+        for sub, stray in (("manifests", lambda n: n.startswith(".new-")), ("data", lambda n: n not in named)):
+            p = self.path(f"{self.dir}/{sub}")
+            for status in self.fs.listStatus(p) if self.fs.exists(p) else []:
+                if stray(status.getPath().getName()) and status.getModificationTime() < before:
+                    self.fs.delete(status.getPath(), True)
 
 
-def _read(folder: _Folder, manifest: dict[str, str], schema: T.StructType, buckets: list[str] | None = None) -> DataFrame | None:
-    paths = [f"{folder.dir}/data/{f}" for b, f in sorted(manifest.items()) if buckets is None or b in buckets]
+def _read(folder: _Folder, buckets: dict[str, dict], schema: T.StructType, labels: list[str] | None = None) -> DataFrame | None:
+    paths = [f"{folder.dir}/data/{f['path']}" for b, f in sorted(buckets.items()) if (labels is None or b in labels) and f["rows"]]
     return folder.spark.read.schema(schema).parquet(*paths) if paths else None
 
 
+def bucket_of(h: int, buckets: dict[str, dict]) -> str | None:
+    """The bucket whose prefix the hash starts with."""
+    bits = h & (2 ** 64 - 1)
+    for depth in sorted({_place(b)[0] for b in buckets}):
+        label = _label(depth, bits >> (64 - depth) if depth else 0)
+        if label in buckets:
+            return label
+    return None
+
+
 def read_current(spark: SparkSession, table_dir: str, table: str, key_value: str | None = None) -> DataFrame | None:
-    """The committed table, or the rows of one id (one bucket is opened, ``id = x`` is pushed down)."""
+    """The committed table, or the rows of one id: one bucket's file is opened, and of it the row
+    groups that ``id = x`` leaves by their bounds and bloom filters."""
     folder = _Folder(spark, table_dir)
     versions = folder.versions()
     if not versions:
         return None
-    schema = OUTPUT_SCHEMAS[table]
+    schema, buckets = OUTPUT_SCHEMAS[table], folder.manifest(versions[-1])
+    nothing = spark.createDataFrame([], schema)
     if key_value is None:
-        return _read(folder, folder.manifest(versions[-1]), schema)
-    bucket = spark.range(1).select(bucket_of(F.lit(key_value)).alias("b")).first()["b"]
-    df = _read(folder, folder.manifest(versions[-1]), schema, [str(bucket)])
-    return df.where(F.col("id") == key_value) if df is not None else spark.createDataFrame([], schema)
+        df = _read(folder, buckets, schema)
+        return df if df is not None else nothing
+    h = spark.range(1).select(key_hash(F.lit(key_value)).alias("h")).first()["h"]
+    label = bucket_of(h, buckets)
+    df = _read(folder, buckets, schema, [label]) if label else None
+    return df.where(F.col("id") == key_value) if df is not None else nothing
+
+
+def _split(depth: int, rows: int) -> int:
+    """Depth at which a bucket of at most ``rows`` rows leaves pieces of ``BUCKET_ROWS`` or so."""
+    while rows > BUCKET_ROWS and depth < 60:
+        depth, rows = depth + 1, (rows + 1) // 2
+    return depth
 
 
-def upsert_table(new: DataFrame, table_dir: str, table: str) -> int:
-    """S8 end to end: merge the touched buckets and commit. Returns the version."""
+def upsert_table(new: DataFrame, table_dir: str, table: str, batch: tuple[str, int] | None = None) -> int:
+    """S8 end to end: merge the touched buckets and commit. Returns the version.
+
+    ``batch`` (a stream's name and batch number) is committed once: if the table has
+    that batch of the stream or a later one, nothing is written."""
     from memberrisk.session import write_table
-    spark = new.sparkSession
-    batch = write_table(conform_output(new, table).withColumn("_bucket", bucket_of(F.col("id"))), "upsert")
-    touched = sorted(r["_bucket"] for r in batch.select("_bucket").distinct().collect())  # at most BUCKETS
-    folder = _Folder(spark, table_dir)
+    spark, folder = new.sparkSession, _Folder(new.sparkSession, table_dir)
+    rows = None
     while True:
         versions = folder.versions()
-        manifest = folder.manifest(versions[-1]) if versions else {}
-        current = _read(folder, manifest, OUTPUT_SCHEMAS[table], [str(b) for b in touched])
-        merged = conform_output(upsert(current, batch.drop("_bucket")), table)
+        state = folder.read_manifest(versions[-1]) if versions else {"buckets": {}, "batches": {}}
+        if batch and state["batches"].get(batch[0], -1) >= batch[1]:
+            return versions[-1]
+        if rows is None:
+            rows = write_table(conform_output(new, table).withColumn("_h", key_hash(F.col("id"))), "upsert")
+        buckets = state["buckets"] or {_label(0, 0): {"path": "", "rows": 0}}
+        # Each row meets the one bucket whose prefix its hash starts with: a lookup for each depth there is.
+        places = spark.createDataFrame([(*_place(b), b) for b in buckets], "_depth int, _prefix long, _bucket string")
+        depths = F.array(*[F.lit(d) for d in sorted({_place(b)[0] for b in buckets})])
+
+        def dealt(df: DataFrame, to: DataFrame) -> DataFrame:
+            tried = df.withColumn("_depth", F.explode(depths))
+            return tried.withColumn("_prefix", _top(F.col("_depth"))).join(to, ["_depth", "_prefix"]).drop("_depth", "_prefix")
+
+        touched = {r["_bucket"]: r["n"] for r in dealt(rows, places).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+        made = {b: _split(_place(b)[0], buckets[b]["rows"] + n) for b, n in touched.items()}
+        current = _read(folder, buckets, OUTPUT_SCHEMAS[table], list(touched))
+        merged = conform_output(upsert(current, rows.drop("_h")), table).withColumn("_h", key_hash(F.col("id")))
+        targets = spark.createDataFrame([(*_place(b), d) for b, d in made.items()], "_depth int, _prefix long, _to int")
+        labelled = (dealt(merged, targets).withColumnRenamed("_to", "_depth")
+                    .withColumn("_bucket", F.concat(F.lit("b"), F.col("_depth").cast("string"), F.lit("_"), _top(F.col("_depth")).cast("string")))
+                    .drop("_depth", "_h"))
+        pieces = sum(2 ** (d - _place(b)[0]) for b, d in made.items())
         data = uuid.uuid4().hex
-        (merged.withColumn("_bucket", bucket_of(F.col("id"))).repartition(len(touched) or 1, "_bucket")
-         .write.partitionBy("_bucket").parquet(f"{folder.dir}/data/{data}"))
+        (labelled.repartition(max(1, pieces), "_bucket").sortWithinPartitions("_bucket", "id")
+         .write.partitionBy("_bucket").option("parquet.bloom.filter.enabled#id", "true")
+         .option("parquet.bloom.filter.expected.ndv#id", str(BUCKET_ROWS)).option("parquet.bloom.filter.adaptive.enabled", "true")
+         .option("parquet.block.size", str(GROUP_BYTES)).parquet(f"{folder.dir}/data/{data}"))
+        sizes = {} if not touched else {r["_bucket"]: r["n"] for r in spark.read.parquet(f"{folder.dir}/data/{data}")
+                                        .groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+        after = {b: f for b, f in buckets.items() if b not in touched}
+        for b, d in made.items():
+            depth, prefix = _place(b)
+            for child in range(2 ** (d - depth)):
+                label = _label(d, (prefix << (d - depth)) | child)
+                after[label] = {"path": f"{data}/_bucket={label}", "rows": sizes.get(label, 0)}
         version = (versions[-1] if versions else 0) + 1
-        if folder.commit(version, manifest | {str(b): f"{data}/_bucket={b}" for b in touched}):
+        batches = state["batches"] | ({batch[0]: batch[1]} if batch else {})
+        if folder.commit(version, after, batches):
             folder.clean()
             return version
         folder.fs.delete(folder.path(f"{folder.dir}/data/{data}"), True)  # another writer was first

@@ -28,7 +28,8 @@ def start(h: Hub, stream: DataFrame, table_dir: str, checkpoint_dir: str,
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        sinks.upsert_table(sinks.decision_records(score_batch(h, batch)), table_dir, "scoring_results")
+        # A batch that Spark runs again after a failure commits nothing the second time.
+        sinks.upsert_table(sinks.decision_records(score_batch(h, batch)), table_dir, "scoring_results", (checkpoint_dir, batch_id))
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -1,6 +1,7 @@
 """File sources, keyed upsert sink, output schemas and streaming scoring."""
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from memberrisk.sources import files as SRC
@@ -135,3 +136,95 @@ def test_streaming_request_scoring(spark, scratch):
     assert out is not None and out.count() == h.requests().select("v_ah_cliente").distinct().count()
     assert out.where("agentes IS NULL").count() == 0
     assert os.path.isdir(f"{scratch}/ckpt")
+
+
+def _numbers(spark, ids, n):
+    return spark.createDataFrame([(str(i), n) for i in ids], "id string, n_socios long").withColumns(
+        {"cluster_name": F.lit("x"), "updated_at": F.timestamp_seconds(F.col("n_socios"))})
+
+
+def test_buckets_split_as_the_table_grows(spark, scratch, monkeypatch):
+    monkeypatch.setattr(SK, "BUCKET_ROWS", 40)
+    table, folder = f"{scratch}/t", SK._Folder(spark, f"{scratch}/t")
+    SK.upsert_table(_numbers(spark, range(20), 1), table, "pipeline_clusters")
+    assert set(folder.manifest(1)) == {"b0_0"}
+    SK.upsert_table(_numbers(spark, range(600), 2), table, "pipeline_clusters")
+    second = folder.manifest(2)
+    assert 16 <= len(second) <= 64 and sum(f["rows"] for f in second.values()) == 600
+    SK.upsert_table(_numbers(spark, [7, 8], 3), table, "pipeline_clusters")
+    third = folder.manifest(3)
+    assert sum(second[b]["path"] != third.get(b, {"path": ""})["path"] for b in second) <= 2   # the others stay as they are
+    SK.upsert_table(_numbers(spark, range(500, 1500), 4), table, "pipeline_clusters")
+    fourth = folder.manifest(4)
+    assert len({SK._place(b)[0] for b in fourth}) > 1 or len(fourth) > len(third)
+    assert sum(2.0 ** -SK._place(b)[0] for b in fourth) == 1                                   # prefixes cover every hash once
+    got = {r.id: r.n_socios for r in SK.read_current(spark, table, "pipeline_clusters").collect()}
+    assert got == {str(i): 4 if i >= 500 else 3 if i in (7, 8) else 2 for i in range(1500)}
+    for i in (0, 7, 499, 500, 1499):
+        one = SK.read_current(spark, table, "pipeline_clusters", str(i))
+        assert len(one.inputFiles()) == 1 and [r.n_socios for r in one.collect()] == [got[str(i)]]
+        assert one.inputFiles()[0].split("_bucket=")[1].split("/")[0] in fourth
+    assert SK.read_current(spark, table, "pipeline_clusters", "nobody").count() == 0
+
+
+def test_a_dead_writer_leaves_the_table_whole(spark, scratch, monkeypatch):
+    table, folder = f"{scratch}/t", SK._Folder(spark, f"{scratch}/t")
+    SK.upsert_table(_numbers(spark, range(5), 1), table, "pipeline_clusters")
+
+    def dies(self, aside, version):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(SK._Folder, "_publish", dies)                      # between the file aside and its name
+        with pytest.raises(KeyboardInterrupt):
+            SK.upsert_table(_numbers(spark, range(9), 2), table, "pipeline_clusters")
+    assert folder.versions() == [1] and SK.read_current(spark, table, "pipeline_clusters").count() == 5
+    assert SK.upsert_table(_numbers(spark, range(7), 3), table, "pipeline_clusters") == 2
+    assert SK.read_current(spark, table, "pipeline_clusters").count() == 7
+    assert any(n.startswith(".new-") for n in folder.names("manifests"))
+    monkeypatch.setattr(SK, "ORPHAN_HOURS", -1)
+    folder.clean()
+    assert not any(n.startswith(".new-") for n in folder.names("manifests")) and len(folder.names("data")) == 2
+    assert SK.read_current(spark, table, "pipeline_clusters").count() == 7
+
+
+def test_the_slower_writer_reads_again(spark, scratch, monkeypatch):
+    table = f"{scratch}/t"
+    SK.upsert_table(_numbers(spark, range(3), 1), table, "pipeline_clusters")
+    publish, first = SK._Folder._publish, []
+
+    def overtaken(self, aside, version):
+        if not first:
+            first.append(version)
+            SK.upsert_table(_numbers(spark, [50], 2), table, "pipeline_clusters")
+        return publish(self, aside, version)
+
+    monkeypatch.setattr(SK._Folder, "_publish", overtaken)
+    assert SK.upsert_table(_numbers(spark, [60], 3), table, "pipeline_clusters") == 3
+    assert {r.id for r in SK.read_current(spark, table, "pipeline_clusters").collect()} == {"0", "1", "2", "50", "60"}
+
+
+def test_a_replayed_batch_commits_nothing(spark, scratch):
+    table, folder = f"{scratch}/t", SK._Folder(spark, f"{scratch}/t")
+    assert SK.upsert_table(_numbers(spark, range(3), 1), table, "pipeline_clusters", ("s", 0)) == 1
+    assert SK.upsert_table(_numbers(spark, range(3), 9), table, "pipeline_clusters", ("s", 0)) == 1
+    assert SK.upsert_table(_numbers(spark, range(3), 2), table, "pipeline_clusters", ("other", 0)) == 2
+    assert SK.upsert_table(_numbers(spark, range(4), 3), table, "pipeline_clusters", ("s", 1)) == 3
+    assert folder.versions() == [2, 3] and folder.read_manifest(3)["batches"] == {"s": 1, "other": 0}
+    assert SK.read_current(spark, table, "pipeline_clusters").agg(F.max("n_socios")).first()[0] == 3
+    assert SK.upsert_table(_numbers(spark, [], 5), table, "pipeline_clusters") == 4
+    assert SK.read_current(spark, table, "pipeline_clusters").count() == 4
+
+
+def test_a_keyed_read_opens_one_row_group(spark, scratch, monkeypatch):
+    """Of a bucket's row groups, ``id = x`` leaves one."""
+    monkeypatch.setattr(SK, "GROUP_BYTES", 4096)
+    table = f"{scratch}/t"
+    rows = spark.range(60_000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("n_socios"),
+                                      F.sha2(F.col("id").cast("string"), 256).alias("cluster_name"), F.timestamp_seconds(F.lit(1)).alias("updated_at"))
+    SK.upsert_table(rows, table, "pipeline_clusters")
+    one = SK.read_current(spark, table, "pipeline_clusters", "4711")
+    assert [r.n_socios for r in one.collect()] == [4711]
+    leaf = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    read = leaf.metrics().get("numOutputRows").get().value()
+    assert 0 < read < 20_000
