@@ -14,7 +14,6 @@ independent of partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from memberrisk.functions import exprs as X
 from memberrisk.functions import ranking as R
+from memberrisk.operators import clustering
 
 SEED = 42
 # Fixed values of the source system: split, model and segment settings and the segments' texts.
@@ -35,7 +35,6 @@ K_RANGE = (3, 8)
 KMEANS_RESTARTS = 10
 KMEANS_MAX_ITER = 300
 DEFAULT_K = 4
-KMEANS_AT_ONCE = 6
 CLUSTER_NAMES = ("Recuperable fácil", "Negociación", "Pre-jurídico", "Castigo potencial")
 COLLECTION_STRATEGIES = {
     "Recuperable fácil": "Recordatorio SMS/email + llamada amable. Alta probabilidad de pago voluntario.",
@@ -310,43 +309,11 @@ def feature_importances(rf, columns: list[str], spark, n: int = 10) -> DataFrame
 
 
 def kmeans_search(features: DataFrame, columns: list[str], k_range=K_RANGE, restarts: int = KMEANS_RESTARTS,
-                  max_iter: int = KMEANS_MAX_ITER, at_once: int = KMEANS_AT_ONCE):
-    """For each k keep the restart with the lowest training cost,
-    score it by silhouette (squared Euclidean, O(n)); best silhouette wins,
-    lower k on ties, ``DEFAULT_K`` when no k has a silhouette. Restarts run
-    ``at_once`` together over one cached vector table, which is released at the
-    end. Returns (best_model, summary DataFrame)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    data = assemble(features, columns).select("features").persist()
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-
-    def fit(task):
-        k, r = task
-        model = KMeans(k=k, seed=SEED + r, maxIter=max_iter, featuresCol="features").fit(data)
-        return k, r, model, model.summary.trainingCost
-
-    try:
-        data.count()
-        ks = range(k_range[0], k_range[1] + 1)
-        with ThreadPoolExecutor(at_once) as pool:
-            fits = list(pool.map(fit, [(k, r) for k in ks for r in range(restarts)]))
-        rows, best = [], None
-        for k in ks:
-            _, _, model, cost = min((f for f in fits if f[0] == k), key=lambda f: (f[3], f[1]))
-            n_clusters = model.summary.k
-            sizes = [s for s in model.summary.clusterSizes if s > 0]
-            sil = evaluator.evaluate(model.transform(data)) if n_clusters > 1 and len(sizes) > 1 else None
-            rows.append((k, float(sil) if sil is not None else None, float(cost)))
-            if sil is not None and (best is None or sil > best[1]):
-                best = (model, sil, k)
-        if best is None:  # no silhouette at all: the source system's default
-            model = fit((DEFAULT_K, 0))[2]
-            best = (model, None, DEFAULT_K)
-    finally:
-        data.unpersist()
-    summary = features.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
-    return best[0], summary
+                  max_iter: int = KMEANS_MAX_ITER):
+    """All k and restarts in one search (``clustering.search``). Returns
+    (best ``Centres``, a row a k with silhouette, its standard error and inertia)."""
+    best, table, _ = clustering.search(features, columns, range(k_range[0], k_range[1] + 1), restarts, max_iter, SEED, DEFAULT_K)
+    return best, table
 
 
 # --- M2: SMOTE -------------------------------------------------------------------------

@@ -146,7 +146,7 @@ def _fitted_clusters(h) -> DataFrame:
 def _cluster_metrics(h) -> DataFrame:
     model, table = QM.kmeans(h)
     return table.orderBy(F.col("silhouette").desc_nulls_last(), "k").limit(1).select(
-        F.lit(model.summary.k).alias("optimal_k"), "silhouette", "inertia")
+        F.lit(model.k).alias("optimal_k"), "silhouette", "inertia")
 
 
 def _credit_metrics(h) -> DataFrame:

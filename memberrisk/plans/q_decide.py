@@ -332,7 +332,7 @@ def q_kpi_row(h):
     for part in (buckets, alerts, minors, over, grade, chan):
         row = X.one_row(part)
         out = out.withColumns({c: row[c] for c in part.columns})
-    return out.withColumn("clusters_count", F.lit(model.summary.k if model else 0)) \
+    return out.withColumn("clusters_count", F.lit(model.k if model else 0)) \
               .withColumn("id", F.lit("latest")).withColumn("pipeline_status", F.lit("ready"))
 
 

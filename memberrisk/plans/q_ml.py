@@ -81,8 +81,7 @@ def assign_requests(h, df):
     rows = with_member_features(df, CLUSTER_FEATURES)
     kept = rows.withColumns({f"_raw_{c}": F.col(c) for c in CLUSTER_FEATURES})
     scaled = M.standardize(kept, CLUSTER_FEATURES, like=raw)
-    named = model.copy({model.predictionCol: "cluster_id"})  # M12's ``prediction`` may be there
-    pred = named.transform(M.assemble(scaled.drop("cluster_id"), CLUSTER_FEATURES)).drop("features")
+    pred = model.assign(scaled)
     pred = pred.drop(*CLUSTER_FEATURES).withColumnsRenamed({f"_raw_{c}": c for c in CLUSTER_FEATURES})
     names = clusters(h).select("cluster_id", "cluster_name").distinct()
     return pred.join(F.broadcast(names), "cluster_id", "left")  # a row a cluster
@@ -96,8 +95,7 @@ def clusters(h):
     """Latest-period members with cluster id and name (best K-means model)."""
     def build():
         model, _ = kmeans(h)
-        data = M.assemble(scaled_last(h), CLUSTER_FEATURES)
-        pred = model.transform(data).withColumnRenamed("prediction", "cluster_id").drop("features")
+        pred = model.assign(scaled_last(h))
         names = M.cluster_naming(pred)
         return pred.join(F.broadcast(names.select("cluster_id", "cluster_name")), "cluster_id")
     return h.memo("clusters", build)
@@ -132,6 +130,8 @@ ML_CTES = {
     "scaled": "SELECT v_ah_cliente, v_ah_cuenta, periodo, prod_bancario, " + ", ".join(
         f"({c} - avg({c}) OVER ()) / coalesce(CASE WHEN stddev_pop({c}) OVER () <> 0 THEN stddev_pop({c}) OVER () END, 1.0)"
         f" AS {c}" for c in CLUSTER_FEATURES) + " FROM sc_in",
+    "sil": "SELECT row_number() OVER (ORDER BY v_ah_cuenta, v_ah_cliente) AS id, prod_bancario, " + ", ".join(CLUSTER_FEATURES)
+           + " FROM scaled WHERE prod_bancario IS NOT NULL",
 }
 CTES = {**QA.CTES, **ML_CTES}
 
@@ -350,6 +350,27 @@ def q_channel_distribution(h):
     return M.channel_counts(clusters(h))
 
 
+def _distance(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in CLUSTER_FEATURES) + ")"
+
+
+@reg("silhouette_products", f"""SELECT count(*) AS n_rows, avg(s) AS silhouette, stddev_pop(s) / sqrt(count(*)) AS silhouette_error FROM (
+    SELECT id, CASE WHEN max(n_same) <= 1 OR greatest(max(inside), min(outside)) = 0 THEN 0.0
+                    ELSE (min(outside) - max(inside)) / greatest(max(inside), min(outside)) END AS s FROM (
+      SELECT a.id,
+             CASE WHEN a.prod_bancario = b.prod_bancario THEN count(*) END AS n_same,
+             CASE WHEN a.prod_bancario = b.prod_bancario THEN sum({_distance("a", "b")}) / greatest(count(*) - 1, 1) END AS inside,
+             CASE WHEN a.prod_bancario <> b.prod_bancario THEN avg({_distance("a", "b")}) END AS outside
+      FROM sil a JOIN sil b ON true GROUP BY a.id, a.prod_bancario, b.prod_bancario) GROUP BY id)""")
+def q_silhouette_products(h):
+    """M15 of the product codes as clusters (rows without one left out), Euclidean."""
+    from memberrisk.operators import clustering as K
+    rows = scaled_last(h).where("prod_bancario IS NOT NULL")
+    x, (codes,) = K.sample_of(rows, CLUSTER_FEATURES, ("prod_bancario",))
+    found = K.silhouettes(x, {"product": codes.to_numpy()}, h.spark)["product"] or (None, None)
+    return h.spark.createDataFrame([(len(x), *found)], "n_rows long, silhouette double, silhouette_error double")
+
+
 # --- identities that hold for any fitted model -----------------------------------------
 
 @reg("model_identities", """SELECT (SELECT count(*) FROM split WHERE split = 'test') AS n_scored,
