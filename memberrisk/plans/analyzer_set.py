@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from memberrisk.operators import analyzers as A
 from memberrisk.operators import decide as D
 from memberrisk.operators import ml as M
+from memberrisk.operators.bundle import Bundle
 from memberrisk.operators.fanin import Rules
 from memberrisk.plans import q_analyzers as QA
 from memberrisk.plans import q_ml as QM
@@ -163,3 +164,21 @@ _MODELS = {
     "collection_segments": _rules("collection_segments", _segment_by_model, fitting=_fitted_clusters, measuring=_cluster_metrics),
 }
 MODELS = tuple(_MODELS.get(a.name, a) for a in RULES)
+
+
+def bundled(saved: Bundle) -> tuple[Rules, ...]:
+    """The analyzers with the models of a loaded bundle: nothing is fitted."""
+    def credit(h, df: DataFrame) -> DataFrame:
+        answers = list(D.AGENTS["credit_scoring"])
+        asked = F.struct(*[F.col(c) for c in df.columns if c not in answers])
+        fields = QM.with_member_features(df.drop(*answers).withColumn("_asked", asked), saved.columns)
+        return saved.score(fields).select("_asked.*", *answers)
+
+    def segment(h, df: DataFrame) -> DataFrame:
+        asked = F.struct(*[F.col(c) for c in df.columns if c not in ("cluster_name", "strategy")])
+        own = df.drop("cluster_name", "strategy").withColumn("_asked", asked)
+        placed = saved.assign(QM.with_member_features(own, list(saved.centres.columns)))
+        return placed.select("_asked.*", "cluster_name", M.strategy(F.col("cluster_name")).alias("strategy"))
+
+    of = {"credit_scoring": _rules("credit_scoring", credit), "collection_segments": _rules("collection_segments", segment)}
+    return tuple(of.get(a.name, a) for a in RULES)

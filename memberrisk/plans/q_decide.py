@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
+from memberrisk import session as sess
 from memberrisk.functions import exprs as X
 from memberrisk.operators import analyzers as A
+from memberrisk.operators import bundle as B
 from memberrisk.operators import decide as D
 from memberrisk.operators import fanin as FI
 from memberrisk.operators import ml as M
@@ -269,6 +272,25 @@ def q_member_decision_model(h):
     return _jsonify(model_decisions(h))
 
 
+@reg("saved_models", """SELECT (SELECT count(*) FROM req) AS n_requests, (SELECT count(*) FROM req) AS n_same_score,
+    (SELECT count(*) FROM req) AS n_same_segment, (SELECT count(*) FROM req) AS n_same_decision""")
+def q_saved_models(h):
+    """A saved and loaded bundle decides as the models it was saved from."""
+    path = f"{sess.ensure_checkpoint_dir(h.spark).rstrip('/')}/tables/bundle-{uuid.uuid4().hex}"
+    B.save(QM.bundle(h), path, h.spark)
+    loaded = AS.bundled(B.load(h.spark, path))
+    told = ("riesgo_global", "elegibilidad_credito", "canal_cobranza", "bloqueos")
+
+    def rows(df, name):
+        return df.select("request_id", F.col("agentes.credit_scoring.score").alias(f"{name}_score"),
+                         F.col("agentes.collection_segments.cluster_name").alias(f"{name}_segment"), F.struct(*told).alias(f"{name}_told"))
+
+    both = rows(model_decisions(h), "a").join(rows(D.decide(assess(h, analyzers=loaded)), "b"), "request_id")
+    return both.agg(F.count(F.lit(1)).alias("n_requests"), *[
+        F.count_if(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias(f"n_same_{n}")
+        for c, n in (("score", "score"), ("segment", "segment"), ("told", "decision"))])
+
+
 FAN_IN = ("request_id", "v_ah_cliente", "is_minor", "probability_default", "score", "alert_score", "alert_level",
           "prob_deterioro", "is_overindebted", "overindebtedness_score", "cluster_name", "strategy",
           "product_risk_score", "fecha_sugerida_cobro", "ingreso_ajustado", "vulnerability_score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memberrisk.operators import bundle as B
 from memberrisk.operators import features as FE
 from memberrisk.operators import ml as M
 from memberrisk.plans import q_analyzers as QA
@@ -101,6 +102,17 @@ def clusters(h):
     return h.memo("clusters", build)
 
 
+def bundle(h) -> B.Bundle:
+    """The fitted models as a bundle."""
+    def build():
+        rf, lr = credit_models(h)
+        best, _ = kmeans(h)
+        names = {r["cluster_id"]: r["cluster_name"] for r in clusters(h).select("cluster_id", "cluster_name").distinct().collect()}
+        raw = FE.scrub_features(h.last_period(), CLUSTER_FEATURES)
+        return B.Bundle(model_columns(h), rf, lr, best, B.moments(raw, CLUSTER_FEATURES), names)
+    return h.memo("bundle", build)
+
+
 ML_CTES = {
     "sp_keyed": """SELECT v_ah_cliente, v_ah_cuenta, periodo, riesgo_alto,
                 md5('42|' || CAST(v_ah_cuenta AS VARCHAR) || '|' || periodo) AS k FROM featured""",

@@ -30,3 +30,28 @@ def test_model_roundtrip(spark, scratch):
 def test_drop_label_inputs():
     cols = ["saldo_disponible", "edad", "dias_sin_movimiento", "credito", "ingresos"]
     assert FE.drop_label_inputs(cols) == ["edad", "ingresos"]  # Q16: the label's own inputs go
+
+
+def test_bundle_of_one_session_scores_in_another(spark, scratch):
+    """Saved twice, loaded by a new session: same scores and segments, the last version by default."""
+    import numpy as np
+    from memberrisk.operators import bundle as B
+    from memberrisk.operators.clustering import Centres
+    rows = [(i, float(i % 7), float(i % 3), 1 if i % 7 > 3 else 0) for i in range(60)] + [(60, None, float("nan"), 0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, riesgo_alto int")
+    rf, lr = M.fit_credit_model(FE.scrub_features(df, ["a", "b"]), ["a", "b"])
+    made = B.Bundle(["a", "b"], rf, lr, Centres(("b", "a"), np.array([[0.0, 0.0], [1.0, 2.0]]), 3.5), {"b": (1.0, 2.0), "a": (3.0, 1.5)}, {0: "x", 1: "y"})
+    first = B.save(made, f"{scratch}/models", spark)
+    second = B.save(made.__class__(made.columns, rf, lr, made.centres, made.moments, {0: "x", 1: "z"}), f"{scratch}/models", spark)
+    other = spark.newSession()
+    last, old = B.load(other, f"{scratch}/models"), B.load(other, f"{scratch}/models", first)
+    assert first != second and last.names == {0: "x", 1: "z"} and old.names == made.names and last.columns == made.columns
+
+    def told(b, s):
+        d = s.createDataFrame(rows, "id int, a double, b double, riesgo_alto int")
+        scores = {r["id"]: (r["score"], r["grade"], r["probability_default"]) for r in b.score(d).collect()}
+        return scores, {r["id"]: (r["cluster_id"], r["cluster_name"], r["a"]) for r in b.assign(d).collect()}
+
+    assert told(old, other) == told(made, spark)
+    got = told(old, other)[1]
+    assert got[60][2] is None and {c for c, _, _ in got.values()} == {0, 1}
