@@ -8,7 +8,8 @@ met goes to the library once, many in one call, and its ids are kept. A text's
 ids are then gathered from there. The store is bounded and starts anew when full.
 
 Texts with white space beyond ASCII, control characters or combining marks, on
-which libraries' ideas of white space differ, go to the library whole.
+which libraries' ideas of white space differ, go to the library whole. So do texts
+that hold the string of a special token, which the library gives that token's id.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = sorted({a.content.encode() for a in self.tokenizer.get_added_tokens_decoder().values()})
         self.spaced = spaced
         if spaced:  # a word's first token starts with its space, and no other does
             self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -163,7 +164,7 @@ class Encoder:
             if len(self.keys[0]) > WORDS:
                 self._start()
             ids, ends = self._slice(w)
-            odd = set((np.searchsorted(w.edge, _odd(w.data), side="right") - 1).tolist())
+            odd = set((np.searchsorted(w.edge, _odd(w.data), side="right") - 1).tolist()) | self._special(w)
             for d in range(len(w.first) - 1):
                 if d in odd:
                     text = w.data[w.edge[d]:w.edge[d + 1]].tobytes().decode()
@@ -171,6 +172,16 @@ class Encoder:
                 else:
                     yield ids[ends[d]:ends[d + 1]]
 
+    def _special(self, w: C.Words) -> set[int]:
+        """Texts in whose bytes the string of a special token stands."""
+        data, found = w.data.tobytes(), []
+        for token in self.special:
+            at = data.find(token)
+            while at >= 0:
+                found.append(at)
+                at = data.find(token, at + 1)
+        return set((np.searchsorted(w.edge, np.array(found, np.int64), side="right") - 1).tolist())
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text."""
         return next(self.encode_column(pa.array([text])))[:-1]

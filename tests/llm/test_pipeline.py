@@ -86,7 +86,6 @@ def test_stages_and_run(spark, corpus):
 
     out = corpus_pipeline.run(spark, folder).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = []
     for i, t in got:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]

@@ -23,14 +23,11 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 # --------------------------------------------------------------- tokenization
 def whole(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
 ENCODERS = {p: whole for p in (BYTE, WORD)}
 PLAIN = {BYTE: Tokenizer.from_file(BYTE), WORD: Tokenizer.from_file(WORD)}
-for _t in PLAIN.values():
-    _t.encode_special_tokens = True
 
 
 @settings(max_examples=400, deadline=None)
@@ -41,6 +38,26 @@ def test_pieces_give_the_ids_of_the_text(text):
         assert tokens.Encoder.of(path, spaced).encode(text).tolist() == want
 
 
+def thue_morse(n, a="a", b="b"):
+    word = a
+    for _ in range(n):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_special_tokens_and_words_made_to_collide():
+    """The library's ids for strings of special tokens; two words whose polynomial hashes agree stay two."""
+    one, other = thue_morse(11), thue_morse(11, "b", "a")
+    rows = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "plain", f"{one} x", f"{other} x", f"y {other}", f"y {one}", "<|endoftext|", ""]
+    for path, spaced in ((BYTE, True), (WORD, False)):
+        got = [ids.tolist() for ids in tokens.encode_column(pa.array(rows), path, spaced)]
+        assert got == [PLAIN[path].encode(t, add_special_tokens=False).ids + [0] for t in rows]
+    assert 50256 in PLAIN[BYTE].encode(rows[0], add_special_tokens=False).ids
+    for options in ({}, {"lower": True}, {"lower": True, "terms": True}):
+        hashes = [h for w in common.words(pa.array([f"{one} {other} {one.upper()}"]), **options) for h in w.hash.tolist()]
+        assert hashes[0] != hashes[1] and (hashes[0] == hashes[2]) == bool(options)
+
+
 def test_pieces_of_prose(texts):
     for path, spaced in ((BYTE, True), (WORD, False)):
         for _, t in texts:
