@@ -23,9 +23,13 @@ Plan
     suffix filter (Hamming bound over the histograms) cuts the distinct pairs,
     the rest is verified once on the whole sets. What links is merged into components.
  4. *Remaining pairs.* Members of one shingle that are in different components
-    now are joined with each other under the same filters, with the prefix
-    shingles in common counted; pairs that were verified before are taken out. So no link between components is lost,
-    while a group of near copies never makes all its pairs.
+    now are joined with each other under the same filters. Each carries the
+    smallest of its prefix shingles, so a pair meets at the smallest one that it
+    has in common and not again at each of the others (only a pair whose
+    smallest common one is beyond what both carry meets more often). The exact
+    number of prefix shingles in common is then taken from the two prefixes,
+    and pairs that were verified before are taken out. So no link between
+    components is lost, while a group of near copies never makes all its pairs.
  5. Components of all links give every text its class.
 
 Edge cases: null or empty text and text of blanks: empty set, ``n_shingles`` 0,
@@ -49,6 +53,8 @@ from memberrisk.llm import common as C
 CELL_BITS = 22
 PART_BITS = 20
 MAP_WORDS = 16
+#: Smallest open prefix shingles that a posting carries.
+FIRST_KEYS = 8
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -158,6 +164,29 @@ def _passes(percent: int) -> str:
             f"least(held, held2) + {_beyond(percent)} >= {_need(percent)}")
 
 
+def _meetings(carried: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of two components that may pass, met at their smallest common open prefix shingle.
+
+    ``carried``: postings with the class's ``held`` open shingles, the ``least`` of them, the map ``m0_...`` and ``free``,
+    the number that the map does not tell apart. A pair whose smallest common one is not among both ``least`` meets at others too.
+    """
+    # Named by side, so that both sides are one exchange.
+    both = lambda text: re.sub(r"\b(n|pos|last|root|held|free|least|fp|m\d+_)(2?)\b(?!\()", lambda m: ("y." if m[2] else "x.") + m[1], text)
+    common = " + ".join(f"bit_count(m{w}_ & m{w}_2)" for w in range(MAP_WORDS))
+    return (carried.alias("x").join(carried.alias("y"), F.expr(both(
+        f"x.key = y.key AND fp < fp2 AND root != root2 AND {_passes(percent)} AND "
+        f"{common} + least(free, free2) + {_beyond(percent)} >= {_need(percent)} AND "
+        f"coalesce(array_min(array_intersect(least, least2)), x.key) >= x.key")))
+        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+
+
+def _sharing(pairs: DataFrame, own: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose prefixes have enough in common: ``own`` has each class's ``keys``, ``n``, ``last``."""
+    for c, at in (("a", ""), ("b", "2")):
+        pairs = pairs.join(own.toDF(c, f"keys{at}", f"n{at}", f"last{at}"), c)
+    return pairs.where(f"size(array_intersect(keys, keys2)) + {_beyond(percent)} >= {_need(percent)}").select("a", "b")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The distinct pairs (a, b) of class fingerprints with ``link``: whether they pass.
 
@@ -230,7 +259,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
                                F.col("held").alias("held2"), F.col("last").alias("last2")), F.struct(F.col("held") / F.col("n"), "fp"))
     hubs = C.stage(members.groupBy("key").agg(middle.alias("hub")).select("key", "hub.*"), f"{name}-hubs")
     near = (members.withColumnRenamed("fp", "b").join(hubs, "key")
-            .where("a != b").where(_passes(percent)).select("a", "b").distinct())
+            .where("a != b").where(_passes(percent))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = _verified(near, classes, docs, k, percent, f"{name}-hub")
     links = first.where("link")
     merged = C.components(links, f"{name}-hub")
@@ -239,33 +269,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
     placed = members.join(merged.withColumnsRenamed({"id": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     open_keys = (placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
                  .where("low != high").select("key"))
-    left = C.stage(placed.drop("held").join(open_keys, "key"), f"{name}-open")
-    # A map of 1024 bits of each class's open prefix shingles bounds what two classes have in common
-    # of them before their shingles are joined. Every prefix shingle that a pair of two components
-    # has in common is open, so the number that the join finds is exact.
-    bit = F.shiftright("key", 7).bitwiseAND(F.lit(MAP_WORDS * 64 - 1))
-    word, one = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast((shiftright(key, 7) & {MAP_WORDS * 64 - 1}) & 63 AS int))")
-    own = left.groupBy("fp").agg(F.count(F.lit(1)).alias("held"), *[
-        F.bit_or(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"m{w}_") for w in range(MAP_WORDS)])
+    left = C.stage(placed.select("key", "fp", "n", "pos", "last", "root").join(open_keys, "key"), f"{name}-open")
+    for used in (members, hubs, shared):
+        C.unstage(used)
+    # Every prefix shingle that a pair of two components has in common is open. A class's open ones, in order,
+    # give the exact number in common; a map of 1024 bits bounds it before two classes meet, and the first
+    # of them tell whether a pair meets at a smaller shingle as well.
+    own = C.stage(left.groupBy("fp").agg(F.sort_array(F.collect_list("key")).alias("keys")), f"{name}-own")
+    bit = f"shiftright(key, 7) & {MAP_WORDS * 64 - 1}"
+    marked = left.groupBy("fp").agg(F.count(F.lit(1)).alias("held"), *[
+        F.expr(f"bit_or(IF(shiftright({bit}, 6) = {w}, shiftleft(1L, cast(({bit}) & 63 AS int)), 0L))").alias(f"m{w}_")
+        for w in range(MAP_WORDS)])
     marks = " + ".join(f"bit_count(m{w}_)" for w in range(MAP_WORDS))
-    left = C.stage(left.join(own.withColumn("free", F.expr(f"held - ({marks})")), "fp").select(
-        "key", "fp", "n", "pos", "last", "root", "held", "free", *[f"m{w}_" for w in range(MAP_WORDS)]), f"{name}-left")
-    # Named by side, so that both sides are one exchange.
-    both = lambda text: re.sub(r"\b(n|pos|last|root|held|free|fp|m\d+_)(2?)\b", lambda m: ("y." if m[2] else "x.") + m[1], text)
-    common = " + ".join(f"bit_count(m{w}_ & m{w}_2)" for w in range(MAP_WORDS))
-    beyond, need = _beyond(percent), _need(percent)
-    rest = (left.alias("x").join(left.alias("y"), F.expr(both(
-        f"x.key = y.key AND fp < fp2 AND root != root2 AND {_passes(percent)} AND "
-        f"{common} + least(free, free2) + {beyond} >= {need}")))
-        .groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-        .agg(F.count(F.lit(1)).alias("common"), *[F.first(f"{t}.{c}").alias(c + at) for c in ("n", "last") for t, at in (("x", ""), ("y", "2"))])
-        .where(f"common + {beyond} >= {need}").select("a", "b"))
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(rest, classes, docs, k, percent, f"{name}-rest").where("link")
+    marked = marked.withColumn("free", F.expr(f"held - ({marks})")).join(
+        own.select("fp", F.slice("keys", 1, FIRST_KEYS).alias("least")), "fp")
+    carried = C.stage(left.join(marked, "fp"), f"{name}-left")
+    C.unstage(left)
+    rest = C.stage(_meetings(carried, percent).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), f"{name}-met")
+    C.unstage(carried)
+    second = _verified(_sharing(rest, own.join(classes.select("fp", "n", "last"), "fp"), percent, name),
+                       classes, docs, k, percent, f"{name}-rest").where("link")
     edges = links.select("a", "b").unionByName(second.select("a", "b"))
     root = C.components(edges, f"{name}-all")
 
-    belongs = rows.where("n > 0").select("fp", "doc_id")
     low = (classes.select("fp", "low").join(root.withColumnsRenamed({"id": "fp"}), "fp", "left")
            .select("fp", "low", F.coalesce("root", "fp").alias("root")))
     smallest = C.stage(low.groupBy("root").agg(F.min("low").alias("component_id")), f"{name}-smallest")

@@ -75,6 +75,30 @@ def test_one_per_group(odd, texts):
     assert any(i is None and t is None for i, t in left)
 
 
+def test_pairs_below_the_threshold_meet_once(spark, monkeypatch):
+    """Near copies just below the threshold: a pair meets at one of its many common shingles, and no link is lost."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(70):
+        own = list(base)
+        for at in rng.choice(300, 4, replace=False):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(5)]
+    met, real = [], ngram_join._meetings
+
+    def counted(carried, percent):
+        pairs = real(carried, percent)
+        met.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_meetings", counted)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert order(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == order(brute_groups(rows, 5, 80))
+    assert met[0][1] > 0 and met[0][0] <= 1.5 * met[0][1]
+
+
 def test_jaccard_of_nothing(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
     assert ngram_join.one_per_group(empty).count() == 0
