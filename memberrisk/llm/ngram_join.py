@@ -310,7 +310,10 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = C.stage(jaccard_components(docs, k, percent, "ngram-keep").where("n_shingles > 0"), "ngram-groups")
     first = (rows.where("doc_id = component_id").groupBy("component_id")
              .agg(F.min("row_key").alias("kept"), F.count(F.lit(1)).alias("n")))
-    gone = C.stage(rows.join(first, "component_id").where("row_key != kept").select(F.col("row_key").alias("__key")).distinct(), "ngram-gone")
+    # A row with another id than its group's goes whatever its group is; only rows of the group's own id are joined.
+    other = rows.where("component_id IS NOT NULL AND NOT doc_id <=> component_id")
+    same = rows.where("doc_id = component_id").join(first.select("component_id", "kept"), "component_id").where("row_key != kept")
+    gone = C.stage(other.select(F.col("row_key").alias("__key")).union(same.select("row_key")).distinct(), "ngram-gone")
     again = C.stage(first.where("n > 1").select(F.col("kept").alias("__key")), "ngram-again")  # one row of equal ones stays
     keyed = docs.withColumn("__key", C.row_key())
     held = C.IdFilter.of(gone.unionByName(again), "__key")
