@@ -4,10 +4,17 @@ Every column is read as string with an explicit schema (no inference pass
 over the data), the period is tagged from the source spec, periods are
 unioned by name, a missing period file is skipped (none at all is an error)
 and missing alert files yield an empty, typed alert table.
+
+Headers are first lines, fetched by some threads through Hadoop's file system:
+a few KB a file and no Spark job, however many files there are. Files with the
+same header are one scan.
 """
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,31 +51,74 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+#: Headers read side by side.
+HEADER_THREADS = 16
+#: Name of the column that takes a row whose number of fields is not its header's.
+MALFORMED = "_malformed"
+
+
 def _header(spark: SparkSession, path: str, sep: str) -> tuple[str, ...]:
-    """Column names of one file (reads one line)."""
-    first = spark.read.option("sep", sep).csv(path).limit(1).collect()
-    return tuple(str(c).strip() for c in first[0]) if first else ()
+    """Column names of one file: its first line that is not blank, unpacked as Spark would; none if there is no such line."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hpath.getFileSystem(conf).open(hpath)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hpath)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        line = lines.readLine()
+        while line is not None and not line.strip("\ufeff \t"):
+            line = lines.readLine()
+    finally:
+        stream.close()
+    names = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep, escapechar="\\")) if line else []
+    return tuple(name.strip() or f"_c{i}" for i, name in enumerate(names))
+
+
+def _by_header(spark: SparkSession, spec: SourceSpec) -> Iterator[tuple[str, tuple[str, ...], list[str]]]:
+    """(period, header, files with it) of a source. Empty files have no header and are left out."""
+    found = [(period, file) for period, path in spec.paths.items() for file in _files(spark, path)]
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f[1], spec.sep), found))
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for (period, file), header in zip(found, headers):
+        if header:
+            groups.setdefault((period, header), []).append(file)
+    for (period, header), files in groups.items():
+        yield period, header, files
+
+
+def _reader(spark: SparkSession, header: tuple[str, ...], sep: str, *more: str):
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*header, *more)])
+    return (spark.read.option("header", True).option("sep", sep).option("enforceSchema", True)
+            .option("mode", "PERMISSIVE").schema(schema))
 
 
 def read_snapshots(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """S1/S2 + S4 + S5: all periods as strings, tagged and unioned by name.
 
     Each file is read by its own header; files of a period with the same header
-    are one scan. Columns that a file lacks are null."""
+    are one scan. Columns that a file lacks are null. A row with fewer fields than
+    its header has nulls for the rest, one with more loses them (``malformed_rows``)."""
     frames = {}
-    for period, path in spec.paths.items():
-        by_header: dict[tuple[str, ...], list[str]] = {}
-        for file in _files(spark, path):
-            by_header.setdefault(_header(spark, file, spec.sep), []).append(file)
-        for header, files in by_header.items():
-            if header:
-                schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
-                df = (spark.read.option("header", True).option("sep", spec.sep).option("enforceSchema", True)
-                      .option("mode", "PERMISSIVE").schema(schema).csv(files))
-                frames[period] = frames[period].unionByName(df, allowMissingColumns=True) if period in frames else df
+    for period, header, files in _by_header(spark, spec):
+        df = _reader(spark, header, spec.sep).csv(files)
+        frames[period] = frames[period].unionByName(df, allowMissingColumns=True) if period in frames else df
     return L.union_periods(frames)
 
 
+def malformed_rows(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    """``(periodo, file, record)``: the lines whose number of fields is not that of their file's header."""
+    out = None
+    for period, header, files in _by_header(spark, spec):
+        # The filter names all columns, or only some would be parsed and a line's fields not be counted.
+        fields = F.concat_ws("", *[F.col(f"`{c}`") for c in header])
+        df = (_reader(spark, header, spec.sep, MALFORMED).option("columnNameOfCorruptRecord", MALFORMED).csv(files)
+              .where(F.col(MALFORMED).isNotNull() & (F.length(fields) >= 0))
+              .select(F.lit(period).alias("periodo"), F.col("_metadata.file_path").alias("file"), F.col(MALFORMED).alias("record")))
+        out = df if out is None else out.unionByName(df)
+    return out if out is not None else spark.createDataFrame([], "periodo string, file string, record string")
+
+
 def read_alerts(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """S3 + U2: both alert files tagged with their source; empty if none."""
     out = None

@@ -54,6 +54,39 @@ def test_header_per_file_and_ids(spark, scratch):
     assert sorted(r.cliente for r in alerts.collect()) == [1, 2]
 
 
+def test_headers_of_many_files_take_no_jobs(spark, scratch):
+    """Some hundred files of two headers (one plain, one compressed): two scans, each with one job that lists its files."""
+    import gzip
+    os.mkdir(f"{scratch}/many")
+    for i in range(300):
+        text = f"v_ah_cliente,edad\n{i},30\n" if i % 2 else f'\ufeff\n"edad", v_ah_cliente \n40,{i}\n'
+        if i % 3:
+            _write(f"{scratch}/many/{i}.csv", text)
+        else:
+            with gzip.open(f"{scratch}/many/{i}.csv.gz", "wt", encoding="utf-8") as fh:
+                fh.write(text)
+    _write(f"{scratch}/many/empty.csv", "")
+    spec = SRC.SourceSpec({"2026-03": f"{scratch}/many"})
+    spark.sparkContext.setJobGroup("headers", "headers")
+    df = SRC.read_snapshots(spark, spec)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers")) <= 2
+    assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    got = sorted((int(r.v_ah_cliente), r.edad) for r in df.collect())
+    assert got == [(i, "30" if i % 2 else "40") for i in range(300)]
+
+
+def test_malformed_rows(spark, scratch):
+    _write(f"{scratch}/bad.csv", "v_ah_cliente,edad\n1,30\n2\n3,40,x\n4,\n")
+    _write(f"{scratch}/blank.csv", "")
+    got = SRC.malformed_rows(spark, SRC.SourceSpec({"2026-03": f"{scratch}/bad.csv", "2026-04": f"{scratch}/blank.csv"}))
+    assert sorted((r.periodo, os.path.basename(r.file), r.record) for r in got.collect()) == [
+        ("2026-03", "bad.csv", "2"), ("2026-03", "bad.csv", "3,40,x")]
+    spec = SRC.SourceSpec({"2026-03": f"{scratch}/bad.csv"})
+    assert {(r.v_ah_cliente, r.edad) for r in SRC.read_snapshots(spark, spec).collect()} == {("1", "30"), ("2", None), ("3", "40"), ("4", None)}
+    nothing = SRC.malformed_rows(spark, SRC.SourceSpec({"2026-03": f"{scratch}/none.csv"}))
+    assert nothing.count() == 0 and nothing.columns == ["periodo", "file", "record"]
+
+
 def test_file_hub_gives_the_same_features(spark, scratch):
     """The fixture's raw layer written as CSV and read back: same features."""
     from memberrisk.plans.pipeline import FileHub, hub
