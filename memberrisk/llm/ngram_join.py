@@ -242,15 +242,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, name: str
     if not 0 < percent <= 100:
         raise ValueError("percent is in (0, 100]")
     docs = docs.select("doc_id", "text")
-    rows = prefixes(docs, k, percent, count_classes(docs, k), name)
-    classes = C.stage(rows.where("n > 0").groupBy("fp").agg(
+    wide = prefixes(docs, k, percent, count_classes(docs, k), name)
+    whole = C.stage(wide.where("n > 0").groupBy("fp").agg(
         F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("prefix").alias("prefix"),
-        F.first("parts").alias("parts")), f"{name}-classes")
-    postings = classes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))  # a class has each shingle once
+        F.first("parts").alias("parts")), f"{name}-whole")
+    # The prefixes are most of these tables; they go as soon as the postings are written.
+    rows = C.stage(wide.select("row_key", "doc_id", "n", "fp"), f"{name}-rows")
+    C.unstage(wide)
+    classes = C.stage(whole.drop("prefix"), f"{name}-classes")
+    postings = whole.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))  # a class has each shingle once
     shared = C.stage(postings.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
                      .where("low != high").select("key"), f"{name}-keys")
     # ``held``: how many of a class's prefix shingles others hold too; no pair has more in common there.
     found = C.stage(postings.join(shared, "key"), f"{name}-found")
+    C.unstage(whole)
     held = found.groupBy("fp").agg(F.count(F.lit(1)).alias("held")).join(classes.select("fp", "last"), "fp")
     members = C.stage(found.join(held, "fp"), f"{name}-members")
     C.unstage(found)
