@@ -109,6 +109,14 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, made longer until no column of ``df`` has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 class IdFilter:
     """A map of 2**24 bits (2 MB, whatever the input's size) that holds all ids of a
     table and few others. It spares most rows a shuffle; an exact join follows.
@@ -144,7 +152,7 @@ class IdFilter:
                 if rows.num_rows:
                     yield rows
 
-        return df.withColumn("__bit", self._bit(column)).mapInArrow(lambda batches: func(chosen(batches)), schema)
+        return df.withColumn(free_name(df, "__bit"), self._bit(column)).mapInArrow(lambda batches: func(chosen(batches)), schema)
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
         return self.run(df, column, lambda rows: rows, df.schema, True)

@@ -284,7 +284,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     short, runs = _lengths(items, window)
     found = _rows(docs.select(C.row_key().alias("key"), "text"), [window, *short], [RUN, *runs], False, spark.sparkContext.broadcast(held))
     found = C.stage(found, f"{name}-found")
-    starts = lambda of: F.size(F.array_distinct(F.flatten(F.collect_list(of))))
     starts = lambda of: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(of, F.col("pos"))))))
     total = item_rows.groupBy("key").agg(starts(F.col("way") != VERBATIM).alias("total"), starts(F.col("way") == PLAIN).alias("total_plain"),
                                          starts(F.col("way") == VERBATIM).alias("total_runs"))
@@ -321,11 +320,12 @@ def _lengths(items: DataFrame, window: int) -> tuple[list[int], list[int]]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, name: str = "decontaminate") -> DataFrame:
     """``docs`` (all columns) without the documents that hold an item."""
-    keys = matches(docs, benchmark, name=name).select(F.col("row_key").alias("__key")).distinct()
+    key = C.free_name(docs, "__key")
+    keys = matches(docs, benchmark, name=name).select(F.col("row_key").alias(key)).distinct()
     keys = C.stage(keys, f"{name}-keys")
-    marked = docs.withColumn("__key", C.row_key())
-    held = C.IdFilter.of(keys, "__key")
-    return held.drop(marked, "__key").unionByName(held.keep(marked, "__key").join(keys, "__key", "left_anti")).select(docs.columns)
+    marked = docs.withColumn(key, C.row_key())
+    held = C.IdFilter.of(keys, key)
+    return held.drop(marked, key).unionByName(held.keep(marked, key).join(keys, key, "left_anti")).select(docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

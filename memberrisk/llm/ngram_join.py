@@ -318,14 +318,15 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # A row with another id than its group's goes whatever its group is; only rows of the group's own id are joined.
     other = rows.where("component_id IS NOT NULL AND NOT doc_id <=> component_id")
     same = rows.where("doc_id = component_id").join(first.select("component_id", "kept"), "component_id").where("row_key != kept")
-    gone = C.stage(other.select(F.col("row_key").alias("__key")).union(same.select("row_key")).distinct(), "ngram-gone")
-    again = C.stage(first.where("n > 1").select(F.col("kept").alias("__key")), "ngram-again")  # one row of equal ones stays
-    keyed = docs.withColumn("__key", C.row_key())
-    held = C.IdFilter.of(gone.unionByName(again), "__key")
-    maybe = held.keep(keyed, "__key").join(gone, "__key", "left_anti")
-    return (held.drop(keyed, "__key")
-            .unionByName(maybe.join(again, "__key", "left_anti"))
-            .unionByName(maybe.join(again, "__key", "left_semi").dropDuplicates(["__key"]))).select(docs.columns)
+    key = C.free_name(docs, "__key")
+    gone = C.stage(other.select(F.col("row_key").alias(key)).union(same.select("row_key")).distinct(), "ngram-gone")
+    again = C.stage(first.where("n > 1").select(F.col("kept").alias(key)), "ngram-again")  # one row of equal ones stays
+    keyed = docs.withColumn(key, C.row_key())
+    held = C.IdFilter.of(gone.unionByName(again), key)
+    maybe = held.keep(keyed, key).join(gone, key, "left_anti")
+    return (held.drop(keyed, key)
+            .unionByName(maybe.join(again, key, "left_anti"))
+            .unionByName(maybe.join(again, key, "left_semi").dropDuplicates([key]))).select(docs.columns)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

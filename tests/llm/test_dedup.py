@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_cases import empty, groups, odd, texts  # noqa: F401  (fixtures)
-from memberrisk.llm import common, embedding_dedup, ngram_join, substring_dedup, suffix_dedup
+from memberrisk.llm import common, decontaminate, embedding_dedup, ngram_join, substring_dedup, suffix_dedup
 
 
 def words(text, lower=False):
@@ -75,6 +75,20 @@ def test_one_per_group(odd, texts):
     assert any(i is None and t is None for i, t in left)
 
 
+def test_columns_with_inner_names_stay(spark):
+    same = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    other = "a quite different text of some more words that shares none of them with the rest of all rows here"
+    rows = [(1, same, "k1", 11, "x"), (2, same, "k2", 12, None), (3, other, "k3", 13, "y"), (4, None, "k4", None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, __BIT int, __key_ string")
+    kept = ngram_join.one_per_group(docs, 5, 80)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+    item = spark.createDataFrame([(1, other)], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, item)
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect())) == [rows[0], rows[1], rows[3]]
+
+
 def test_pairs_below_the_threshold_meet_once(spark, monkeypatch):
     """Near copies just below the threshold: a pair meets at one of its many common shingles, and no link is lost."""
     rng = np.random.default_rng(11)
