@@ -7,21 +7,22 @@ tokens). Boosted trees score each proposal by its format and its context; a
 proposal is redacted when its score passes the threshold calibrated for its
 kind and nothing better or base overlaps it. Tokens have the kind ``secret``.
 
-The trees are fitted on proposals from a bounded sample of documents (``SAMPLE``
-smallest hashes of ``doc_id``, at most ``PROPOSALS`` proposals by hash) with weak
-labels from evidence beside the format: a proposal is positive when a word that
+The trees are fitted on all proposals of all documents with weak labels from evidence
+beside the format: a proposal is positive when a word that
 announces its kind stands before it, when an address is spelled out, when a grouped
 number has a card's checksum, when a number has an area code in brackets, when a
 token follows a credential's name and a sign of assignment; base spans are positive
 too. The features hold none of what defines base spans. Every fifth is held out;
 those that overlap no base span, which the model has to judge, calibrate the
-thresholds at a precision of ``PRECISION``.
+thresholds at a precision of ``PRECISION``. Proposals are written as binned features;
+a level of a tree is a pass over them that sums gradients by node, feature and bin, in
+whole numbers, so the trees do not depend on how the rows are dealt.
 
-One pass over the documents, without a shuffle; each text is scanned whole in
+Detection is one pass over the documents, without a shuffle; each text is scanned whole in
 time linear in its length. Spans count code points, end exclusive.
 
 Edge cases: null or empty text has no spans. Rows with null or repeated ids are
-kept and treated alone. With no positive and negative proposals in the sample
+kept and treated alone. Without positive and negative proposals
 there is no model and only base spans are found.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +41,10 @@ from pyspark.sql import functions as F
 from memberrisk.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-SAMPLE = 4000
-PROPOSALS = 20_000
 PRECISION = 0.98
+TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
+UNIT = float(1 << 30)  # of a gradient in sums
+GRID = 512             # places a unit of log odds
 
 Span = tuple[str, int, int]
 
@@ -223,49 +226,88 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32) -> Trees:
-    """Newton boosting of the logistic loss over binned features."""
-    cuts = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
-    binned = np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)], axis=1)
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+def _grow(start: float, cuts: list[np.ndarray], sums, trees: int, depth: int, rate: float) -> Trees:
+    """Newton boosting of the logistic loss. ``sums(grown, level)`` gives the gradients and the
+    hessians by node of the last tree's ``level``, feature and bin."""
     nodes = 2 ** (depth + 1) - 1
-    model = Trees(float(np.log(share / (1 - share))), np.full((trees, nodes), -1), np.zeros((trees, nodes)),
-                  np.zeros((trees, nodes)), depth, {})
-    total = np.full(len(x), model.start)
+    model = Trees(start, np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes)), depth, {})
+    at = np.zeros((trees, nodes), np.int64)  # the bin of each cut
     for t in range(trees):
-        p = 1 / (1 + np.exp(-total))
-        grad, hess = y - p, p * (1 - p)
-        node = np.zeros(len(x), np.int64)
-        for level in range(depth + 1):
-            for i in range(2**level - 1, 2 ** (level + 1) - 1):
-                rows = np.flatnonzero(node == i)
-                if not len(rows):
-                    continue
-                g, h = grad[rows].sum(), hess[rows].sum() + 1.0
+        for level in range(depth):
+            first = 2**level - 1
+            open_ = [i for i in range(first, 2 * first + 1) if not level or model.feature[t, (i - 1) // 2] >= 0]
+            if not open_:
+                break
+            grad, hess = sums((start, model.feature[:t + 1], at[:t + 1], model.value[:t + 1]), level)
+            for i in open_:
+                gs, hs = grad[i - first], hess[i - first]
+                g, h = gs[0].sum(), hs[0].sum() + 1.0
                 model.value[t, i] = rate * g / h
-                if level == depth:
-                    continue
                 best = (1e-3, -1, 0)
-                for f in range(x.shape[1]):
-                    if len(cuts[f]):
-                        gl = np.cumsum(np.bincount(binned[rows, f], grad[rows], bins + 1))[:len(cuts[f])]
-                        hl = np.cumsum(np.bincount(binned[rows, f], hess[rows], bins + 1))[:len(cuts[f])] + 1.0
+                for f, cut in enumerate(cuts):
+                    if len(cut):
+                        gl = np.cumsum(gs[f])[:len(cut)]
+                        hl = np.cumsum(hs[f])[:len(cut)] + 1.0
                         gain = gl**2 / hl + (g - gl) ** 2 / (h - hl + 2.0) - g * g / h
                         j = int(np.argmax(gain))
                         if gain[j] > best[0]:
                             best = (gain[j], f, j)
-                if best[1] >= 0:
-                    model.feature[t, i], model.cut[t, i] = best[1], cuts[best[1]][best[2]]
-                    node[rows] = 2 * i + 1 + (binned[rows, best[1]] > best[2])
-        total += model.value[t][node]
+                _, f, j = best
+                if f >= 0:
+                    model.feature[t, i], model.cut[t, i], at[t, i] = f, cuts[f][j], j
+                    for child, own in ((2 * i + 1, slice(0, j + 1)), (2 * i + 2, slice(j + 1, None))):
+                        model.value[t, child] = rate * gs[f, own].sum() / (hs[f, own].sum() + 1.0)
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, limit: int = PROPOSALS) -> Trees | None:
-    """Trees from at most ``limit`` proposals of at most ``sample`` documents."""
-    chosen = (docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
-              .orderBy(F.xxhash64("id"), "id").limit(sample))
+def _node(binned: np.ndarray, feature: np.ndarray, at: np.ndarray, steps: int) -> np.ndarray:
+    """The node of a tree that each row is in after ``steps`` steps."""
+    node, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
+    for _ in range(steps):
+        right = binned[rows, np.maximum(feature[node], 0)] > at[node]
+        node = np.where(feature[node] >= 0, 2 * node + 1 + right, node)
+    return node
+
+
+def _sums(binned: np.ndarray, y: np.ndarray, grown, level: int, depth: int, bins: int) -> np.ndarray:
+    """Gradients and hessians in units of 1 / ``UNIT``, whole numbers, so that their sum depends on no order:
+    (2, nodes of the level, features, bins)."""
+    start, feature, at, value = grown
+    total = np.full(len(binned), start)
+    for f, a, v in zip(feature[:-1], at[:-1], value[:-1]):
+        total += v[_node(binned, f, a, depth)]
+    p = 1 / (1 + np.exp(-total))
+    node = _node(binned, feature[-1], at[-1], level) - (2**level - 1)
+    live = np.flatnonzero(node >= 0)
+    shape = (2**level, binned.shape[1], bins)
+    out = np.zeros((2, *shape), np.int64)
+    for i in range(0, len(live), 1 << 20):  # whole numbers in doubles up to 2**53
+        rows = live[i:i + (1 << 20)]
+        for k, v in enumerate((np.rint((y - p)[rows] * UNIT), np.rint((p * (1 - p))[rows] * UNIT))):
+            for f in range(shape[1]):
+                out[k, :, f] += np.bincount(node[rows] * bins + binned[rows, f], v, shape[0] * bins).astype(np.int64).reshape(shape[0], bins)
+    return out
+
+
+def _start(share: float) -> float:
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    return float(np.log(share / (1 - share)))
+
+
+def _binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)], axis=1).astype(np.uint8)
 
+
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS) -> Trees:
+    """Boosted trees over binned features of rows at hand."""
+    cuts = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
+    binned = _binned(x, cuts)
+    return _grow(_start(y.mean()), cuts, lambda grown, level: _sums(binned, y, grown, level, depth, bins) / UNIT, trees, depth, rate)
+
+
+def _candidates(docs: DataFrame) -> DataFrame:
+    """Each proposal of each text: its kind, features, weak label, whether it is held out and whether
+    it overlaps no base span."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kinds, rows, labels, keys, judged = [], [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -281,25 +323,82 @@ def fit(docs: DataFrame, sample: int = SAMPLE, limit: int = PROPOSALS) -> Trees
                            "y": pa.array(labels, pa.bool_()), "key": pa.array(keys, pa.string()),
                            "judged": pa.array(judged, pa.bool_())})
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most `sample` rows
-    rows = (C.map_batches(texts.select(F.col("id"), "text"), run, "kind string, x array<double>, y boolean, key string, judged boolean")
-            .orderBy(F.xxhash64("key"), "key").limit(limit).toPandas())
-    y = rows["y"].to_numpy(dtype=float)
-    if len(y) < 20 or y.min() == y.max():
-        return None
-    x = np.array(rows["x"].tolist())
-    held = np.arange(len(y)) % 5 == 4
-    model = fit_trees(x[~held], y[~held])
-    p = model.probability(x[held])
-    for kind in KINDS:  # the lowest score from which the held-out proposals are right often enough
-        own = ((rows["kind"] == kind) & rows["judged"]).to_numpy(dtype=bool)[held]
-        order = np.argsort(-p[own], kind="stable")
-        right = np.cumsum(y[held][own][order]) / np.arange(1, own.sum() + 1)
-        good = np.flatnonzero((right >= PRECISION) & (p[own][order] >= 0.5))
-        model.threshold[kind] = 2.0
+    found = C.map_batches(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), run,
+                          "kind string, x array<double>, y boolean, key string, judged boolean")
+    return found.select("kind", "x", "y", "judged", (F.pmod(F.xxhash64("key"), F.lit(5)) == 4).alias("held"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), FEATURES)
+
+
+def _fit_rows(rows: DataFrame, share: float) -> Trees:
+    """``fit_trees`` on rows (``x``, ``y``) of any number: the cuts are their exact quantiles, and a level of a
+    tree is one pass that brings a row a node, feature and bin to the driver."""
+    at = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    found = rows.agg(*[F.percentile(F.col("x")[f], at).alias(f"f{f}") for f in range(FEATURES)]).first()
+    cuts = [np.unique(np.array(q, np.float64)) for q in found]
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        binned = _binned(_matrix(batch.column(0)), cuts)
+        return C.batch_of({"b": pa.array([binned.tobytes()], pa.binary()),
+                           "y": pa.array([batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary())})
+
+    blocks = C.stage(C.map_batches(rows.select("x", "y"), pack, "b binary, y binary"), "pii-binned")
+
+    def sums(grown, level: int) -> np.ndarray:
+        size = 2**level * FEATURES * BINS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 2**level, FEATURES, BINS), np.int64)
+            for batch in batches:
+                binned = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, FEATURES)
+                total += _sums(binned, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8), grown, level, DEPTH, BINS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), *map(pa.array, total.reshape(2, size))], names=["at", "g", "h"])
+
+        cells = (blocks.mapInArrow(run, "at long, g long, h long").where("g != 0 OR h != 0")
+                 .groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas())  # a row a node, feature and bin
+        out = np.zeros((2, size))
+        out[:, cells["at"].to_numpy(dtype=np.int64)] = cells["g"], cells["h"]
+        return out.reshape(2, 2**level, FEATURES, BINS) / UNIT
+
+    model = _grow(_start(share), cuts, sums, TREES, DEPTH, RATE)
+    C.unstage(blocks)
+    return model
+
+
+def _calibrate(model: Trees, rows: DataFrame) -> dict[str, float]:
+    """For each kind the lowest score from which its ``rows`` (``kind``, ``x``, ``y``) are right often enough. All rows
+    count; they come as counts by their score's place on a fine grid of log odds, with the scores' ends."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        p = model.probability(_matrix(batch.column(1)))
+        odds = np.log(p / np.maximum(1 - p, 1e-12))
+        return C.batch_of({"kind": batch.column(0), "at": pa.array(np.clip(odds * GRID, -1, 20 * GRID).astype(np.int64)),
+                           "p": pa.array(p), "y": batch.column(2)})
+
+    held = C.map_batches(rows.select("kind", "x", "y"), run, "kind string, at long, p double, y boolean").where("p >= 0.5")
+    found = held.groupBy("kind", "at").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("y").alias("right"), F.min("p").alias("low"), F.max("p").alias("high")).toPandas()  # at most 20 * GRID rows a kind
+    threshold = dict.fromkeys(KINDS, 2.0)
+    for kind in KINDS:
+        own = found[found["kind"] == kind].sort_values("at", ascending=False)
+        good = np.flatnonzero((own["right"].cumsum() / own["n"].cumsum()).to_numpy() >= PRECISION)
         if len(good):  # half-way to the next lower score, the first that is not
-            score = np.append(p[own][order], 0.5)
-            model.threshold[kind] = float((score[good[-1]] + max(0.5, score[good[-1] + 1])) / 2)
+            lower = np.append(own["high"].to_numpy(), 0.5)[good[-1] + 1]
+            threshold[kind] = float((own["low"].to_numpy()[good[-1]] + lower) / 2)
+    return threshold
+
+
+def fit(docs: DataFrame) -> Trees | None:
+    """Trees from all proposals of all documents; every fifth (by hash) is held out and calibrates the thresholds."""
+    rows = C.stage(_candidates(docs), "pii-proposals")
+    n, n_yes, n_fitted, n_fitted_yes = rows.agg(
+        F.count(F.lit(1)), F.count_if("y"), F.count_if(~F.col("held")), F.count_if(F.col("y") & ~F.col("held"))).first()
+    model = None
+    if n >= 20 and 0 < n_yes < n and n_fitted:
+        model = _fit_rows(rows.where("NOT held"), n_fitted_yes / n_fitted)
+        model.threshold.update(_calibrate(model, rows.where("held AND judged")))
+    C.unstage(rows)
     return model
 
 

@@ -400,6 +400,35 @@ def test_boosted_trees_learn():
     assert ((model.probability(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
 
 
+def test_boosted_trees_learn_from_every_document(spark):
+    """Secrets in none of the 4000 documents with the smallest hash; the trees depend on no order of the rows."""
+    rng = random.Random(23)
+    ids = [r["id"] for r in spark.range(4300).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = []
+    for place, i in enumerate(ids):
+        number = "".join(rng.choice("0123456789") for _ in range(10))
+        token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        rows.append((i, f"tel {number} x" if place < 4000 and place % 2 else f"of {number} x" if place < 4000
+                     else f'token = "{token}" x' if place % 2 else f"of {token} x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    assert [k for k, _, _ in pii.detect(f'a token = "{"0123456789abcdef" * 2}" b', model)[1]] == ["secret"]
+    again = pii.fit(docs.orderBy("text").repartition(3))
+    assert again.threshold == model.threshold and again.start == model.start
+    for name in ("feature", "cut", "value"):
+        assert (getattr(again, name) == getattr(model, name)).all()
+
+
+def test_boosted_trees_of_a_table_are_those_of_its_rows(spark):
+    rng = np.random.default_rng(29)
+    x = np.round(rng.normal(size=(3000, pii.FEATURES)), 1)
+    y = (x[:, 0] > 0) ^ (x[:, 1] > 0.5)
+    rows = spark.createDataFrame([(a.tolist(), bool(b)) for a, b in zip(x, y)], "x array<double>, y boolean")
+    table, local = pii._fit_rows(rows.repartition(5), y.mean()), pii.fit_trees(x, y.astype(float))
+    assert (table.feature == local.feature).all() and np.allclose(table.cut, local.cut) and np.allclose(table.value, local.value)
+    assert ((table.probability(x) > 0.5) == y).mean() > 0.95
+
+
 # ------------------------------------------------------------------- toxicity
 def test_ordinal_regression_recovers_order():
     rng = np.random.default_rng(10)
