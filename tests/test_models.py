@@ -55,3 +55,22 @@ def test_bundle_of_one_session_scores_in_another(spark, scratch):
     assert told(old, other) == told(made, spark)
     got = told(old, other)[1]
     assert got[60][2] is None and {c for c, _, _ in got.values()} == {0, 1}
+
+
+def test_credit_models_are_fitted_side_by_side(spark, monkeypatch):
+    """Each waits for the other to begin; the forest keeps its rows' nodes and is the one that a plain fit gives."""
+    import threading
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    both, own = threading.Barrier(2, timeout=60), {}
+    for kind in (LogisticRegression, RandomForestClassifier):
+        own[kind] = kind.fit
+        monkeypatch.setattr(kind, "fit", lambda self, *a, _fit=kind.fit: (both.wait(), _fit(self, *a))[1])
+    rows = [(float(i % 17), float(i * 7 % 23), int((i % 17 > 8) ^ (i * 7 % 23 > 11))) for i in range(800)]
+    df = spark.createDataFrame(rows, "a double, b double, riesgo_alto int").repartition(3, "a").cache()
+    rf, lr = M.fit_credit_model(df, ["a", "b"])
+    data = M.assemble(df, ["a", "b"]).select("features", F.col("riesgo_alto").cast("double").alias("label"))
+    plain = own[RandomForestClassifier](RandomForestClassifier(featuresCol="features", labelCol="label", **M.RF_PARAMS), data)
+    assert rf.getCacheNodeIds() and not plain.getCacheNodeIds()
+    wrong = [r for r in M.score_credit(df, (rf, lr), ["a", "b"]).select("prediction", "riesgo_alto").collect() if r[0] != r[1]]
+    assert rf.getNumTrees == plain.getNumTrees == 200 and len(wrong) < 80
+    assert abs(rf.featureImportances.toArray() - plain.featureImportances.toArray()).max() < 0.1
