@@ -127,3 +127,21 @@ def test_decisions_with_models(h):
     assert all(r["agentes"]["credit_scoring"]["score"] is not None and r["agentes"]["collection_segments"]["cluster_name"] for r in rows)
     summary = {r["analyzer"]: r["status"] for r in QD.q_run_summary(h).collect()}
     assert set(summary) == set(D.AGENTS) and set(summary.values()) == {"ready"}
+
+
+def test_rows_of_members_do_not_go_through_the_driver(spark, monkeypatch):
+    """Tables with a row a member are small here and still not broadcast."""
+    write, written = FI.write_table, {}
+    latest = write(spark.createDataFrame([(i, float(i)) for i in range(6)], "v_ah_cliente long, edad double"))
+    known = write(spark.createDataFrame([(i, i * 10) for i in range(0, 6, 2)], "v_ah_cliente long, x long"))
+    one = [FI.Rules(n, {}, lambda hub, df: df, storing=lambda hub: known) for n in ("a", "b")]
+    monkeypatch.setattr(FI, "write_table", lambda df, name: (written.setdefault(name, df), write(df, name))[1])
+    members = FI.fit(None, one, latest).members
+    req = spark.createDataFrame([(1, None), (4, 7.0), (9, None)], "v_ah_cliente long, edad double")
+    laid = FI.overlay(req, members)
+    states = write(spark.createDataFrame([(i, i, p, s) for i in range(4) for p, s in (("2001-05", "normal"), ("2001-06", "normal"))],
+                                   "v_ah_cliente long, v_ah_cuenta long, periodo string, estado_riesgo string"))
+    for df, n in ((written["members"], 2), (laid, 1), (A.exclude_minors(latest, known.select("v_ah_cliente")), 1), (A.transitions(states), 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == n, plan
+    assert {(r["v_ah_cliente"], r["edad"], r["k_a"] and r["k_a"]["x"]) for r in laid.collect()} == {(1, 1.0, None), (4, 7.0, 40), (9, None, None)}
