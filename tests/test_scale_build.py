@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from memberrisk import schemas as S
+from memberrisk import session as sess
 from memberrisk.operators import clean as C
 
 
@@ -26,3 +27,15 @@ def test_rows_with_a_key_of_their_own_are_not_aggregated(spark):
     assert sorted(r["nota"] for r in found.collect()) == ["more", "new", "null", "one", "two"]
     assert found.columns == snapshot(spark, rows).columns
     assert found.where(F.col("nota") == "new").first()["saldo_disponible"] == 1.0
+
+
+def test_methods_too_large_for_the_jvms_compiler_are_not_generated(spark):
+    key, limit = sess.METHOD_LIMIT
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        assert sess.configure(spark).conf.get(key) == limit
+        spark.conf.set(key, "9000")  # the submitter's own value stays
+        assert sess.configure(spark).conf.get(key) == "9000"
+    finally:
+        spark.conf.set(key, before)
