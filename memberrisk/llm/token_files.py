@@ -4,19 +4,23 @@ Ids are cut into blocks of ``BLOCK`` ids. Each block is coded on its own: every
 model starts anew and the block has a CRC-32 of its ids, so a damaged block is
 noticed and costs no other block.
 
-Three predictions drive the arithmetic coder for each id:
+Four predictions drive the arithmetic coder for each id:
  * order 2 and order 1: a table from the last two ids (the last id) to the id that
-   followed them, with a confidence that grows by hits and shrinks by misses;
-   the probability that each confidence deserves is learned as the block goes;
- * order 0: adaptive counts of the ids' low bits and, for each of those, the id
-   last seen with them, for ids that neither table predicts.
-The two tables' probabilities are mixed with a weight kept for each pair of
-confidences, which moves toward the table that was right when they differ. All
-arithmetic is on integers, so a reader gets exactly the writer's models.
+   followed them last, with a confidence that grows by hits; the probability that
+   each confidence deserves is learned as the block goes;
+ * order 0: how often each id came in the block so far, for ids that neither table predicts;
+ * a fixed fall over the vocabulary, for ids that are new in the block.
+The two tables' probabilities are mixed with a weight for each pair of confidences,
+learned from the ids at which only one of them was right; the share of new ids is
+learned too. All arithmetic is on integers, so a reader gets exactly the writer's models.
+
+The tables learn at each id. What is learned about probabilities, and the order-0
+counts, is renewed between stretches, which grow with the block up to ``STRETCH`` ids.
+So the writer prepares all but the tables and the coder itself for a stretch at once.
 
 Blocks are coded side by side: one step handles the same position of all blocks
-of a segment as arrays. The coder is a carry-free range coder with a 48-bit
-window that puts out 16 bits at a time.
+of a segment as arrays. The range coder has a 60-bit window and puts out digits of
+20 bits; the writer adds up carries at the end.
 
 File format: Parquet rows, one a segment, in ascending order of ``doc_id`` (null
 first) over the files and in them: ``part, segment, doc_ids, doc_tokens,
@@ -45,219 +49,286 @@ from memberrisk.llm import tokens
 BLOCK = 4096
 LANES = 2048          # blocks coded side by side
 SLOTS = 2048          # of each prediction table of a block
-HIGHS = 25            # ids with the same low bits, at most
-REFRESH = 32          # steps after which the order-0 sums are made anew
-# Of 4096: what each other id with the same low bits gets, by how often the last one was right.
-_OTHER = np.array([160, 24, 8, 3, 1, 1, 1, 1])
-_MASK, _TOP, _BOTTOM = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 24)
-_S12, _S16, _S32 = np.uint64(12), np.uint64(16), np.uint64(32)
+FIRST = 8             # ids of the first stretch
+STRETCH = 256         # of the longest ones
+DIGIT, WINDOW = 20, 60
+_REST = WINDOW - DIGIT
+_LOW, _DIGIT = (1 << _REST) - 1, (1 << DIGIT) - 1
+_ONE = (1 << 15) - 1  # the events' frequencies are of 2**15
+# Of 64: what a confidence that was never tried deserves.
+_PRIOR = np.array([0, 10, 26, 45])
+_HELD = np.arange(4) > 0
+# Hashes of the last id and the one before it: factors and shifts for order 1 and order 2.
+_LAST, _SECOND, _SHIFT = (np.array(v)[:, None] for v in ([40503, 30011], [0, 48271], [4, 3]))
+
+
+def _stretches(size: int) -> list[tuple[int, int]]:
+    """(first step, end) of the stretches between which the models are renewed."""
+    marks, at = [0], FIRST
+    while at < size:
+        marks.append(at)
+        at += min(max(at // 4, 1), STRETCH)
+    return list(zip(marks, [*marks[1:], size]))
+
+
+def _lives(length: np.ndarray) -> list[int]:
+    """Blocks that are longer than each step; longest first."""
+    return np.searchsorted(-length, -np.arange(length[0]), side="left").tolist()
+
+
+def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of numbers not below 0; spares the checks of signs."""
+    return (a.view(np.uint64) // b.view(np.uint64)).view(np.int64)
 
 
 class _Model:
-    """The adaptive models of ``lanes`` blocks; lanes that ended are at the back."""
+    """The adaptive models of ``lanes`` blocks; lanes that ended are at the back.
+
+    An entry of the tables is the guess and, in the low two bits, its confidence
+    (0: none). The context of an id's event is the two confidences and whether the
+    guesses agree. Events: 0 order 2 is right, 1 order 1 is, 2 an id of the block, 3 a new id.
+    """
 
     def __init__(self, lanes: int, id_limit: int) -> None:
-        self.bits = 0
-        while ((id_limit - 1) >> self.bits) >= HIGHS:
-            self.bits += 1
-        self.lows, self.highs = 1 << self.bits, ((id_limit - 1) >> self.bits) + 1
-        self.table = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]   # order 1, order 2
-        self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.share = [np.tile(np.arange(1, 9) * 6500, lanes) for _ in range(2)]  # of hits in 65536, by confidence
-        self.weight = np.full(lanes * 16, 8, np.int64)
-        self.counts = np.ones((lanes, self.lows), np.int32)
-        self.sums = np.zeros((lanes, self.lows + 1), np.int32)
-        self.high = np.zeros(lanes * self.lows, np.int8)
-        self.sure = np.zeros(lanes * self.lows, np.int8)
-        self.last = np.zeros((2, lanes), np.int64)
-        self.lane = np.arange(lanes)
-        self._sum()
-
-    def _sum(self) -> None:
-        np.cumsum(self.counts, axis=1, out=self.sums[:, 1:])
-        heavy = self.sums[:, -1] > 1 << 17
-        if heavy.any():
-            self.counts[heavy] = (self.counts[heavy] + 1) >> 1
-            np.cumsum(self.counts, axis=1, out=self.sums[:, 1:])
-
-    def predict(self, live: int) -> None:
-        """Frequencies (of 65536) of the events: order 2 is right, else order 1 is right."""
-        one, two = self.last[0, :live], self.last[1, :live]
-        lane = self.lane[:live]
-        self.at = [lane * SLOTS + ((one * 40503) >> 4) % SLOTS, lane * SLOTS + ((one * 30011 + two * 48271) >> 3) % SLOTS]
-        self.guess = [self.table[i][self.at[i]] for i in (0, 1)]
-        self.level = [self.trust[i][self.at[i]].astype(np.int64) for i in (0, 1)]
-        share = [self.share[i][lane * 8 + self.level[i]] * (self.level[i] > 0) for i in (0, 1)]
-        self.mix = lane * 16 + np.minimum(self.level[1], 3) * 4 + np.minimum(self.level[0], 3)
-        w = self.weight[self.mix]
-        w = np.where(self.level[1] == 0, 0, np.where(self.level[0] == 0, 16, w))
-        self.same = (self.guess[0] == self.guess[1]) & (self.level[1] > 0)
-        by_two, by_one = share[1] * w >> 4, share[0] * (16 - w) >> 4
-        self.two = np.where(self.same, by_two + by_one, by_two)
-        self.two += 32 * (self.level[1] > 0)
-        self.one = np.where(self.same, 0, by_one + 32 * (self.level[0] > 0))
-
-    def rest(self, missed: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id last seen with these low bits (its high bits), its frequency (of 4096) and that of each other one."""
-        self.slot = missed * self.lows + low
-        other = _OTHER[self.sure[self.slot]]
-        return self.high[self.slot].astype(np.int64), 4096 - (self.highs - 1) * other, other
-
-    def learn(self, x: np.ndarray, live: int, missed: np.ndarray, step: int) -> None:
-        lane = self.lane[:live]
-        right = [(self.guess[i] == x) & (self.level[i] > 0) for i in (0, 1)]
-        for i in (0, 1):
-            at = lane * 8 + self.level[i]
-            old = self.share[i][at]
-            self.share[i][at] = old + np.where(right[i], (62_000 - old) >> 5, -(old >> 5))
-            level = np.where(right[i], np.minimum(self.level[i] + 1, 7), self.level[i] >> 1)
-            new = level == 0
-            self.trust[i][self.at[i]] = np.where(new, 1, level)
-            self.table[i][self.at[i]] = np.where(new, x, self.guess[i])
-        differ = np.flatnonzero((right[0] != right[1]) & (self.level[0] > 0) & (self.level[1] > 0))
-        at = self.mix[differ]
-        self.weight[at] = np.clip(self.weight[at] + np.where(right[1][differ], 1, -1), 1, 15)
-        if len(missed):
-            high = x[missed] >> self.bits
-            hit = self.high[self.slot] == high
-            self.sure[self.slot] = np.where(hit, np.minimum(self.sure[self.slot] + 1, 7), 1)
-            self.high[self.slot] = high
-        low = x & (self.lows - 1)  # every id counts, also those that the tables predict
-        self.counts[lane, low] += 24
-        if step % REFRESH == REFRESH - 1:
-            self._sum()
-        self.last[1, :live] = self.last[0, :live]
-        self.last[0, :live] = x
-
-
-class _Coder:
-    def __init__(self, lanes: int) -> None:
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, _MASK, np.uint64)
-
-    def narrow(self, at: np.ndarray | slice, r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        self.low[at] = (self.low[at] + r * start.astype(np.uint64)) & _MASK
-        self.range[at] = r * freq.astype(np.uint64)
-
-    def shift(self, live: int, moved) -> None:
-        """Move out the settled 16 bits of the lanes; ``moved(lanes)`` before each."""
-        at = np.arange(live)
-        while True:
-            low, wide = self.low[at], self.range[at]
-            settled = (low ^ ((low + wide) & _MASK)) < _TOP
-            short = ~settled & (wide < _BOTTOM)
-            go = settled | short
-            if not go.any():
-                return
-            at, low, wide, short = at[go], low[go], wide[go], short[go]
-            wide = np.where(short, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)), wide)
-            moved(at)
-            self.low[at] = (low << _S16) & _MASK
-            self.range[at] = wide << _S16
+        if id_limit > 1 << 22:
+            raise ValueError("ids below 2**22 only")
+        self.bits = (id_limit - 1).bit_length() + 1
+        fall = np.concatenate([[0], np.cumsum((1 << 24) // (np.arange(id_limit) + 200))])
+        self.fixed = np.arange(id_limit + 1) + fall * ((1 << self.bits) - id_limit) // fall[-1]
+        self.table = np.full(2 * lanes * SLOTS, -4, np.int32)
+        self.place = np.arange(2 * lanes).reshape(2, lanes) * SLOTS
+        self.context = np.arange(lanes) * 32
+        self.tally = np.zeros((lanes, 4, 4, 2, 2, 2), np.int64)  # by context, order 2 right, order 1 right
+        self.new = np.full(lanes, 1 << 15)                       # share of new ids among those not predicted
+        self.one, self.two = np.full(lanes, 1, np.int32), np.full((2, lanes), 2, np.int32)
+
+    def renew(self, live: int, context: np.ndarray, right: np.ndarray, event: np.ndarray) -> None:
+        """Bounds of the events in each context, after a stretch (none before the first)."""
+        t = self.tally[:live]
+        if len(event):
+            seen = context[:, :live] * 4 + (2 * right[:, 1, :live] + right[:, 0, :live])
+            t += np.bincount(seen.ravel(), minlength=live * 128).reshape(t.shape)
+        tried2, hit2 = t.sum((2, 3, 4, 5)), t[:, :, :, :, 1].sum((2, 3, 4))
+        tried1, hit1 = t.sum((1, 3, 4, 5)), t[:, :, :, :, :, 1].sum((1, 3, 4))
+        share2 = np.minimum((hit2 * 1024 + _PRIOR * 20) * 32 // (tried2 + 2), 31_000)
+        share1 = np.minimum((hit1 * 1024 + _PRIOR * 20) * 32 // (tried1 + 2), 31_000)
+        only2, only1 = t[:, :, :, :, 1, 0].sum(3), t[:, :, :, :, 0, 1].sum(3)
+        weight = (only2 * 256 + 256) // (only2 + only1 + 2)
+        weight[:, :, 0], weight[:, 0, :] = 256, 0
+        two = (share2[:, :, None] * weight >> 8) + 16 * _HELD[:, None]
+        both = np.minimum(two + (share1[:, None, :] * (256 - weight) >> 8) + 16 * _HELD, 32_000)
+        two = np.stack([np.minimum(two, both), both], -1)  # guesses that agree count as order 2
+        both = np.stack([both, both], -1)
+        if len(event):
+            missed, new = (event[:, :live] >= 2).sum(0), (event[:, :live] == 3).sum(0)
+            self.new[:live] = ((new << 15) + 4 * self.new[:live]) // (missed + 4)
+            rest = (1 << 15) - both
+            known = both + np.clip(rest * ((1 << 15) - self.new[:live, None, None, None]) >> 15, 4, rest - 4)
+        else:
+            known = both + 1
+        self.bound = (two << 15 | both << 30 | known << 45).ravel()
+        t -= t >> 2
+
+    def slots(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Places in the tables (order 1, order 2) for the last id and the one before it."""
+        at = one * _LAST
+        at += two * _SECOND
+        at >>= _SHIFT
+        at &= SLOTS - 1
+        at += self.place[:, :len(one)]
+        return at
+
+    def predict(self, at: np.ndarray) -> np.ndarray:
+        """Contexts of the events; sets the guesses."""
+        held = self.table.take(at)
+        self.guess, self.level = held >> 2, held & 3
+        context = (self.level[1] << 2) + self.level[0]
+        context += context
+        context += self.guess[0] == self.guess[1]
+        return context + self.context[:len(context)]
+
+    def learn(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        right = self.guess == x
+        entry = np.minimum(self.level, self.two[:, :len(x)])
+        entry *= right
+        entry += (x << 2) + self.one[:len(x)]
+        self.table[at] = entry
+        return right
+
+
+def _numbers(rows: np.ndarray, id_limit: int) -> tuple[np.ndarray, int]:
+    """Each row's ids as numbers 0, 1, ... in their order, and how many there are at most."""
+    lanes, size = rows.shape
+    if size <= 1 << 12 and id_limit < 1 << 19:
+        order = np.sort(rows << 12 | np.arange(size, dtype=np.int32), axis=1) & 4095
+    else:
+        order = np.argsort(rows, axis=1, kind="stable")
+    ordered = np.take_along_axis(rows, order, 1)
+    dense = np.zeros((lanes, size), np.int32)
+    np.cumsum(ordered[:, 1:] != ordered[:, :-1], axis=1, out=dense[:, 1:])
+    out = np.empty((lanes, size), np.int32)
+    np.put_along_axis(out, order, dense, 1)
+    return out, int(dense[:, -1].max()) + 1
 
 
 def encode_blocks(blocks: list[np.ndarray], id_limit: int) -> list[bytes]:
     """Codes of blocks of ids below ``id_limit``, each on its own. Longest first."""
     lanes, size = len(blocks), len(blocks[0])
-    length = np.array([len(b) for b in blocks])
-    ids = np.zeros((size, lanes), np.int32)
+    rows = np.full((lanes, size), id_limit, np.int32)
+    ids = np.zeros((size + 2, lanes), np.int32)  # the first two stand before the blocks
     for i, b in enumerate(blocks):
-        ids[:len(b), i] = b
-    model, coder = _Model(lanes, id_limit), _Coder(lanes)
-    out = np.zeros((lanes, 3 * size + 8), np.uint16)  # pages that no code reaches stay untouched
-    filled = np.zeros(lanes, np.int64)
-
-    def moved(at: np.ndarray) -> None:
-        out[at, filled[at]] = (coder.low[at] >> _S32).astype(np.uint16)
-        filled[at] += 1
-
-    for step in range(size):
-        live = int(np.searchsorted(-length, -step, side="left"))
-        x = ids[step, :live].astype(np.int64)
-        model.predict(live)
-        two = (x == model.guess[1]) & (model.level[1] > 0)
-        one = ~two & (x == model.guess[0]) & (model.level[0] > 0)
-        start = np.where(two, 0, np.where(one, model.two, model.two + model.one))
-        freq = np.where(two, model.two, np.where(one, model.one, 65536 - model.two - model.one))
-        coder.narrow(slice(0, live), coder.range[:live] >> _S16, start, freq)
-        coder.shift(live, moved)
-        missed = np.flatnonzero(~(two | one))
-        if len(missed):
-            low, high = x[missed] & (model.lows - 1), x[missed] >> model.bits
-            below = model.sums[missed, low]
-            coder.narrow(missed, coder.range[missed] // model.sums[missed, -1].astype(np.uint64), below, model.sums[missed, low + 1] - below)
-            coder.shift(live, moved)
-            known, often, other = model.rest(missed, low)
-            start = np.where(high == known, 0, often + (high - (high > known)) * other)
-            coder.narrow(missed, coder.range[missed] >> _S12, start, np.where(high == known, often, other))
-            coder.shift(live, moved)
-        model.learn(x, live, missed, step)
-    for _ in range(3):
-        moved(np.arange(lanes))
-        coder.low = (coder.low << _S16) & _MASK
-    return [out[i, :filled[i]].astype("<u2").tobytes() for i in range(lanes)]
+        rows[i, :len(b)] = ids[2:len(b) + 2, i] = b
+    number, numbers = _numbers(rows, id_limit)
+    number = np.ascontiguousarray((number + np.arange(lanes)[:, None] * numbers).T)
+    count = np.zeros(lanes * numbers, np.int64)
+    model = _Model(lanes, id_limit)
+    low, wide = np.zeros(lanes, np.int64), np.full(lanes, 1 << WINDOW)
+    out = np.zeros((lanes, 2 * size + 4), np.int32)  # pages that no code reaches stay untouched
+    begin = np.arange(lanes) * out.shape[1]
+    digits, filled = out.reshape(-1), begin.copy()
+    lives = _lives(np.array([len(b) for b in blocks]))
+    context = right = event = np.zeros((0, lanes), np.int64)
+    was = 0
+    for n, stop in _stretches(size):
+        live = lives[n]
+        model.renew(live, context, right, event)
+        if n:
+            count += np.bincount(number[was:n, :live].ravel(), minlength=len(count))
+            sums = np.cumsum(count.reshape(lanes, numbers)[:live], axis=1).reshape(-1)
+            freq = count.take(number[n:stop, :live])
+            start = sums.take(number[n:stop, :live]) - freq
+        else:
+            start = freq = np.zeros((stop, live), np.int64)
+        was = n
+        x = ids[n + 2:stop + 2, :live]
+        one, two = ids[n + 1:stop + 1, :live].astype(np.int64), ids[n:stop, :live].astype(np.int64)
+        context, right = np.empty((stop - n, live), np.int64), np.empty((stop - n, 2, live), bool)
+        for k in range(stop - n):  # lanes that end within a stretch go on until its end, without being coded
+            at = model.slots(one[k], two[k])
+            context[k] = model.predict(at)
+            right[k] = model.learn(at, x[k])
+        event = np.where(right[:, 1], 0, np.where(right[:, 0], 1, 2 + (freq == 0)))
+        bound = model.bound.take(context) >> 15 * event
+        start1 = bound & _ONE
+        freq1 = ((bound >> 15) - start1) & _ONE
+        known, new = event == 2, event == 3
+        first = model.fixed.take(x)
+        total = np.where(known, n, np.where(new, 1 << model.bits, 1))
+        start2 = np.where(known, start, np.where(new, first, 0))
+        freq2 = np.where(known, freq, np.where(new, model.fixed.take(x + 1) - first, 1))
+        for k in range(stop - n):
+            live = lives[n + k]
+            r, at = wide[:live] >> 15, low[:live]
+            at += r * start1[k, :live]
+            r *= freq1[k, :live]
+            r = _divide(r, total[k, :live])
+            at += r * start2[k, :live]
+            r *= freq2[k, :live]
+            go = (r <= _LOW).nonzero()[0]
+            while len(go):
+                place, ahead = filled.take(go), at.take(go)
+                digits[place] = ahead >> _REST  # may be one above what a digit holds
+                filled[go] = place + 1
+                at[go] = (ahead & _LOW) << DIGIT
+                wider = r.take(go) << DIGIT
+                r[go] = wider
+                go = go[wider <= _LOW]
+            wide[:live] = r
+    digits[filled] = (low + _LOW) >> _REST
+    filled += 1 - begin
+    out = out[:, :int(filled.max()) + 1]
+    carry = out >> DIGIT
+    while carry.any():
+        out = out & _DIGIT
+        out[:, :-1] += carry[:, 1:]
+        carry = out >> DIGIT
+    codes = []
+    for i, n in enumerate(filled.tolist()):
+        d = out[i, :n + n % 2].astype(np.int64)
+        d[n:] = 0
+        codes.append((d[0::2] << 44 | d[1::2] << 24).astype(">i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+    return codes
 
 
 def decode_blocks(codes: list[bytes], lengths: list[int], id_limit: int) -> list[np.ndarray]:
     """Blocks of ids from their codes and numbers of ids; longest first."""
     lanes, size = len(codes), lengths[0]
-    length = np.array(lengths)
-    words = [np.frombuffer(c, "<u2") for c in codes]
-    feed = np.zeros((lanes, max(map(len, words)) + 4), np.uint64)
-    for i, w in enumerate(words):
-        feed[i, :len(w)] = w
-    taken = np.full(lanes, 3)
-    code = (feed[:, 0] << _S32) | (feed[:, 1] << _S16) | feed[:, 2]
-    ids = np.zeros((size, lanes), np.int32)
-    model, coder = _Model(lanes, id_limit), _Coder(lanes)
-
-    def moved(at: np.ndarray) -> None:
-        # A damaged code may ask for more than there is; its checksum fails later.
-        code[at] = ((code[at] << _S16) & _MASK) | feed[at, np.minimum(taken[at], feed.shape[1] - 1)]
-        taken[at] += 1
-
-    def wanted(at: np.ndarray | slice, r: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        ahead = (code[at] - coder.low[at]) & _MASK
-        return np.minimum((ahead // np.maximum(r, np.uint64(1))).astype(np.int64), total - 1)
-
-    for step in range(size):
-        live = int(np.searchsorted(-length, -step, side="left"))
-        model.predict(live)
-        r = coder.range[:live] >> _S16
-        v = wanted(slice(0, live), r, 65536)
-        two = v < model.two
-        one = ~two & (v < model.two + model.one)
-        start = np.where(two, 0, np.where(one, model.two, model.two + model.one))
-        freq = np.where(two, model.two, np.where(one, model.one, 65536 - model.two - model.one))
-        coder.narrow(slice(0, live), r, start, freq)
-        coder.shift(live, moved)
-        x = np.where(two, model.guess[1], model.guess[0]).astype(np.int64)
-        missed = np.flatnonzero(~(two | one))
-        if len(missed):
-            total = model.sums[missed, -1].astype(np.int64)
-            r = coder.range[missed] // total.astype(np.uint64)
-            v = wanted(missed, r, total)
-            low, top = np.zeros(len(missed), np.int64), np.full(len(missed), model.lows)
-            for _ in range(model.bits):  # the last low bits whose sum is not above
-                mid = (low + top) >> 1
-                above = model.sums[missed, mid] > v
-                top = np.where(above, mid, top)
-                low = np.where(above, low, mid)
-            below = model.sums[missed, low]
-            coder.narrow(missed, r, below, model.sums[missed, low + 1] - below)
-            coder.shift(live, moved)
-            known, often, other = model.rest(missed, low)
-            r = coder.range[missed] >> _S12
-            v = wanted(missed, r, 4096)
-            index = np.minimum(np.maximum(v - often, 0) // other, max(model.highs - 2, 0))
-            high = np.where(v < often, known, index + (index >= known))
-            start = np.where(v < often, 0, often + index * other)
-            coder.narrow(missed, r, start, np.where(v < often, often, other))
-            coder.shift(live, moved)
-            x[missed] = (high << model.bits) + low
-        ids[step, :live] = x
-        model.learn(x, live, missed, step)
-    return [ids[:n, i] for i, n in enumerate(lengths)]
+    feed = np.zeros((lanes, max(map(len, codes)) // 5 * 2 + 8), np.int32)
+    for i, code in enumerate(codes):
+        pairs = np.zeros((len(code) // 5, 8), np.uint8)
+        pairs[:, 3:] = np.frombuffer(code, np.uint8, len(pairs) * 5).reshape(-1, 5)
+        pairs = pairs.view(">i8").astype(np.int64).ravel()
+        feed[i, 0:2 * len(pairs):2], feed[i, 1:2 * len(pairs):2] = pairs >> DIGIT, pairs & _DIGIT
+    taken = np.arange(lanes) * feed.shape[1] + 3
+    code = feed[:, 0].astype(np.int64) << 2 * DIGIT | feed[:, 1].astype(np.int64) << DIGIT | feed[:, 2]
+    feed, wide = feed.reshape(-1), np.full(lanes, 1 << WINDOW)
+    rows = np.zeros((lanes, size), np.int32)
+    model = _Model(lanes, id_limit)
+    lives = _lives(np.array(lengths))
+    one = two = np.zeros(lanes, np.int64)
+    context = right = event = np.zeros((0, lanes), np.int64)
+    for n, stop in _stretches(size):
+        live = lives[n]
+        model.renew(live, context, right, event)
+        if n:  # order 0: the ids so far in their order, and the first place of each
+            past = np.sort(rows[:live, :n], axis=1).reshape(-1)
+            opens = np.empty(len(past), bool)
+            np.not_equal(past[1:], past[:-1], out=opens[1:])
+            opens[::n] = True
+            group = np.cumsum(opens, dtype=np.int32)
+            first = np.concatenate([[0], opens.nonzero()[0], [len(past)]])  # by group from 1 on
+            base = np.arange(live) * n
+        one, two, code, wide = one[:live], two[:live], code[:live], wide[:live]
+        context, event = np.empty((stop - n, live), np.int64), np.empty((stop - n, live), np.int8)
+        right, ids = np.empty((stop - n, 2, live), bool), np.empty((stop - n, live), np.int32)
+        for k in range(stop - n):
+            at = model.slots(one, two)
+            context[k] = model.predict(at)
+            bound = model.bound.take(context[k])
+            r = wide >> 15
+            o = event[k]
+            np.add((code >= r * ((bound >> 15) & _ONE)).view(np.int8), (code >= r * ((bound >> 30) & _ONE)).view(np.int8), out=o)
+            o += (code >= r * (bound >> 45)).view(np.int8)
+            bound >>= o.astype(np.int64) * 15
+            start = bound & _ONE
+            bound >>= 15
+            bound -= start
+            bound &= _ONE
+            code -= r * start
+            r *= bound
+            x = np.where(o == 0, model.guess[1], model.guess[0])
+            if n:
+                known = (o == 2).nonzero()[0]
+                ahead, part = code.take(known), r.take(known) // n
+                from_ = base.take(known)
+                v = group.take(_divide(ahead, part) + from_, mode="clip")
+                start = first.take(v)
+                x[known] = past.take(start)
+                code[known] = ahead - part * (start - from_)
+                r[known] = part * (first.take(v + 1) - start)
+            new = (o == 3).nonzero()[0]
+            if len(new):
+                ahead, part = code.take(new), r.take(new) >> model.bits
+                v = np.minimum(model.fixed.searchsorted(ahead // part, "right") - 1, id_limit - 1)
+                start = model.fixed.take(v)
+                x[new] = v
+                code[new] = ahead - part * start
+                r[new] = part * (model.fixed.take(v + 1) - start)
+            go = (r <= _LOW).nonzero()[0]
+            while len(go):
+                place, room = taken.take(go), r.take(go)
+                # A damaged code may point beyond its range or ask for more than there is; its checksum fails later.
+                code[go] = np.minimum(code.take(go), room - 1) << DIGIT | feed.take(place, mode="clip")
+                taken[go] = place + 1
+                room <<= DIGIT
+                r[go] = room
+                go = go[room <= _LOW]
+            wide = r
+            ids[k] = x
+            two, one = one, x.astype(np.int64)
+            right[k] = model.learn(at, x)
+        rows[:live, n:stop] = ids.T
+    return [rows[i, :m] for i, m in enumerate(lengths)]
 
 
 # -------------------------------------------------------------------- files

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from memberrisk.llm import common as C
 WORDS = 1_200_000
 #: New words that are kept apart before they are merged with the others.
 RECENT = 50_000
-#: Words of one call of the library.
-CALL = 20_000
+#: Words of one call of the library, and of one text of a call (long ones take it longer).
+CALL, LOT = 20_000, 50
 _EMPTY, _END = 0, 1
 
 # First bytes of characters that need a closer look, and control characters.
@@ -146,7 +147,9 @@ class Encoder:
 
     def _encode_words(self, words: list[bytes], spaced: bool) -> np.ndarray:
         between = b" " if spaced else b"\n" if self.spaced else b" \x01 "
-        ids = self._ids((between + between.join(words)).decode())
+        lots = [(between + between.join(words[i:i + LOT])).decode() for i in range(0, len(words), LOT)]
+        found = self.tokenizer.encode_batch_fast(lots, add_special_tokens=False)  # without offsets
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
         first = np.flatnonzero(self.opens[ids] if spaced else ids == self.mark[0])
         if len(first) == len(words) and (spaced or len(self.mark) == 1):
             size = np.diff(np.concatenate([first, [len(ids)]]))
