@@ -3,7 +3,7 @@
 import hashlib
 import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +168,32 @@ def test_substring_levels(spark):
     assert got[2]["n_removed"] == 400 and got[2]["kept"] == hashlib.sha256(b"d e f").hexdigest()
 
 
+def test_every_level_looks_at_every_window(spark):
+    """Repeats that just reach a level, in texts hardly longer: each level has exactly the windows that repeat at its length."""
+    rng = np.random.default_rng(8)
+    passages = {m: [f"p{m}x{x}" for x in rng.integers(0, 10**9, m)] for m in (12, 13, 25, 26, 30, 51, 52, 110)}
+    rows = []
+    for m, passage in passages.items():
+        rows += [(len(rows), " ".join([f"u{m}", *passage])), (len(rows) + 1, " ".join([*passage, f"v{m}", f"w{m}"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for length, marks in substring_dedup.levels(docs, substring_dedup.copies(docs, "t"), 13, "t"):
+        got[length] = {r["doc_id"]: len(r["again"]) for r in marks.collect()}
+    want = {}
+    for length in (13, 26, 52, 104):
+        where = defaultdict(set)
+        for i, t in rows:
+            w = words(t)
+            for p in range(len(w) - length + 1):
+                where[tuple(w[p:p + length])].add(i)
+        want[length] = dict(Counter(i for ids in where.values() if len(ids) > 1 for i in ids))
+    assert got == want
+    found = {r["doc_id"]: (r["reach"], r["n_removed"]) for r in substring_dedup.dedup(docs).collect()}
+    for i, m in enumerate(passages):
+        assert found[2 * i][0] == found[2 * i + 1][0] == max([n for n in want if n <= m], default=0)
+        assert found[2 * i][1] == 0 and found[2 * i + 1][1] == (m if m >= 13 else 0)
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.dedup(empty).count() == 0
 
